@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrivano.functions.bind import let
 from scrivano.functions.text import SPACE, any_contains, strip
 
 # Keyword lists, tested as substrings of the lower-cased query in this order.
@@ -101,6 +102,22 @@ def strategy(qtype: Column, score: Column) -> Column:
     )
 
 
+def route(query: Column) -> Column:
+    """Struct ``query_type, complexity, strategy`` of a query; type and score are bound once."""
+
+    def with_score(score):
+        def with_type(qtype):
+            return F.struct(
+                qtype.alias("query_type"),
+                score.alias("complexity"),
+                strategy(qtype, score).alias("strategy"),
+            )
+
+        return let(query_type(query, score), with_type)
+
+    return let(complexity(query), with_score)
+
+
 def has_definition_intent(query: Column) -> Column:
     return any_contains(F.lower(query), INTENT_PHRASES)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrivano.functions.bind import let
+
 METRICS = ("sqeuclidean", "cosine", "ip")
 
 
@@ -51,6 +53,9 @@ def distance(a: Column, b: Column, metric: str = "sqeuclidean") -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector; the zero vector stays zero."""
-    length = norm(a)
-    unit = F.transform(a, lambda x: (x.cast("double") / length).cast("float"))
-    return F.when(length > 0, unit).otherwise(a)
+
+    def scaled(v, length):
+        unit = F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
+        return F.when(length > 0, unit).otherwise(v)
+
+    return let(a, lambda v: let(norm(v), lambda length: scaled(v, length)))

@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrivano.functions.vectors import l2_normalize
 from scrivano.session import cut_lineage
 
 # The default model name and the instruction its family expects.
@@ -42,10 +41,11 @@ def encode_hashed(
         inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False, toLowercase=True
     )
     hashed = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension)
+    unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
     ready = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    counted = hashed.transform(words.transform(ready))
-    counted = counted.withColumn(out, vector_to_array("_counts", "float32"))
-    return counted.drop("_words", "_counts").withColumn(out, l2_normalize(F.col(out)))
+    scaled = unit.transform(hashed.transform(words.transform(ready)))
+    vector = vector_to_array("_unit", "float32")
+    return scaled.withColumn(out, vector).drop("_words", "_counts", "_unit")
 
 
 def encode_with(

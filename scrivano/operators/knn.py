@@ -177,25 +177,25 @@ def knn(
         raise ValueError(f"unknown plan {plan!r}")
     vectors = collection.select(F.col("embedding_index").cast("long"), "embedding")
     wanted = _with_k(queries, k)
-    if plan == "auto":
-        small = metric != "sqeuclidean" or query_bytes(wanted) <= max_query_bytes
-        plan = "scan" if small else "cells"
-    if plan == "scan":
-        return _scan(vectors, wanted, metric, max_query_bytes)
+    if plan in ("auto", "scan"):
+        size = query_bytes(wanted)
+        if size <= max_query_bytes:
+            return _scan(vectors, wanted, metric)
+        if plan == "scan":
+            raise ValueError(f"{size} bytes of query vectors exceed the broadcast bound; use cells")
+        plan = "cells"
     if metric != "sqeuclidean":
         raise ValueError("cells need the metric 'sqeuclidean'; normalise the vectors instead")
     return _cells(vectors, wanted, exact=plan == "cells", **cells)
 
 
-def _scan(vectors: DataFrame, wanted: DataFrame, metric: str, max_query_bytes: int) -> DataFrame:
-    spark = vectors.sparkSession
-    size = query_bytes(wanted)
-    if size > max_query_bytes:
-        raise ValueError(f"{size} bytes of query vectors exceed the broadcast bound; use cells")
+def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
+    """Measured, small query table: broadcast it and stream the collection past it."""
     table = wanted.orderBy("query_id").toArrow()
     ids = table.column("query_id").to_numpy()
     ks = table.column("k").to_numpy()
-    shared = spark.sparkContext.broadcast((ids, ks, _matrix(table.column("embedding"))))
+    matrix = _matrix(table.column("embedding"))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, ks, matrix))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, limits, matrix = shared.value

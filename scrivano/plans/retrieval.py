@@ -18,6 +18,7 @@ from scrivano.functions.text import is_blank
 from scrivano.operators import knn as nn
 from scrivano.operators.embedding import DEFAULT_MODEL, embed, section_id
 from scrivano.operators.rerank import boost_definitions, cut
+from scrivano.session import cut_lineage
 
 # Default number of results and the over-fetch ceiling.
 DEFAULT_RESULTS = 5
@@ -34,13 +35,8 @@ def drop_blank(queries: DataFrame, query: str = "query") -> DataFrame:
 
 def route(queries: DataFrame) -> DataFrame:
     """Add ``query_type, complexity, strategy`` to every query."""
-    scored = queries.withColumn("complexity", routing.complexity(F.col("query")))
-    typed = scored.withColumn(
-        "query_type", routing.query_type(F.col("query"), F.col("complexity"))
-    )
-    return typed.withColumn(
-        "strategy", routing.strategy(F.col("query_type"), F.col("complexity"))
-    )
+    routed = queries.withColumn("_route", routing.route(F.col("query")))
+    return routed.select(*queries.columns, "_route.*")
 
 
 def expand(queries: DataFrame) -> DataFrame:
@@ -72,6 +68,14 @@ def project_hits(joined: DataFrame) -> DataFrame:
 METADATA = ("document", "section_number", "section_path", "content_length")
 
 
+def _encoded(asked: DataFrame, embedder: Embedder | None) -> DataFrame:
+    """Queries with vectors. Several passes read them (measure, search, join), so a query is
+    encoded once and kept in the shared checkpoint folder."""
+    if "embedding" not in asked.columns:
+        asked = cut_lineage((embedder or default_embedder())(asked))
+    return asked
+
+
 def retrieve(
     queries: DataFrame,
     collection: DataFrame,
@@ -87,20 +91,18 @@ def retrieve(
     ``router=None`` the arguments ``n_results`` and ``boost`` apply to all queries.
     """
     if router is not None:
-        routed = router(queries)
-        routed = routed.withColumn("_k", F.col("strategy.n_results")).withColumn(
-            "_boost", F.col("strategy.boost_definitions")
+        asked = router(queries).select(
+            *queries.columns,
+            F.col("strategy.n_results").alias("_k"),
+            F.col("strategy.boost_definitions").alias("_boost"),
         )
     else:
-        routed = queries.withColumn("_k", F.lit(n_results)).withColumn("_boost", F.lit(boost))
-    if "embedding" not in routed.columns:
-        routed = (embedder or default_embedder())(routed)
-    store = store or nn.ExactStore(collection)
-    nearest = store.query(routed, "_k")
-    bound = nn.hit_rows(routed, "_k")
+        asked = queries.withColumn("_k", F.lit(n_results)).withColumn("_boost", F.lit(boost))
+    asked = _encoded(asked, embedder)
+    nearest = (store or nn.ExactStore(collection)).query(asked, "_k")
+    bound = nn.hit_rows(asked, "_k")
     joined = nn.fetch_hits(nearest, collection, *METADATA, max_hits=bound)
-    flags = routed.select("query_id", "_boost")
-    hits = project_hits(joined).join(flags, "query_id")
+    hits = project_hits(joined).join(asked.select("query_id", "_boost"), "query_id")
     return boost_definitions(hits, F.col("_boost")).drop("_boost")
 
 
@@ -108,6 +110,21 @@ def over_fetch(n: Column, expansion: bool) -> Column:
     return F.least(n * OVER_FETCH, F.lit(OVER_FETCH_CEILING)) if expansion else n
 
 
+def _over_fetching(
+    queries: DataFrame, embedder: Embedder | None, n_results: int, use_expansion: bool
+) -> DataFrame:
+    asked = queries.withColumn("_k", over_fetch(F.lit(n_results), use_expansion)).withColumn(
+        "_boost", routing.has_definition_intent(F.col("query")) & F.lit(use_expansion)
+    )
+    return _encoded(asked, embedder)
+
+
+def _boost_and_cut(joined: DataFrame, asked: DataFrame, n_results: int) -> DataFrame:
+    hits = project_hits(joined).join(asked.select("query_id", "_boost"), "query_id")
+    boosted = boost_definitions(hits, F.col("_boost"), topic_penalties=True).drop("_boost")
+    return cut(boosted, n_results)
+
+
 def search(
     queries: DataFrame,
     collection: DataFrame,
@@ -120,18 +137,11 @@ def search(
 
     With expansion more than 20 hits are never fetched, so larger ``n_results`` return 20.
     """
-    asked = queries.withColumn("_k", over_fetch(F.lit(n_results), use_expansion)).withColumn(
-        "_boost", routing.has_definition_intent(F.col("query")) & F.lit(use_expansion)
-    )
-    if "embedding" not in asked.columns:
-        asked = (embedder or default_embedder())(asked)
-    store = store or nn.ExactStore(collection)
-    nearest = store.query(asked, "_k")
+    asked = _over_fetching(queries, embedder, n_results, use_expansion)
+    nearest = (store or nn.ExactStore(collection)).query(asked, "_k")
     bound = nn.hit_rows(asked, "_k")
     joined = nn.fetch_hits(nearest, collection, *METADATA, max_hits=bound)
-    hits = project_hits(joined).join(asked.select("query_id", "_boost"), "query_id")
-    boosted = boost_definitions(hits, F.col("_boost"), topic_penalties=True).drop("_boost")
-    return cut(boosted, n_results)
+    return _boost_and_cut(joined, asked, n_results)
 
 
 def search_flat(
@@ -148,11 +158,7 @@ def search_flat(
     ``index``: ``position, embedding``; ``mapping``: ``position, embedding_index``; positions
     without a mapping are skipped *after* the search, so such queries return fewer hits.
     """
-    asked = queries.withColumn("_k", over_fetch(F.lit(n_results), use_expansion)).withColumn(
-        "_boost", routing.has_definition_intent(F.col("query")) & F.lit(use_expansion)
-    )
-    if "embedding" not in asked.columns:
-        asked = (embedder or default_embedder())(asked)
+    asked = _over_fetching(queries, embedder, n_results, use_expansion)
     vectors = index.select(F.col("position").alias("embedding_index"), "embedding")
     nearest = nn.knn(vectors, asked, "_k").withColumnRenamed("embedding_index", "position")
     bound = nn.hit_rows(asked, "_k")
@@ -160,6 +166,4 @@ def search_flat(
     mapped = mapping.select("position", "embedding_index").join(small, "position").drop("position")
     content = sections.withColumnRenamed("content", "document")
     joined = nn.fetch_hits(mapped, content, *METADATA, max_hits=bound)
-    hits = project_hits(joined).join(asked.select("query_id", "_boost"), "query_id")
-    boosted = boost_definitions(hits, F.col("_boost"), topic_penalties=True).drop("_boost")
-    return cut(boosted, n_results)
+    return _boost_and_cut(joined, asked, n_results)
