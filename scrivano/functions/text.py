@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
 BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
-ONE_LINE = rf"(?=[\s\S])([^{BREAKS}]*+)(?:\r\n|[{BREAKS}]|\z)"
+BREAK = rf"\r\n|[{BREAKS}]"
+ONE_LINE = rf"(?=[\s\S])[^{BREAKS}]*+(?:\r\n|[{BREAKS}]|\z)"
+
+# The characters that Unicode and the separators above count as white space.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The sample length and thresholds that decide whether a text was extracted doubled.
 SAMPLE_CHARS = 3000
@@ -23,8 +30,8 @@ DOUBLED_MARKS = (",,", "..", "::", ";;", "''", "``", "((", "))", "’’")
 
 
 def strip(col: Column) -> Column:
-    """Remove leading and trailing Unicode white space (``trim`` removes spaces only)."""
-    return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Remove leading and trailing Unicode white space (plain ``trim`` removes spaces only)."""
+    return F.trim(col, F.lit(WHITE))
 
 
 def is_blank(col: Column) -> Column:
@@ -33,7 +40,10 @@ def is_blank(col: Column) -> Column:
 
 def lines_of(col: Column) -> Column:
     """Array of lines without terminators: every Unicode boundary splits, no empty last element."""
-    return F.regexp_extract_all(col, F.lit(ONE_LINE), F.lit(1))
+    without_last_break = F.regexp_replace(col, rf"(?:{BREAK})\z", "")
+    return F.when(col == "", F.array().cast("array<string>")).otherwise(
+        F.split(without_last_break, BREAK, -1)
+    )
 
 
 def collapse_doubled_letters(col: Column) -> Column:

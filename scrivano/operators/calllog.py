@@ -6,6 +6,8 @@ A key may account for a large share of all calls, so the time-dependent operator
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ RETRY_AFTER = r"(?diuU)retry.*?(\d+(?:\.\d+)?)[\s\x1c-\x1f]*s"
 RETRY_BUFFER = 2.0
 
 SLICES_PER_WINDOW = 64
+MAX_SLICES = 64
+MAX_GROUP_CALLS = 5_000_000
 MICROS = 1_000_000
 
 
@@ -78,10 +82,40 @@ def call_rate(
     )
 
 
-def _final_store(times: np.ndarray, ttl: int) -> np.ndarray:
-    """For a store at each position: position of the last store of its chain (pointer doubling)."""
-    after = np.searchsorted(times, times + ttl, side="left")
-    chain = np.where(after < len(times), after, np.arange(len(times)))
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Regroup batches that are sorted by ``keys`` so that no group is split between two of them."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        tail = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+        start = len(batch) - int(tail[::-1].argmin()) if not tail.all() else 0
+        same = held and (held[-1][keys].iloc[-1] == batch[keys].iloc[0]).all()
+        if start == 0 and (same or not held):
+            held.append(batch)
+            continue
+        done = held + ([batch.iloc[:start]] if start else [])
+        held = [batch.iloc[start:]]
+        yield pd.concat(done, ignore_index=True)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _group_numbers(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """0, 1, 2 … for the groups of a sorted frame."""
+    change = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
+    return np.cumsum(change) - 1
+
+
+def _final_store(line: np.ndarray, group: np.ndarray, ttl: int) -> np.ndarray:
+    """For a store at each position: position of the last store of its chain (pointer doubling).
+
+    ``line`` places the groups one after the other, further apart than any lookup reaches.
+    """
+    here = np.arange(len(line))
+    after = np.searchsorted(line, line + ttl, side="left")
+    known = np.minimum(after, len(line) - 1)
+    chain = np.where((after < len(line)) & (group[known] == group), known, here)
     while True:
         further = chain[chain]
         if (further == chain).all():
@@ -89,13 +123,25 @@ def _final_store(times: np.ndarray, ttl: int) -> np.ndarray:
         chain = further
 
 
+def choose_slices(calls: DataFrame, key: str, micros: str, ttl: int) -> int:
+    """TTLs per slice, so that the calls of one key in one slice fit a task.
+
+    The fullest (key, TTL) cell is measured; counts are combined before the shuffle.
+    """
+    cell = F.floor(F.col(micros) / ttl)
+    fullest = (
+        calls.groupBy(key, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+    ).first()[0]
+    return int(min(max(MAX_GROUP_CALLS // max(fullest or 1, 1), 1), MAX_SLICES))
+
+
 def ttl_hits(
     calls: DataFrame,
     key: str = "key",
     micros: str = "us",
     order: str = "event_id",
     ttl_seconds: float = TTL_SECONDS,
-    slices: int = 16,
+    slices: int | None = None,
 ) -> DataFrame:
     """Mark each call as ``is_hit``: the key was *stored* less than the TTL before.
 
@@ -108,68 +154,100 @@ def ttl_hits(
     2. per key: the steps of its slices are walked in order, which fixes the expiry handed to each.
     3. per (key, slice): the stores are replayed from that expiry.
 
-    The calls of a key are never brought together, only the steps of its slices are.
+    Tasks stream sorted rows and hold one group at a time; the calls of a key are never brought
+    together, only the steps of its slices are.
     """
     ttl = int(ttl_seconds * MICROS)
+    valid = calls.filter(F.col(key).isNotNull() & F.col(micros).isNotNull())
+    if slices is None:
+        slices = choose_slices(valid, key, micros, ttl)
     span = ttl * slices
-    key_type = calls.schema[key].dataType.simpleString()
-    instants = (
-        calls.filter(F.col(key).isNotNull() & F.col(micros).isNotNull())
-        .groupBy(key, F.floor(F.col(micros) / span).alias("_slice"), micros)
-        .agg(F.min(F.col(order).cast("long")).alias("_first"))
+    reach = span + ttl
+    kind = calls.schema[key].dataType.simpleString()
+    instants = valid.groupBy(key, F.floor(F.col(micros) / span).alias("_slice"), micros).agg(
+        F.min(F.col(order).cast("long")).alias("_first")
     )
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[micros].to_numpy())
-        begin = int(pdf["_slice"].iloc[0]) * span
-        reach = int(np.searchsorted(times, begin + ttl, side="left")) + 1
-        ends, entries = _final_store(times, ttl)[:reach], times[:reach]
-        edge = np.append(ends[1:] != ends[:-1], True)
-        return pd.DataFrame(
-            {
-                key: pdf[key].iloc[0],
-                "_slice": pdf["_slice"].iloc[0],
-                "upto": entries[edge],
-                "leaves": times[ends[edge]] + ttl,
-            }
-        )
-
-    step_rows = instants.groupBy(key, "_slice").applyInPandas(
-        steps, f"{key} {key_type}, _slice long, upto long, leaves long"
+    piece = [key, "_slice"]
+
+    def on_line(frame):
+        group = _group_numbers(frame, piece)
+        begin = frame["_slice"].to_numpy() * span
+        return group, begin, group * reach + (frame[micros].to_numpy() - begin)
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, piece):
+            group, begin, line = on_line(frame)
+            ends = _final_store(line, group, ttl)
+            first = np.append(True, group[1:] != group[:-1])
+            # An expiry handed in lies within one TTL of the slice, so later entries cannot occur.
+            early = np.append(True, (line - group * reach)[:-1] < ttl)
+            entry = np.flatnonzero(first | early)
+            edge = np.append(ends[entry][1:] != ends[entry][:-1], True)
+            times = frame[micros].to_numpy()
+            yield pd.DataFrame(
+                {
+                    key: frame[key].to_numpy()[entry[edge]],
+                    "_slice": frame["_slice"].to_numpy()[entry[edge]],
+                    "upto": times[entry[edge]],
+                    "leaves": times[ends[entry[edge]]] + ttl,
+                }
+            )
+
+    step_rows = (
+        instants.repartition(*piece)
+        .sortWithinPartitions(*piece, micros)
+        .mapInPandas(steps, f"`{key}` {kind}, _slice long, upto long, leaves long")
     )
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_slice", "upto"])
-        expiry, numbers, handed = np.iinfo(np.int64).min, [], []
-        slice_no = pdf["_slice"].to_numpy()
-        upto, leaves = pdf["upto"].to_numpy(), pdf["leaves"].to_numpy()
-        edges = np.flatnonzero(np.diff(slice_no)) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(pdf)]):
-            numbers.append(slice_no[lo])
-            handed.append(expiry)
-            at = lo + int(np.searchsorted(upto[lo:hi], expiry, side="left"))
-            if at < hi:
-                expiry = leaves[at]
-        return pd.DataFrame({key: pdf[key].iloc[0], "_slice": numbers, "handed": handed})
-
-    entry = step_rows.groupBy(key).applyInPandas(
-        walk, f"{key} {key_type}, _slice long, handed long"
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, expiry = None, 0
+        for frame in whole_groups(batches, piece):
+            group = _group_numbers(frame, piece)
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            owners = frame[key].to_numpy()[starts]
+            upto, leaves = frame["upto"].to_numpy(), frame["leaves"].to_numpy()
+            handed = np.empty(len(starts), np.int64)
+            for i, (lo, hi) in enumerate(zip(starts, np.append(starts[1:], len(frame)))):
+                if owners[i] != owner:
+                    owner, expiry = owners[i], np.iinfo(np.int64).min
+                handed[i] = expiry
+                at = lo + int(np.searchsorted(upto[lo:hi], expiry, side="left"))
+                if at < hi:
+                    expiry = leaves[at]
+            yield frame.iloc[starts][piece].assign(handed=handed)
+
+    entries = (
+        step_rows.repartition(key)
+        .sortWithinPartitions(*piece, "upto")
+        .mapInPandas(walk, f"`{key}` {kind}, _slice long, handed long")
     )
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(micros)
-        times = pdf[micros].to_numpy()
-        stored = []
-        at = int(np.searchsorted(times, pdf["handed"].iloc[0], side="left"))
-        while at < len(times):
-            stored.append(at)
-            at = int(np.searchsorted(times, times[at] + ttl, side="left"))
-        return pdf.iloc[stored][[key, micros, "_first"]]
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, piece):
+            group, begin, line = on_line(frame)
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            # At least the slice's begin: the first slice of a key is handed no expiry at all.
+            handed = np.maximum(frame["handed"].to_numpy()[starts], begin[starts]) - begin[starts]
+            owner = np.arange(len(starts))
+            seek = owner * reach + np.minimum(handed, reach - 1)
+            found = []
+            while len(seek):  # all slices of the batch take their next store together
+                at = np.searchsorted(line, seek, side="left")
+                known = np.minimum(at, len(line) - 1)
+                live = (at < len(line)) & (group[known] == owner)
+                owner, at = owner[live], at[live]
+                found.append(at)
+                seek = line[at] + ttl
+                inside = seek < (owner + 1) * reach
+                owner, seek = owner[inside], seek[inside]
+            rows = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+            yield frame.iloc[rows][[key, micros, "_first"]]
 
     stores = (
-        instants.join(entry, [key, "_slice"])
-        .groupBy(key, "_slice")
-        .applyInPandas(replay, f"{key} {key_type}, {micros} long, _first long")
+        instants.join(entries, piece)
+        .repartition(*piece)
+        .sortWithinPartitions(*piece, micros)
+        .mapInPandas(replay, f"`{key}` {kind}, `{micros}` long, _first long")
     )
     is_store = F.coalesce(F.col(order).cast("long") == F.col("_first"), F.lit(False))
     return (

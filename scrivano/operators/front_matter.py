@@ -19,6 +19,7 @@ from scrivano.operators.sections import (
     _classes,
     _kept,
     _rlike,
+    _with_leader,
 )
 
 # This remover knows the straight apostrophe only.
@@ -46,7 +47,7 @@ PIECES = (
 
 
 def _classify(line):
-    leader = _rlike(line, LEADER_LINE)
+    leader = _with_leader(line, LEADER_LINE)
     statement = _rlike(line, STATEMENT)
     named = _rlike(line, NAMES_STANDARD)
 
@@ -65,7 +66,7 @@ def _classify(line):
         .when(line == SUBJECT_TITLE, "p")
         .when(line == PREFACE, "q")
         .when(_rlike(line, SECTION_START), "S")
-        .when(_rlike(line, PREFACE_LEADER), "f")
+        .when(_with_leader(line, PREFACE_LEADER), "f")
         .when(leader, kind("g", "h", "i", "j"))
         .otherwise(kind("K", "L", "M", "N"))
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.functions.text import SPACE, collapse_blank_lines, lines_of, strip
+from scrivano.functions.text import collapse_blank_lines, lines_of, strip
 
 # Headers, leader lines and section numbers as they appear in the corpus.
 STANDARD_WITH_NUMBER = r"(?iuU)Shari['’]ah Standard No\.[\s\x1c-\x1f]*\((\d+)\)"
@@ -49,12 +49,17 @@ def _rlike(col: Column, pattern: str) -> Column:
     return F.regexp_like(col, F.lit(pattern))
 
 
+def _with_leader(line: Column, *patterns: str) -> Column:
+    """Any of ``patterns``, all of which need three dots: a byte search spares most lines the rest."""
+    hit = _rlike(line, patterns[0])
+    for pattern in patterns[1:]:
+        hit = hit | _rlike(line, pattern)
+    return F.contains(line, F.lit("...")) & hit
+
+
 def is_toc_entry(line: Column) -> Column:
     """Any of the five table-of-contents shapes, on an already stripped line."""
-    hit = _rlike(line, TOC_PATTERNS[0])
-    for pattern in TOC_PATTERNS[1:]:
-        hit = hit | _rlike(line, pattern)
-    return hit
+    return _with_leader(line, *TOC_PATTERNS)
 
 
 def cut_to_first_standard(df: DataFrame, text: str = "text") -> DataFrame:
@@ -83,7 +88,7 @@ def drop_contents_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def classify(line):
-        entry = (line == SUBJECT_TITLE) | _rlike(line, LEADER_LINE)
+        entry = (line == SUBJECT_TITLE) | _with_leader(line, LEADER_LINE)
         return (
             F.when(line.isin(*CONTENTS_TITLES), "c")
             .when(~entry, "k")
@@ -104,7 +109,7 @@ def _tag_line(line: Column, index: Column) -> Column:
     gone = (
         is_toc_entry(line)
         | line.isin(*APPENDIX_TITLES)
-        | (_rlike(line, NUMBER_LIST) & _rlike(line, LEADER_INSIDE))
+        | (_with_leader(line, LEADER_INSIDE) & _rlike(line, NUMBER_LIST))
     )
     path = F.concat_ws(
         "//",
@@ -114,12 +119,13 @@ def _tag_line(line: Column, index: Column) -> Column:
     header = F.concat(
         F.lit(SECTION), (index + 1).cast("string"), F.lit(FIELD), path, F.lit(FIELD), title
     )
-    body = (line != "") & (line != REVISION_NOTE) & ~_rlike(line, STANDARD_HEADER_CURLY)
+    names_standard = F.contains(line, F.lit("’")) & _rlike(line, STANDARD_HEADER_CURLY)
+    body = (line != "") & (line != REVISION_NOTE) & ~names_standard
     return (
         F.when(gone, F.lit(None).cast("string"))
         .when(
             _rlike(line, SECTION_HEADER),
-            F.when(_rlike(title, LEADER_INSIDE), F.lit(FLUSH)).otherwise(header),
+            F.when(_with_leader(title, LEADER_INSIDE), F.lit(FLUSH)).otherwise(header),
         )
         .when(body, line)
     )
@@ -137,9 +143,12 @@ def extract_sections(
     stripped = F.transform(lines_of(F.col(text)), strip)
     marked = F.array_join(F.transform(stripped, _tag_line), "\n")
     sections = F.split(marked, SECTION, -1)
-    rows = df.select(doc, F.explode(F.slice(sections, F.lit(2), F.length(F.col(text)) + 1)).alias("s"))
+    # The outer form keeps the optimizer from testing the array first, that is, computing it twice.
+    rows = df.select(
+        doc, F.explode_outer(F.slice(sections, F.lit(2), F.length(F.col(text)) + 1)).alias("s")
+    )
     fields = F.split(F.col("s"), FIELD, 3)
-    rows = rows.select(
+    rows = rows.filter(F.col("s").isNotNull()).select(
         doc,
         fields[0].cast("int").alias("line_number"),
         fields[1].alias("section_path"),
@@ -148,7 +157,11 @@ def extract_sections(
     count = F.size("parts")
     first = F.lit(1) if emit_prefixes else count
     rows = rows.select(
-        doc, "line_number", "section_path", "parts", F.explode(F.sequence(first, count)).alias("n")
+        doc,
+        "line_number",
+        "section_path",
+        "parts",
+        F.explode_outer(F.sequence(first, count)).alias("n"),
     )
     return (
         rows.withColumn(
@@ -173,8 +186,8 @@ def drop_toc_sections(sections: DataFrame) -> DataFrame:
     lines = F.split(content, "\n", -1)
     toc_lines = F.size(F.filter(F.transform(lines, strip), is_toc_entry))
     total = F.regexp_count(content, F.lit("\n")) + 1
-    mostly = toc_lines > total * 0.5
-    short_leader = (F.length(content) < SHORT_SECTION) & _rlike(content, LEADER_INSIDE)
+    mostly = F.contains(content, F.lit("...")) & (toc_lines > total * 0.5)
+    short_leader = (F.length(content) < SHORT_SECTION) & _with_leader(content, LEADER_INSIDE)
     return sections.filter(~(mostly | is_toc_entry(strip(content)) | short_leader))
 
 

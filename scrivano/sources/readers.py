@@ -23,7 +23,14 @@ DEFAULT_CASES = [
     ("currency transactions", ["2//2", "2//3"], "prohibition"),
 ]
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {
+    "header": True,
+    "multiLine": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def _json_or(spark: SparkSession, path: str | None, schema: T.StructType, default) -> DataFrame:
@@ -40,7 +47,7 @@ def _json_or(spark: SparkSession, path: str | None, schema: T.StructType, defaul
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.txt`` below ``folder`` that is not itself an output: ``path, filename, stem, text``."""
     raw = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+        spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     ).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("filename"),
@@ -53,7 +60,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_contracts(spark: SparkSession, *paths: str) -> DataFrame:
     """Contract texts, one row per file; blank files are dropped."""
-    raw = spark.read.option("wholetext", True).text(list(paths))
+    raw = spark.read.text(list(paths), wholetext=True)
     return raw.select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("query")
     ).filter(~is_blank(F.col("query")))

@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 
 from scrivano.operators.embedding import DEFAULT_MODEL, manifest
 
-QUOTED = {"header": True, "quoteAll": True, "quote": '"', "escape": '"'}
+QUOTED = {
+    "header": True,
+    "quoteAll": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_cleaned(documents: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> None:

@@ -16,7 +16,7 @@ from scrivano.operators.memory import (
     turn_part,
 )
 
-STATE = "parts array<string>, last_turn long"
+STATE = "parts array<string>, last_turn long, last_ms long"
 OUTPUT = "session_id string, turn_no long, context string"
 
 
@@ -31,9 +31,10 @@ def stream_contexts(
     """The context each turn sees before it is added, from a stream of turns.
 
     Only the part of a turn that a context shows is shipped and kept, and no more turns than a
-    context uses, so the state per session is bounded. Turns of a micro-batch are sorted; a turn
-    at or before the newest one already seen is late and dropped. ``watermark`` (on ``ts``) with
-    ``idle`` drops late turns by time and forgets sessions that fall silent.
+    context uses, so the state per session is bounded; the source's rate options bound what one
+    micro-batch brings. Turns of a micro-batch are sorted; a turn at or before the newest one
+    already seen is late and dropped. ``watermark`` (on ``ts``) with ``idle`` also drops turns
+    behind the watermark and forgets a session after ``idle`` without a turn.
     """
     if (watermark is None) != (idle is None):
         raise ValueError("watermark and idle go together")
@@ -42,27 +43,33 @@ def stream_contexts(
     columns = ["session_id", "turn_no", turn_part().alias("part")]
     if watermark:
         turns = turns.withWatermark("ts", watermark)
-        columns.append("ts")
+        columns += ["ts", F.unix_millis("ts").alias("ms")]
+    else:
+        columns.append(F.lit(0).cast("long").alias("ms"))
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        parts, last = state.get if state.exists else ([], -1)
-        parts = list(parts)
+        parts, last, seen = state.get if state.exists else ([], -1, None)
+        parts, rows = list(parts), []
+        oldest = state.getCurrentWatermarkMs() if idle else 0
         arrived = pd.concat(list(batches)).sort_values("turn_no", kind="stable")
-        rows = []
-        for turn_no, part in zip(arrived["turn_no"], arrived["part"]):
+        for turn_no, part, ms in zip(arrived["turn_no"], arrived["part"], arrived["ms"]):
+            if ms < oldest:
+                continue
+            if idle and seen is not None and ms - seen > idle_ms:
+                parts, last = [], -1
             if turn_no <= last:
                 continue
             context = "\n\n".join(parts)
             rows.append((key[0], turn_no, context[-max_chars:] if max_chars else ""))
             parts = (parts + [part])[-keep:]
-            last = int(turn_no)
-        state.update((parts, last))
-        if idle:
-            newest = int(arrived["ts"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+            last, seen = int(turn_no), max(int(ms), seen or 0)
+        if seen is not None:
+            state.update((parts, last, seen))
+            if idle:
+                state.setTimeoutTimestamp(max(seen, oldest) + idle_ms)
         yield pd.DataFrame(rows, columns=["session_id", "turn_no", "context"])
 
     timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout

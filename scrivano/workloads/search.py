@@ -210,7 +210,7 @@ def _encoded(df, text, model="hashed"):
 )
 def hash_encode(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    entries = F.posexplode("embedding").alias("bucket", "value")
+    entries = F.posexplode_outer("embedding").alias("bucket", "value")
     return (
         _encoded(docs, "text")
         .select("doc_id", entries)

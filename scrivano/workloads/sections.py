@@ -8,6 +8,7 @@ from scrivano.functions.text import lines_of, strip
 from scrivano.operators import embedding as emb
 from scrivano.operators import front_matter
 from scrivano.operators import sections as sec
+from scrivano.session import cut_lineage
 from scrivano.workloads import Registry, spread, table
 
 REGISTRY = Registry()
@@ -211,7 +212,8 @@ def first_sections(spark, sf_dir):
 )
 def embedding_index(spark, sf_dir):
     sections = _long(sec.sectionize(_documents(spark, sf_dir)))
-    sections = sections.select("doc_id", "line_number", "content_length")
+    # The global sort reads its input twice, so sections are written before they are numbered.
+    sections = cut_lineage(sections.select("doc_id", "line_number", "content_length"))
     indexed = emb.with_embedding_index(sections, "doc_id", "line_number", "content_length")
     index = F.col("embedding_index")
     return indexed.select(
