@@ -42,11 +42,14 @@ WIDEN_BY = 2
 MAX_RESULTS = 15
 
 
-def is_comparison(query: Column) -> Column:
-    """Comparison keywords decide only when none of the three earlier lists matches."""
-    low = F.lower(query)
-    earlier = any_contains(low, DEFINITION_KEYWORDS + RULES_KEYWORDS + PROHIBITION_KEYWORDS)
-    return ~earlier & any_contains(low, COMPARISON_KEYWORDS)
+def keyword_class(low: Column) -> Column:
+    """First keyword list that matches the lower-cased query; null when none does."""
+    return (
+        F.when(any_contains(low, DEFINITION_KEYWORDS), "definition")
+        .when(any_contains(low, RULES_KEYWORDS), "rules")
+        .when(any_contains(low, PROHIBITION_KEYWORDS), "prohibition")
+        .when(any_contains(low, COMPARISON_KEYWORDS), "comparison")
+    )
 
 
 def text_complexity(query: Column) -> Column:
@@ -64,20 +67,18 @@ def text_complexity(query: Column) -> Column:
     return F.least(length_part + clause_part + question_part + word_part, F.lit(1.0))
 
 
-def complexity(query: Column) -> Column:
-    return F.when(is_comparison(query), F.lit(COMPARISON_COMPLEXITY)).otherwise(
+def complexity(query: Column, keywords: Column) -> Column:
+    """Comparisons count as complex outright; other queries are scored."""
+    return F.when(keywords == "comparison", F.lit(COMPARISON_COMPLEXITY)).otherwise(
         text_complexity(query)
     )
 
 
-def query_type(query: Column, score: Column) -> Column:
-    """Type from the query and its (already computed) complexity score."""
-    low = F.lower(query)
+def query_type(keywords: Column, score: Column) -> Column:
+    """Type from the keyword class and the complexity score."""
     return (
-        F.when(any_contains(low, DEFINITION_KEYWORDS), "definition")
-        .when(any_contains(low, RULES_KEYWORDS), "rules")
-        .when(any_contains(low, PROHIBITION_KEYWORDS), "prohibition")
-        .when(any_contains(low, COMPARISON_KEYWORDS), "complex")
+        F.when(keywords == "comparison", "complex")
+        .when(keywords.isNotNull(), keywords)
         .when(score > COMPLEX_ABOVE, "complex")
         .otherwise("simple")
     )
@@ -103,19 +104,22 @@ def strategy(qtype: Column, score: Column) -> Column:
 
 
 def route(query: Column) -> Column:
-    """Struct ``query_type, complexity, strategy`` of a query; type and score are bound once."""
-
-    def with_score(score):
-        def with_type(qtype):
-            return F.struct(
-                qtype.alias("query_type"),
-                score.alias("complexity"),
-                strategy(qtype, score).alias("strategy"),
-            )
-
-        return let(query_type(query, score), with_type)
-
-    return let(complexity(query), with_score)
+    """Struct ``query_type, complexity, strategy`` of a query; shared parts are bound once."""
+
+    def record(qtype, score):
+        return F.struct(
+            qtype.alias("query_type"),
+            score.alias("complexity"),
+            strategy(qtype, score).alias("strategy"),
+        )
+
+    def with_keywords(keywords):
+        return let(
+            complexity(query, keywords),
+            lambda score: let(query_type(keywords, score), lambda qtype: record(qtype, score)),
+        )
+
+    return let(F.lower(query), lambda low: let(keyword_class(low), with_keywords))
 
 
 def has_definition_intent(query: Column) -> Column:

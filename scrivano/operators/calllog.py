@@ -21,7 +21,7 @@ QUOTA_WORDS = ("429", "quota", "rate limit", "exceeded")
 RETRY_AFTER = r"(?diuU)retry.*?(\d+(?:\.\d+)?)[\s\x1c-\x1f]*s"
 RETRY_BUFFER = 2.0
 
-SLICES_PER_WINDOW = 64
+SLICE_WINDOWS = 16
 MAX_SLICES = 64
 MAX_GROUP_CALLS = 5_000_000
 MICROS = 1_000_000
@@ -66,7 +66,7 @@ def call_rate(
     calls of its last window are repeated, as context only, at the head of the next slice.
     """
     width = int(window_seconds * MICROS)
-    span = width * SLICES_PER_WINDOW
+    span = width * SLICE_WINDOWS
     slice_no = F.floor(F.col(micros) / span)
     reaches_on = F.pmod(F.col(micros), F.lit(span)) > span - width
     placed = calls.withColumn(

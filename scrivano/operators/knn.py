@@ -34,8 +34,11 @@ from scrivano.session import cut_lineage
 MAX_QUERY_BYTES = 64 << 20
 BLOCK_ROWS = 16_384
 QUERY_SPLIT = 65_536
-MAX_CELLS = 2_048
+MAX_CELLS = 8_192
+MAX_PIVOT_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 500_000
+SCAN_TASKS_PER_CORE = 4
+MIN_SCAN_TASKS = 4_096
 _CELLS_PER_MATRIX = 4_000_000
 
 HIT_SCHEMA = "query_id long, embedding_index long, distance double, k int"
@@ -206,16 +209,31 @@ def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
                 best.add(index, _matrix(batch.column("embedding")))
         yield best.batch(query_ids)
 
-    return _ranked(vectors.mapInArrow(nearest, HIT_SCHEMA))
+    # Every task emits up to k rows per query. Fewer, longer tasks (still several per core) keep
+    # these partial results small beside the collection; coalescing moves no rows.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores * SCAN_TASKS_PER_CORE, MIN_SCAN_TASKS)
+    return _ranked(vectors.coalesce(tasks).mapInArrow(nearest, HIT_SCHEMA))
 
 
 def choose_pivots(vectors: DataFrame, n_cells: int | None = None) -> np.ndarray:
-    """At most ``MAX_CELLS`` distinct vectors, picked by hash order; any choice keeps results exact."""
-    if n_cells is None:
-        n_cells = int(max(1, vectors.count()) ** 0.5)
-    n_cells = max(1, min(int(n_cells), MAX_CELLS))
-    picked = vectors.orderBy(F.xxhash64("embedding_index"), "embedding_index").limit(n_cells)
-    return np.unique(_matrix(picked.select("embedding").toArrow().column("embedding")), axis=0)
+    """About ``n_cells`` distinct vectors, picked by a hash of their index.
+
+    Any choice keeps the results exact. The pick is a filter, so no task gathers candidates; the
+    pivots' number and bytes are bounded.
+    """
+    stats = vectors.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dimension")
+    ).first()
+    if not stats.n:
+        return np.empty((0, 0))
+    room = min(MAX_CELLS, max(1, MAX_PIVOT_BYTES // (8 * max(stats.dimension, 1))))
+    wanted = max(1, min(int(n_cells or stats.n**0.5), room, stats.n))
+    place = F.pmod(F.xxhash64("embedding_index"), F.lit(1 << 40)) / float(1 << 40)
+    picked = vectors.filter(place < wanted / stats.n).limit(2 * wanted).select("embedding").toArrow()
+    if not picked.num_rows:
+        picked = vectors.limit(wanted).select("embedding").toArrow()
+    return np.unique(_matrix(picked.column("embedding")), axis=0)
 
 
 def assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:

@@ -21,7 +21,7 @@ MAX_CONTEXT_CHARS = 4000
 RECENT_QUERIES = 3
 LISTED_PREVIEW = 60
 
-SLICE_TURNS = 1000
+SLICE_TURNS = 10_000
 
 
 def turns_from_messages(
@@ -143,10 +143,18 @@ def context_before_turn(
         .agg(F.array_sort(F.collect_list(F.struct("turn_no", "part"))).alias("tail"))
     )
     # Every slice holds at least one turn, so the n slices before one hold the n turns it needs.
+    # Only slice numbers pass through the per-session window; the texts are joined to it.
     earlier = Window.partitionBy("session_id").orderBy("slice").rowsBetween(-n, -1)
+    needs = (
+        tails.select("session_id", "slice")
+        .withColumn("sources", F.collect_list("slice").over(earlier))
+        .select("session_id", "slice", F.explode("sources").alias("source"))
+    )
     handed = (
-        tails.withColumn("carried", F.flatten(F.collect_list("tail").over(earlier)))
-        .select("session_id", "slice", F.explode(F.slice(F.reverse("carried"), 1, n)).alias("t"))
+        needs.join(tails.withColumnRenamed("slice", "source"), ["session_id", "source"])
+        .groupBy("session_id", "slice")
+        .agg(F.sort_array(F.flatten(F.collect_list("tail")), asc=False).alias("carried"))
+        .select("session_id", "slice", F.explode(F.slice("carried", 1, n)).alias("t"))
         .select("session_id", "slice", "t.turn_no", "t.part", F.lit(True).alias("carried"))
     )
     both = parts.withColumn("carried", F.lit(False)).unionByName(handed)

@@ -33,11 +33,13 @@ CSV_OPTIONS = {
 }
 
 
-def _json_or(spark: SparkSession, path: str | None, schema: T.StructType, default) -> DataFrame:
+def _json_or(
+    spark: SparkSession, path: str | None, schema: T.StructType, default, multi_line: bool = True
+) -> DataFrame:
     """JSON file under ``schema``, or the ``default`` rows where there is no such file."""
     if path:
         try:
-            return spark.read.schema(schema).option("multiLine", True).json(path)
+            return spark.read.schema(schema).option("multiLine", multi_line).json(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -121,9 +123,15 @@ def open_collection(spark: SparkSession, path: str) -> DataFrame:
     return schemas.require_columns(table, ("embedding_index", "embedding", "document"), "collection")
 
 
-def read_test_cases(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Evaluation cases from JSON; the built-in set when there is no file."""
-    cases = _json_or(spark, path, schemas.TEST_CASES, DEFAULT_CASES)
+def read_test_cases(
+    spark: SparkSession, path: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Evaluation cases from JSON; the built-in set when there is no file.
+
+    A JSON array is one record to Spark and is read by one task; large sets come as one case per
+    line, with ``multi_line=False``.
+    """
+    cases = _json_or(spark, path, schemas.TEST_CASES, DEFAULT_CASES, multi_line)
     return cases.select(
         F.xxhash64("query", "category", "expected_sections").alias("case_id"),
         "query",
