@@ -25,6 +25,7 @@ SLICE_WINDOWS = 16
 MAX_SLICES = 64
 MAX_GROUP_CALLS = 5_000_000
 MICROS = 1_000_000
+NO_TIME = -(1 << 63)
 
 
 def epoch_micros(ts: Column, ntz: bool = True) -> Column:
@@ -34,6 +35,11 @@ def epoch_micros(ts: Column, ntz: bool = True) -> Column:
     return F.unix_micros(ts)
 
 
+def time_slice(micros: Column, span: int) -> Column:
+    """Number of the slice of ``span`` microseconds that an instant falls into, exactly."""
+    return F.floor((micros - F.pmod(micros, F.lit(span))) / span)
+
+
 def _json_value(value: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(value)), r"(?s)\A\[(.*)\]\z", 1)
 
@@ -67,7 +73,7 @@ def call_rate(
     """
     width = int(window_seconds * MICROS)
     span = width * SLICE_WINDOWS
-    slice_no = F.floor(F.col(micros) / span)
+    slice_no = time_slice(F.col(micros), span)
     reaches_on = F.pmod(F.col(micros), F.lit(span)) > span - width
     placed = calls.withColumn(
         "_slice",
@@ -128,7 +134,7 @@ def choose_slices(calls: DataFrame, key: str, micros: str, ttl: int) -> int:
 
     The fullest (key, TTL) cell is measured; counts are combined before the shuffle.
     """
-    cell = F.floor(F.col(micros) / ttl)
+    cell = time_slice(F.col(micros), ttl)
     fullest = (
         calls.groupBy(key, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
     ).first()[0]
@@ -164,7 +170,7 @@ def ttl_hits(
     span = ttl * slices
     reach = span + ttl
     kind = calls.schema[key].dataType.simpleString()
-    instants = valid.groupBy(key, F.floor(F.col(micros) / span).alias("_slice"), micros).agg(
+    instants = valid.groupBy(key, time_slice(F.col(micros), span).alias("_slice"), micros).agg(
         F.min(F.col(order).cast("long")).alias("_first")
     )
     piece = [key, "_slice"]
@@ -209,7 +215,7 @@ def ttl_hits(
             handed = np.empty(len(starts), np.int64)
             for i, (lo, hi) in enumerate(zip(starts, np.append(starts[1:], len(frame)))):
                 if owners[i] != owner:
-                    owner, expiry = owners[i], np.iinfo(np.int64).min
+                    owner, expiry = owners[i], NO_TIME
                 handed[i] = expiry
                 at = lo + int(np.searchsorted(upto[lo:hi], expiry, side="left"))
                 if at < hi:
@@ -224,10 +230,13 @@ def ttl_hits(
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, piece):
+            marker = frame[micros].to_numpy() == NO_TIME
+            given = frame["handed"].to_numpy()[marker]
+            frame = frame[~marker]
             group, begin, line = on_line(frame)
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             # At least the slice's begin: the first slice of a key is handed no expiry at all.
-            handed = np.maximum(frame["handed"].to_numpy()[starts], begin[starts]) - begin[starts]
+            handed = np.maximum(given, begin[starts]) - begin[starts]
             owner = np.arange(len(starts))
             seek = owner * reach + np.minimum(handed, reach - 1)
             found = []
@@ -240,11 +249,15 @@ def ttl_hits(
                 seek = line[at] + ttl
                 inside = seek < (owner + 1) * reach
                 owner, seek = owner[inside], seek[inside]
-            rows = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
-            yield frame.iloc[rows][[key, micros, "_first"]]
+            yield frame.iloc[np.sort(np.concatenate(found))][[key, micros, "_first"]]
 
+    # The handed expiry travels as a row that sorts before the slice's instants: no join is needed.
+    markers = entries.select(
+        *piece, F.lit(NO_TIME).alias(micros), F.lit(0).cast("long").alias("_first"), "handed"
+    )
     stores = (
-        instants.join(entries, piece)
+        instants.withColumn("handed", F.lit(0).cast("long"))
+        .unionByName(markers)
         .repartition(*piece)
         .sortWithinPartitions(*piece, micros)
         .mapInPandas(replay, f"`{key}` {kind}, `{micros}` long, _first long")

@@ -129,12 +129,17 @@ def context_before_turn(
     spread over many tasks.
     """
     n = min(context_turns, max_history)
+    number = F.col("turn_no")
+    # One exchange by slice serves the tails and the final window alike; the filter that the join
+    # below would infer is stated up front, so that both branches keep the same plan up to there.
     parts = turns.select(
         "session_id",
         "turn_no",
-        F.floor(F.col("turn_no") / slice_turns).alias("slice"),
+        F.floor((number - F.pmod(number, F.lit(slice_turns))) / slice_turns).alias("slice"),
         turn_part(include_metadata).alias("part"),
     )
+    parts = parts.filter(F.col("session_id").isNotNull() & F.col("slice").isNotNull())
+    parts = parts.repartition("session_id", "slice")
     newest = Window.partitionBy("session_id", "slice").orderBy(F.col("turn_no").desc())
     tails = (
         parts.withColumn("back", F.row_number().over(newest))
