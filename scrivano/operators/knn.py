@@ -40,6 +40,7 @@ MAX_BROADCAST_HITS = 500_000
 SCAN_TASKS_PER_CORE = 4
 MIN_SCAN_TASKS = 4_096
 _CELLS_PER_MATRIX = 4_000_000
+_FRESH_PAIRS = 100_000
 
 HIT_SCHEMA = "query_id long, embedding_index long, distance double, k int"
 
@@ -79,17 +80,38 @@ def _cross_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - products
 
 
+def _surplus_free(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """The batch without surplus copies: of equal vectors only the ``k`` smallest indices can win.
+
+    Rows are grouped by a hash of their bits; where a hash stands for two vectors, all its rows stay.
+    """
+    column = batch.column("embedding")
+    bits = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).view(np.uint32)
+    bits = bits.reshape(len(column), -1)
+    weights = np.random.default_rng(1).integers(1, 1 << 62, bits.shape[1], dtype=np.uint64) | 1
+    key = bits.astype(np.uint64) @ weights
+    order = np.lexsort((batch.column("embedding_index").to_numpy(zero_copy_only=False), key))
+    first = np.append(True, key[order][1:] != key[order][:-1])
+    if first.all():
+        return batch
+    starts = np.flatnonzero(first)
+    group = np.cumsum(first) - 1
+    differs = (bits[order] != bits[order[starts[group]]]).any(axis=1)
+    mixed = np.bincount(group, weights=differs) > 0
+    keep = (np.arange(len(order)) - starts[group] < k) | mixed[group]
+    return batch if keep.all() else batch.take(pa.array(np.sort(order[keep])))
+
+
 class _Best:
     """Running best k per query over the vectors seen so far."""
 
     def __init__(self, queries: np.ndarray, ks: np.ndarray, metric: str):
         self.queries, self.ks, self.metric = queries, ks.astype(np.int64), metric
-        m = len(queries)
-        self.bound = np.full(m, np.inf)
-        self.q = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
-        self.d = np.empty(0, np.float64)
-        self.kmax = int(self.ks.max()) if m else 0
+        self.bound = np.full(len(queries), np.inf)
+        self.kmax = int(self.ks.max()) if len(queries) else 0
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        self.fresh: list[tuple[np.ndarray, ...]] = []
+        self.n_fresh = 0
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         step = max(1, _CELLS_PER_MATRIX // max(1, len(self.queries)))
@@ -98,39 +120,41 @@ class _Best:
 
     def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
         cross = _cross_distance(x, self.queries, self.metric)
-        bound = self.bound
         if len(ids) > self.kmax:
             head = np.partition(cross, self.kmax - 1, axis=0)[self.kmax - 1]
-            bound = np.minimum(bound, head)
-        # The cross form rounds differently from the pairwise form; keep a margin, re-score below.
-        margin = 1e-6 * np.maximum(1.0, np.abs(bound))
-        row, col = np.nonzero(cross <= bound + margin)
-        d = _pair_distance(x[row], self.queries[col], self.metric)
-        self.q = np.concatenate([self.q, col])
-        self.ids = np.concatenate([self.ids, ids[row]])
-        self.d = np.concatenate([self.d, d])
-        self._shrink()
+            self.bound = np.minimum(self.bound, head)
+        # The cross form rounds differently from the pairwise form; keep a margin and re-score.
+        margin = 1e-6 * np.maximum(1.0, np.abs(self.bound))
+        row, col = np.nonzero(cross <= self.bound + margin)
+        pairs = max(1_024, _CELLS_PER_MATRIX // x.shape[1])
+        for lo in range(0, len(row), pairs):
+            r, c = row[lo : lo + pairs], col[lo : lo + pairs]
+            self.fresh.append((c, ids[r], _pair_distance(x[r], self.queries[c], self.metric)))
+            self.n_fresh += len(r)
+            if self.n_fresh > max(_FRESH_PAIRS, len(self.best[0])):
+                self._shrink()
 
     def _shrink(self) -> None:
-        order = np.lexsort((self.ids, self.d, self.q))
-        q = self.q[order]
-        start = np.searchsorted(q, q, side="left")
-        place = np.arange(len(q)) - start
-        keep = order[place < self.ks[q]]
-        self.q, self.ids, self.d = self.q[keep], self.ids[keep], self.d[keep]
-        counts = np.bincount(self.q, minlength=len(self.ks))
-        full = (counts >= self.ks) & (counts > 0)
+        q, ids, d = (np.concatenate(part) for part in zip(self.best, *self.fresh))
+        order = np.lexsort((ids, d, q))
+        sorted_q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(sorted_q, sorted_q, side="left")
+        keep = order[place < self.ks[sorted_q]]
+        self.best, self.fresh, self.n_fresh = (q[keep], ids[keep], d[keep]), [], 0
+        full = np.bincount(q[keep], minlength=len(self.ks)) >= self.ks
         worst = np.full(len(self.ks), -np.inf)
-        np.maximum.at(worst, self.q, self.d)
-        self.bound = np.where(full, worst, np.inf)
+        np.maximum.at(worst, q[keep], d[keep])
+        self.bound = np.where(full, np.minimum(self.bound, worst), self.bound)
 
     def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        self._shrink()
+        q, ids, d = self.best
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(query_ids[self.q]),
-                pa.array(self.ids),
-                pa.array(self.d),
-                pa.array(self.ks[self.q].astype(np.int32)),
+                pa.array(query_ids[q]),
+                pa.array(ids),
+                pa.array(d),
+                pa.array(self.ks[q].astype(np.int32)),
             ],
             names=["query_id", "embedding_index", "distance", "k"],
         )
@@ -205,6 +229,7 @@ def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
         best = _Best(matrix, limits, metric)
         for batch in batches:
             if batch.num_rows and len(query_ids):
+                batch = _surplus_free(batch, best.kmax)
                 index = batch.column("embedding_index").to_numpy(zero_copy_only=False)
                 best.add(index, _matrix(batch.column("embedding")))
         yield best.batch(query_ids)
@@ -236,14 +261,19 @@ def choose_pivots(vectors: DataFrame, n_cells: int | None = None) -> np.ndarray:
     return np.unique(_matrix(picked.column("embedding")), axis=0)
 
 
-def assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot (``cell``) and Euclidean distance to it (``to_pivot``) of every vector."""
+def assign_cells(vectors: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """Nearest pivot (``cell``) and Euclidean distance to it (``to_pivot``) of every vector.
+
+    Surplus copies, which cannot be among the best ``k``, are dropped batch by batch, so a vector
+    that fills much of the collection does not fill a cell.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = _surplus_free(batch, k)
             x = _matrix(batch.column("embedding"))
             cell = np.empty(len(x), np.int32)
             step = max(1, _CELLS_PER_MATRIX // len(shared.value))
@@ -278,34 +308,33 @@ def _probe_lists(
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, size, radius = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = _matrix(batch.column("embedding"))
-            ks = batch.column("k").to_numpy(zero_copy_only=False)
-            gap = np.sqrt(np.maximum(_cross_distance(q, pivot, "sqeuclidean"), 0.0))
-            order = np.argsort(gap, axis=1, kind="stable")
-            held = np.cumsum(size[order], axis=1)
-            enough = (held < ks[:, None]).sum(axis=1) + 1
-            first = np.arange(len(pivot))[None, :] < np.maximum(enough, n_probe)[:, None]
-            if bounded:
-                limit = batch.column("bound").to_numpy(zero_copy_only=False)
-                limit = np.sqrt(np.maximum(limit, 0.0))
-                low = np.take_along_axis(gap - radius[None, :], order, axis=1)
-                chosen = ~first & (low <= limit[:, None] + 1e-3)
-            else:
-                chosen = first
-            row, place = np.nonzero(chosen)
-            taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("query_id").take(taken),
-                    batch.column("embedding").take(taken),
-                    batch.column("k").take(taken),
-                    pa.array(order[row, place].astype(np.int32)),
-                ],
-                names=["query_id", "embedding", "k", "cell"],
-            )
+        step = max(1, _CELLS_PER_MATRIX // len(pivot))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                ks = batch.column("k").to_numpy(zero_copy_only=False)
+                gap = _cross_distance(_matrix(batch.column("embedding")), pivot, "sqeuclidean")
+                gap = np.sqrt(np.maximum(gap, 0.0))
+                order = np.argsort(gap, axis=1, kind="stable")
+                held = np.cumsum(size[order], axis=1)
+                enough = (held < ks[:, None]).sum(axis=1) + 1
+                chosen = np.arange(len(pivot))[None, :] < np.maximum(enough, n_probe)[:, None]
+                if bounded:
+                    limit = batch.column("bound").to_numpy(zero_copy_only=False)
+                    limit = np.sqrt(np.maximum(limit, 0.0))
+                    low = np.take_along_axis(gap - radius[None, :], order, axis=1)
+                    chosen = ~chosen & (low <= limit[:, None] + 1e-3)
+                row, place = np.nonzero(chosen)
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("query_id").take(taken),
+                        batch.column("embedding").take(taken),
+                        batch.column("k").take(taken),
+                        pa.array(order[row, place].astype(np.int32)),
+                    ],
+                    names=["query_id", "embedding", "k", "cell"],
+                )
 
     return wanted.mapInArrow(probe, "query_id long, embedding array<float>, k int, cell int")
 
@@ -400,7 +429,8 @@ def _cells(
             [], "query_id long, embedding_index long, distance double, rank int"
         )
     # Both rounds read the assignment, so it is written once to the shared checkpoint folder.
-    assigned = cut_lineage(assign_cells(vectors, pivots))
+    largest = wanted.agg(F.max("k")).first()[0] or 1
+    assigned = cut_lineage(assign_cells(vectors, pivots, largest))
     stats = assigned.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius")
     )

@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force, with ties, copies, hot cells and variable k."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,18 @@ def test_approximate_store_keeps_the_contract(spark):
     assert store.count() == 600
 
 
+def test_surplus_copies_leave_early():
+    x = np.zeros((9, 3), np.float32)
+    x[7:] = [[1, 2, 3], [3, 2, 1]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(9, 0, -1)), pa.array(x.tolist(), pa.list_(pa.float32()))],
+        names=["embedding_index", "embedding"],
+    )
+    kept = nn._surplus_free(batch, 2)
+    assert sorted(kept.column("embedding_index").to_pylist()) == [1, 2, 3, 4]
+    assert nn._surplus_free(batch, 7).num_rows == 9
+
+
 def test_distance_columns(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0]), ([1.0, 0.0], [0.6, 0.8])],
                                "a array<float>, b array<float>")
