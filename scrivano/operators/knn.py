@@ -218,11 +218,13 @@ def knn(
 
 def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
     """Measured, small query table: broadcast it and stream the collection past it."""
-    table = wanted.orderBy("query_id").toArrow()
-    ids = table.column("query_id").to_numpy()
-    ks = table.column("k").to_numpy()
-    matrix = _matrix(table.column("embedding"))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, ks, matrix))
+    table = wanted.toArrow()
+    columns = (
+        table.column("query_id").to_numpy(),
+        table.column("k").to_numpy(),
+        _matrix(table.column("embedding")),
+    )
+    shared = vectors.sparkSession.sparkContext.broadcast(columns)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, limits, matrix = shared.value

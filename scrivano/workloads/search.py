@@ -146,6 +146,14 @@ def drop_blank_queries(spark, sf_dir):
     return retrieval.drop_blank(messages)
 
 
+def _unsigned_zero(value):
+    """Rounding may leave a negative zero, which engines print differently."""
+    return F.when(value == 0, F.lit(0.0)).otherwise(value)
+
+
+_SQL_UNSIGNED = "case when {x} = 0 then 0.0::double else {x} end"
+
+
 # Encoding --------------------------------------------------------------------------------------
 
 _MODEL = "case when doc_id % 2 = 0 then 'BAAI/BGE-small' else 'other-model' end"
@@ -225,11 +233,13 @@ def hash_encode(spark, sf_dir):
 
 @REGISTRY.add(
     "l2_normalize",
-    """with scaled as (select vec_id, list_transform(embedding, lambda x:
+    f"""with scaled as (select vec_id, list_transform(embedding, lambda x:
       (x * (vec_id % 5)::float)::double) as v from embeddings),
-    lengths as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from scaled)
-    select vec_id, unnest(list_transform(v, lambda x: round((case when n > 0 then x / n else x end)::float::double, 5)))
-      as value, generate_subscripts(v, 1) as place from lengths""",
+    lengths as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from scaled),
+    units as (select vec_id, unnest(list_transform(v, lambda x:
+      round((case when n > 0 then x / n else x end)::float::double, 5))) as value,
+      generate_subscripts(v, 1) as place from lengths)
+    select vec_id, {_SQL_UNSIGNED.format(x='value')} as value, place from units""",
 )
 def l2_normalize(spark, sf_dir):
     factor = (F.col("vec_id") % 5).cast("float")
@@ -239,7 +249,7 @@ def l2_normalize(spark, sf_dir):
     unit = F.posexplode(vectors.l2_normalize(F.col("v"))).alias("p", "x")
     return scaled.select("vec_id", unit).select(
         "vec_id",
-        F.round(F.col("x").cast("double"), 5).alias("value"),
+        _unsigned_zero(F.round(F.col("x").cast("double"), 5)).alias("value"),
         (F.col("p") + 1).cast("long").alias("place"),
     )
 
@@ -291,7 +301,7 @@ def _rounded(hits):
         "query_id",
         "embedding_index",
         F.col("rank").cast("long").alias("rank"),
-        F.round("distance", 5).alias("distance"),
+        _unsigned_zero(F.round("distance", 5)).alias("distance"),
     )
 
 
@@ -312,8 +322,8 @@ def _sql_knn(k, metric="sqeuclidean"):
       {k} as k, {_sql_distance(metric)} as distance from embeddings a cross join embeddings b),
     ranked as (select *, row_number() over (partition by query_id
       order by distance, embedding_index) as rank from pairs)
-    select query_id, embedding_index, rank, round(distance, 5) as distance from ranked
-    where rank <= k"""
+    select query_id, embedding_index, rank,
+      {_SQL_UNSIGNED.format(x='round(distance, 5)')} as distance from ranked where rank <= k"""
 
 
 @REGISTRY.add("knn_topk", _sql_knn(5))

@@ -31,7 +31,7 @@ def corpus_files(spark, sf_dir):
 
 @REGISTRY.add(
     "contract_files",
-    r"select turn, count(*) as contracts, sum(len(text) + 1) as chars from conversations "
+    r"select turn, count(*) as contracts, sum(len(text) + 1)::bigint as chars from conversations "
     r"where regexp_matches(text, '\S') group by turn",
 )
 def contract_files(spark, sf_dir):
@@ -103,7 +103,7 @@ def manifest_csv(spark, sf_dir):
     "embedded_sections",
     """select vec_id as embedding_index, 'label ' || label as content,
       round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total,
-      'hashed' as model_name, 64 as embedding_dimension,
+      'hashed' as model_name, 64::bigint as embedding_dimension,
       (select count(*) from embeddings) as num_embeddings
     from embeddings""",
 )
@@ -124,14 +124,14 @@ def embedded_sections(spark, sf_dir):
         F.round(total, 4).alias("total"),
         F.lit(row.model_name).alias("model_name"),
         F.lit(row.embedding_dimension).cast("long").alias("embedding_dimension"),
-        F.lit(row.num_embeddings).alias("num_embeddings"),
+        F.lit(row.num_embeddings).cast("long").alias("num_embeddings"),
     )
 
 
 @REGISTRY.add(
     "collection_table",
     f"""with {search._SQL_SECTIONS} select 'section_' || doc_id as id, doc_id as embedding_index,
-      content as document, section_number, section_path, content_length, 256 as dimension
+      content as document, section_number, section_path, content_length, 256::bigint as dimension
     from sections""",
 )
 def collection_table(spark, sf_dir):

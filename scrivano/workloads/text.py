@@ -116,7 +116,9 @@ def clean_text(spark, sf_dir):
 def size_change(spark, sf_dir):
     both = _documents(spark, sf_dir).withColumn("cleaned", tx.basic_clean(F.col("text")))
     sizes = tx.size_change(F.col("text"), F.col("cleaned"))
-    sizes["removed_pct"] = F.round(sizes["removed_pct"], 6)
+    sizes = {
+        name: F.round(c, 6) if name == "removed_pct" else c.cast("long") for name, c in sizes.items()
+    }
     return both.select("doc_id", *[c.alias(n) for n, c in sizes.items()])
 
 
