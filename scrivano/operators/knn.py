@@ -80,6 +80,31 @@ def _cross_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - products
 
 
+def _basis(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors as cells see them: for the cosine distance, their directions."""
+    if metric != "cosine":
+        return x
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def _cell_floors(
+    q: np.ndarray, pivot: np.ndarray, radius: np.ndarray, metric: str
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per query and cell: closeness of the pivot, and a lower bound of the distance to a member.
+
+    For two unit vectors the cosine distance is half the squared Euclidean one; where a vector is
+    zero it is 1, which that bound does not exceed.
+    """
+    if metric == "ip":
+        near = 1.0 - q @ pivot.T
+        return near, near - radius[None, :] * np.sqrt((q * q).sum(axis=1))[:, None]
+    gap = _cross_distance(_basis(q, metric), pivot, "sqeuclidean")
+    gap = np.sqrt(np.maximum(gap, 0.0))
+    floor = np.maximum(gap * (1 - 1e-6) - 1e-6 - radius[None, :], 0.0) ** 2
+    return gap, floor / 2 if metric == "cosine" else floor
+
+
 def _surplus_free(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     """The batch without surplus copies: of equal vectors only the ``k`` smallest indices can win.
 
@@ -211,9 +236,7 @@ def knn(
         if plan == "scan":
             raise ValueError(f"{size} bytes of query vectors exceed the broadcast bound; use cells")
         plan = "cells"
-    if metric != "sqeuclidean":
-        raise ValueError("cells need the metric 'sqeuclidean'; normalise the vectors instead")
-    return _cells(vectors, wanted, exact=plan == "cells", **cells)
+    return _cells(vectors, wanted, metric, exact=plan == "cells", **cells)
 
 
 def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
@@ -243,7 +266,9 @@ def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
     return _ranked(vectors.coalesce(tasks).mapInArrow(nearest, HIT_SCHEMA))
 
 
-def choose_pivots(vectors: DataFrame, n_cells: int | None = None) -> np.ndarray:
+def choose_pivots(
+    vectors: DataFrame, n_cells: int | None = None, metric: str = "sqeuclidean"
+) -> np.ndarray:
     """About ``n_cells`` distinct vectors, picked by a hash of their index.
 
     Any choice keeps the results exact. The pick is a filter, so no task gathers candidates; the
@@ -260,10 +285,12 @@ def choose_pivots(vectors: DataFrame, n_cells: int | None = None) -> np.ndarray:
     picked = vectors.filter(place < wanted / stats.n).limit(2 * wanted).select("embedding").toArrow()
     if not picked.num_rows:
         picked = vectors.limit(wanted).select("embedding").toArrow()
-    return np.unique(_matrix(picked.column("embedding")), axis=0)
+    return np.unique(_basis(_matrix(picked.column("embedding")), metric), axis=0)
 
 
-def assign_cells(vectors: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+def assign_cells(
+    vectors: DataFrame, pivots: np.ndarray, k: int, metric: str = "sqeuclidean"
+) -> DataFrame:
     """Nearest pivot (``cell``) and Euclidean distance to it (``to_pivot``) of every vector.
 
     Surplus copies, which cannot be among the best ``k``, are dropped batch by batch, so a vector
@@ -276,7 +303,7 @@ def assign_cells(vectors: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             batch = _surplus_free(batch, k)
-            x = _matrix(batch.column("embedding"))
+            x = _basis(_matrix(batch.column("embedding")), metric)
             cell = np.empty(len(x), np.int32)
             step = max(1, _CELLS_PER_MATRIX // len(shared.value))
             for lo in range(0, len(x), step):
@@ -299,7 +326,7 @@ def assign_cells(vectors: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
 
 
 def _probe_lists(
-    wanted: DataFrame, pivots, sizes, radii, n_probe: int, bounded: bool
+    wanted: DataFrame, pivots, sizes, radii, metric: str, n_probe: int, bounded: bool
 ) -> DataFrame:
     """Cells to probe per query.
 
@@ -315,17 +342,18 @@ def _probe_lists(
             for lo in range(0, whole.num_rows, step):
                 batch = whole.slice(lo, step)
                 ks = batch.column("k").to_numpy(zero_copy_only=False)
-                gap = _cross_distance(_matrix(batch.column("embedding")), pivot, "sqeuclidean")
-                gap = np.sqrt(np.maximum(gap, 0.0))
-                order = np.argsort(gap, axis=1, kind="stable")
+                near, floor = _cell_floors(
+                    _matrix(batch.column("embedding")), pivot, radius, metric
+                )
+                order = np.argsort(near, axis=1, kind="stable")
                 held = np.cumsum(size[order], axis=1)
                 enough = (held < ks[:, None]).sum(axis=1) + 1
                 chosen = np.arange(len(pivot))[None, :] < np.maximum(enough, n_probe)[:, None]
                 if bounded:
-                    limit = batch.column("bound").to_numpy(zero_copy_only=False)
-                    limit = np.sqrt(np.maximum(limit, 0.0))
-                    low = np.take_along_axis(gap - radius[None, :], order, axis=1)
-                    chosen = ~chosen & (low <= limit[:, None] + 1e-3)
+                    bound = batch.column("bound").to_numpy(zero_copy_only=False)
+                    bound = bound + 1e-5 * np.maximum(1.0, np.abs(bound))
+                    floor = np.take_along_axis(floor, order, axis=1)
+                    chosen = ~chosen & (floor <= bound[:, None])
                 row, place = np.nonzero(chosen)
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -341,7 +369,7 @@ def _probe_lists(
     return wanted.mapInArrow(probe, "query_id long, embedding array<float>, k int, cell int")
 
 
-def _probe(assigned: DataFrame, probes: DataFrame, cells: DataFrame, block_rows: int) -> DataFrame:
+def _probe(assigned: DataFrame, probes: DataFrame, cells: DataFrame, metric: str) -> DataFrame:
     """Best k of every (query, probed block).
 
     ``cells`` gives the number of blocks per cell. A cell probed by very many queries is split on
@@ -410,7 +438,7 @@ def _probe(assigned: DataFrame, probes: DataFrame, cells: DataFrame, block_rows:
                 if block is None:
                     block = np.concatenate(ids), np.concatenate(rows)
                 limits = part.column("k").to_numpy(zero_copy_only=False)
-                best = _Best(matrix, limits, "sqeuclidean")
+                best = _Best(matrix, limits, metric)
                 best.add(*block)
                 yield best.batch(part_ids)
 
@@ -420,19 +448,20 @@ def _probe(assigned: DataFrame, probes: DataFrame, cells: DataFrame, block_rows:
 def _cells(
     vectors: DataFrame,
     wanted: DataFrame,
+    metric: str = "sqeuclidean",
     exact: bool = True,
     n_cells: int | None = None,
     n_probe: int = 1,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    pivots = choose_pivots(vectors, n_cells)
+    pivots = choose_pivots(vectors, n_cells, metric)
     if not len(pivots):
         return wanted.sparkSession.createDataFrame(
             [], "query_id long, embedding_index long, distance double, rank int"
         )
     # Both rounds read the assignment, so it is written once to the shared checkpoint folder.
     largest = wanted.agg(F.max("k")).first()[0] or 1
-    assigned = cut_lineage(assign_cells(vectors, pivots, largest))
+    assigned = cut_lineage(assign_cells(vectors, pivots, largest, metric))
     stats = assigned.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius")
     )
@@ -441,16 +470,16 @@ def _cells(
         sizes[row.cell], radii[row.cell] = row.n, row.radius
     cells = stats.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
 
-    first = _probe_lists(wanted, pivots, sizes, radii, n_probe, bounded=False)
-    near = _probe(assigned, first, cells, block_rows)
+    first = _probe_lists(wanted, pivots, sizes, radii, metric, n_probe, bounded=False)
+    near = _probe(assigned, first, cells, metric)
     if not exact:
         return _ranked(near)
     best = cut_lineage(_ranked(near))
     bounds = best.groupBy("query_id").agg(F.max("distance").alias("bound"))
     second = _probe_lists(
-        wanted.join(bounds, "query_id"), pivots, sizes, radii, n_probe, bounded=True
+        wanted.join(bounds, "query_id"), pivots, sizes, radii, metric, n_probe, bounded=True
     )
-    far = _probe(assigned, second, cells, block_rows)
+    far = _probe(assigned, second, cells, metric)
     limits = wanted.select("query_id", "k")
     return _ranked(far.unionByName(best.drop("rank").join(limits, "query_id")))
 

@@ -74,6 +74,40 @@ def test_cells_equal_brute_force(spark, options, monkeypatch):
     assert got == brute(x, q, ks)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "ip"])
+def test_cells_serve_every_metric(spark, metric):
+    x, q = data(seed=8)
+    x[20:23], q[11] = 0, 0
+    x[30:60] *= 50  # lengths differ, as inner products without normalisation would see them
+    ks = np.arange(len(q)) % 9 + 1
+    collection, queries = frames(spark, x, q, ks)
+    got = collected(nn.knn(collection, queries, "k", metric, plan="cells", n_cells=30))
+    want = brute(x, q, ks, metric)
+    assert {i: [h for h, _ in v] for i, v in got.items()} == {i: [h for h, _ in v] for i, v in want.items()}
+
+
+def test_cells_prune_what_cannot_win(spark):
+    """Well separated groups: the second round probes next to nothing, and the result stays exact."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(20, 8)) * 100
+    x = (centers[rng.integers(0, 20, 500)] + rng.normal(size=(500, 8))).astype(np.float32)
+    q = (centers[rng.integers(0, 20, 40)] + rng.normal(size=(40, 8))).astype(np.float32)
+    collection, queries = frames(spark, x, q, np.full(40, 3))
+    vectors = collection.select("embedding_index", "embedding")
+    pivots = nn.choose_pivots(vectors, 60)
+    assigned = nn.assign_cells(vectors, pivots, 3).toPandas()
+    sizes = np.bincount(assigned["cell"], minlength=len(pivots))
+    radii = np.zeros(len(pivots))
+    np.maximum.at(radii, assigned["cell"], assigned["to_pivot"])
+    want = brute(x, q, np.full(40, 3))
+    bounds = spark.createDataFrame([(i, v[-1][1] + 1e-4) for i, v in want.items()], "query_id long, bound double")
+    again = nn._probe_lists(
+        queries.join(bounds, "query_id"), pivots, sizes, radii, "sqeuclidean", 1, bounded=True
+    )
+    assert again.count() < 0.3 * 40 * len(pivots)
+    assert collected(nn.knn(collection, queries, 3, plan="cells", n_cells=60)) == want
+
+
 def test_large_query_tables_leave_the_broadcast_plan(spark):
     x, q = data(120, 30, seed=2)
     ks = np.full(len(q), 4)
