@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scrivano.functions import routing, scoring
 from scrivano.operators import evaluation as ev
+from scrivano.operators import knn
 from scrivano.operators.rerank import boost_definitions
 from scrivano.plans import jobs, retrieval
 from scrivano.sources import readers
@@ -158,3 +159,26 @@ def test_retrieve_without_router(spark):
     assert [h.id for h in hits] == ["section_3", "section_4", "section_2", "section_5"]
     assert hits[0].section_number == "" and hits[0].content_length == len(rows[3][2])
     assert hits[3].relevance_score == pytest.approx(1 - 3.24, abs=1e-5)
+
+
+def test_router_and_store_plug_in(spark):
+    rows = [(f"section_{i}", i, [1.0, float(i)], "d" * 60, "s", "p", 60, 1) for i in range(30)]
+    collection = spark.createDataFrame(
+        rows, "id string, embedding_index long, embedding array<float>, document string, "
+        "section_number string, section_path string, content_length int, line_number int")
+    queries = spark.createDataFrame(
+        [(i, "q", [1.0, i * 7 + 0.2]) for i in range(4)], "query_id long, query string, embedding array<float>")
+
+    def two_results(df):
+        plan = F.struct(F.lit(2).alias("n_results"), F.lit(True).alias("boost_definitions"))
+        return df.withColumn("strategy", plan)
+
+    exact = retrieval.retrieve(queries, collection, router=two_results)
+    near = retrieval.retrieve(
+        queries, collection, router=two_results,
+        store=knn.ApproximateStore(collection, n_cells=5, n_probe=4))
+    for hits in (exact, near):
+        got = {}
+        for r in hits.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == {i: [f"section_{i * 7}", f"section_{i * 7 + 1}"] for i in range(4)}
