@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import ann, html_text, mixing, quality, sharding
+from scrivano.llm import ann, html_text, jaccard_join, mixing, quality, sharding, token_files
 from scrivano.llm.scratch import Scratch, table
+from scrivano.session import scratch_path
 from scrivano.workloads import Registry
 
 REGISTRY = Registry()
@@ -45,3 +46,16 @@ def sharding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@REGISTRY.add("op1_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_classes(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@REGISTRY.add("op5_token_files")
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return token_files.document_digests(
+        table(spark, sf_dir, "documents"), scratch, scratch_path(spark, "token-files")
+    )
