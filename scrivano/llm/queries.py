@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import ann, html_text, jaccard_join, mixing, quality, sharding, token_files
+from scrivano.llm import (
+    ann,
+    decontamination,
+    html_text,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    quality,
+    sharding,
+    token_files,
+)
 from scrivano.llm.scratch import Scratch, table
 from scrivano.session import scratch_path
 from scrivano.workloads import Registry
@@ -59,3 +69,14 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(
         table(spark, sf_dir, "documents"), scratch, scratch_path(spark, "token-files")
     )
+
+
+@REGISTRY.add("op2_line_dedup")
+def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), Scratch(spark))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@REGISTRY.add("op6_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -14,6 +14,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+# Letters, digits and all bytes of other scripts make words; every other byte parts them.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) | np.uint64(1)
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
@@ -55,9 +57,11 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         at = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and per text the number of words before it (one more at the end)."""
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     edge = offsets[(offsets > 0) & (offsets < len(data))]
