@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivano.llm.scratch import Scratch, hinted
 from scrivano.llm.sums import matrix_sum
 from scrivano.llm.words import MARKS, text_chunks, word_bounds, word_hashes
 
@@ -276,7 +277,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns. An id is clean or not."""
     found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    found = hinted(scratch.keep(found, "leaked"))
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")

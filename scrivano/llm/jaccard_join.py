@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivano.llm.components import components
-from scrivano.llm.scratch import Scratch
+from scrivano.llm.scratch import Scratch, hinted
 from scrivano.llm.words import mix, text_chunks, word_bounds, word_hashes
 
 WORDS = 5
@@ -79,7 +79,7 @@ def least_common(n):
 
 
 def _survey(texts: DataFrame) -> DataFrame:
-    """Per document: id, set size, set name. Rows without name count shingles found often in a batch."""
+    """Per document: id, hash of the text, set size, set name; other rows count shingles found often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,21 +88,24 @@ def _survey(texts: DataFrame) -> DataFrame:
             for row, shingles in shingle_sets(batch.column("text")):
                 sizes[row], names[row] = len(shingles), set_name(shingles)
                 seen[int(names[row])] = shingles
-            ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes), pa.array(names, mask=sizes == 0), pa.nulls(len(sizes), pa.int64())],
-                names=["doc_id", "n", "name", "often"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes),
+                 pa.array(names, mask=sizes == 0), pa.nulls(len(sizes), pa.int64())],
+                names=columns,
             )
             if seen:
                 values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 values, counts = values[counts >= OFTEN], counts[counts >= OFTEN]
                 none = pa.nulls(len(values), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [none, pa.array(counts.astype(np.int64)), none, pa.array(values.view(np.int64))],
-                    names=["doc_id", "n", "name", "often"],
+                    [none, none, pa.array(counts.astype(np.int64)), none, pa.array(values.view(np.int64))],
+                    names=columns,
                 )
 
-    return texts.mapInArrow(run, "doc_id long, n long, name long, often long")
+    columns = ["doc_id", "text_hash", "n", "name", "often"]
+    return texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, text_hash long, n long, name long, often long"
+    )
 
 
 def _prefixes(texts: DataFrame, often: np.ndarray) -> DataFrame:
@@ -273,10 +276,13 @@ def _join_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def link_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``n_links`` of every document."""
+    """``doc_id``, ``n_shingles``, ``component_id``, ``n_links`` of every document.
+
+    ``text_hash`` and ``component`` name its text and its component, the latter null without words.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = scratch.keep(_survey(texts), "sets")
-    rows = survey.filter("often is null").select("doc_id", "n", "name")
+    rows = survey.filter("often is null").select("doc_id", "text_hash", "n", "name")
     often = np.sort(
         np.array(
             [r[0] for r in survey.filter("often is not null").groupBy("often").agg(F.sum("n").alias("n"))
@@ -334,7 +340,7 @@ def link_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     answer = grouped.join(least, "root").select(
-        "name", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")
+        "name", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("root").alias("component")
     )
     out = scratch.keep(
         rows.join(answer, "name", "left").select(
@@ -342,8 +348,36 @@ def link_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
             F.col("n").alias("n_shingles"),
             F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            "text_hash",
+            "component",
         ),
         "jaccard",
     )
     scratch.drop(survey, members, wanted, known, found)
     return out
+
+
+def one_per_component(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents with one of each component, that of the smallest id; those without words all stay.
+
+    A text and its id stay or go together. Fully repeated rows are copies like others, so one stays.
+    """
+    rows = link_classes(docs, scratch)
+    named = rows.filter("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    best = named.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = named.join(best, "component").select("doc_id", "text_hash", (order == F.col("best")).alias("stays"))
+    fates = scratch.keep(placed.groupBy("doc_id", "text_hash", "stays").agg(F.count(F.lit(1)).alias("n")), "fates")
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+
+    def same(frame: DataFrame) -> tuple:
+        ids = scratch.keep(frame.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "ids")
+        return hinted(ids), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+
+    kept = hashed.join(*same(fates.filter("not stays")), "left_anti")
+    repeated = fates.filter("stays and n > 1")
+    if not repeated.isEmpty():
+        again, condition = same(repeated)
+        copies = kept.join(again, condition, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        kept = kept.join(again, condition, "left_anti").unionByName(copies)
+    return kept.drop("_text_hash")

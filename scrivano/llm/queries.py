@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scrivano.llm import (
     ann,
     decontamination,
@@ -60,7 +61,8 @@ def sharding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("op1_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_classes(table(spark, sf_dir, "documents"), Scratch(spark))
+    linked = jaccard_join.link_classes(table(spark, sf_dir, "documents"), Scratch(spark))
+    return linked.drop("text_hash", "component")
 
 
 @REGISTRY.add("op5_token_files")
@@ -80,3 +82,8 @@ def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op6_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.add("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scrivano.session import scratch_path
 
@@ -41,3 +42,8 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hinted(frame: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The written frame of a few numbers a row, for broadcast where it has at most ``most`` rows."""
+    return F.broadcast(frame) if frame.count() <= most else frame
