@@ -2,11 +2,13 @@
 
 1. Sets. A text's set holds the hashes of its distinct five-word shingles (the whole word sequence
    where it is shorter). Documents with equal sets form one class; classes go on.
-2. Pivots. Under any fixed order of shingles two linked sets share one of their first
-   n - ceil(0.8 n) + 1 shingles. Every shingle that two classes have there elects the smallest of
-   them as pivot, and each class joins the regions of the pivots it meets: linked classes meet in at
-   least one region. Shingles found very often come last in the order, so that passages shared by
-   many documents elect no pivots; the order changes cost, never results.
+2. Pivots. Under any fixed order of shingles two linked sets share at least m of their first
+   n - ceil(0.8 n) + m shingles, for m up to ceil(0.8 n). With m a tenth of n, a class that shares
+   less than a tenth of 0.8 n of these with others is linked with nothing and leaves. Then every
+   shingle that two classes have there elects the smallest of them as pivot, and each class joins the
+   regions of the pivots it meets: linked classes meet in at least one region. Shingles found very
+   often come last in the order, so that passages shared by many documents elect no pivots; the order
+   changes cost, never results.
 3. Regions. Within a region members lie at their Jaccard distance from the pivot. By the triangle
    inequality members whose distances add up to at most 0.2 are linked without a look, members
    whose distances differ by more than 0.2 are not, and only the window between is counted exactly.
@@ -42,6 +44,8 @@ OFTEN = 4  # of one batch, to be counted as an often-found shingle
 MIN_OFTEN = 64
 MAX_OFTEN = 200_000
 BLOCK_SHINGLES = 1 << 21
+HEAD_SHARE = 10
+PRUNINGS = 2
 BROADCAST_IDS = 2_000_000
 
 _STEP = [np.uint64(pow(0x2545F4914F6CDD1D, k + 1, 1 << 64) | 1) for k in range(WORDS)]
@@ -78,6 +82,15 @@ def least_common(n):
     return -(-n * PERCENT // 100)
 
 
+def needed(n):
+    """Shingles of its head that a set of size n has in common with any set it is linked with."""
+    return -(-n * PERCENT // (100 * HEAD_SHARE))
+
+
+def head_length(n):
+    return n - least_common(n) - (-n // HEAD_SHARE)
+
+
 def _survey(texts: DataFrame) -> DataFrame:
     """Per document: id, hash of the text, set size, set name; other rows count shingles found often."""
 
@@ -109,11 +122,11 @@ def _survey(texts: DataFrame) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, often: np.ndarray) -> DataFrame:
-    """(shingle, class) for the first shingles of every document's set."""
+    """(shingle, class, shared shingles needed) for the first shingles of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, names, done = [], [], set()
+            heads, names, least, done = [], [], [], set()
             for _, shingles in shingle_sets(batch.column("text")):
                 name = set_name(shingles)
                 if name in done:
@@ -125,16 +138,18 @@ def _prefixes(texts: DataFrame, often: np.ndarray) -> DataFrame:
                     if late.any():
                         shingles = np.concatenate([shingles[~late], shingles[late]])
                 n = len(shingles)
-                heads.append(shingles[: n - least_common(n) + 1])
+                heads.append(shingles[: head_length(n)])
                 names.append(name)
+                least.append(needed(n))
             if heads:
+                sizes = [len(h) for h in heads]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(heads).view(np.int64)),
-                     pa.array(np.repeat(np.array(names, np.int64), [len(h) for h in heads]))],
-                    names=["shingle", "name"],
+                    [pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes)),
+                     pa.array(np.repeat(np.array(least, np.int32), sizes))],
+                    names=["shingle", "name", "least"],
                 )
 
-    return texts.mapInArrow(run, "shingle long, name long")
+    return texts.mapInArrow(run, "shingle long, name long, least int")
 
 
 def _class_sets(texts: DataFrame) -> DataFrame:
@@ -275,6 +290,12 @@ def _join_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield finish()
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose shingle two classes have, with the smallest of them as pivot."""
+    buckets = rows.groupBy("shingle").agg(F.min("name").alias("pivot"), F.max("name").alias("_last"))
+    return rows.join(buckets.filter("pivot <> _last").drop("_last"), "shingle")
+
+
 def link_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``n_links`` of every document.
 
@@ -294,11 +315,17 @@ def link_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
     )
     prefixes = _prefixes(texts, often)
-    buckets = prefixes.groupBy("shingle").agg(F.min("name").alias("pivot"), F.max("name").alias("_last"))
-    members = scratch.keep(
-        prefixes.join(buckets.filter("pivot <> _last").drop("_last"), "shingle").select("name", "pivot").distinct(),
-        "members",
-    )
+    shared = scratch.keep(_shared(prefixes), "shared")
+    for _ in range(PRUNINGS):  # what leaves may leave others alone
+        enough = (
+            shared.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.max("least").alias("_least"))
+            .filter("_n >= _least").select("name")
+        )
+        fewer = scratch.keep(_shared(shared.drop("pivot").join(enough, "name")), "shared")
+        scratch.drop(shared)
+        shared = fewer
+    members = scratch.keep(shared.select("name", "pivot").distinct(), "members")
+    scratch.drop(shared)
     regions_of = members.groupBy("name").agg(F.collect_set("pivot").alias("regions"))
     wanted = scratch.keep(regions_of.join(classes, "name"), "wanted")
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
