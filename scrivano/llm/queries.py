@@ -15,6 +15,7 @@ from scrivano.llm import (
     mixing,
     quality,
     sharding,
+    substring_dedup,
     token_files,
 )
 from scrivano.llm.scratch import Scratch, table
@@ -87,3 +88,9 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@REGISTRY.add("op10_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
