@@ -7,8 +7,8 @@ A byte goes when a string of ``LENGTH`` bytes that covers it starts anywhere els
    hold nothing repeated.
 2. Contexts. What an anchor's strings cover in a document is its context. Equal contexts are counted
    before they move; those found twice are repeated throughout.
-3. Suffix arrays. Different contexts of one anchor are sorted by their suffixes, by grouping on Lyndon
-   prefixes (see ``suffix_array``). A start whose suffix shares ``LENGTH`` bytes with a neighbour in
+3. Suffix arrays. Different contexts of one anchor, less the parts whose short grams stand nowhere
+   else, are sorted by their suffixes, by grouping on Lyndon prefixes (see ``suffix_array``). A start whose suffix shares ``LENGTH`` bytes with a neighbour in
    that order is repeated.
 4. An anchor with more than ``GROUP`` contexts is dealt out by its strings: their 128-bit hashes are
    counted, combined before the shuffle. No anchor is left out and none meets in one task.
@@ -35,7 +35,8 @@ from scrivano.llm.words import _VALUES, _powers, mix, text_chunks
 
 LENGTH = 200
 GRAM = 32
-GROUP = 400
+SHORT = 64
+GROUP = 3_000  # contexts, about a megabyte of text
 
 
 def gram_hashes(data: np.ndarray, size: int, values: np.ndarray = _VALUES) -> np.ndarray:
@@ -106,15 +107,45 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _shared_pieces(texts: list[bytes], counts: np.ndarray, length: int) -> list[tuple[int, int, bytes]]:
+    """(text, place, bytes) of the runs whose every short gram also stands elsewhere; the rest cannot repeat."""
+    size = min(SHORT, length)
+    sizes = np.array([len(t) for t in texts])
+    grams = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), size)
+    begins = np.cumsum(sizes) - sizes
+    inside = np.zeros(sizes.sum() + 1, np.int64)  # grams do not run from one text into the next
+    np.add.at(inside, begins, 1)
+    np.add.at(inside, begins + np.maximum(sizes - size + 1, 0), -1)
+    inside = np.cumsum(inside)[: len(grams)] > 0
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(grams)]
+    _, which = np.unique(grams[inside], return_inverse=True)
+    shared = np.zeros(len(grams), bool)
+    shared[inside] = np.bincount(which, counts[owner[inside]])[which] > 1
+    out = []
+    for i, (begin, n) in enumerate(zip(begins.tolist(), sizes.tolist())):
+        for x, y in _runs(shared[begin : begin + n - size + 1]):
+            if y - x >= length - size + 1:
+                out.append((i, x, texts[i][x : y + size - 1]))
+    return out
+
+
 def _sorted_groups(groups: DataFrame, length: int) -> DataFrame:
     """(anchor, name, from, upto): runs of repeated starts of the contexts that were found once."""
 
     def finish(frame: pd.DataFrame) -> list:
-        texts, names, counts = frame["context"].tolist(), frame["name"].tolist(), frame["n"].tolist()
+        texts, names, counts = frame["context"].tolist(), frame["name"].tolist(), frame["n"].to_numpy()
+        pieces = _shared_pieces(texts, counts, length)
+        if not pieces:
+            return []
+        often: dict[bytes, int] = {}
+        for i, _, piece in pieces:
+            often[piece] = often.get(piece, 0) + int(counts[i])
+        flags = dict(zip(often, repeated_starts(list(often), length)))
         found = []
-        for name, n, flags in zip(names, counts, repeated_starts(texts, length)):
-            if n == 1:
-                found += [(frame["anchor"].iat[0], name, a, b) for a, b in _runs(flags)]
+        for i, at, piece in pieces:
+            if counts[i] == 1:
+                same = flags[piece] | (often[piece] > 1)
+                found += [(frame["anchor"].iat[0], names[i], at + x, at + y) for x, y in _runs(same)]
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
