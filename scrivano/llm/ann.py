@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Codes: rotations learned on a bounded sample (principal axes, then iterative quantisation) give each
-vector ``BITS`` bits, split into substrings of 16. Search goes in blocks of queries against blocks of
+Codes: vectors are brought to one length by one more component (queries get a zero there), so that
+the angle orders like the inner product whatever their lengths. Rotations learned on a bounded sample
+(principal axes, then iterative quantisation) then give ``BITS_PER_AXIS`` bits per component, split
+into substrings of 16. Search goes in blocks of queries against blocks of
 vectors. In a block every substring is indexed by its value; a query probes all values within
 radius // substrings of its own, which by the pigeonhole principle reaches every code within the
 Hamming radius. Codes inside the radius are ranked again by inner product in double precision.
@@ -55,14 +57,25 @@ def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return _ONES[codes ^ code].sum(axis=1, dtype=np.int16)
 
 
-def learn_radius(sample: np.ndarray, codes: np.ndarray, k: int) -> int:
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """One more component that gives every vector the length of the longest."""
+    rest = np.maximum(longest**2 - (vectors**2).sum(axis=1, keepdims=True), 0)
+    return np.hstack([vectors, np.sqrt(rest)]) / longest
+
+
+def asked(vectors: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.hstack([vectors / length, np.zeros_like(length)])
+
+
+def learn_radius(sample: np.ndarray, codes: np.ndarray, questions: np.ndarray, k: int) -> int:
     """Hamming distance that holds ``REACH`` of the k nearest of sample queries."""
     found = []
     for i in range(0, len(sample), max(1, len(sample) // 500)):
         near = sample @ sample[i]
         near[i] = -np.inf
         top = np.argsort(-near)[: min(k, len(sample) - 1)]
-        found.append(distances(codes[top], codes[i]))
+        found.append(distances(codes[top], questions[i]))
     return int(np.quantile(np.concatenate(found), REACH)) if found and len(found[0]) else 0
 
 
@@ -73,7 +86,10 @@ class Block:
         self.ids, self.vectors, self.codes = ids, vectors, codes
         self.parts = codes.shape[1]
         self.order = [np.argsort(codes[:, p], kind="stable") for p in range(self.parts)]
-        self.values = [np.unique(codes[:, p], return_index=True, return_counts=True) for p in range(self.parts)]
+        self.values = []
+        for p in range(self.parts):
+            value, count = np.unique(codes[:, p], return_counts=True)
+            self.values.append((value, np.cumsum(count) - count, count))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code lies within ``radius``: all substrings probed, then the whole code."""
@@ -117,9 +133,10 @@ def search(table: DataFrame, k: int = 20, every: int = 20, vector_block: int = V
     sample = np.array(
         [r[0] for r in rows.select("embedding", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     )
-    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    rotations = np.hstack(learn_rotations(sample, BITS_PER_AXIS))
-    radius = learn_radius(sample, encode(sample, rotations), k)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
+    longest = float(rows.agg(F.sqrt(F.max(squares))).first()[0])
+    rotations = np.hstack(learn_rotations(lifted(sample, longest), BITS_PER_AXIS))
+    radius = learn_radius(sample, encode(lifted(sample, longest), rotations), encode(asked(sample), rotations), k)
     blocks = max(1, -(-total // vector_block))
     groups = max(1, -(-total // every // query_block))
     # Each block of vectors meets each block of the stated queries: no pair of rows is ever a row.
@@ -133,15 +150,14 @@ def search(table: DataFrame, k: int = 20, every: int = 20, vector_block: int = V
     )
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
-        asked = frame["_is_query"].to_numpy()
+        query = frame["_is_query"].to_numpy()
         ids, data = frame["vec_id"].to_numpy(), np.stack(frame["embedding"].to_numpy())
-        codes = encode(data, rotations)
         out = []
-        if asked.any() and not asked.all():
-            block = Block(ids[~asked], data[~asked], codes[~asked])
-            for i in np.flatnonzero(asked):
-                near, scores = block.search(ids[i], data[i], codes[i], radius, k)
-                out.append((np.full(len(near), ids[i]), near, scores))
+        if query.any() and not query.all():
+            block = Block(ids[~query], data[~query], encode(lifted(data[~query], longest), rotations))
+            for own, vector, code in zip(ids[query], data[query], encode(asked(data[query]), rotations)):
+                near, scores = block.search(own, vector, code, radius, k)
+                out.append((np.full(len(near), own), near, scores))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         parts = [np.concatenate(x) for x in zip(*(out or [empty]))]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), parts)))

@@ -79,11 +79,18 @@ def inverse_frequency(texts: DataFrame) -> np.ndarray:
     return np.log((found[FEATURES] + 1) / (found[:FEATURES] + 1)).astype(np.float32) + np.float32(0.01)
 
 
-def _gram_times(texts: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times the basis, for the matrix A of unit-length passages."""
-    weighted = (basis * weights[:, None]).astype(np.float32)
+def _sketch(seed: int, width: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(FEATURES, width))
+
+
+def _gram_times_sketch(texts: DataFrame, weights: np.ndarray, seed: int, width: int) -> np.ndarray:
+    """A'A times a random sketch, for the matrix A of unit-length passages. Tasks draw the sketch anew."""
+    made: list[np.ndarray] = []
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        if not made:
+            made.append((_sketch(seed, width) * weights[:, None]).astype(np.float32))
+        weighted = made[0]
         for _, data, offsets in text_chunks(folded(batch.column(0)), 1 << 19):
             hashes, first = chunk_words(data, offsets)
             if not len(hashes):
@@ -98,15 +105,14 @@ def _gram_times(texts: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.
             passage = np.repeat(np.arange(len(heads)), sizes)
             total[ordered[cuts]] += np.add.reduceat(rows[passage[order]], cuts, axis=0)
 
-    return matrix_sum(texts, FEATURES, basis.shape[1], add) * weights[:, None]
+    return matrix_sum(texts, FEATURES, width, add) * weights[:, None]
 
 
 def latent_space(texts: DataFrame, weights: np.ndarray, seed: int = 17) -> np.ndarray:
     """Right singular vectors (features, RANK), after the dropped ones."""
     width = RANK + DROPPED + SPARE
-    sketch = np.random.default_rng(seed).normal(size=(FEATURES, width))
-    image = _gram_times(texts, weights, sketch)
-    small = sketch.T @ image
+    image = _gram_times_sketch(texts, weights, seed, width)
+    small = _sketch(seed, width).T @ image
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     good = values > max(values.max(), 1e-12) * 1e-10
     if not good.any():
@@ -249,16 +255,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``share`` for every document that holds a benchmark item."""
     texts = docs.select("text")
     weights = inverse_frequency(texts)
-    space = (latent_space(texts, weights) * weights[:, None]).astype(np.float32)
+    space = latent_space(texts, weights) * weights[:, None]
+    space = (space / max(np.abs(space).max(), 1e-12)).astype(np.float16)
     context = docs.sparkSession.sparkContext
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for rows in _item_blocks(benchmark):
-        shared = context.broadcast((space, Items(rows, space)))  # word space and one block of items
+        # The word space and one block of items.
+        shared = context.broadcast((space, Items(rows, space.astype(np.float32))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             space, items = shared.value
+            space = space.astype(np.float32)
             for batch in batches:
                 found = matches(batch.column("text"), space, items) if items.names else []
                 at = [i for i, known in enumerate(found) for _ in known]

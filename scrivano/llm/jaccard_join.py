@@ -175,6 +175,8 @@ def join_region(region: pd.DataFrame, pivot: int) -> tuple[np.ndarray, np.ndarra
     region has blocks; with one block there is only side 0.
     """
     member = region["side"].to_numpy() < 2
+    if not member.any():
+        return (np.zeros(0, np.int64),) * 3
     center = region["shingles"].to_numpy()[(region["name"].to_numpy() == pivot).argmax()]
     region = region[member]
     sets = region["shingles"].to_numpy()
@@ -189,7 +191,7 @@ def join_region(region: pd.DataFrame, pivot: int) -> tuple[np.ndarray, np.ndarra
     far, sizes = far[order], sizes[order]
     names, copies = region["name"].to_numpy()[order], region["copies"].to_numpy()[order].astype(np.int64)
     side = region["side"].to_numpy()[order]
-    crossed = side.max() > 0
+    crossed = bool(region["one"].iat[0] != region["two"].iat[0])
     regions = [tuple(r) for r in region["regions"].to_numpy()[order]]
     lists = {r: i for i, r in enumerate(dict.fromkeys(regions))}
     list_of, as_sets = np.array([lists[r] for r in regions]), [frozenset(r) for r in lists]

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,11 +73,12 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     vectors = np.zeros((BUCKETS + 1, WIDTH), np.float32)
     vectors[:BUCKETS] = context / np.maximum(length, 1e-9) + index[:BUCKETS] / NONZERO**0.5
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return vectors
+    return vectors.astype(np.float16)
 
 
 def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Pooled vectors of every text of the column."""
+    vectors = vectors.astype(np.float32)
     out = np.zeros((len(column), 2 * WIDTH + 6), np.float32)
     for at, data, offsets in text_chunks(column):
         words, first = buckets_of(data, offsets)
@@ -148,7 +150,7 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labels: int = MAX_LABELS) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, max_labels: int = MAX_LABELS) -> Network | None:
     """Learn from labelled rows that are not held out: at most ``max_labels``, in hash order."""
     rows = (
         labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
@@ -158,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labels: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column("text"), vectors)
+            x = features(batch.column("text"), vectors.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_quality"), pa.array([v.tobytes() for v in x], pa.binary())], names=["y", "x"]
             )
@@ -175,14 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labels: i
 
 def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, carry: bool = False) -> DataFrame:
     """Score of every document in ``score``; ``carry`` keeps all columns, else ``doc_id`` alone."""
-    vectors = word_vectors(docs.select("text"))
-    network = train(docs, labels, vectors, max_labels)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs.select("text")))  # of fixed size
+    network = train(docs, labels, shared, max_labels)
     names = docs.columns if carry else ["doc_id"]
     taken = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, network = shared.value
+        vectors = shared.value
         for batch in batches:
             if network is None:
                 scores = np.full(batch.num_rows, 0.5)
