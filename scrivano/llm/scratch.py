@@ -18,6 +18,8 @@ class Scratch:
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         frame.write.parquet(path)
+        # What the job shuffled is of no use now; the driver frees such files when it collects garbage.
+        self.spark._jvm.System.gc()
         written = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(written)] = path
         return written
