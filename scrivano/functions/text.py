@@ -20,8 +20,7 @@ WHITE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The sample length and thresholds that decide whether a text was extracted doubled.
-SAMPLE_CHARS = 3000
+# The thresholds that decide whether a text was extracted doubled.
 MIN_ALNUM = 30
 DOUBLED_RATIO = 0.20
 
@@ -47,10 +46,9 @@ def lines_of(col: Column) -> Column:
 
 
 def collapse_doubled_letters(col: Column) -> Column:
-    """Collapse each equal alphanumeric pair when the sample shows the doubled-extraction fault."""
-    sample = F.substring(col, 1, SAMPLE_CHARS)
-    pairs = F.regexp_count(sample, F.lit(r"([A-Za-z0-9])\1"))
-    alnum = F.regexp_count(sample, F.lit("[A-Za-z0-9]"))
+    """Collapse each equal alphanumeric pair when the text shows the doubled-extraction fault."""
+    pairs = F.regexp_count(col, F.lit(r"([A-Za-z0-9])\1"))
+    alnum = F.regexp_count(col, F.lit("[A-Za-z0-9]"))
     doubled = (alnum > MIN_ALNUM) & (pairs / alnum > DOUBLED_RATIO)
     return F.when(doubled, F.regexp_replace(col, r"([\p{L}\p{N}])\1", "$1")).otherwise(col)
 
@@ -60,19 +58,19 @@ def with_collapsed_letters(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_collapsed_marks(df: DataFrame, text: str = "text") -> DataFrame:
-    """Collapse doubled punctuation; each mark is gated by the sample of the *incoming* text.
+    """Collapse doubled punctuation; each mark is gated by the *incoming* text.
 
     ``replace`` with an empty search string returns its input, so a closed gate costs nothing and
     the text is referenced once per step, which keeps the expression linear in the number of marks.
     """
-    sample = F.substring(F.col(text), 1, SAMPLE_CHARS)
+    whole = F.col(text)
     fixed = F.col(text)
     for pair in DOUBLED_MARKS:
-        gate = F.when(F.contains(sample, F.lit(pair)), F.lit(pair)).otherwise(F.lit(""))
+        gate = F.when(F.contains(whole, F.lit(pair)), F.lit(pair)).otherwise(F.lit(""))
         fixed = F.replace(fixed, gate, F.lit(pair[0]))
     word = r"[\p{L}\p{N}_]"
     dash_gate = F.when(
-        F.regexp_like(sample, F.lit(f"{word}--{word}")), F.lit(f"({word})--({word})")
+        F.regexp_like(whole, F.lit(f"{word}--{word}")), F.lit(f"({word})--({word})")
     ).otherwise(F.lit("(?!)"))
     return df.withColumn(text, F.regexp_replace(fixed, dash_gate, F.lit("$1-$2")))
 

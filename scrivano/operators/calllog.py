@@ -41,7 +41,24 @@ def time_slice(micros: Column, span: int) -> Column:
 
 
 def _json_value(value: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.array(value)), r"(?s)\A\[(.*)\]\z", 1)
+    return ascii_json(F.regexp_extract(F.to_json(F.array(value)), r"(?s)\A\[(.*)\]\z", 1))
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character beyond ASCII as its escape, in two halves beyond 16 bits."""
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(char: Column) -> Column:
+        code = F.ascii(char)
+        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000) % 0x400 + 0xDC00
+        return (
+            F.when(code < 128, char).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        )
+
+    plain = F.array_join(F.transform(F.split(text, ""), escaped), "")
+    return F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), plain).otherwise(text)
 
 
 def request_key(name: Column, args=(), kwargs: dict[str, Column] | None = None) -> Column:
@@ -264,7 +281,10 @@ def ttl_hits(
     )
     is_store = F.coalesce(F.col(order).cast("long") == F.col("_first"), F.lit(False))
     return (
-        calls.join(stores, [key, micros], "left").withColumn("is_hit", ~is_store).drop("_first")
+        calls.join(stores, [key, micros], "left")
+        # Calls without a key or an instant store nothing and find nothing.
+        .withColumn("is_hit", ~is_store & F.col(key).isNotNull() & F.col(micros).isNotNull())
+        .drop("_first")
     )
 
 

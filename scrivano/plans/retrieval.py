@@ -20,10 +20,9 @@ from scrivano.operators.embedding import DEFAULT_MODEL, embed, section_id
 from scrivano.operators.rerank import boost_definitions, cut
 from scrivano.session import cut_lineage
 
-# Default number of results and the over-fetch ceiling.
+# Default number of results and the over-fetch factor.
 DEFAULT_RESULTS = 5
 OVER_FETCH = 2
-OVER_FETCH_CEILING = 20
 
 Router = Callable[[DataFrame], DataFrame]
 Embedder = Callable[[DataFrame], DataFrame]
@@ -107,7 +106,7 @@ def retrieve(
 
 
 def over_fetch(n: Column, expansion: bool) -> Column:
-    return F.least(n * OVER_FETCH, F.lit(OVER_FETCH_CEILING)) if expansion else n
+    return n * OVER_FETCH if expansion else n
 
 
 def _over_fetching(
@@ -133,10 +132,7 @@ def search(
     use_expansion: bool = True,
     store: nn.ExactStore | None = None,
 ) -> DataFrame:
-    """Over-fetching retrieval: definition queries are boosted before the cut.
-
-    With expansion more than 20 hits are never fetched, so larger ``n_results`` return 20.
-    """
+    """Over-fetching retrieval: definition queries are boosted before the cut."""
     asked = _over_fetching(queries, embedder, n_results, use_expansion)
     nearest = (store or nn.ExactStore(collection)).query(asked, "_k")
     bound = nn.hit_rows(asked, "_k")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local runs)
-    a temporary folder is made, once per session.
+    a folder below the warehouse, which is shared as well, takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="scrivano-ckpt-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scrivano-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

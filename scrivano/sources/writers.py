@@ -70,14 +70,19 @@ def replace_collection(collection: DataFrame, path: str) -> None:
 
 
 def create_collection(collection: DataFrame, path: str) -> bool:
-    """Write the collection only where none exists; tells whether it was written."""
+    """Write the collection only where none exists; tells whether it was written.
+
+    A folder without any file holds no collection. Any other fault of the folder is raised.
+    """
     spark = collection.sparkSession
     try:
         spark.read.parquet(path)
         return False
-    except AnalysisException:
-        collection.write.mode("ignore").parquet(path)
-        return True
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    collection.write.mode("append").parquet(path)
+    return True
 
 
 def write_evaluation(per_case: DataFrame, report: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from scrivano.operators import prompts
 from scrivano.session import scratch_path
 from scrivano.sources import readers, writers
 from scrivano.streaming.memory import stream_contexts
-from scrivano.workloads import Registry, search, spread, table
+from scrivano.workloads import Registry, search, table
 
 REGISTRY = Registry()
 
@@ -381,7 +381,7 @@ def answer_records(spark, sf_dir):
     from documents""",
 )
 def contract_turns(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("query_id"), mem.contract_label(F.col("text")).alias("query")
     )

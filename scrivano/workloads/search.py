@@ -9,7 +9,7 @@ from scrivano.operators import embedding as emb
 from scrivano.operators import knn as nn
 from scrivano.operators.rerank import boost_definitions
 from scrivano.plans import retrieval
-from scrivano.workloads import Registry, spread, table
+from scrivano.workloads import Registry, table
 
 REGISTRY = Registry()
 
@@ -217,7 +217,7 @@ def _encoded(df, text, model="hashed"):
     select doc_id, bucket, round(value, 6) as value from vec""",
 )
 def hash_encode(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     entries = F.posexplode_outer("embedding").alias("bucket", "value")
     return (
         _encoded(docs, "text")
@@ -391,7 +391,7 @@ _CONTENT = """case doc_id % 6 when 0 then 'Definition: ' || text when 1 then 'Th
 
 
 def _sections(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return docs.select(
         F.col("doc_id").alias("embedding_index"),
         F.expr(_CONTENT).alias("content"),
@@ -478,7 +478,7 @@ def retrieve_routed(spark, sf_dir):
 
 
 def _sql_search(n, expansion=True, name="hits", mapped="true"):
-    fetch = f"least(2 * {n}, 20)" if expansion else str(n)
+    fetch = f"2 * {n}" if expansion else str(n)
     wants = _any("lower(query)", routing.INTENT_PHRASES) if expansion else "false"
     return f"""fetched as (select p.*, s.content, s.section_number, s.section_path,
       s.content_length, case when {wants} then {_sql_score(True)} else distance end as score

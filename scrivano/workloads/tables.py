@@ -8,7 +8,7 @@ from scrivano.operators import embedding as emb
 from scrivano.operators import evaluation as ev
 from scrivano.session import scratch_path
 from scrivano.sources import readers, writers
-from scrivano.workloads import Registry, evaluation, search, spread, table
+from scrivano.workloads import Registry, evaluation, search, table
 
 REGISTRY = Registry()
 
@@ -21,7 +21,7 @@ def corpus_files(spark, sf_dir):
     """One text file per document, scanned as whole texts."""
     folder = scratch_path(spark, "corpus")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
-    spread(docs).write.partitionBy("doc_id").text(folder)
+    docs.write.partitionBy("doc_id").text(folder)
     corpus = readers.read_corpus(spark, folder)
     number = F.regexp_extract("path", r"/doc_id=(\d+)/", 1)
     return corpus.select(
@@ -40,7 +40,7 @@ def contract_files(spark, sf_dir):
     messages = table(spark, sf_dir, "conversations").select(
         "turn", "conv_id", F.col("text").alias("value")
     )
-    spread(messages).write.partitionBy("turn", "conv_id").text(folder)
+    messages.write.partitionBy("turn", "conv_id").text(folder)
     contracts = readers.read_contracts(spark, folder)
     turn = F.regexp_extract("path", r"/turn=(\d+)/", 1).cast("long")
     return contracts.groupBy(turn.alias("turn")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrivano.functions import text as tx
 from scrivano.sources import readers, writers
-from scrivano.workloads import Registry, spread, table
+from scrivano.workloads import Registry, table
 
 REGISTRY = Registry()
 
@@ -25,7 +25,7 @@ _DOUBLED_SQL = (
 
 
 def _documents(spark, sf_dir, doubled=True, marked=True):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     if doubled:
         docs = docs.withColumn("text", F.expr(_DOUBLED_SPARK))
     if marked:
@@ -49,8 +49,8 @@ def _sql_letters(source, name):
     pairs = "|".join(c + c for c in ascii_chars)
     return f"""{name} as (select doc_id, case when alnum > 30 and pairs / alnum > 0.2
       then {collapsed} else text end as text from (select doc_id, text,
-        len(regexp_extract_all(substr(text, 1, 3000), '{pairs}'))::double as pairs,
-        len(regexp_extract_all(substr(text, 1, 3000), '[A-Za-z0-9]'))::double as alnum
+        len(regexp_extract_all(text, '{pairs}'))::double as pairs,
+        len(regexp_extract_all(text, '[A-Za-z0-9]'))::double as alnum
       from {source}))"""
 
 
@@ -64,7 +64,7 @@ def _sql_marks(source, name):
     return f"""{name} as (select doc_id, case when regexp_matches(head, '{word}--{word}')
       then regexp_replace(text, '({word})--({word})', '\\1-\\2', 'g') else text end as text
       from (select doc_id, head, {fixed} as text
-        from (select doc_id, text, substr(text, 1, 3000) as head from {source})))"""
+        from (select doc_id, text, text as head from {source})))"""
 
 
 def _sql_basic(source, name):

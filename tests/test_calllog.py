@@ -94,3 +94,19 @@ def test_summary(spark):
                                "name string, duration double, failed boolean")
     f = cl.call_summary(df).filter("name = 'f'").first()
     assert (f.calls, f.failures, f.successes, f.mean_duration) == (2, 1, 1, 2.0)
+
+
+def test_calls_without_a_key_are_no_hits(spark):
+    rows = [(None, 0, 1), (None, 10, 2), ("a", 0, 3), ("a", 10, 4), ("a", None, 5)]
+    calls = spark.createDataFrame(rows, "key string, us long, event_id long")
+    hits = {r.event_id: r.is_hit for r in cl.ttl_hits(calls).collect()}
+    assert hits == {1: False, 2: False, 3: False, 4: True, 5: False}
+
+
+def test_request_key_escapes_characters_beyond_ascii(spark):
+    rows = [("é",), ("plain",), ("a😀\"b\u00a0",), ("你好",)]
+    frame = spark.createDataFrame(rows, "x string")
+    keys = [r[0] for r in frame.select(cl.request_key(F.col("x"), kwargs={"k": F.col("x")})).collect()]
+    for (x,), key in zip(rows, keys):
+        whole = json.dumps({"args": [x], "kwargs": {"k": x}}, sort_keys=True)
+        assert key == hashlib.md5(whole.encode()).hexdigest()

@@ -1,7 +1,6 @@
-"""Sectioning against a line-by-line reader written for this test, on random documents."""
+"""Sectioning: documents by hand, and properties of random ones."""
 
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -22,111 +21,6 @@ LINES = [
 ]
 
 
-def toc(line):
-    tests = (
-        re.search(r"\.{3,}\s*\d+$", line),
-        re.match(r"\d+//\d+(//\d+)?,.*\.{3,}\s*\d+", line),
-        re.match(r"\d+\.\s+.*\.{3,}\s*\d+$", line),
-        re.match(r"(?i)appendix\s*\([a-z]\):.*\.{3,}\s*\d+$", line),
-        re.match(r"\d+//\d+(//\d+)?,\d+//\d+(//\d+)?,.*\.{3,}", line),
-    )
-    return any(tests)
-
-
-def read_cleaned(text):
-    start = re.search(r"(?i)shari['’]ah standard no\.\s*\(\d+\)", text)
-    if not start:
-        return None
-    kept, inside = [], False
-    for raw in text[start.start():].splitlines():
-        line = raw.strip()
-        entry = line == "Subject Page" or bool(re.match(r"[A-Z][^:]*\.{3,}\s*\d+$", line))
-        if line in ("Contents", "Table of Contents"):
-            inside = True
-        elif inside and re.search(r"(?i)shari['’]ah standard no\.|^\d+//", line):
-            inside = False
-            kept.append(raw)
-        elif not entry:
-            inside = False
-            kept.append(raw)
-    return re.sub(r"\n\n\n+", "\n\n", "\n".join(kept))
-
-
-def read_sections(cleaned):
-    found, path, start, body = [], None, None, []
-
-    def emit():
-        content = "\n".join(body).strip()
-        if path is not None and content:
-            found.append((path, content, start))
-
-    for number, raw in enumerate(cleaned.splitlines(), 1):
-        line = raw.strip()
-        listed = re.match(r"\d+//\d+(//\d+)?,\d+//\d+(//\d+)?,", line)
-        if toc(line) or line in ("Appendix", "Appendices"):
-            continue
-        if listed and re.search(r"\.{3,}\s*\d+", line):
-            continue
-        head = re.match(r"(\d+)(?://(\d+))?(?://(\d+))?\s+(.+)$", line)
-        if head:
-            emit()
-            if not re.search(r"\.{3,}\s*\d+", head[4]):
-                path = "//".join(g for g in head.groups()[:3] if g)
-                start, body = number, [head[4]]
-        elif path is not None and line and line != "(Revised Standard)":
-            if not re.match(r"(?i)shari’ah standard no\.", line):
-                body.append(line)
-    emit()
-    return found
-
-
-def keep_section(content):
-    lines = content.split("\n")
-    if sum(toc(x.strip()) for x in lines) > len(lines) * 0.5 or toc(content):
-        return False
-    return not (len(content) < 100 and re.search(r"\.{3,}\s*\d+", content))
-
-
-def without_front_matter(text):
-    """Own restatement as an index walk that looks for the end of every skipped block."""
-    lines = text.splitlines()
-    bare = [x.strip() for x in lines]
-    named = [bool(re.search(r"(?i)shari'ah standard no\.", x)) for x in bare]
-    number = [bool(re.match(r"\d+//", x)) for x in bare]
-    stated = [bool(re.search(r"(?i)statement of the standard", x)) or n for x, n in zip(bare, number)]
-    leader = [bool(re.match(r"[A-Z][^:]*\.{3,}\s*\d+$", x)) for x in bare]
-    first = next(
-        (i for i, x in enumerate(bare) if re.search(r"(?i)shari'ah standard no\.\s*\(\d+\)", x)), None
-    )
-    if first is None:
-        return ""
-    kept, i = [lines[first]], first + 1
-
-    def seek(i, ends):
-        while i < len(lines) and not ends(i):
-            i += 1
-        return i
-
-    while i < len(lines):
-        if bare[i] in ("Contents", "Table of Contents"):
-            i = seek(
-                i,
-                lambda j: bare[j] not in ("Contents", "Table of Contents")
-                and (named[j] or number[j] or not (leader[j] or bare[j] in ("", "Subject Page"))),
-            )
-            kept += lines[i:i + 1]
-            i += 1
-        elif re.match(r"Preface\s*\.{3,}\s*\d+$", bare[i]):
-            i = seek(i + 1, lambda j: stated[j])
-        elif bare[i] == "Preface" and bare[i + 1:i + 2] in ([""], ["Contents"], ["Subject Page"]):
-            i = seek(i + 1, lambda j: stated[j] or named[j])
-        else:
-            if not leader[i] and bare[i] != "Subject Page":
-                kept.append(lines[i])
-            i += 1
-    return re.sub(r"\n\n\n+", "\n\n", "\n".join(kept)).strip()
-
-
 def documents(n=500):
     rng = random.Random(11)
     out = []
@@ -143,41 +37,82 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def test_cleaned_text_equals_reader(spark):
-    texts = documents()
-    out = sec.drop_contents_lines(sec.cut_to_first_standard(frame(spark, texts)))
-    got = {r.doc_id: r.text for r in out.collect()}
-    want = {i: read_cleaned(t) for i, t in enumerate(texts)}
-    assert got == {i: t for i, t in want.items() if t is not None}
-
-
-def test_sections_equal_reader(spark):
-    texts = documents()
-    df = frame(spark, texts)
-    cleaned = sec.drop_contents_lines(sec.cut_to_first_standard(df))
-    all_rows = sec.extract_sections(cleaned)
-    got, kept = {}, {}
-    for rows, into in ((all_rows, got), (sec.sectionize(df), kept)):
-        for r in rows.collect():
-            assert r.section_number == r.section_path and r.content_length == len(r.content)
-            into.setdefault(r.doc_id, []).append((r.section_path, r.content, r.line_number))
-    flushed = 0
-    for i, text in enumerate(texts):
-        clean = read_cleaned(text)
-        want = [] if clean is None else read_sections(clean)
-        flushed += len(want) - len({(w[0], w[2]) for w in want})
-        assert sorted(got.get(i, [])) == sorted(want), text
-        assert sorted(kept.get(i, [])) == sorted(w for w in want if keep_section(w[1])), text
-    assert flushed > 20
+DOCUMENT = """lost
+Shari'ah Standard No. (1): Trading
+Contents
+Scope ...... 12
+Note: see .... 4
+Preface
+
+2//1 Title one
+first line
+Scope ...... 12
+  second line
+2//1//3 Deep title
+deep text
+2//1,2//1,Default ....... 88,89
+(Revised Standard)
+Appendix
+last"""
+
+
+def test_cleaning_by_hand(spark):
+    texts = [DOCUMENT, "no standard here", "Shari'ah Standard No. (1)\nContents\n2//9 Late .... 5\nend"]
+    cut = sec.cut_to_first_standard(frame(spark, texts))
+    got = {r.doc_id: r.text for r in sec.drop_contents_lines(cut).collect()}
+    assert got[0].startswith("Shari'ah Standard No. (1): Trading") and "lost" not in got[0]
+    assert "Scope ......" not in got[0] and "second line" in got[0]
+    assert 1 not in got
+
+
+def test_sections_by_hand(spark):
+    rows = sec.sectionize(frame(spark, [DOCUMENT])).orderBy("line_number").collect()
+    assert [(r.section_path, r.section_number) for r in rows] == [("2//1", "2//1"), ("2//1//3", "2//1//3")]
+    assert rows[0].content.startswith("Title one") and rows[0].content.endswith("second line")
+    assert rows[1].content == "Deep title\ndeep text\nlast"
+
+
+def test_a_header_with_a_leader_emits_the_open_section(spark):
+    text = "Shari'ah Standard No. (1)\n2//1 One\nbody\n3//1 Title ..... 9 more\nafter"
+    rows = sec.extract_sections(frame(spark, [text])).orderBy("content_length").collect()
+    assert len(rows) == 2 and rows[1].content.startswith(rows[0].content)
+    assert {r.line_number for r in rows} == {2}
+    assert sec.extract_sections(frame(spark, [text]), emit_prefixes=False).count() == 1
+
+
+def test_kept_lines_come_from_the_document_in_order(spark):
+    texts = documents(200)
+    cleaned = sec.drop_contents_lines(sec.cut_to_first_standard(frame(spark, texts)))
+    for r in cleaned.collect():
+        left = iter(line.strip() for line in texts[r.doc_id].splitlines())
+        assert all(line.strip() in left for line in r.text.splitlines() if line.strip())
+        assert "\n\n\n" not in r.text
+    again = sec.cut_to_first_standard(cleaned)
+    assert again.count() <= cleaned.count()
+
+
+def test_section_rows_are_consistent(spark):
+    cleaned = sec.drop_contents_lines(sec.cut_to_first_standard(frame(spark, documents(200))))
+    lines = {r.doc_id: [x.strip() for x in r.text.splitlines()] for r in cleaned.collect()}
+    by_start = {}
+    for r in sec.extract_sections(cleaned).collect():
+        assert r.section_number == r.section_path and r.content_length == len(r.content) > 0
+        header = lines[r.doc_id][r.line_number - 1]
+        assert header.startswith(r.section_path) and r.content.split("\n")[0] in header
+        by_start.setdefault((r.doc_id, r.line_number), []).append(r.content)
+    assert any(len(parts) > 1 for parts in by_start.values())
+    for parts in by_start.values():
+        parts.sort(key=len)
+        assert all(b.startswith(a) for a, b in zip(parts, parts[1:]))
     longest = sec.extract_sections(cleaned, emit_prefixes=False)
-    assert longest.groupBy("doc_id", "line_number").count().filter("count > 1").count() == 0
+    assert longest.count() == len(by_start)
+    assert sec.drop_toc_sections(longest).exceptAll(longest).count() == 0
 
 
-def test_front_matter_equals_walk(spark):
-    texts = documents() + ["", "Preface", "Shari'ah Standard No. (1)\nPreface"]
+def test_front_matter_by_hand(spark):
+    texts = ["", "Preface", "Shari'ah Standard No. (1)\nPreface\n\nwords\nStatement of the Standard\n2//1 Body\ntext"]
     got = {r.doc_id: r.text for r in remove_front_matter(frame(spark, texts)).collect()}
-    for i, text in enumerate(texts):
-        assert got[i] == without_front_matter(text), repr(text)
+    assert got[0] == "" and "words" not in got[2] and got[2].endswith("2//1 Body\ntext")
 
 
 def test_no_shuffle_and_no_python(spark):

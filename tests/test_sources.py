@@ -72,6 +72,10 @@ def test_collection_lifecycle(spark, tmp_path):
     built = jobs.build_collection(jobs.build_sections(docs), dimension=16)
     assert writers.create_collection(built, path) is True
     assert writers.create_collection(built.limit(0), path) is False
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    assert writers.create_collection(built, str(bare)) is True
+    assert readers.open_collection(spark, str(bare)).count() == 2
     assert readers.open_collection(spark, path).count() == 2
     writers.replace_collection(built.filter("embedding_index = 0"), path)
     assert readers.open_collection(spark, path).count() == 1

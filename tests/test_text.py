@@ -1,91 +1,59 @@
-"""Cleaning columns against plain Python, on hand-made rows and on random texts."""
-
-import random
-import re
+"""Cleaning columns on hand-made rows."""
 
 from pyspark.sql import functions as F
 
 from scrivano.functions import text as tx
 
-ALPHABET = "aabbAB12é. ,:;'`()’-/\n\r\t\x0b\x0c\x1c\x85  Page of"
-MARKS = [",,", "..", "::", ";;", "''", "``", "((", "))", "’’"]
-
-
-def halve(word):
-    out, previous_used = [], False
-    for left, right in zip(word, word[1:] + "\0"):
-        if previous_used:
-            previous_used = False
-            continue
-        out.append(left)
-        previous_used = left == right and left.isalnum()
-    return "".join(out)
-
-
-def letters(text):
-    head = text[:3000]
-    pairs = len(re.findall(r"([A-Za-z0-9])\1", head))
-    alnum = sum(c.isascii() and c.isalnum() for c in head)
-    return halve(text) if alnum > 30 and pairs / alnum > 0.2 else text
-
-
-def marks(text):
-    head, out = text[:3000], text
-    for pair in MARKS:
-        if pair in head:
-            out = out.replace(pair, pair[0])
-    if re.search(r"\w--\w", head):
-        out = re.sub(r"(\w)--(\w)", r"\1-\2", out)
-    return out
-
-
-def clean(text):
-    out = marks(letters(text)).replace("\r", "\n")
-    out = re.sub(r"\n\n+", "\n\n", out)
-    out = re.sub(r"(?i)page\s*\d+\s*of\s*\d+", "", out)
-    out = re.sub(r"(?m)^\s*\d+\s*$", "", out)
-    return out.strip()
-
-
-def samples():
-    rng = random.Random(7)
-    rows = [
-        "", "\n", "a\n", "a\r\nb", "a\x0cb\x1cc\x85d e\n\n", " \t x\x1f ", "page 3 OF 9 x",
-        "a\n\n 12 \n\n\nb", "a--b--c", "3//11", "...", "x" * 3000 + ",, --", "aa" * 30, "ab" * 40,
-        "aabbccddeeffgghhiijjkkllmmnnoo", "aabbccddeeffgghhiijjkkllmmnnooppaaa éé", "wwwoooorrrd" * 9,
-    ]
-    for _ in range(400):
-        doubled = rng.random() < 0.3
-        base = "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(120)))
-        if doubled:
-            base = "".join(c * 2 for c in base)
-        if rng.random() < 0.1:
-            base = base * 40
-        rows.append(base)
-    return rows
-
-
-def test_columns_equal_plain_python(spark):
-    rows = samples()
-    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
-    out = {
-        r.id: r
-        for r in tx.clean_text(
-            df.withColumn("raw", F.col("text"))
-            .withColumn("stripped", tx.strip(F.col("raw")))
-            .withColumn("lines", tx.lines_of(F.col("raw")))
-            .withColumn("n_lines", tx.line_count(F.col("raw")))
-        ).collect()
-    }
-    only_letters = {r.id: r.text for r in tx.with_collapsed_letters(df).collect()}
-    only_marks = {r.id: r.text for r in tx.with_collapsed_marks(df).collect()}
-    for i, text in enumerate(rows):
-        assert out[i].stripped == text.strip(), repr(text)
-        assert out[i].lines == text.splitlines(), repr(text)
-        assert out[i].n_lines == len(text.splitlines())
-        assert only_letters[i] == letters(text), repr(text)
-        assert only_marks[i] == marks(text), repr(text)
-        assert out[i].text == clean(text), repr(text)
+TERMINATED = ["", "\n", "a\n", "a\r\nb", "a\x0cb\x1cc\x85d e\n\n", " \t x\x1f ", "x\u2028y", "\xa0 z \x0b"]
+
+LETTERS = [  # doubled texts, by hand
+    ("aabbccddeeffgghhiijjkkllmmnnoopp", "abcdefghijklmnop"),
+    ("aabbccddeeffgghhiijjkkllmmnnoo", "aabbccddeeffgghhiijjkkllmmnnoo"),  # thirty are too few
+    ("aabbccddeeffgghhiijjkkllmmnnooppéé 11", "abcdefghijklmnopé 1"),
+    ("ab" * 40, "ab" * 40),
+    ("x " * 3000 + "aabb " * 2000, "x " * 3000 + "ab " * 2000),  # the fault starts late
+]
+
+MARKS = [
+    ("a,, b.. c:: d;; e", "a, b. c: d; e"),
+    ("one '' two `` three (( four )) five ’’", "one ' two ` three ( four ) five ’"),
+    ("3//11 a--b--c - -- x", "3//11 a-b--c - -- x"),
+    ("...", ".."),
+    ("x" * 4000 + ",, y--z", "x" * 4000 + ", y-z"),  # the fault starts late
+]
+
+CLEAN = [
+    ("page 3 OF 9 x", "x"),
+    ("a\r\nb\rc", "a\n\nb\nc"),
+    ("a\n\n 12 \n\n\nb", "a\n\nb"),
+    ("\t\xa0 text \n", "text"),
+    ("", ""),
+]
+
+
+def both(spark, pairs, apply):
+    df = spark.createDataFrame([(i, before) for i, (before, _) in enumerate(pairs)], "id long, text string")
+    got = {r.id: r.text for r in apply(df).collect()}
+    assert got == {i: after for i, (_, after) in enumerate(pairs)}
+
+
+def test_lines_and_strip_follow_unicode(spark):
+    df = spark.createDataFrame(list(enumerate(TERMINATED)), "id long, text string")
+    t = F.col("text")
+    for r in df.select("text", tx.strip(t).alias("s"), tx.lines_of(t).alias("l"), tx.line_count(t).alias("n")).collect():
+        assert (r.s, r.l, r.n) == (r.text.strip(), r.text.splitlines(), len(r.text.splitlines()))
+
+
+def test_doubled_letters(spark):
+    both(spark, LETTERS, tx.with_collapsed_letters)
+
+
+def test_doubled_marks(spark):
+    both(spark, MARKS, tx.with_collapsed_marks)
+
+
+def test_clean_text(spark):
+    both(spark, CLEAN, tx.clean_text)
 
 
 def test_null_text_and_switches(spark):
