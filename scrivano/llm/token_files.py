@@ -39,7 +39,7 @@ SEGMENT = 1 << 20
 ROWS = (4369, 1 << 14, 1 << 14)
 NODES = (0, 1, 17, 273)
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 700_000
+CACHE = 300_000
 MARKS = ".,;:!?*#$%&()[]{}+=-/@"
 _K = [np.uint32(k) for k in (40_503, 60_013, 977, 0x9E3779B1, 0x85EBCA77, 0x1F123BB5, 0xC2B2AE35)]
 _FIRST, _SECOND = np.uint32(18), np.uint32((1 << 14) - 1)
