@@ -46,9 +46,12 @@ def buckets_of(data, offsets):
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Vectors of all word buckets, learned from every document."""
-    index = index_vectors()
+    made: list[np.ndarray] = []  # drawn anew by each task
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        if not made:
+            made.append(index_vectors())
+        index = made[0]
         for _, data, offsets in text_chunks(batch.column(0)):
             words, first = buckets_of(data, offsets)
             if not len(words):
@@ -68,7 +71,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
             held = ordered[heads]
             total[held[held < BUCKETS]] += sums[held < BUCKETS]
 
-    context = matrix_sum(texts, BUCKETS, WIDTH, add)
+    context, index = matrix_sum(texts, BUCKETS, WIDTH, add), index_vectors()
     length = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = np.zeros((BUCKETS + 1, WIDTH), np.float32)
     vectors[:BUCKETS] = context / np.maximum(length, 1e-9) + index[:BUCKETS] / NONZERO**0.5
