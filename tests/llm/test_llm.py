@@ -240,6 +240,52 @@ def test_near_lines_are_linked_when_hash_and_edits_agree(spark):
     assert line_dedup.linked_lines(line_dedup._lines(lines), Scratch(spark)).count() == 0
 
 
+def test_line_links_match_brute_force(spark):
+    base = [prose(40) for _ in range(4)]
+    texts = []
+    for i in range(60):  # groups of near lines, some of them changed beyond the similarity
+        words = base[i % 4].split(" ")
+        for _ in range(i % 3):
+            words[random.randrange(len(words))] = random.choice(WORDS)
+        texts.append(" ".join(words + [random.choice(WORDS)] * (i % 7 == 0)))
+    lines = line_dedup._lines(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+    sims = {r.name: r for r in line_dedup._simhashes(lines).collect()}
+    hashed = {}
+    for row in spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", F.xxhash64("w").alias("h")).collect():
+        hashed[row.w] = row.h
+    mask = (1 << 64) - 1
+    for r in sims.values():
+        words = r.norm.split(" ")
+        want = sum(1 << k for k in range(64) if 2 * sum((hashed[w] & mask) >> k & 1 for w in words) > len(words))
+        assert r.sim & mask == want
+
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    names, root = sorted(sims), {n: n for n in sims}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, u in enumerate(names):
+        for v in names[i + 1 :]:
+            a, b = sims[u], sims[v]
+            near = ((a.sim ^ b.sim) & mask).bit_count() <= line_dedup.BITS
+            if near and edits(a.norm, b.norm) <= int(max(len(a.norm), len(b.norm)) * 0.2 + 1e-9):
+                x, y = sorted((find(u), find(v)))
+                root[y] = x
+    got = {r.node: r.root for r in line_dedup.linked_lines(lines, Scratch(spark)).collect()}
+    assert len(got) > 10 and got == {n: find(n) for n in names if find(n) != n}
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(20, 16))
