@@ -249,7 +249,7 @@ def test_line_links_match_brute_force(spark):
             words[random.randrange(len(words))] = random.choice(WORDS)
         texts.append(" ".join(words + [random.choice(WORDS)] * (i % 7 == 0)))
     lines = line_dedup._lines(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
-    sims = {r.name: r for r in line_dedup._simhashes(lines).collect()}
+    sims = {r.name: r for r in line_dedup._simhashes(lines).join(lines.select("name", "norm").distinct(), "name").collect()}
     hashed = {}
     for row in spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", F.xxhash64("w").alias("h")).collect():
         hashed[row.w] = row.h
