@@ -7,27 +7,36 @@ from pyspark.sql import functions as F
 
 from scrivano.functions.text import any_contains
 
-# Look-ahead length, phrases and score adjustments of the definition boost.
-HEAD_CHARS = 100
+# Phrases and score adjustments of the definition boost.
 DEFINITION_WORD = "definition"
 DEFINING_PHRASES = (" is ", " means ", " refers to ")
 DEFINITION_BONUS = 0.2
 PHRASE_BONUS = 0.1
-SHORT_BELOW = 50
 SHORT_PENALTY = 0.1
 # (word present, word absent, penalty): a section on the first term only is a likely mix-up.
 CONFUSABLE_TERMS = (("mudarabah", "murabahah", 0.15),)
 
 
-def definition_score(distance: Column, content: Column, penalties=()) -> Column:
-    """Distance lowered for defining sections, raised for stubs and for confusable terms."""
+def definition_score(
+    distance: Column,
+    content: Column,
+    penalties=(),
+    head_chars: int | None = None,
+    short_below: int | None = None,
+) -> Column:
+    """Distance lowered for defining sections and raised for confusable terms.
+
+    The whole content counts. ``head_chars`` looks for the phrases in its first characters only, and
+    ``short_below`` raises the distance of shorter contents.
+    """
     low = F.lower(content)
-    head = F.substring(low, 1, HEAD_CHARS)
+    head = F.substring(low, 1, head_chars) if head_chars else low
     score = distance - F.when(F.contains(head, F.lit(DEFINITION_WORD)), DEFINITION_BONUS).otherwise(
         0.0
     )
     score = score - F.when(any_contains(head, DEFINING_PHRASES), PHRASE_BONUS).otherwise(0.0)
-    score = score + F.when(F.length(content) < SHORT_BELOW, SHORT_PENALTY).otherwise(0.0)
+    if short_below:
+        score = score + F.when(F.length(content) < short_below, SHORT_PENALTY).otherwise(0.0)
     for present, absent, penalty in penalties:
         mixed_up = F.contains(low, F.lit(present)) & ~F.contains(low, F.lit(absent))
         score = score + F.when(mixed_up, penalty).otherwise(0.0)

@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 
 from scrivano.functions.text import preview
 
-# Retained turns, turns in a context, and character limits.
+# Retained turns, turns in a context, recent queries and listed characters.
 MAX_HISTORY = 10
 CONTEXT_TURNS = 5
-RESPONSE_CHARS = 500
-MAX_CONTEXT_CHARS = 4000
 RECENT_QUERIES = 3
 LISTED_PREVIEW = 60
 
@@ -74,13 +72,14 @@ def metadata_json(metadata: Column) -> Column:
     return F.concat(F.lit("{\n  "), entries, F.lit("\n}"))
 
 
-def turn_part(include_metadata: bool = False) -> Column:
-    """One turn as it appears in a context; the response is cut and always followed by dots."""
+def turn_part(include_metadata: bool = False, response_chars: int | None = None) -> Column:
+    """One turn as it appears in a context; ``response_chars`` cuts the response and adds dots."""
+    response = F.col("response")
+    if response_chars is not None:
+        response = preview(response, response_chars, "always")
     pieces = [
         F.concat(F.lit("User: "), F.col("query")),
-        F.concat(
-            F.lit("Assistant: "), preview(F.col("response"), RESPONSE_CHARS, "always")
-        ),
+        F.concat(F.lit("Assistant: "), response),
     ]
     if include_metadata:
         pieces.append(
@@ -92,8 +91,9 @@ def turn_part(include_metadata: bool = False) -> Column:
     return F.concat_ws("\n\n", *pieces)
 
 
-def _join_parts(parts: Column, max_chars: int) -> Column:
-    return F.right(F.array_join(parts, "\n\n"), F.lit(max_chars))
+def _join_parts(parts: Column, max_chars: int | None) -> Column:
+    whole = F.array_join(parts, "\n\n")
+    return whole if max_chars is None else F.right(whole, F.lit(max_chars))
 
 
 def session_context(
@@ -101,7 +101,7 @@ def session_context(
     include_metadata: bool = False,
     max_history: int = MAX_HISTORY,
     context_turns: int = CONTEXT_TURNS,
-    max_chars: int = MAX_CONTEXT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Context of every session after its last turn, oldest turn first."""
     kept = last_turns(
@@ -119,7 +119,7 @@ def context_before_turn(
     include_metadata: bool = False,
     max_history: int = MAX_HISTORY,
     context_turns: int = CONTEXT_TURNS,
-    max_chars: int = MAX_CONTEXT_CHARS,
+    max_chars: int | None = None,
     slice_turns: int = SLICE_TURNS,
 ) -> DataFrame:
     """The context that each turn saw, before it was added: ``session_id, turn_no, context``.

@@ -39,7 +39,6 @@ SECTION_HEADER = r"(?dU)^(\d+)(?://(\d+)(?://(\d+))?)?[\s\x1c-\x1f]+(.+)$"
 APPENDIX_TITLES = ("Appendices", "Appendix")
 STANDARD_HEADER_CURLY = r"(?iuU)^Shari’ah Standard No\."
 REVISION_NOTE = "(Revised Standard)"
-SHORT_SECTION = 100
 
 # Control characters that end a line and so never occur inside one.
 FLUSH, FIELD, SECTION = "\x1c", "\x1d", "\x1e"
@@ -181,14 +180,13 @@ def extract_sections(
 
 
 def drop_toc_sections(sections: DataFrame) -> DataFrame:
-    """Drop sections that are mostly, wholly, or (when short) partly table-of-contents text."""
+    """Drop sections that are mostly or wholly table-of-contents lines, whatever their length."""
     content = F.col("content")
     lines = F.split(content, "\n", -1)
     toc_lines = F.size(F.filter(F.transform(lines, strip), is_toc_entry))
     total = F.regexp_count(content, F.lit("\n")) + 1
     mostly = F.contains(content, F.lit("...")) & (toc_lines > total * 0.5)
-    short_leader = (F.length(content) < SHORT_SECTION) & _with_leader(content, LEADER_INSIDE)
-    return sections.filter(~(mostly | is_toc_entry(strip(content)) | short_leader))
+    return sections.filter(~(mostly | is_toc_entry(strip(content))))
 
 
 def sectionize(

@@ -11,7 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scrivano.operators.memory import (
     CONTEXT_TURNS,
-    MAX_CONTEXT_CHARS,
     MAX_HISTORY,
     turn_part,
 )
@@ -24,7 +23,7 @@ def stream_contexts(
     turns: DataFrame,
     max_history: int = MAX_HISTORY,
     context_turns: int = CONTEXT_TURNS,
-    max_chars: int = MAX_CONTEXT_CHARS,
+    max_chars: int | None = None,
     watermark: str | None = None,
     idle: str | None = None,
 ) -> DataFrame:
@@ -63,7 +62,9 @@ def stream_contexts(
             if turn_no <= last:
                 continue
             context = "\n\n".join(parts)
-            rows.append((key[0], turn_no, context[-max_chars:] if max_chars else ""))
+            if max_chars is not None:
+                context = context[-max_chars:] if max_chars else ""
+            rows.append((key[0], turn_no, context))
             parts = (parts + [part])[-keep:]
             last, seen = int(turn_no), max(int(ms), seen or 0)
         if seen is not None:

@@ -53,7 +53,7 @@ _SQL_META = """case when turn % 3 <> 2 then '{' || chr(10) || '  "standards_foun
     || chr(10) || '}' end"""
 _SQL_LONG = f"""turns as (select {_LONG} as session_id, conv_id * 100 + turn as turn_no,
     role as query, text as response, {_SQL_META} as meta from conversations)"""
-_PART = "'User: ' || query || chr(10) || chr(10) || 'Assistant: ' || substr(response, 1, 500) || '...'"
+_PART = "'User: ' || query || chr(10) || chr(10) || 'Assistant: ' || response"
 _PART_META = f"""{_PART} || case when meta is null then '' else chr(10) || chr(10) || 'Context: '
   || meta end"""
 
@@ -88,8 +88,8 @@ def last_two_turns(spark, sf_dir):
 
 @REGISTRY.add(
     "session_context",
-    f"""with {_SQL_TURNS}, {_sql_back(5)} select session_id, right(string_agg({_PART},
-      chr(10) || chr(10) order by turn_no), 4000) as context from kept group by session_id""",
+    f"""with {_SQL_TURNS}, {_sql_back(5)} select session_id, string_agg({_PART},
+      chr(10) || chr(10) order by turn_no) as context from kept group by session_id""",
 )
 def session_context(spark, sf_dir):
     return mem.session_context(_turns(spark, sf_dir))
@@ -97,31 +97,31 @@ def session_context(spark, sf_dir):
 
 @REGISTRY.add(
     "session_context_with_metadata",
-    f"""with {_SQL_LONG}, {_sql_back(5)} select session_id, right(string_agg({_PART_META},
-      chr(10) || chr(10) order by turn_no), 4000) as context from kept group by session_id""",
+    f"""with {_SQL_LONG}, {_sql_back(5)} select session_id, string_agg({_PART_META},
+      chr(10) || chr(10) order by turn_no) as context from kept group by session_id""",
 )
 def session_context_with_metadata(spark, sf_dir):
     return mem.session_context(_long_turns(spark, sf_dir), include_metadata=True)
 
 
-def _sql_before(source, max_chars, part=_PART):
-    return f"""with {source} select session_id, turn_no, right(coalesce(string_agg({part},
+def _sql_before(source, part=_PART):
+    return f"""with {source} select session_id, turn_no, coalesce(string_agg({part},
       chr(10) || chr(10)) over (partition by session_id order by turn_no
-      rows between 5 preceding and 1 preceding), ''), {max_chars}) as context from turns"""
+      rows between 5 preceding and 1 preceding), '') as context from turns"""
 
 
-@REGISTRY.add("context_before_turn", _sql_before(_SQL_TURNS, 1500))
+@REGISTRY.add("context_before_turn", _sql_before(_SQL_TURNS))
 def context_before_turn(spark, sf_dir):
-    return mem.context_before_turn(_turns(spark, sf_dir), max_chars=1500)
+    return mem.context_before_turn(_turns(spark, sf_dir))
 
 
-@REGISTRY.add("context_before_turn_sliced", _sql_before(_SQL_LONG, 4000, _PART_META))
+@REGISTRY.add("context_before_turn_sliced", _sql_before(_SQL_LONG, _PART_META))
 def context_before_turn_sliced(spark, sf_dir):
     turns = _long_turns(spark, sf_dir)
     return mem.context_before_turn(turns, include_metadata=True, slice_turns=900)
 
 
-@REGISTRY.add("stream_contexts", _sql_before(_SQL_LONG, 4000))
+@REGISTRY.add("stream_contexts", _sql_before(_SQL_LONG))
 def stream_contexts_query(spark, sf_dir):
     """The same contexts from a stream: state per session, turns written as they arrive."""
     source, out, marks = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "marks"))
@@ -188,9 +188,9 @@ def clear_sessions(spark, sf_dir):
     f"""with {_SQL_LONG}, {_sql_back(10)}, numbered as (select *, row_number() over
       (partition by session_id order by turn_no) as number from kept)
     select session_id, back as position, number, case when query = 'user'
-      then 'Question #' || number || ' - ' || substr(substr(response, 1, 100), 1, 60) || '... ('
+      then 'Question #' || number || ' - ' || substr(response, 1, 60) || '... ('
         || (turn_no % 4) || ' standards)'
-      else 'Analysis #' || number || ' - ' || substr(substr(response, 1, 100), 1, 60) || '... ('
+      else 'Analysis #' || number || ' - ' || substr(response, 1, 60) || '... ('
         || (turn_no % 4) || ' standards, ' || len(response) || ' chars)' end as label
     from numbered""",
 )
@@ -199,7 +199,7 @@ def history_listing(spark, sf_dir):
         "session_id",
         "turn_no",
         (F.col("query") == "user").alias("is_question"),
-        F.substring("response", 1, 100).alias("preview"),
+        F.col("response").alias("preview"),
         (F.col("turn_no") % 4).alias("standards_found"),
         F.length("response").alias("text_length"),
     )
@@ -279,8 +279,8 @@ def _sql_template(template, text, sections):
     return "'" + out + "'"
 
 
-_SQL_REQUESTS = f"""{_SQL_TURNS}, {_sql_back(5)}, contexts as (select session_id, right(
-      string_agg({_PART}, chr(10) || chr(10) order by turn_no), 4000) as context
+_SQL_REQUESTS = f"""{_SQL_TURNS}, {_sql_back(5)}, contexts as (select session_id,
+      string_agg({_PART}, chr(10) || chr(10) order by turn_no) as context
       from kept group by session_id),
     {search._SQL_QUERIES}, {_SQL_SECTIONS_CONTEXT},
     requests as (select q.query_id, q.query, case when coalesce(context, '') <> '' then chr(10)
@@ -302,11 +302,11 @@ def question_prompts(spark, sf_dir):
 @REGISTRY.add(
     "contract_prompts",
     f"""with {search._SQL_LABEL_HITS}, sc as (select query_id, string_agg({_QUOTED},
-        chr(10) || chr(10) order by place) filter (where place <= 5) as sections from near
+        chr(10) || chr(10) order by place) as sections from near
         group by query_id),
       requests as (select doc_id as query_id, text as query, '' as history, sections
         from documents left join sc on sc.query_id = doc_id)
-    select query_id, query, {_sql_template(prompts.CONTRACT_TEMPLATE, 'substr(query, 1, 3000)',
+    select query_id, query, {_sql_template(prompts.CONTRACT_TEMPLATE, 'query',
       'sections')} as prompt from requests""",
 )
 def contract_prompts(spark, sf_dir):

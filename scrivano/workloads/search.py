@@ -433,13 +433,12 @@ _SQL_PAIRS = f"""{_sql_vectors('sections', 'doc_id', 'content', 'dv')},
 def _sql_score(topics):
     topic = """+ case when contains(lower(content), 'mudarabah')
       and not contains(lower(content), 'murabahah') then 0.15::double else 0.0::double end"""
-    return f"""(distance - case when contains(substr(lower(content), 1, 100), 'definition')
+    return f"""(distance - case when contains(lower(content), 'definition')
       then 0.2::double else 0.0::double end
-    - case when contains(substr(lower(content), 1, 100), ' is ')
-        or contains(substr(lower(content), 1, 100), ' means ')
-        or contains(substr(lower(content), 1, 100), ' refers to ')
-      then 0.1::double else 0.0::double end
-    + case when len(content) < 50 then 0.1::double else 0.0::double end {topic if topics else ''})"""
+    - case when contains(lower(content), ' is ')
+        or contains(lower(content), ' means ')
+        or contains(lower(content), ' refers to ')
+      then 0.1::double else 0.0::double end {topic if topics else ''})"""
 
 
 _HIT_COLUMNS = """query_id, rank, 'section_' || doc_id as id, section_number,

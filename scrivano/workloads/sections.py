@@ -117,8 +117,7 @@ _SECTION_COLUMNS = """doc_id, section_number, section_path, content,
 _FILTERED = rf"""kept as (select * from all_rows
     where not (len(list_filter(string_split(content, chr(10)), lambda x: {_IS_TOC.format(x='trim(x)')}))
         > len(string_split(content, chr(10))) * 0.5)
-      and not {_IS_TOC.format(x='content')}
-      and not (len(content) < 100 and regexp_matches(content, '\.{{3,}}\s*\d+')))"""
+      and not {_IS_TOC.format(x='content')})"""
 _UP_TO_ROWS = f"with {_SRC}, {_CUT}, {_CLEAN}, {_ROWS}"
 
 

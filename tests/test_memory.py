@@ -19,7 +19,7 @@ SCHEMA = (
 
 def render(turn, with_metadata):
     _, _, query, response, metadata = turn
-    parts = [f"User: {query}", f"Assistant: {response[:500]}..."]
+    parts = [f"User: {query}", f"Assistant: {response}"]
     if with_metadata and metadata:
         kept = {k: v for k, v in metadata.items() if v is not None}
         parts.append("Context: " + json.dumps(kept, indent=2))
@@ -161,8 +161,10 @@ def test_prompts_and_records(spark):
     assert asked[3] == "T:none|H:|S:|{other}"
     contract = {r.query_id: r.prompt
                 for r in prompts.build_prompts(requests, hits, "contract", template).collect()}
-    assert contract[1].startswith(f"T:{'q' * 3000}|") and "text 5" in contract[1]
-    assert "text 6" not in contract[1]
+    assert contract[1] == asked[1]
+    cut = prompts.build_prompts(requests, hits, "contract", template, max_chars=3000, top=5)
+    cut = {r.query_id: r.prompt for r in cut.collect()}
+    assert cut[1].startswith(f"T:{'q' * 3000}|") and "text 5" in cut[1] and "text 6" not in cut[1]
 
     responses = spark.createDataFrame([(1, "yes", "m", "p", 9), (3, "no", "m", "p", None)],
                                       "query_id long, text string, model string, provider string, tokens_used int")

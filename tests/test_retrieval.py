@@ -79,11 +79,14 @@ def test_boost_rules_and_stable_order(spark):
         [(1, i + 1, c, 0.5) for i, c in enumerate(contents)],
         "query_id long, rank int, content string, distance double",
     )
-    score = scoring.definition_score(F.col("distance"), F.col("content"), scoring.CONFUSABLE_TERMS)
-    scores = [round(r.s, 6) for r in hits.orderBy("rank").select(score.alias("s")).collect()]
-    assert scores == [0.5, 0.5, 0.3, 0.5, 0.3, 0.4, 0.6, 0.5, 0.65, 0.5]
+    def scores(**limits):
+        score = scoring.definition_score(F.col("distance"), F.col("content"), scoring.CONFUSABLE_TERMS, **limits)
+        return [round(r.s, 6) for r in hits.orderBy("rank").select(score.alias("s")).collect()]
+
+    assert scores() == [0.5, 0.5, 0.3, 0.3, 0.3, 0.4, 0.5, 0.5, 0.65, 0.5]
+    assert scores(head_chars=100, short_below=50) == [0.5, 0.5, 0.3, 0.5, 0.3, 0.4, 0.6, 0.5, 0.65, 0.5]
     plain = boost_definitions(hits).orderBy("rank").collect()
-    assert [contents.index(r.content) for r in plain] == [2, 4, 5, 0, 1, 3, 7, 8, 9, 6]
+    assert [contents.index(r.content) for r in plain] == [2, 3, 4, 5, 0, 1, 6, 7, 8, 9]
     off = boost_definitions(hits, F.lit(False)).orderBy("rank").collect()
     assert [r.content for r in off] == contents and {r.distance for r in off} == {0.5}
 
