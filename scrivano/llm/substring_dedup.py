@@ -37,6 +37,7 @@ LENGTH = 200
 GRAM = 32
 SHORT = 64
 GROUP = 3_000  # contexts, about a megabyte of text
+PLACES = 1 << 24  # places are known modulo this
 
 
 def gram_hashes(data: np.ndarray, size: int, values: np.ndarray = _VALUES) -> np.ndarray:
@@ -47,12 +48,13 @@ def gram_hashes(data: np.ndarray, size: int, values: np.ndarray = _VALUES) -> np
     return mix((sums[size:] - sums[:-size]) * inverse[: len(data) - size + 1])
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int, places: int = PLACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, first start, last start) of the anchors of one text's strings, in order."""
     grams = gram_hashes(data, GRAM)
     wide = length - GRAM + 1
     n = len(grams)
-    key = (grams & ~np.uint64((1 << 24) - 1)) | (np.arange(n, dtype=np.uint64) & np.uint64((1 << 24) - 1))
+    low = np.uint64(places - 1)
+    key = (grams & ~low) | (np.arange(n, dtype=np.uint64) & low)
     rows = -(-n // wide)
     padded = np.full(rows * wide, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = key
@@ -63,8 +65,7 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     least = np.minimum(back[starts], ahead[starts + wide - 1])
     cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     last = np.append(cut[1:], len(starts)) - 1
-    place = (least[cut] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    place += (cut - place) // (1 << 24) * (1 << 24) if n >= 1 << 24 else 0
+    place = cut + ((least[cut] & low).astype(np.int64) - cut) % places  # at the start or after it
     return grams[place], place, cut, last
 
 

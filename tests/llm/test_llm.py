@@ -235,6 +235,17 @@ def test_lines_that_differ_little_stay_once(spark):
     assert out[3].text is None and out[4].text == ""
 
 
+def test_anchors_of_texts_longer_than_the_place_modulus():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 123, 6000).astype(np.uint8)
+    data[5000:5400] = data[700:1100]
+    hashes, places, first, last = substring_dedup.anchors(data, 200, places=256)
+    assert ((places >= first) & (places <= last + 200 - substring_dedup.GRAM)).all()
+    for found, whole in zip((hashes, places, first, last), substring_dedup.anchors(data, 200)):
+        assert found.tolist() == whole.tolist()
+    assert set(hashes[(first >= 700) & (last <= 900)].tolist()) <= set(hashes[first >= 4900].tolist())
+
+
 def test_near_lines_are_linked_when_hash_and_edits_agree(spark):
     lines = spark.createDataFrame([(1, "\n".join(prose(30) for _ in range(5)))], "doc_id long, text string")
     assert line_dedup.linked_lines(line_dedup._lines(lines), Scratch(spark)).count() == 0
