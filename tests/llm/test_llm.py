@@ -297,6 +297,32 @@ def test_line_links_match_brute_force(spark):
     assert len(got) > 10 and got == {n: find(n) for n in names if find(n) != n}
 
 
+def test_lines_of_ordinary_length_are_linked_by_edits_alone(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for n in (1, 2, 3, 5, 8, 10, 14, 20, 30, 40, 60):  # a line and a copy with one word, or a tenth of them, replaced
+        for _ in range(12):
+            words = ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n)]
+            changed = list(words)
+            for at in rng.sample(range(n), max(1, n // 10)):
+                if n < 8:  # one letter
+                    changed[at] = changed[at][:-1] + rng.choice(letters)
+                else:
+                    changed[at] = "".join(rng.choices(letters, k=len(changed[at])))
+            texts += [" ".join(words), " ".join(changed)]
+    lines = line_dedup._lines(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+    names = lines.select("name", "norm").distinct()
+    a, b = names.select(F.col("name").alias("u"), F.col("norm").alias("l")), names.select(F.col("name").alias("v"), F.col("norm").alias("r"))
+    near = a.crossJoin(b).filter(
+        (F.col("u") < F.col("v")) & (F.levenshtein("l", "r") <= F.floor(F.greatest(F.length("l"), F.length("r")) * 0.2 + 1e-9))
+    )
+    pairs = near.select("u", "v").collect()
+    root = {r.node: r.root for r in line_dedup.linked_lines(lines, Scratch(spark)).collect()}
+    assert len(pairs) > 110
+    assert [(u, v) for u, v in pairs if root.get(u, u) != root.get(v, v)] == []
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(20, 16))
