@@ -4,7 +4,9 @@ A page becomes a tree. Paragraphs pass points to their parent and, halved, to th
 point, one per comma, one per hundred characters up to three; a container's score is discounted by
 its link density. The best container, its content siblings and the article that holds it are kept.
 Parts that are never main text (scripts, menus, footers, adverts, forms, comments, notices) are cut
-by element, role and class name before scoring.
+by element, role and class name before scoring. Forms and parts cut by name stay where they hold most of
+the points of a page without an article elsewhere, or of the article around them, or its only article;
+comments do where nothing else is left.
 
 A null or empty page gives the empty text; a page without any element is read as one block. Broken
 markup is repaired like browsers do: a block closes an open paragraph, unknown end tags are ignored,
@@ -42,7 +44,7 @@ SIBLING_CLOSE = {
 }
 DROPPED = frozenset(
     "script style noscript template iframe object embed svg math canvas audio video map head title nav aside "
-    "footer form button select textarea input label menu dialog search fieldset frame frameset applet".split()
+    "footer button select textarea input label menu dialog search fieldset frame frameset applet".split()
 )
 DROPPED_ROLE = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
@@ -55,40 +57,51 @@ DROPPED_NAME = re.compile(
     r"outbrain|taboola|skip-?link|hidden)(?=$|[\s_-])",
     re.I,
 )
+STATE_NAME = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-][\w-]*", re.I)
+COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|replies|respond|discussion)(?=$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "score", "chars", "linked", "points")
+    __slots__ = ("tag", "up", "kids", "score", "chars", "linked", "points", "doubt")
 
     def __init__(self, tag: str, up: "Node | None") -> None:
         self.tag, self.up, self.kids = tag, up, []
         self.score, self.chars, self.linked, self.points = 0.0, 0, 0, False
+        self.doubt = ""  # "part" or "comments" where its name asks for it to be cut
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
+    """"cut", "part" or "comments" for what is to be cut, the latter two after a look at the whole page."""
     if tag in DROPPED or (tag == "header" and not inside_article):
-        return True
+        return "cut"
+    doubt = "part" if tag == "form" else ""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return doubt
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            if DROPPED_NAME.search(value):
-                return True
+            value = STATE_NAME.sub("", value)
+            if COMMENT_NAME.search(value):
+                doubt = "comments"
+            elif DROPPED_NAME.search(value):
+                doubt = doubt or "part"
         elif name == "role" and value.strip().lower() in DROPPED_ROLE:
-            return True
+            return "cut"
         elif name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return "cut"
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+            return "cut"
+    if re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        return "cut"
+    return doubt
 
 
 def parse(page: str) -> Node:
     """Tree of wanted elements; text is kept as strings among the children."""
     root = node = Node("#root", None)
     muted = None  # the open element whose content is cut
+    doubts = False
     at, size = 0, len(page)
     while at < size:
         found = TOKEN.search(page, at)
@@ -132,9 +145,11 @@ def parse(page: str) -> Node:
             continue
         child = Node(tag, node)
         if muted is None:
-            if _unwanted(tag, attributes, _in_article(node)):
+            unwanted = _unwanted(tag, attributes, _in_article(node))
+            if unwanted == "cut":
                 muted = child
             else:
+                child.doubt, doubts = unwanted, doubts or bool(unwanted)
                 node.kids.append(child)
         node = child
         if tag in RAW:
@@ -143,9 +158,70 @@ def parse(page: str) -> Node:
             if muted is child:
                 muted = None
             node = child.up
+    if doubts:
+        _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Cut the parts whose names ask for it, outermost first, but not those that are the page's main part."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(k for k in node.kids if type(k) is Node)
+    _lengths(order)
+    whole: dict[Node, float] = {}
+    for node in reversed(order):
+        # Letters count a little, so that pages without any paragraph are settled as well.
+        text = 0 if node.tag == "a" else sum(len(k) for k in node.kids if type(k) is str and not k.isspace())
+        plain = 1 - node.linked / node.chars if node.chars else 0
+        whole[node] = _worth(node) * plain + text / 1e6 + sum(whole[k] for k in node.kids if type(k) is Node)
+    while True:
+        # What stays if all is cut, the articles in it, and the outermost doubtful parts with their article.
+        rest: dict[Node, float] = {}
+        articles: set[Node] = set()
+        for node in reversed(order):
+            kids = [k for k in node.kids if type(k) is Node]
+            rest[node] = whole[node] - sum(whole[k] - (0 if k.doubt else rest[k]) for k in kids)
+            if node.tag in ("article", "main") and whole[node] > 0 or any(k in articles for k in kids):
+                articles.add(node)
+        open_article, doubtful, stack = False, [], [(root, root)]
+        while stack:
+            node, scope = stack.pop()
+            if node.doubt:
+                doubtful.append((node, scope))
+                continue
+            if node.tag in ("article", "main"):
+                scope, open_article = node, open_article or rest[node] > 0
+            stack.extend((k, scope) for k in node.kids if type(k) is Node)
+        if not doubtful:
+            break
+        gone = set()
+        for node, scope in doubtful:
+            most = 2 * whole[node] > whole[scope] and (node.doubt == "part" or rest[scope] < 0.5)
+            if scope is root and open_article:
+                most = False  # an advert longer than the article is still an advert
+            if most or node in articles and scope is root and not open_article:
+                node.doubt = ""
+            else:
+                gone.add(node)
+        for up in {node.up for node in gone}:
+            up.kids = [k for k in up.kids if type(k) is str or k not in gone]
+        for node in gone:  # what went does not count any more
+            up = node.up
+            while up is not None:
+                whole[up] -= whole[node]
+                up = up.up
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(k for k in node.kids if type(k) is Node)
+    for node in order:
+        node.chars = node.linked = 0
+
+
 def _in_article(node: Node) -> bool:
     while node is not None:
         if node.tag in ("article", "main"):
@@ -190,26 +266,11 @@ def _measure(root: Node) -> list[Node]:
         order.append(node)
         stack.extend(k for k in node.kids if type(k) is Node)
     scored = []
-    for node in reversed(order):
-        for kid in node.kids:
-            if type(kid) is str:
-                node.chars += len(kid) - kid.count("\n")
-            else:
-                node.chars += kid.chars
-                node.linked += kid.linked
-        if node.tag == "a":
-            node.linked = node.chars
+    _lengths(order)
     for node in order:
-        # A paragraph, or a container that holds text of its own.
-        own = [k for k in node.kids if type(k) is str and not k.isspace()]
-        if node.tag not in BLOCK and node.tag != "#root":
+        points = _worth(node)
+        if not points:
             continue
-        if node.tag not in ("p", "pre", "td", "blockquote", "li") and not own:
-            continue
-        if node.chars < 25:
-            continue
-        commas = _commas(node)
-        points = 1 + commas + min(node.chars // 100, 3)
         up = node.up if node.tag in ("p", "pre", "td", "blockquote", "li") else node
         for share in (1.0, 0.5):
             while up is not None and up.tag not in BLOCK and up.tag != "#root":
@@ -224,6 +285,28 @@ def _measure(root: Node) -> list[Node]:
     return scored
 
 
+def _lengths(order: list[Node]) -> None:
+    for node in reversed(order):
+        for kid in node.kids:
+            if type(kid) is str:
+                node.chars += len(kid) - kid.count("\n")
+            else:
+                node.chars += kid.chars
+                node.linked += kid.linked
+        if node.tag == "a":
+            node.linked = node.chars
+
+
+def _worth(node: Node) -> int:
+    """Points of a paragraph, or of a container that holds text of its own."""
+    own = any(type(k) is str and not k.isspace() for k in node.kids)
+    if node.tag not in BLOCK and node.tag != "#root" or node.chars < 25:
+        return 0
+    if node.tag not in ("p", "pre", "td", "blockquote", "li") and not own:
+        return 0
+    return 1 + _commas(node) + min(node.chars // 100, 3)
+
+
 def _commas(node: Node) -> int:
     total, stack = 0, [node]
     while stack:

@@ -378,6 +378,24 @@ def test_main_text_of_pages(spark):
     assert out[2].text == "" == out[3].text and out[4].n_chars == len(out[4].text)
 
 
+def test_wrappers_with_listed_names_keep_their_text():
+    body = "".join(f"<p>Sentence {i}, with a comma, and quite a few more words in it.</p>" for i in range(4))
+    want = html_text.main_text(f"<article>{body}</article>")
+    assert want.count("\n") == 3
+    menu = "<div class=menu><a href=1>one</a><p>Short, but a menu entry, of some words.</p></div>"
+    for name in ("has-sidebar", "no-sidebar", "layout_with_menu", "page-widget-area", "widget"):
+        assert html_text.main_text(f'<div class="{name}">{menu}<article>{body}</article></div>') == want
+        assert html_text.main_text(f'<div id="{name}">{menu}<div>{body}</div></div>') == want
+    assert html_text.main_text(f"<form action=x>{menu}<article>{body}</article></form>") == want
+    advert = "<div class=ad>Buy this, and that, and more of it, today, for less than ever before.</div>"
+    assert html_text.main_text(f"{advert}<article><h1>A short one</h1><p>Few words.</p></article>") == "A short one\nFew words."
+    many = "".join(f"<article><p>Reader {i} says, something, long, here, indeed.</p></article>" for i in range(9))
+    comments = f'<div class="comment-list">{many}</div>'
+    assert html_text.main_text(f"<article>{body}</article>{comments}") == want
+    assert html_text.main_text(f"<div class=has-sidebar><div>{body}</div></div>{comments.replace('article', 'div')}") == want
+    assert html_text.main_text(f"<article>{body}{comments}</article>") == want
+
+
 def test_empty_tables_give_empty_results(spark, empty, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     benchmark = spark.createDataFrame([], "item_id long, text string")
