@@ -253,6 +253,11 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``share`` for every document that holds a benchmark item."""
+    return _found(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The same for every row that holds one, with ``text_hash``, the hash of its text."""
     texts = docs.select("text")
     weights = inverse_frequency(texts)
     space = latent_space(texts, weights) * weights[:, None]
@@ -272,22 +277,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = matches(batch.column("text"), space, items) if items.names else []
                 at = [i for i, known in enumerate(found) for _ in known]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at, pa.int64())),
+                    [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "text_hash")),
                      pa.array([name for known in found for name in known]).cast(item_arrow),
                      pa.array([share for known in found for share in known.values()], pa.float64())],
-                    names=["doc_id", "item_id", "share"],
+                    names=["doc_id", "text_hash", "item_id", "share"],
                 )
 
         item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, item_id {item_type}, share double")
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        part = rows.mapInArrow(run, f"doc_id {doc_type}, text_hash long, item_id {item_type}, share double")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {doc_type}, item_id {item_type}, share double")
-    return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+        return docs.sparkSession.createDataFrame([], f"doc_id {doc_type}, text_hash long, item_id {item_type}, share double")
+    return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns. An id is clean or not."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    """The documents that hold no benchmark item, with all their columns. An id and its text are clean or not."""
+    found = _found(docs, benchmark).select(F.col("doc_id").alias("_leaked"), F.col("text_hash").alias("_hash")).distinct()
     found = hinted(scratch.keep(found, "leaked"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    leaked = F.col("doc_id").eqNullSafe(F.col("_leaked")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(found, leaked, "left_anti")

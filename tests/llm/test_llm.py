@@ -225,6 +225,27 @@ def test_benchmark_items_are_found_and_others_are_not(spark, docs):
     assert clean.columns == docs.columns and clean.count() == len(ROWS)
 
 
+def test_clean_rows_stay_when_another_of_their_id_is_contaminated(spark):
+    item = prose(30)
+    leaked = prose(40) + " " + item + " " + prose(20)
+    rows = [(None, leaked), (None, prose(60)), (None, None), (7, leaked), (7, prose(50)), (7, ""), (8, prose(70))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    clean = decontamination.clean_documents(frame, benchmark, Scratch(spark)).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter(r for r in rows if r[1] != leaked)
+
+
+def test_rows_of_one_id_do_not_share_the_fate_of_their_lines(spark):
+    line = prose(30)
+    rows = [(None, f"{prose(25)}\n{line}"), (None, f"{prose(25)}\nunlike any other"), (7, line), (7, prose(28)), (7, line),
+            (8, prose(20)), (9, None)]
+    rows.append(rows[5])
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    gone = Counter((r.doc_id, r.text, r.n_removed) for r in out)
+    kept = [(i, t, 0) for i, t in (rows[0], rows[1], rows[3], rows[5], rows[6])]
+    assert gone == Counter(kept + [(7, "", 1), (7, "", 1), (8, "", 1)])
+
+
 def test_lines_that_differ_little_stay_once(spark):
     line = prose(40)
     near = line.replace(line.split(" ")[20], line.split(" ")[20] + "x", 1)
