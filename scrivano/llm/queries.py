@@ -9,6 +9,9 @@ import corpus_pipeline
 from scrivano.llm import (
     ann,
     decontamination,
+    divergence,
+    embedding_dedup,
+    hard_negatives,
     html_text,
     jaccard_join,
     line_dedup,
@@ -94,3 +97,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@REGISTRY.add("op11_embedding_dedup", embedding_dedup.ORACLE)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+@REGISTRY.add("op12_source_divergence", divergence.ORACLE)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@REGISTRY.add("op13_hard_negatives", hard_negatives.ORACLE)
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows, Scratch(spark))
