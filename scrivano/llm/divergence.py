@@ -79,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in held.items():
             terms = list(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms)), pa.array([source] * len(terms)),
+                [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
                  pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n[t] for t in terms], pa.int64()),
                  pa.array([docs[t] for t in terms], pa.int64())],
                 names=["lang", "source", "term", "n", "docs"],
@@ -178,20 +178,22 @@ def _segment(table: pa.Table) -> pa.Table:
     groups, at = np.unique(group, return_inverse=True)
     sizes = np.zeros(len(groups), np.int64)
     sizes[at] = size
-    cell = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+    known = term.is_valid().to_numpy(zero_copy_only=False)
+    cell, width = np.flatnonzero(known), int(total[~known][0])
     coded = term.take(pa.array(cell)).dictionary_encode()
     code = coded.indices.to_numpy()
     weight = np.zeros(len(coded.dictionary), np.int64)
     weight[code] = total[cell]
     rank = np.empty(len(weight), np.int64)
     rank[np.argsort(-weight, kind="stable")] = np.arange(len(weight))
-    leaves = np.zeros((len(groups), max(1, len(weight))), np.int64)
+    # Terms that none of these groups has are zeros at the end.
+    leaves = np.zeros((len(groups), width), np.int64)
     leaves[at[cell], rank[code]] = n[cell]
     left, right = np.triu_indices(len(groups), 1)
     inside = np.isin(groups // SOURCES, [block_a]), np.isin(groups // SOURCES, [block_b])
     meets = (inside[0][left] & inside[1][right]) if block_a != block_b else np.ones(len(left), bool)
     left, right = left[meets], right[meets]
-    forth, back = priced(leaves, sizes, left, right) if len(weight) else (np.zeros(len(left), np.int64),) * 2
+    forth, back = priced(leaves, sizes, left, right)
     lang = table.column("lang")[0].as_py()
     return pa.table(
         {
@@ -216,20 +218,23 @@ def audit(table: DataFrame, scratch: Scratch, least_documents: int = LEAST_DOCUM
     groups = scratch.keep(groups.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("lang"))), "groups")
 
     known = ["lang", "source", "group", "size", "groups", "v"]
-    cells = counts.join(groups.select(*known), ["lang", "source"]).select(*known, "term", "n", "total")
+    cells = counts.join(groups.select(*known), ["lang", "source"]).select(*known, "term", "n", "total", "first")
     segments = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("v") / segment))
     cells = cells.withColumn("segment", F.pmod(F.xxhash64("term"), segments))
-    # Every group takes part in every segment, also where it has none of the terms.
-    marks = groups.select(*known, F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
-    marks = marks.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), segments - 1)))
+    # Every group takes part in every segment, also where it has none of the terms; it brings their number.
+    sizes = cells.groupBy("lang", "segment").agg(F.sum(F.col("first").cast("long")).alias("total"))
+    marks = groups.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), segments - 1))).join(sizes, ["lang", "segment"])
+    marks = marks.withColumn("term", F.lit(None).cast("string")).withColumn("n", F.lit(0).cast("long"))
     own, last = F.floor(F.col("group") / SOURCES), F.floor((F.col("groups") - 1) / SOURCES)
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    dealt = cells.unionByName(marks).withColumn("_tile", F.explode(tiles)).select("lang", "segment", "group", "size", "term", "n", "total", "_tile.*")
+    columns = [*known, "segment", "term", "n", "total"]
+    dealt = cells.select(*columns).unionByName(marks.select(*columns)).withColumn("_tile", F.explode(tiles))
+    dealt = dealt.select("lang", "segment", "group", "size", "term", "n", "total", "_tile.*")
     prices = dealt.groupBy("lang", "segment", "i", "j").applyInArrow(_segment, "lang string, group long, other long, value long")
     name = groups.select("lang", "group", "source")
-    pairs = prices.groupBy("lang", "group", "other").agg(F.sum("value").alias("value"))
-    pairs = pairs.join(name, ["lang", "group"]).join(
-        name.select("lang", F.col("group").alias("other"), F.col("source").alias("item")), ["lang", "other"])
+    prices = prices.groupBy("lang", "group", "other").agg(F.sum("value").alias("value"))
+    met = name.join(name.select("lang", F.col("group").alias("other"), F.col("source").alias("item")), "lang").filter("group <> other")
+    pairs = met.join(prices, ["lang", "group", "other"], "left").fillna(0, ["value"])
 
     def share(n: str, size: str) -> F.Column:
         return F.expr(f"1 + (cast({n} + 1 as decimal(20, 0)) * {UNIT}) div cast({size} as decimal(20, 0))")
