@@ -333,7 +333,8 @@ def _visit(anchors: DataFrame, total: int, blocks: DataFrame, chunks: int, posit
     packs = _packs(anchors, pack, total).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     met = packs.join(zones, ["chunk", "width"]).select("pack", "zones")
     chosen = scratch.keep(met.mapInArrow(_choose(positives, share), CHOICE), "chosen-blocks")
-    read = blocks.select("block", "ids", "labels", "known", "vectors").join(chosen, "block")
+    # Files of chosen anchors are small, as vectors repeat in them, but not what is read from them.
+    read = blocks.select("block", "ids", "labels", "known", "vectors").hint("merge").join(chosen, "block")
     return read.mapInArrow(_read(positives, share, keep), FOUND)
 
 
