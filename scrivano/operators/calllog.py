@@ -1,18 +1,17 @@
 """Operators on a log of external calls: request keys, TTL de-duplication, rates, errors, summaries.
 
-A key may account for a large share of all calls, so the time-dependent operators work on
-(key, time slice) rather than on keys: neighbouring slices exchange only what reaches across.
+A key may account for a large share of all calls, so the time-dependent operators sweep over all
+instants in the order (key, time), which range partitions split by count, wherever a key begins or ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivano.operators.sweep import join_counted, next_instants, running_total
+from scrivano.session import cut_lineage
+
 # Cache lifetime, rate limit, quota words and the wait that errors ask for.
 TTL_SECONDS = 3600
 MAX_CALLS = 15
@@ -21,11 +20,7 @@ QUOTA_WORDS = ("429", "quota", "rate limit", "exceeded")
 RETRY_AFTER = r"(?diuU)retry.*?(\d+(?:\.\d+)?)[\s\x1c-\x1f]*s"
 RETRY_BUFFER = 2.0
 
-SLICE_WINDOWS = 16
-MAX_SLICES = 64
-MAX_GROUP_CALLS = 5_000_000
 MICROS = 1_000_000
-NO_TIME = -(1 << 63)
 
 
 def epoch_micros(ts: Column, ntz: bool = True) -> Column:
@@ -35,11 +30,6 @@ def epoch_micros(ts: Column, ntz: bool = True) -> Column:
     return F.unix_micros(ts)
 
 
-def time_slice(micros: Column, span: int) -> Column:
-    """Number of the slice of ``span`` microseconds that an instant falls into, exactly."""
-    return F.floor((micros - F.pmod(micros, F.lit(span))) / span)
-
-
 def _json_value(value: Column) -> Column:
     return ascii_json(F.regexp_extract(F.to_json(F.array(value)), r"(?s)\A\[(.*)\]\z", 1))
 
@@ -85,77 +75,33 @@ def call_rate(
 ) -> DataFrame:
     """Calls of the same key in the window that ends at each call, and whether it is at the limit.
 
-    A call exactly ``window_seconds`` old has left the window. Each slice spans many windows; the
-    calls of its last window are repeated, as context only, at the head of the next slice.
+    A call exactly ``window_seconds`` old has left the window. Calls are counted per instant before they
+    move; one sweep over all instants, each adding its calls, and over the instants a window earlier gives
+    the running totals whose difference is the rate. Calls without a key form one key; a call without a
+    time is in no window and has a null count.
     """
     width = int(window_seconds * MICROS)
-    span = width * SLICE_WINDOWS
-    slice_no = time_slice(F.col(micros), span)
-    reaches_on = F.pmod(F.col(micros), F.lit(span)) > span - width
-    placed = calls.withColumn(
-        "_slice",
-        F.explode(F.when(reaches_on, F.array(slice_no, slice_no + 1)).otherwise(F.array(slice_no))),
+    instants = calls.filter(F.col(micros).isNotNull()).groupBy(key, micros).agg(F.count(F.lit(1)).alias("_n"))
+    arrive = instants.select(key, F.col(micros).alias("_at"), F.lit(0).alias("_kind"), F.col(micros).alias("_of"), "_n")
+    leave = instants.select(
+        key, (F.col(micros) - width).alias("_at"), F.lit(1).alias("_kind"), F.col(micros).alias("_of"), F.lit(0).cast("long").alias("_n")
     )
-    recent = Window.partitionBy(key, "_slice").orderBy(micros).rangeBetween(-(width - 1), 0)
-    return (
-        placed.withColumn("calls_in_window", F.count(F.lit(1)).over(recent))
-        .filter(F.col("_slice") == slice_no)
-        .withColumn("over_limit", F.col("calls_in_window") > limit)
-        .drop("_slice")
+    swept = running_total(arrive.unionByName(leave), [key, "_at", "_kind"], "_n")
+    rates = swept.groupBy(key, F.col("_of").alias(micros)).agg(
+        F.sum(F.when(F.col("_kind") == 0, F.col("upto")).otherwise(-F.col("upto"))).alias("calls_in_window"), F.sum("_n").alias("_n")
+    )
+    rated = join_counted(calls.filter(F.col(micros).isNotNull()), rates, [key, micros], "_n").drop("_n")
+    timeless = calls.filter(F.col(micros).isNull()).withColumn("calls_in_window", F.lit(None).cast("long"))
+    return rated.unionByName(timeless).withColumn(
+        "over_limit", F.coalesce(F.col("calls_in_window") > limit, F.lit(False))
     )
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Regroup batches that are sorted by ``keys`` so that no group is split between two of them."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        tail = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
-        start = len(batch) - int(tail[::-1].argmin()) if not tail.all() else 0
-        same = held and (held[-1][keys].iloc[-1] == batch[keys].iloc[0]).all()
-        if start == 0 and (same or not held):
-            held.append(batch)
-            continue
-        done = held + ([batch.iloc[:start]] if start else [])
-        held = [batch.iloc[start:]]
-        yield pd.concat(done, ignore_index=True)
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _group_numbers(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """0, 1, 2 … for the groups of a sorted frame."""
-    change = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
-    return np.cumsum(change) - 1
-
-
-def _final_store(line: np.ndarray, group: np.ndarray, ttl: int) -> np.ndarray:
-    """For a store at each position: position of the last store of its chain (pointer doubling).
-
-    ``line`` places the groups one after the other, further apart than any lookup reaches.
-    """
-    here = np.arange(len(line))
-    after = np.searchsorted(line, line + ttl, side="left")
-    known = np.minimum(after, len(line) - 1)
-    chain = np.where((after < len(line)) & (group[known] == group), known, here)
-    while True:
-        further = chain[chain]
-        if (further == chain).all():
-            return chain
-        chain = further
-
-
-def choose_slices(calls: DataFrame, key: str, micros: str, ttl: int) -> int:
-    """TTLs per slice, so that the calls of one key in one slice fit a task.
-
-    The fullest (key, TTL) cell is measured; counts are combined before the shuffle.
-    """
-    cell = time_slice(F.col(micros), ttl)
-    fullest = (
-        calls.groupBy(key, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
-    ).first()[0]
-    return int(min(max(MAX_GROUP_CALLS // max(fullest or 1, 1), 1), MAX_SLICES))
+def chain_rounds(instants: DataFrame, key: str, micros: str, ttl: int) -> int:
+    """Doublings after which every store of the longest possible chain is marked."""
+    spans = instants.groupBy(key).agg((F.max(micros) - F.min(micros)).alias("span"))
+    longest = spans.agg(F.max("span")).first()[0] or 0
+    return int(longest // max(ttl, 1) + 1).bit_length()
 
 
 def ttl_hits(
@@ -164,127 +110,41 @@ def ttl_hits(
     micros: str = "us",
     order: str = "event_id",
     ttl_seconds: float = TTL_SECONDS,
-    slices: int | None = None,
 ) -> DataFrame:
     """Mark each call as ``is_hit``: the key was *stored* less than the TTL before.
 
-    Hits do not refresh the stored time, so whether a call stores depends on a chain of earlier
-    calls. Distinct instants are formed first (combined before the shuffle); of several calls at
-    one instant the first by ``order`` may store. The chain is then followed in three steps:
-
-    1. per (key, slice of ``slices`` TTLs): for every expiry that may be handed in, the expiry that
-       is handed on. This map is a non-decreasing step function; only its steps are kept.
-    2. per key: the steps of its slices are walked in order, which fixes the expiry handed to each.
-    3. per (key, slice): the stores are replayed from that expiry.
-
-    Tasks stream sorted rows and hold one group at a time; the calls of a key are never brought
-    together, only the steps of its slices are.
+    Hits do not refresh the stored time, so the stores of a key are a chain: its first call, then each time
+    the first call at least one TTL after the last store. Distinct instants are formed first (combined before
+    the shuffle); of several calls at one instant the first by ``order`` may store. Every instant is linked to
+    its successor by one sweep, and the chain is followed by pointer doubling: each round marks what the marked
+    instants point to and lets every pointer jump twice as far, so a chain of *n* stores takes log *n* rounds
+    of joins on (key, instant). Neither a key nor a TTL of it is ever one task's.
     """
     ttl = int(ttl_seconds * MICROS)
     valid = calls.filter(F.col(key).isNotNull() & F.col(micros).isNotNull())
-    if slices is None:
-        slices = choose_slices(valid, key, micros, ttl)
-    span = ttl * slices
-    reach = span + ttl
-    kind = calls.schema[key].dataType.simpleString()
-    instants = valid.groupBy(key, time_slice(F.col(micros), span).alias("_slice"), micros).agg(
-        F.min(F.col(order).cast("long")).alias("_first")
-    )
-    piece = [key, "_slice"]
-
-    def on_line(frame):
-        group = _group_numbers(frame, piece)
-        begin = frame["_slice"].to_numpy() * span
-        return group, begin, group * reach + (frame[micros].to_numpy() - begin)
-
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, piece):
-            group, begin, line = on_line(frame)
-            ends = _final_store(line, group, ttl)
-            first = np.append(True, group[1:] != group[:-1])
-            # An expiry handed in lies within one TTL of the slice, so later entries cannot occur.
-            early = np.append(True, (line - group * reach)[:-1] < ttl)
-            entry = np.flatnonzero(first | early)
-            edge = np.append(ends[entry][1:] != ends[entry][:-1], True)
-            times = frame[micros].to_numpy()
-            yield pd.DataFrame(
-                {
-                    key: frame[key].to_numpy()[entry[edge]],
-                    "_slice": frame["_slice"].to_numpy()[entry[edge]],
-                    "upto": times[entry[edge]],
-                    "leaves": times[ends[entry[edge]]] + ttl,
-                }
-            )
-
-    step_rows = (
-        instants.repartition(*piece)
-        .sortWithinPartitions(*piece, micros)
-        .mapInPandas(steps, f"`{key}` {kind}, _slice long, upto long, leaves long")
-    )
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, expiry = None, 0
-        for frame in whole_groups(batches, piece):
-            group = _group_numbers(frame, piece)
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            owners = frame[key].to_numpy()[starts]
-            upto, leaves = frame["upto"].to_numpy(), frame["leaves"].to_numpy()
-            handed = np.empty(len(starts), np.int64)
-            for i, (lo, hi) in enumerate(zip(starts, np.append(starts[1:], len(frame)))):
-                if owners[i] != owner:
-                    owner, expiry = owners[i], NO_TIME
-                handed[i] = expiry
-                at = lo + int(np.searchsorted(upto[lo:hi], expiry, side="left"))
-                if at < hi:
-                    expiry = leaves[at]
-            yield frame.iloc[starts][piece].assign(handed=handed)
-
-    entries = (
-        step_rows.repartition(key)
-        .sortWithinPartitions(*piece, "upto")
-        .mapInPandas(walk, f"`{key}` {kind}, _slice long, handed long")
-    )
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, piece):
-            marker = frame[micros].to_numpy() == NO_TIME
-            given = frame["handed"].to_numpy()[marker]
-            frame = frame[~marker]
-            group, begin, line = on_line(frame)
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            # At least the slice's begin: the first slice of a key is handed no expiry at all.
-            handed = np.maximum(given, begin[starts]) - begin[starts]
-            owner = np.arange(len(starts))
-            seek = owner * reach + np.minimum(handed, reach - 1)
-            found = []
-            while len(seek):  # all slices of the batch take their next store together
-                at = np.searchsorted(line, seek, side="left")
-                known = np.minimum(at, len(line) - 1)
-                live = (at < len(line)) & (group[known] == owner)
-                owner, at = owner[live], at[live]
-                found.append(at)
-                seek = line[at] + ttl
-                inside = seek < (owner + 1) * reach
-                owner, seek = owner[inside], seek[inside]
-            yield frame.iloc[np.sort(np.concatenate(found))][[key, micros, "_first"]]
-
-    # The handed expiry travels as a row that sorts before the slice's instants: no join is needed.
-    markers = entries.select(
-        *piece, F.lit(NO_TIME).alias(micros), F.lit(0).cast("long").alias("_first"), "handed"
+    instants = cut_lineage(
+        valid.groupBy(key, micros).agg(F.min(F.col(order).cast("long")).alias("_first"))
     )
-    stores = (
-        instants.withColumn("handed", F.lit(0).cast("long"))
-        .unionByName(markers)
-        .repartition(*piece)
-        .sortWithinPartitions(*piece, micros)
-        .mapInPandas(replay, f"`{key}` {kind}, `{micros}` long, _first long")
+    stores = instants.groupBy(key).agg(F.min(micros).alias(micros))
+    rounds = chain_rounds(instants, key, micros, ttl)
+    jumps = cut_lineage(next_instants(instants, key, micros, ttl)) if rounds > 1 else None
+    for turn in range(rounds if jumps is not None else 0):
+        reached = stores.join(jumps, [key, micros]).select(key, F.col("next").alias(micros))
+        stores = cut_lineage(stores.unionByName(reached))
+        if turn + 1 < rounds:
+            further = jumps.select(key, F.col(micros).alias("next"), F.col("next").alias("_then"))
+            # Many instants may share a successor; adaptive execution splits such a key on this side.
+            jumps = cut_lineage(jumps.join(further, [key, "next"]).select(key, micros, F.col("_then").alias("next")))
+    # The call that stores is one row, also where many calls share its instant.
+    marks = instants.join(stores, [key, micros]).select(
+        F.col(key).alias("_key"), F.col(micros).alias("_us"), "_first", F.lit(True).alias("_stored")
     )
-    is_store = F.coalesce(F.col(order).cast("long") == F.col("_first"), F.lit(False))
+    same = (F.col(key) == F.col("_key")) & (F.col(micros) == F.col("_us")) & (F.col(order).cast("long") == F.col("_first"))
     return (
-        calls.join(stores, [key, micros], "left")
+        calls.join(marks, same, "left")
         # Calls without a key or an instant store nothing and find nothing.
-        .withColumn("is_hit", ~is_store & F.col(key).isNotNull() & F.col(micros).isNotNull())
-        .drop("_first")
+        .withColumn("is_hit", F.col("_stored").isNull() & F.col(key).isNotNull() & F.col(micros).isNotNull())
+        .drop("_key", "_us", "_first", "_stored")
     )
 
 

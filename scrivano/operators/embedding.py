@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrivano.operators.sweep import running_total
 from scrivano.session import cut_lineage
 
 # The default model name and the instruction its family expects.
@@ -103,7 +104,7 @@ def embed(
 
 
 def with_embedding_index(df: DataFrame, *order: str) -> DataFrame:
-    """Number rows 0..n-1 in the given order without a one-task window.
+    """Number rows of any frame 0..n-1 in the given order without a one-task window.
 
     Rows are range-partitioned on the order and fixed by a checkpoint; each partition knows its
     rows' positions, and an offset per partition (one row each) is joined back.
@@ -126,6 +127,47 @@ def with_embedding_index(df: DataFrame, *order: str) -> DataFrame:
     )
 
 
+MAX_BROADCAST_DOCUMENTS = 1_000_000
+
+
+def with_slot(sections: DataFrame, slot: str = "slot") -> DataFrame:
+    """Mark each row with its place in its task; keep the mark by writing the table."""
+    return sections.withColumn(slot, F.monotonically_increasing_id())
+
+
+def document_starts(sections: DataFrame, doc: str = "doc_id", slot: str = "slot") -> DataFrame:
+    """Per document: rows, first slot, and the number of rows of all documents before it.
+
+    Counts are combined before they move; their running total is the only pass over all documents.
+    """
+    counted = sections.groupBy(doc).agg(
+        F.count(F.lit(1)).alias("n"), F.min(slot).alias("first"), F.max(slot).alias("last")
+    )
+    return running_total(counted, [doc], "n").withColumn("start", F.col("upto") - F.col("n")).drop("upto")
+
+
+def number_sections(
+    sections: DataFrame, doc: str = "doc_id", slot: str = "slot", order: tuple[str, ...] = ("line_number", "content_length")
+) -> DataFrame:
+    """Number the sections of all documents 0..n-1, documents in order; the content never moves.
+
+    ``sections`` is a written table with slots, in which the rows of a document are consecutive and in
+    order, as :func:`~scrivano.operators.sections.sectionize` returns them. The index is a row's slot
+    shifted by its document's start. Up to ``MAX_BROADCAST_DOCUMENTS`` documents the starts are broadcast,
+    beyond that they are joined on the document, which a table bucketed by it answers in place. Where rows of
+    some document are not together (an id that several documents share), all are sorted by ``order`` instead.
+    """
+    starts = cut_lineage(document_starts(sections, doc, slot))
+    size = starts.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("last") - F.col("first") + 1 != F.col("n")).alias("torn")).first()
+    if size.torn:
+        return with_embedding_index(sections.drop(slot), doc, *order)
+    shift = starts.select(F.col(doc).alias("_doc"), (F.col("start") - F.col("first")).alias("_shift"))
+    if size.n <= MAX_BROADCAST_DOCUMENTS:
+        shift = F.broadcast(shift)
+    joined = sections.join(shift, F.col(doc).eqNullSafe(F.col("_doc")))
+    return joined.withColumn("embedding_index", F.col(slot) + F.col("_shift")).drop(slot, "_doc", "_shift")
+
+
 def section_id(index: Column) -> Column:
     return F.concat(F.lit("section_"), index.cast("string"))
 

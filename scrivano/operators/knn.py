@@ -6,41 +6,50 @@ Three plans share one contract, ``(query_id, embedding_index, distance, rank)``:
     The query table is measured first. While its vectors fit ``max_query_bytes`` they are broadcast
     and every task streams its part of the collection past them, keeping the best *k* per query.
     One pass over two columns, no shuffle of the collection; only the winners are shuffled.
-``cells``
-    For query tables beyond that bound. Vectors are grouped around pivots into cells, cells into
-    blocks of bounded size. A first round probes the nearest cells and gives every query an upper
-    bound for its k-th distance; a second round probes exactly those cells that the triangle
-    inequality cannot rule out. Blocks meet their queries in a shuffle; a task holds one block and
-    streams the queries, and hot cells are split on both sides. The result is exact.
-``approx``
-    The first round alone with ``n_probe`` cells per query; recall below one.
-
-No plan materialises query-vector pairs: a task emits at most *k* rows per query and block.
+``tiles``
+    For query tables beyond that bound. Queries are dealt to tiles and the collection to splits, both
+    of bounded size; a task compares one tile with one split and keeps *k* rows per query, and the
+    partial results of a query are merged in two levels. The result is exact.
+``hashed``
+    Locality-sensitive hashing: fixed hyperplanes give every vector one bucket per table, a query
+    probes its own bucket and those a few bits away, and vectors are compared bucket by bucket, in
+    the same tiles and splits. Recall below one; :func:`recall` measures it against an exact plan.
+
+No plan materialises query-vector pairs: a task emits at most *k* rows per query and split.
 Distances are single precision, as a vector store reports them; ties break on the smaller index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivano.functions.vectors import METRICS
 from scrivano.session import cut_lineage
 
 MAX_QUERY_BYTES = 64 << 20
-BLOCK_ROWS = 16_384
-QUERY_SPLIT = 65_536
-MAX_CELLS = 8_192
-MAX_PIVOT_BYTES = 64 << 20
+TILE_BYTES = 4 << 20
+SPLIT_ROWS = 16_384
+TABLES = 8
+BITS = 6
+FLIPS = 1
+MAX_BITS = 16
 MAX_BROADCAST_HITS = 500_000
+HOT_HITS = 10_000
+HOT_SALTS = 64
+MAX_HOT_BYTES = 64 << 20
 SCAN_TASKS_PER_CORE = 4
 MIN_SCAN_TASKS = 4_096
 _CELLS_PER_MATRIX = 4_000_000
 _FRESH_PAIRS = 100_000
+MERGE_SPLITS = 64
 
 HIT_SCHEMA = "query_id long, embedding_index long, distance double, k int"
 
@@ -80,31 +89,6 @@ def _cross_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - products
 
 
-def _basis(x: np.ndarray, metric: str) -> np.ndarray:
-    """Vectors as cells see them: for the cosine distance, their directions."""
-    if metric != "cosine":
-        return x
-    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-
-
-def _cell_floors(
-    q: np.ndarray, pivot: np.ndarray, radius: np.ndarray, metric: str
-) -> tuple[np.ndarray, np.ndarray]:
-    """Per query and cell: closeness of the pivot, and a lower bound of the distance to a member.
-
-    For two unit vectors the cosine distance is half the squared Euclidean one; where a vector is
-    zero it is 1, which that bound does not exceed.
-    """
-    if metric == "ip":
-        near = 1.0 - q @ pivot.T
-        return near, near - radius[None, :] * np.sqrt((q * q).sum(axis=1))[:, None]
-    gap = _cross_distance(_basis(q, metric), pivot, "sqeuclidean")
-    gap = np.sqrt(np.maximum(gap, 0.0))
-    floor = np.maximum(gap * (1 - 1e-6) - 1e-6 - radius[None, :], 0.0) ** 2
-    return gap, floor / 2 if metric == "cosine" else floor
-
-
 def _surplus_free(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     """The batch without surplus copies: of equal vectors only the ``k`` smallest indices can win.
 
@@ -195,6 +179,16 @@ def _ranked(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _merged(partial: DataFrame, splits: int) -> DataFrame:
+    """Merge the partial results of very many splits in two levels, so no task holds all of a query's."""
+    if splits > MERGE_SPLITS:
+        part = F.pmod(F.col("split"), F.lit(int(splits**0.5)))
+        order = Window.partitionBy("query_id", "part").orderBy("distance", "embedding_index")
+        partial = partial.withColumn("part", part).withColumn("place", F.row_number().over(order))
+        partial = partial.filter(F.col("place") <= F.col("k")).drop("part", "place")
+    return _ranked(partial.drop("split"))
+
+
 def _with_k(queries: DataFrame, k: int | str) -> DataFrame:
     k_col = F.lit(k) if isinstance(k, int) else F.col(k)
     return queries.select(
@@ -217,7 +211,7 @@ def knn(
     metric: str = "sqeuclidean",
     plan: str = "auto",
     max_query_bytes: int = MAX_QUERY_BYTES,
-    **cells,
+    **options,
 ) -> DataFrame:
     """The ``k`` nearest vectors of every query; ``k`` is a number or a column of ``queries``.
 
@@ -225,7 +219,7 @@ def knn(
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")
-    if plan not in ("auto", "scan", "cells", "approx"):
+    if plan not in ("auto", "scan", "tiles", "hashed"):
         raise ValueError(f"unknown plan {plan!r}")
     vectors = collection.select(F.col("embedding_index").cast("long"), "embedding")
     wanted = _with_k(queries, k)
@@ -234,9 +228,9 @@ def knn(
         if size <= max_query_bytes:
             return _scan(vectors, wanted, metric)
         if plan == "scan":
-            raise ValueError(f"{size} bytes of query vectors exceed the broadcast bound; use cells")
-        plan = "cells"
-    return _cells(vectors, wanted, metric, exact=plan == "cells", **cells)
+            raise ValueError(f"{size} bytes of query vectors exceed the broadcast bound; use tiles")
+        plan = "tiles"
+    return (_tiles if plan == "tiles" else _hashed)(vectors, wanted, metric, **options)
 
 
 def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
@@ -266,222 +260,134 @@ def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
     return _ranked(vectors.coalesce(tasks).mapInArrow(nearest, HIT_SCHEMA))
 
 
-def choose_pivots(
-    vectors: DataFrame, n_cells: int | None = None, metric: str = "sqeuclidean"
-) -> np.ndarray:
-    """About ``n_cells`` distinct vectors, picked by a hash of their index.
+def _without_surplus(vectors: DataFrame, most: int) -> DataFrame:
+    """Surplus copies, which cannot be among the best ``most``, leave batch by batch, before any shuffle."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _surplus_free(batch, most)
+
+    return vectors.mapInArrow(thin, vectors.schema)
+
+
+def _meet(vectors: DataFrame, probes: DataFrame, metric: str, tile_rows: int, split_rows: int) -> tuple[DataFrame, int]:
+    """Best k per query and split of every bucket; also the largest number of splits of a bucket.
 
-    Any choice keeps the results exact. The pick is a filter, so no task gathers candidates; the
-    pivots' number and bytes are bounded.
+    ``vectors``: ``bucket, embedding_index, embedding``; ``probes``: ``bucket, query_id, embedding, k``.
+    Both sides of a bucket are counted first and dealt by hash, so a group holds about ``tile_rows``
+    queries and ``split_rows`` vectors whatever the bucket's size.
     """
-    stats = vectors.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dimension")
-    ).first()
-    if not stats.n:
-        return np.empty((0, 0))
-    room = min(MAX_CELLS, max(1, MAX_PIVOT_BYTES // (8 * max(stats.dimension, 1))))
-    wanted = max(1, min(int(n_cells or stats.n**0.5), room, stats.n))
-    place = F.pmod(F.xxhash64("embedding_index"), F.lit(1 << 40)) / float(1 << 40)
-    picked = vectors.filter(place < wanted / stats.n).limit(2 * wanted).select("embedding").toArrow()
-    if not picked.num_rows:
-        picked = vectors.limit(wanted).select("embedding").toArrow()
-    return np.unique(_basis(_matrix(picked.column("embedding")), metric), axis=0)
-
-
-def assign_cells(
-    vectors: DataFrame, pivots: np.ndarray, k: int, metric: str = "sqeuclidean"
-) -> DataFrame:
-    """Nearest pivot (``cell``) and Euclidean distance to it (``to_pivot``) of every vector.
+    count = F.count(F.lit(1))
+    sizes = (
+        vectors.groupBy("bucket").agg(F.ceil(count / split_rows).alias("splits"))
+        .join(probes.groupBy("bucket").agg(F.ceil(count / tile_rows).alias("tiles")), "bucket")
+    )
+    # At most TABLES * 2**MAX_BITS buckets, three numbers each.
+    held = sizes.collect()
+    plan = F.broadcast(vectors.sparkSession.createDataFrame(held, sizes.schema))
+    split = F.pmod(F.xxhash64("embedding_index", "embedding"), F.col("splits"))
+    tile = F.pmod(F.xxhash64("query_id"), F.col("tiles"))
+    numbers = {"splits": F.sequence(F.lit(0).cast("long"), F.col("splits") - 1), "tiles": F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)}
+    left = vectors.join(plan, "bucket").select(
+        "bucket", F.explode(numbers["tiles"]).alias("tile"), split.alias("split"), F.lit(False).alias("asks"),
+        F.col("embedding_index").alias("id"), "embedding", F.lit(0).alias("k"),
+    )
+    right = probes.join(plan, "bucket").select(
+        "bucket", tile.alias("tile"), F.explode(numbers["splits"]).alias("split"), F.lit(True).alias("asks"),
+        F.col("query_id").alias("id"), "embedding", "k",
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").combine_chunks()
+        queries, rows = table.filter(asks), table.filter(pc.invert(asks))
+        best = _Best(_matrix(queries.column("embedding")), queries.column("k").to_numpy(), metric)
+        if queries.num_rows and rows.num_rows:
+            best.add(rows.column("id").to_numpy(), _matrix(rows.column("embedding")))
+        hits = pa.Table.from_batches([best.batch(queries.column("id").to_numpy())])
+        return hits.append_column("split", pa.array([table.column("split")[0].as_py()] * hits.num_rows, pa.int64()))
+
+    met = left.unionByName(right).groupBy("bucket", "tile", "split")
+    return met.applyInArrow(compare, HIT_SCHEMA + ", split long"), max([r.splits for r in held], default=0)
+
+
+def _tile_rows(wanted: DataFrame, tile_bytes: int) -> int:
+    """Queries per tile, from the largest vector."""
+    width = wanted.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return max(1, tile_bytes // (8 * width + 24))
+
+
+def partial_hits(
+    vectors: DataFrame, wanted: DataFrame, metric: str = "sqeuclidean", tile_bytes: int = TILE_BYTES, split_rows: int = SPLIT_ROWS
+) -> tuple[DataFrame, int]:
+    """Best k of every (query, split), before the merge, and the number of splits."""
+    most = wanted.agg(F.max("k")).first()[0] or 1
+    whole = F.lit(0).alias("bucket")
+    thin = _without_surplus(vectors, most)
+    return _meet(thin.select(whole, "*"), wanted.select(whole, "*"), metric, _tile_rows(wanted, tile_bytes), split_rows)
+
+
+def _tiles(vectors: DataFrame, wanted: DataFrame, metric: str, tile_bytes: int = TILE_BYTES, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Every tile of queries against every split of the collection."""
+    return _merged(*partial_hits(vectors, wanted, metric, tile_bytes, split_rows))
 
-    Surplus copies, which cannot be among the best ``k``, are dropped batch by batch, so a vector
-    that fills much of the collection does not fill a cell.
+
+def hyperplanes(width: int, count: int) -> np.ndarray:
+    """Fixed hyperplanes of plus and minus one, as columns: the sign at (i, j) is a bit of a product's remainder.
+
+    Any tool can compute them again: bit = ((31 i + 17 j + 7) * (j + 3) * (i + 11) * 40503 + 12289 i) mod 65521 is odd.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    i, j = np.arange(width, dtype=np.int64)[:, None], np.arange(count, dtype=np.int64)[None, :]
+    mixed = ((31 * i + 17 * j + 7) * (j + 3) * (i + 11) * 40503 + 12289 * i) % 65521
+    return np.where(mixed % 2 == 1, 1.0, -1.0)
+
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(frame: DataFrame, tables: int, bits: int, flips: int) -> DataFrame:
+    """``frame`` once per table with the vector's bucket and, for ``flips`` above 0, each bucket so many bits away."""
+    masks = [sum(1 << b for b in turned) for n in range(flips + 1) for turned in combinations(range(bits), n)]
+    names = frame.columns
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            batch = _surplus_free(batch, k)
-            x = _basis(_matrix(batch.column("embedding")), metric)
-            cell = np.empty(len(x), np.int32)
-            step = max(1, _CELLS_PER_MATRIX // len(shared.value))
-            for lo in range(0, len(x), step):
-                cross = _cross_distance(x[lo : lo + step], shared.value, "sqeuclidean")
-                cell[lo : lo + step] = cross.argmin(axis=1)
-            to_pivot = np.sqrt(((x - shared.value[cell]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("embedding_index"),
-                    batch.column("embedding"),
-                    pa.array(cell),
-                    pa.array(to_pivot),
-                ],
-                names=["embedding_index", "embedding", "cell", "to_pivot"],
-            )
-
-    return vectors.mapInArrow(
-        assign, "embedding_index long, embedding array<float>, cell int, to_pivot double"
-    )
+            x = _matrix(batch.column("embedding"))
+            above = (x @ hyperplanes(x.shape[1], tables * bits) > 0).reshape(len(x), tables, bits)
+            code = (above << np.arange(bits)).sum(axis=2)
+            code = (code[:, :, None] ^ np.array(masks)[None, None, :]) + (np.arange(tables) << bits)[None, :, None]
+            row = pa.array(np.repeat(np.arange(len(x)), tables * len(masks)))
+            yield pa.RecordBatch.from_arrays([pa.array(code.ravel().astype(np.int32)), *(c.take(row) for c in batch.columns)], names=["bucket", *names])
+
+    return frame.mapInArrow(deal, T.StructType([T.StructField("bucket", T.IntegerType()), *frame.schema.fields]))
 
 
-def _probe_lists(
-    wanted: DataFrame, pivots, sizes, radii, metric: str, n_probe: int, bounded: bool
+def _hashed(
+    vectors: DataFrame, wanted: DataFrame, metric: str, tables: int = TABLES, bits: int = BITS, flips: int = FLIPS,
+    tile_bytes: int = TILE_BYTES, split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """Cells to probe per query.
+    """Compare a query with the vectors that share or nearly share a bucket with it in some table.
 
-    Unbounded round: the nearest ``n_probe`` cells, extended until they hold k vectors. Bounded
-    round: all other cells whose nearest possible member is within the query's ``bound``.
+    More ``bits`` make buckets smaller, more ``tables`` and ``flips`` find more. Vectors are replicated
+    once a table, queries once a probe.
     """
-    shared = wanted.sparkSession.sparkContext.broadcast((pivots, sizes, radii))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, size, radius = shared.value
-        step = max(1, _CELLS_PER_MATRIX // len(pivot))
-        for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                ks = batch.column("k").to_numpy(zero_copy_only=False)
-                near, floor = _cell_floors(
-                    _matrix(batch.column("embedding")), pivot, radius, metric
-                )
-                order = np.argsort(near, axis=1, kind="stable")
-                held = np.cumsum(size[order], axis=1)
-                enough = (held < ks[:, None]).sum(axis=1) + 1
-                chosen = np.arange(len(pivot))[None, :] < np.maximum(enough, n_probe)[:, None]
-                if bounded:
-                    bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                    bound = bound + 1e-5 * np.maximum(1.0, np.abs(bound))
-                    floor = np.take_along_axis(floor, order, axis=1)
-                    chosen = ~chosen & (floor <= bound[:, None])
-                row, place = np.nonzero(chosen)
-                taken = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("query_id").take(taken),
-                        batch.column("embedding").take(taken),
-                        batch.column("k").take(taken),
-                        pa.array(order[row, place].astype(np.int32)),
-                    ],
-                    names=["query_id", "embedding", "k", "cell"],
-                )
-
-    return wanted.mapInArrow(probe, "query_id long, embedding array<float>, k int, cell int")
-
-
-def _probe(assigned: DataFrame, probes: DataFrame, cells: DataFrame, metric: str) -> DataFrame:
-    """Best k of every (query, probed block).
-
-    ``cells`` gives the number of blocks per cell. A cell probed by very many queries is split on
-    the query side too, with its blocks repeated once per split, so no task is hot on either side.
-    """
-    load = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries"))
-    plan = F.broadcast(
-        cells.join(load, "cell").select(
-            "cell",
-            "n_blocks",
-            F.ceil(F.col("n_queries") / QUERY_SPLIT).cast("int").alias("n_splits"),
-        )
+    if not 0 < bits <= MAX_BITS or not 0 <= flips <= bits or tables < 1:
+        raise ValueError(f"need at least one table, 1 to {MAX_BITS} bits and no more flips than bits")
+    most = wanted.agg(F.max("k")).first()[0] or 1
+    dealt = _buckets(_without_surplus(vectors, most), tables, bits, 0)
+    found, splits = _meet(dealt, _buckets(wanted, tables, bits, flips), metric, _tile_rows(wanted, tile_bytes), split_rows)
+    # A vector found in several tables is one hit.
+    once = found.groupBy("query_id", "embedding_index").agg(
+        F.min("distance").alias("distance"), F.max("k").alias("k"), F.min("split").alias("split")
     )
+    return _merged(once, splits)
 
-    def slots(block, split):
-        return [F.col("cell"), block.alias("block"), split.alias("split")]
-
-    left = (
-        assigned.join(plan, "cell")
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_splits") - 1)))
-        .select(
-            *slots(F.pmod(F.xxhash64("embedding_index"), F.col("n_blocks")).cast("int"), F.col("s")),
-            F.lit(0).alias("side"),
-            F.col("embedding_index").alias("id"),
-            "embedding",
-            F.lit(0).alias("k"),
-        )
-    )
-    right = (
-        probes.join(plan, "cell")
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(
-            *slots(F.col("b"), F.pmod(F.xxhash64("query_id"), F.col("n_splits")).cast("int")),
-            F.lit(1).alias("side"),
-            F.col("query_id").alias("id"),
-            "embedding",
-            "k",
-        )
-    )
-    slot = ["cell", "block", "split"]
-    met = left.unionByName(right).repartition(*slot).sortWithinPartitions(*slot, "side")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, rows = None, [], []
-        block = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack(
-                [batch.column(c).to_numpy(zero_copy_only=False) for c in slot + ["side"]], axis=1
-            )
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(keys)]):
-                here = tuple(keys[lo, :3])
-                if here != current:
-                    current, ids, rows, block = here, [], [], None
-                part = batch.slice(lo, hi - lo)
-                part_ids = part.column("id").to_numpy(zero_copy_only=False)
-                matrix = _matrix(part.column("embedding"))
-                if keys[lo, 3] == 0:
-                    ids.append(part_ids)
-                    rows.append(matrix)
-                    continue
-                if not ids:
-                    continue
-                if block is None:
-                    block = np.concatenate(ids), np.concatenate(rows)
-                limits = part.column("k").to_numpy(zero_copy_only=False)
-                best = _Best(matrix, limits, metric)
-                best.add(*block)
-                yield best.batch(part_ids)
-
-    return met.mapInArrow(search, HIT_SCHEMA)
-
-
-def _cells(
-    vectors: DataFrame,
-    wanted: DataFrame,
-    metric: str = "sqeuclidean",
-    exact: bool = True,
-    n_cells: int | None = None,
-    n_probe: int = 1,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    pivots = choose_pivots(vectors, n_cells, metric)
-    if not len(pivots):
-        return wanted.sparkSession.createDataFrame(
-            [], "query_id long, embedding_index long, distance double, rank int"
-        )
-    # Both rounds read the assignment, so it is written once to the shared checkpoint folder.
-    largest = wanted.agg(F.max("k")).first()[0] or 1
-    assigned = cut_lineage(assign_cells(vectors, pivots, largest, metric))
-    stats = assigned.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius")
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: hits of the exact result, how many of them were found, and the share."""
+    mark = found.select("query_id", "embedding_index", F.lit(1).alias("_hit"))
+    return exact.join(mark, ["query_id", "embedding_index"], "left").agg(
+        F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("found"), (F.count("_hit") / F.count(F.lit(1))).alias("recall")
     )
-    sizes, radii = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
-    for row in stats.collect():  # one row per cell, at most MAX_CELLS
-        sizes[row.cell], radii[row.cell] = row.n, row.radius
-    cells = stats.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
-
-    first = _probe_lists(wanted, pivots, sizes, radii, metric, n_probe, bounded=False)
-    near = _probe(assigned, first, cells, metric)
-    if not exact:
-        return _ranked(near)
-    best = cut_lineage(_ranked(near))
-    bounds = best.groupBy("query_id").agg(F.max("distance").alias("bound"))
-    second = _probe_lists(
-        wanted.join(bounds, "query_id"), pivots, sizes, radii, metric, n_probe, bounded=True
-    )
-    far = _probe(assigned, second, cells, metric)
-    limits = wanted.select("query_id", "k")
-    return _ranked(far.unionByName(best.drop("rank").join(limits, "query_id")))
 
 
 def hit_rows(queries: DataFrame, k: int | str) -> int:
@@ -489,20 +395,48 @@ def hit_rows(queries: DataFrame, k: int | str) -> int:
     return int(_with_k(queries, k).agg(F.sum("k").alias("n")).first().n or 0)
 
 
+def first_rows(collection: DataFrame, *columns: str) -> DataFrame:
+    """One row per ``embedding_index``: of several, the least by ``columns`` in order, nulls first.
+
+    On a collection bucketed by the index this moves no rows.
+    """
+    picked = collection.groupBy("embedding_index").agg(F.min(F.struct(*columns)).alias("_row"))
+    return picked.select("embedding_index", *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def fetch_hits(
-    hits: DataFrame, collection: DataFrame, *columns: str, max_hits: int | None = None
+    hits: DataFrame, collection: DataFrame, *columns: str, max_hits: int | None = None, unique: bool = False
 ) -> DataFrame:
     """Join text and metadata to the winners only, after the cut; unmatched indices drop out.
 
-    With ``max_hits`` known and small, the winners are broadcast and the collection's text is read
-    in place; otherwise both sides are shuffled on the index. An index that occurs more than once
-    in the collection yields one row per hit, chosen among the few joined rows.
+    With ``max_hits`` known and small, the winners are broadcast and the collection's text is read in
+    place. Otherwise winners are shuffled on the index: a collection bucketed on it (see
+    ``writers.write_bucketed``) is read in place again, without an exchange of its texts. Winners of an
+    index that very many queries found are joined apart, with a broadcast of those few rows while they
+    are small, so no task holds all of them. Where an index is not ``unique`` its least row by
+    ``columns`` counts.
     """
-    small = hits
+    texts = collection.select("embedding_index", *columns)
     if max_hits is not None and max_hits <= MAX_BROADCAST_HITS:
-        small = F.broadcast(hits)
-    joined = collection.select("embedding_index", *columns).join(small, "embedding_index")
-    return joined.dropDuplicates(["query_id", "embedding_index"])
+        found = texts.join(F.broadcast(hits.select("embedding_index").distinct()), "embedding_index", "left_semi")
+        return (found if unique else first_rows(found, *columns)).join(F.broadcast(hits), "embedding_index")
+    hits = cut_lineage(hits)
+    texts = texts if unique else first_rows(texts, *columns)
+    counted = hits.groupBy("embedding_index").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_HITS)
+    hot = cut_lineage(counted.select("embedding_index"))
+    rows = cut_lineage(texts.join(hot, "embedding_index", "left_semi"))
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64))
+    if not (size := rows.agg(F.sum(width)).first()[0]):
+        return texts.join(hits, "embedding_index")
+    cold = texts.join(hits.join(hot, "embedding_index", "left_anti"), "embedding_index")
+    # Too large to broadcast: each hot row goes to as many tasks as it has salts.
+    if size * 4 <= MAX_HOT_BYTES:
+        warm = F.broadcast(rows).join(hits, "embedding_index")
+    else:
+        salted = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+        salt = F.pmod(F.xxhash64("query_id"), F.lit(HOT_SALTS)).cast("int")
+        warm = salted.join(hits.withColumn("_salt", salt), ["embedding_index", "_salt"]).drop("_salt")
+    return cold.unionByName(warm)
 
 
 class ExactStore:
@@ -519,7 +453,7 @@ class ExactStore:
 
 
 class ApproximateStore(ExactStore):
-    """The same contract with a bounded number of probed cells per query."""
+    """The same contract by locality-sensitive hashing."""
 
     def query(self, queries: DataFrame, k: int | str = 5) -> DataFrame:
-        return knn(self.collection, queries, k, self.metric, plan="approx", **self.options)
+        return knn(self.collection, queries, k, self.metric, plan="hashed", **self.options)

@@ -69,6 +69,22 @@ def replace_collection(collection: DataFrame, path: str) -> None:
     collection.write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(collection: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The collection as a table bucketed and sorted by ``embedding_index``, which has to be unique.
+
+    Joins on the index then read the texts in place: only the other side is exchanged.
+    """
+    spark = collection.sparkSession
+    collection.write.mode("overwrite").bucketBy(buckets, "embedding_index").sortBy("embedding_index").option(
+        "path", path
+    ).saveAsTable(table)
+    written = spark.table(table)
+    again = written.groupBy("embedding_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or embedding_index is null")
+    if again.limit(1).count():
+        raise ValueError("embedding_index is missing or not unique")
+    return written
+
+
 def create_collection(collection: DataFrame, path: str) -> bool:
     """Write the collection only where none exists; tells whether it was written.
 

@@ -332,10 +332,11 @@ def knn_topk(spark, sf_dir):
     return _rounded(nn.knn(collection, queries, 5))
 
 
+# Small tiles and splits, so that the given tables fill many of them.
 @REGISTRY.add("knn_cells", _sql_knn(5))
 def knn_cells(spark, sf_dir):
     collection, queries = _vectors(spark, sf_dir)
-    return _rounded(nn.knn(collection, queries, 5, plan="cells"))
+    return _rounded(nn.knn(collection, queries, 5, plan="tiles", tile_bytes=64 << 10, split_rows=128))
 
 
 @REGISTRY.add("knn_cosine", _sql_knn(3, "cosine"))
@@ -356,10 +357,38 @@ def knn_variable_k(spark, sf_dir):
     return _rounded(nn.knn(collection, queries, "label"))
 
 
-@REGISTRY.add("knn_approximate")
+_HYPERPLANE = "((31 * i + 17 * j + 7) * (j + 3) * (i + 11) * 40503 + 12289 * i) % 65521 % 2 = 1"
+_SQL_APPROXIMATE = f"""planes as (select j, list(case when {_HYPERPLANE} then 1.0::double else -1.0::double end order by i) as s
+      from range(64) a(i), range({nn.TABLES * nn.BITS}) b(j) group by j),
+    codes as (select vec_id, j // {nn.BITS} as tab, sum(case when list_inner_product(embedding::double[], s) > 0
+      then 1 << (j % {nn.BITS})::int else 0 end)::int as code from embeddings, planes group by 1, 2),
+    met as (select distinct q.vec_id as query_id, c.vec_id as embedding_index from codes q join codes c
+      on q.tab = c.tab and bit_count(xor(q.code, c.code)) <= {nn.FLIPS}),
+    near as (select m.*, {_sql_distance('sqeuclidean')} as distance from met m
+      join embeddings a on a.vec_id = m.embedding_index join embeddings b on b.vec_id = m.query_id),
+    hits as (select *, row_number() over (partition by query_id order by distance, embedding_index) as rank
+      from near qualify rank <= 5)"""
+
+
+@REGISTRY.add(
+    "knn_approximate",
+    f"""with {_SQL_APPROXIMATE} select query_id, embedding_index, rank,
+      {_SQL_UNSIGNED.format(x='round(distance, 5)')} as distance from hits""",
+)
 def knn_approximate(spark, sf_dir):
     collection, queries = _vectors(spark, sf_dir)
-    return _rounded(nn.ApproximateStore(collection, n_probe=4).query(queries, 5))
+    return _rounded(nn.ApproximateStore(collection).query(queries, 5))
+
+
+@REGISTRY.add(
+    "knn_recall",
+    f"""with {_SQL_APPROXIMATE}, exact as ({_sql_knn(5)})
+    select count(*) as wanted, count(h.query_id) as found, count(h.query_id) / count(*) as recall
+    from exact e left join hits h on h.query_id = e.query_id and h.embedding_index = e.embedding_index""",
+)
+def knn_recall(spark, sf_dir):
+    collection, queries = _vectors(spark, sf_dir)
+    return nn.recall(nn.ApproximateStore(collection).query(queries, 5), nn.knn(collection, queries, 5))
 
 
 @REGISTRY.add(

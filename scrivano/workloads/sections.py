@@ -210,10 +210,8 @@ def first_sections(spark, sf_dir):
       doc_id, line_number from kept""",
 )
 def embedding_index(spark, sf_dir):
-    sections = _long(sec.sectionize(_documents(spark, sf_dir)))
-    # The global sort reads its input twice, so sections are written before they are numbered.
-    sections = cut_lineage(sections.select("doc_id", "line_number", "content_length"))
-    indexed = emb.with_embedding_index(sections, "doc_id", "line_number", "content_length")
+    sections = emb.with_slot(sec.sectionize(_documents(spark, sf_dir)))
+    indexed = emb.number_sections(cut_lineage(_long(sections.select("doc_id", "line_number", "content_length", "slot"))))
     index = F.col("embedding_index")
     return indexed.select(
         "embedding_index", emb.section_id(index).alias("id"), "doc_id", "line_number"

@@ -4,11 +4,11 @@ import hashlib
 import json
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from scrivano.operators import calllog as cl
+from scrivano.operators import sweep
 
 S = 1_000_000
 
@@ -32,16 +32,12 @@ def log(seed, n=3000):
     return out
 
 
-@pytest.mark.parametrize("slices", [None, 1, 2, 7])
-def test_ttl_hits_follow_the_chain(spark, slices):
-    for ttl in (1, 10, 100):
-        calls = log(ttl)
-        df = spark.createDataFrame(calls, "event_id long, key string, us long").repartition(3)
-        got = {
-            r.event_id: r.is_hit
-            for r in cl.ttl_hits(df, ttl_seconds=ttl, slices=slices).collect()
-        }
-        assert got == cache_hits(calls, ttl * S)
+@pytest.mark.parametrize("ttl", [1, 10, 100, 10**6])
+def test_ttl_hits_follow_the_chain(spark, ttl):
+    calls = log(ttl)
+    df = spark.createDataFrame(calls, "event_id long, key string, us long").repartition(3)
+    got = {r.event_id: r.is_hit for r in cl.ttl_hits(df, ttl_seconds=ttl).collect()}
+    assert got == cache_hits(calls, ttl * S)
 
 
 def test_ttl_boundaries(spark):
@@ -51,16 +47,34 @@ def test_ttl_boundaries(spark):
     assert [r.is_hit for r in rows] == [False, True, False, True, False]
 
 
-def test_whole_groups_never_split():
-    rng = random.Random(3)
-    keys = sorted(rng.choice("abcdef") for _ in range(200))
-    frame = pd.DataFrame({"k": keys, "i": range(200)})
-    for size in (1, 3, 50, 500):
-        parts = [frame.iloc[lo : lo + size] for lo in range(0, 200, size)]
-        out = list(cl.whole_groups(iter(parts), ["k"]))
-        assert pd.concat(out)["i"].tolist() == list(range(200))
-        owners = [k for part in out for k in part["k"].unique()]
-        assert len(owners) == len(set(owners))
+def test_one_key_inside_one_ttl_spreads_over_tasks(spark):
+    df = spark.range(4000).select(F.col("id").alias("event_id"), F.lit("hot").alias("key"), (F.col("id") * 7).alias("us"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows are few
+    swept = sweep.next_instants(df, "key", "us", 7 * 1000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = swept.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 1600
+    assert swept.filter("next <> us + 7000").count() == 0 and swept.count() == 3000
+    assert cl.ttl_hits(df).filter("is_hit").count() == 3999
+
+
+def test_next_instants_of_small_batches(spark):
+    rng = random.Random(2)
+    pairs = sorted({(rng.choice("aabc"), rng.randrange(3000)) for _ in range(900)})
+    df = spark.createDataFrame(pairs, "key string, us long").repartition(5)
+    got = {(r.key, r.us): r.next for r in sweep.next_instants(df, "key", "us", 50).collect()}
+    want = {}
+    for key, us in pairs:
+        later = [u for k, u in pairs if k == key and u >= us + 50]
+        if later:
+            want[key, us] = min(later)
+    assert got == want
+
+
+def test_running_total_crosses_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v"), F.lit(2).cast("long").alias("n"))
+    rows = sweep.running_total(df, ["v"], "n").collect()
+    assert all(r.upto == 2 * (r.v + 1) for r in rows) and len(rows) == 1000
 
 
 def test_call_rate_across_slices(spark):
@@ -73,6 +87,14 @@ def test_call_rate_across_slices(spark):
         assert got[event_id] == (n, n > 15)
 
 
+def test_call_rate_of_hot_instants_and_missing_values(spark, monkeypatch):
+    monkeypatch.setattr(sweep, "HOT_ROWS", 20)
+    calls = [(i, "k", 5 * S) for i in range(50)] + [(60, "k", 6 * S), (61, None, 5 * S), (62, None, 5 * S), (63, "k", None)]
+    df = spark.createDataFrame(calls, "event_id long, key string, us long")
+    got = {r.event_id: (r.calls_in_window, r.over_limit) for r in cl.call_rate(df).collect()}
+    assert got == {**{i: (50, True) for i in range(50)}, 60: (51, True), 61: (2, False), 62: (2, False), 63: (None, False)}
+
+
 def test_request_key_is_canonical_json(spark):
     df = spark.createDataFrame([("f", 3, "x y")], "name string, a int, b string")
     key = cl.request_key(F.col("name"), [F.col("a")], {"z": F.col("b"), "c": F.lit(True)})

@@ -64,48 +64,42 @@ def test_scan_equals_brute_force(spark, metric):
     assert collected(nn.knn(collection, queries, "k", metric)) == brute(x, q, ks, metric)
 
 
-@pytest.mark.parametrize("options", [{}, {"n_cells": 1}, {"n_cells": 40, "block_rows": 16}])
-def test_cells_equal_brute_force(spark, options, monkeypatch):
-    monkeypatch.setattr(nn, "QUERY_SPLIT", 7)
+@pytest.mark.parametrize("options", [{}, {"tile_bytes": 1}, {"tile_bytes": 700, "split_rows": 16}, {"split_rows": 3}])
+def test_tiles_equal_brute_force(spark, options):
     x, q = data(seed=1)
     ks = np.arange(len(q)) % 9 + 1
     collection, queries = frames(spark, x, q, ks)
-    got = collected(nn.knn(collection, queries, "k", plan="cells", **options))
+    got = collected(nn.knn(collection, queries, "k", plan="tiles", **options))
     assert got == brute(x, q, ks)
 
 
 @pytest.mark.parametrize("metric", ["cosine", "ip"])
-def test_cells_serve_every_metric(spark, metric):
+def test_tiles_serve_every_metric(spark, metric):
     x, q = data(seed=8)
     x[20:23], q[11] = 0, 0
     x[30:60] *= 50  # lengths differ, as inner products without normalisation would see them
     ks = np.arange(len(q)) % 9 + 1
     collection, queries = frames(spark, x, q, ks)
-    got = collected(nn.knn(collection, queries, "k", metric, plan="cells", n_cells=30))
+    got = collected(nn.knn(collection, queries, "k", metric, plan="tiles", tile_bytes=900, split_rows=50))
     want = brute(x, q, ks, metric)
     assert {i: [h for h, _ in v] for i, v in got.items()} == {i: [h for h, _ in v] for i, v in want.items()}
 
 
-def test_cells_prune_what_cannot_win(spark):
-    """Well separated groups: the second round probes next to nothing, and the result stays exact."""
-    rng = np.random.default_rng(9)
-    centers = rng.normal(size=(20, 8)) * 100
-    x = (centers[rng.integers(0, 20, 500)] + rng.normal(size=(500, 8))).astype(np.float32)
-    q = (centers[rng.integers(0, 20, 40)] + rng.normal(size=(40, 8))).astype(np.float32)
-    collection, queries = frames(spark, x, q, np.full(40, 3))
-    vectors = collection.select("embedding_index", "embedding")
-    pivots = nn.choose_pivots(vectors, 60)
-    assigned = nn.assign_cells(vectors, pivots, 3).toPandas()
-    sizes = np.bincount(assigned["cell"], minlength=len(pivots))
-    radii = np.zeros(len(pivots))
-    np.maximum.at(radii, assigned["cell"], assigned["to_pivot"])
-    want = brute(x, q, np.full(40, 3))
-    bounds = spark.createDataFrame([(i, v[-1][1] + 1e-4) for i, v in want.items()], "query_id long, bound double")
-    again = nn._probe_lists(
-        queries.join(bounds, "query_id"), pivots, sizes, radii, "sqeuclidean", 1, bounded=True
-    )
-    assert again.count() < 0.3 * 40 * len(pivots)
-    assert collected(nn.knn(collection, queries, 3, plan="cells", n_cells=60)) == want
+def test_tiles_return_k_rows_per_query_and_split(spark):
+    x, q = data(400, 60, copies=0)
+    collection, queries = frames(spark, x, q, np.full(60, 3))
+    partial, splits = nn.partial_hits(collection, nn._with_k(queries, "k"), tile_bytes=1000, split_rows=50)
+    assert splits == 8
+    counts = [r["count"] for r in partial.groupBy("query_id", "split").count().collect()]
+    assert len(counts) == 60 * 8 and set(counts) == {3}
+
+
+def test_many_splits_merge_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(nn, "MERGE_SPLITS", 4)
+    x, q = data(seed=4)
+    ks = np.arange(len(q)) % 9 + 1
+    collection, queries = frames(spark, x, q, ks)
+    assert collected(nn.knn(collection, queries, "k", plan="tiles", split_rows=20)) == brute(x, q, ks)
 
 
 def test_large_query_tables_leave_the_broadcast_plan(spark):
@@ -121,9 +115,10 @@ def test_large_query_tables_leave_the_broadcast_plan(spark):
 def test_k_beyond_the_collection_and_empty_sides(spark):
     x, q = data(6, 3, seed=3)
     collection, queries = frames(spark, x, q, [10, 0, 2])
-    for plan in ("scan", "cells"):
+    for plan in ("scan", "tiles", "hashed"):
         got = collected(nn.knn(collection, queries, "k", plan=plan))
-        assert [len(got.get(i, [])) for i in range(3)] == [6, 0, 2]
+        if plan != "hashed":
+            assert [len(got.get(i, [])) for i in range(3)] == [6, 0, 2]
         assert nn.knn(collection.limit(0), queries, 3, plan=plan).count() == 0
         assert nn.knn(collection, queries.limit(0), 3, plan=plan).count() == 0
 
@@ -138,16 +133,59 @@ def test_self_query_returns_itself_first(spark):
 
 def test_approximate_store_keeps_the_contract(spark):
     x, q = data(600, 40, seed=5, copies=0)
+    q[:20] = x[:20] + np.float32(0.2) * q[:20]
     ks = np.full(len(q), 5)
     collection, queries = frames(spark, x, q, ks)
-    store = nn.ApproximateStore(collection, n_cells=12, n_probe=6)
-    got, want = collected(store.query(queries, 5)), brute(x, q, ks)
-    assert all(len(got[i]) == 5 for i in want)
+    store = nn.ApproximateStore(collection)
+    hits = store.query(queries, 5)
+    got, want = collected(hits), brute(x, q, ks)
+    assert all(len(got[i]) == 5 and len({h for h, _ in got[i]}) == 5 for i in want)
     found = sum(len(set(got[i]) & set(want[i])) for i in want)
-    assert found / (5 * len(q)) > 0.6
+    row = nn.recall(hits, nn.knn(collection, queries, 5)).first()
+    assert (row.wanted, row.found) == (200, found) and row.recall == found / 200 > 0.85
     assert store.count() == 600
 
 
+def test_more_tables_and_flips_find_everything(spark):
+    x, q = data(200, 20, seed=6)
+    ks = np.full(len(q), 4)
+    collection, queries = frames(spark, x, q, ks)
+    got = collected(nn.knn(collection, queries, 4, plan="hashed", tables=2, bits=3, flips=3, split_rows=17, tile_bytes=300))
+    assert got == brute(x, q, ks)
+    with pytest.raises(ValueError):
+        nn.knn(collection, queries, 4, plan="hashed", bits=40)
+
+
+def test_buckets_prune_separated_groups(spark):
+    """A query meets few vectors of other groups."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(40, 16))
+    x = (centers[rng.integers(0, 40, 800)] + 0.05 * rng.normal(size=(800, 16))).astype(np.float32)
+    collection, _ = frames(spark, x, x[:1], [1])
+    dealt = nn._buckets(collection, 1, 10, 0)
+    largest = dealt.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert dealt.count() == 800 and largest < 120
+
+
+def test_fetch_takes_the_least_row_and_splits_hot_indices(spark, monkeypatch):
+    hits = spark.createDataFrame([(i, 7 if i % 3 else i, 0.5, 1) for i in range(60)] + [(99, 12345, 0.1, 1)],
+                                 "query_id long, embedding_index long, distance double, rank int")
+    texts = spark.createDataFrame([(i, f"t{i}", i) for i in range(60)] + [(7, "a", 3), (7, None, 9), (7, None, 8)],
+                                  "embedding_index long, document string, n long")
+    want = {(i, 7 if i % 3 else i, None if i % 3 else f"t{i}", 8 if i % 3 else i) for i in range(60) if i % 3 or i != 7}
+
+    def rows(**options):
+        found = nn.fetch_hits(hits, texts, "document", "n", **options)
+        return {(r.query_id, r.embedding_index, r.document, r.n) for r in found.collect()}, found.count()
+
+    assert rows(max_hits=61) == (want, 60)
+    assert rows() == (want, 60)
+    monkeypatch.setattr(nn, "HOT_HITS", 5)
+    assert rows() == (want, 60)
+    monkeypatch.setattr(nn, "MAX_HOT_BYTES", 1)
+    assert rows() == (want, 60)
+
+
 def test_surplus_copies_leave_early():
     x = np.zeros((9, 3), np.float32)
     x[7:] = [[1, 2, 3], [3, 2, 1]]
