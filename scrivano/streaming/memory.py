@@ -7,75 +7,92 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from scrivano.operators.memory import (
     CONTEXT_TURNS,
     MAX_HISTORY,
     turn_part,
 )
+from scrivano.streaming.state import use_rocksdb
 
-STATE = "parts array<string>, last_turn long, last_ms long"
 OUTPUT = "session_id string, turn_no long, context string"
 
+# A session without a turn for this long is forgotten.
+IDLE = "1 day"
+WATERMARK = "10 minutes"
+
+
+class SessionMemory(StatefulProcessor):
+    """The last parts of a session, newest turn number and time.
+
+    A timer forgets the session when the watermark is ``idle_ms`` beyond its newest turn.
+    """
+
+    def __init__(self, keep: int, max_chars: int | None, idle_ms: int) -> None:
+        self.keep, self.max_chars, self.idle_ms = keep, max_chars, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "part string")
+        self.newest = handle.getValueState("newest", "turn_no long, ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, seen = tuple(self.newest.get()) if self.newest.exists() else (None, None)
+        parts = [p[0] for p in self.parts.get()] if last is not None else []
+        before, out = seen, []
+        arrived = pd.concat(list(rows)).sort_values("turn_no", kind="stable")
+        arrived = arrived[arrived["ms"] >= timerValues.getCurrentWatermarkInMs()]
+        for turn_no, part, ms in zip(arrived["turn_no"], arrived["part"], arrived["ms"]):
+            if seen is not None and ms - seen > self.idle_ms:
+                parts, last = [], None
+            if last is not None and turn_no <= last:
+                continue
+            context = "\n\n".join(parts)
+            if self.max_chars is not None:
+                context = context[-self.max_chars :] if self.max_chars else ""
+            out.append((key[0], int(turn_no), context))
+            parts = (parts + [part])[-self.keep :] if self.keep else []
+            last, seen = int(turn_no), max(int(ms), seen if seen is not None else int(ms))
+        if out:
+            self.parts.put([(p,) for p in parts])
+            self.newest.update((last, seen))
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle_ms + 1)
+            self.handle.registerTimer(seen + self.idle_ms + 1)
+        yield pd.DataFrame(out, columns=["session_id", "turn_no", "context"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.parts.clear()
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
 def stream_contexts(
     turns: DataFrame,
     max_history: int = MAX_HISTORY,
     context_turns: int = CONTEXT_TURNS,
     max_chars: int | None = None,
-    watermark: str | None = None,
-    idle: str | None = None,
+    watermark: str = WATERMARK,
+    idle: str = IDLE,
 ) -> DataFrame:
     """The context each turn sees before it is added, from a stream of turns.
 
     Only the part of a turn that a context shows is shipped and kept, and no more turns than a
     context uses, so the state per session is bounded; the source's rate options bound what one
     micro-batch brings. Turns of a micro-batch are sorted; a turn at or before the newest one
-    already seen is late and dropped. ``watermark`` (on ``ts``) with ``idle`` also drops turns
-    behind the watermark and forgets a session after ``idle`` without a turn.
+    already seen is late and dropped.
+
+    Time is that of ``ts``: turns behind the ``watermark`` are dropped, and a session is forgotten ``idle``
+    after its last turn, so a turn later than that starts anew.
     """
-    if (watermark is None) != (idle is None):
-        raise ValueError("watermark and idle go together")
-    keep = min(max_history, context_turns)
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
-    columns = ["session_id", "turn_no", turn_part().alias("part")]
-    if watermark:
-        turns = turns.withWatermark("ts", watermark)
-        columns += ["ts", F.unix_millis("ts").alias("ms")]
-    else:
-        columns.append(F.lit(0).cast("long").alias("ms"))
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts, last, seen = state.get if state.exists else ([], -1, None)
-        parts, rows = list(parts), []
-        oldest = state.getCurrentWatermarkMs() if idle else 0
-        arrived = pd.concat(list(batches)).sort_values("turn_no", kind="stable")
-        for turn_no, part, ms in zip(arrived["turn_no"], arrived["part"], arrived["ms"]):
-            if ms < oldest:
-                continue
-            if idle and seen is not None and ms - seen > idle_ms:
-                parts, last = [], -1
-            if turn_no <= last:
-                continue
-            context = "\n\n".join(parts)
-            if max_chars is not None:
-                context = context[-max_chars:] if max_chars else ""
-            rows.append((key[0], turn_no, context))
-            parts = (parts + [part])[-keep:]
-            last, seen = int(turn_no), max(int(ms), seen or 0)
-        if seen is not None:
-            state.update((parts, last, seen))
-            if idle:
-                state.setTimeoutTimestamp(max(seen, oldest) + idle_ms)
-        yield pd.DataFrame(rows, columns=["session_id", "turn_no", "context"])
-
-    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return (
-        turns.select(*columns)
-        .groupBy("session_id")
-        .applyInPandasWithState(update, OUTPUT, STATE, "append", timeout)
+    use_rocksdb(turns.sparkSession)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timed = turns.withWatermark("ts", watermark).select(
+        "session_id", F.col("turn_no").cast("long").alias("turn_no"), turn_part().alias("part"), "ts", F.unix_millis("ts").alias("ms")
     )
+    memory = SessionMemory(min(max_history, context_turns), max_chars, idle_ms)
+    return timed.groupBy("session_id").transformWithStateInPandas(memory, OUTPUT, "Append", "eventTime")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrivano.operators import calllog as cl
 from scrivano.session import scratch_path
-from scrivano.streaming.calllog import stream_rates, stream_ttl_hits
+from scrivano.streaming.calllog import closing_row, stream_rates, stream_ttl_hits
 from scrivano.workloads import Registry, table
 
 REGISTRY = Registry()
@@ -65,11 +65,24 @@ def ttl_hits_per_user(spark, sf_dir):
     return cl.ttl_hits(calls, ttl_seconds=36_000).select("event_id", "is_hit")
 
 
-def _written_stream(spark, frame):
-    """A stream over ``frame``, written to the shared folder first."""
+STREAM_FILES = 5
+
+
+def _written_stream(spark, frame, closing=None):
+    """A stream over ``frame``, ordered by event time into files that arrive one by one.
+
+    ``closing`` is a last file that moves the watermark.
+    """
     source = scratch_path(spark, "calls-in")
-    frame.write.parquet(source)
-    return spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    days = frame.select(F.min("us").alias("first"), (F.max("us") - F.min("us") + 1).alias("span")).first()
+    if days.first is not None:
+        piece = F.floor((F.col("us") - days.first) * STREAM_FILES / days.span)
+        for i in range(STREAM_FILES):
+            frame.filter(piece == i).coalesce(1).write.mode("append").parquet(source)
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema)
+    return stream.option("maxFilesPerTrigger", 1).parquet(source)
 
 
 def _drain(spark, stream, mode="append"):
@@ -103,18 +116,16 @@ def call_rate(spark, sf_dir):
     return rated.select("event_id", "calls_in_window", "over_limit")
 
 
-# A window closes once the watermark passes its end; the last windows of the stream stay open.
 @REGISTRY.add(
     "stream_rates",
     f"""with {_SQL_CALLS}, steps as (select key, us, unnest(generate_series(0, 5)) as back from calls),
-      windows as (select key, (us // 600000000 - back) * 600000000 as start from steps),
-      closed as (select max(us) // 1000 * 1000 - 300000000 as mark from calls)
-    select key, start // 1000000 as window_start, count(*) as calls from windows, closed
-    where start + 3600000000 <= mark group by key, start""",
+      windows as (select key, (us // 600000000 - back) * 600000000 as start from steps)
+    select key, start // 1000000 as window_start, count(*) as calls from windows group by key, start""",
 )
 def stream_rates_query(spark, sf_dir):
     calls = _calls(spark, sf_dir).withColumn("ts", F.timestamp_micros("us"))
-    stream = _written_stream(spark, calls)
+    # The last row closes every window: an hour's window and five minutes of watermark, twice over.
+    stream = _written_stream(spark, calls, closing_row(calls, seconds=7_800))
     rates = stream_rates(stream, window_seconds=3600, step_seconds=600)
     written = _drain(spark, rates)
     return written.withColumn("window_start", F.unix_seconds("window_start"))

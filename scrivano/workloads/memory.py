@@ -121,15 +121,22 @@ def context_before_turn_sliced(spark, sf_dir):
     return mem.context_before_turn(turns, include_metadata=True, slice_turns=900)
 
 
-@REGISTRY.add("stream_contexts", _sql_before(_SQL_LONG))
-def stream_contexts_query(spark, sf_dir):
-    """The same contexts from a stream: state per session, turns written as they arrive."""
+STREAM_FILES = 5
+
+
+def _streamed_contexts(spark, turns, **options):
+    """Contexts of ``turns`` (with ``ts``) that arrive in time order, a file per micro-batch."""
     source, out, marks = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "marks"))
-    _long_turns(spark, sf_dir).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source)
+    ends = turns.select(F.min("turn_no").alias("first"), (F.max("turn_no") - F.min("turn_no") + 1).alias("span")).first()
+    if ends.first is None:
+        turns.write.parquet(source)
+    else:
+        piece = F.floor((F.col("turn_no") - ends.first) * STREAM_FILES / ends.span)
+        for i in range(STREAM_FILES):
+            turns.filter(piece == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = (
-        stream_contexts(stream)
+        stream_contexts(stream, **options)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", marks)
@@ -140,6 +147,34 @@ def stream_contexts_query(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _timed_turns(spark, sf_dir):
+    """Turn numbers as seconds, after the first instant, which no watermark lets pass."""
+    return _long_turns(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("turn_no") + 1_000_000))
+
+
+@REGISTRY.add("stream_contexts", _sql_before(_SQL_LONG))
+def stream_contexts_query(spark, sf_dir):
+    """The same contexts from a stream of five files: state is carried from one to the next."""
+    return _streamed_contexts(spark, _timed_turns(spark, sf_dir), idle="3650 days")
+
+
+# A turn more than ten minutes after the last one of its session finds an empty memory.
+_SQL_IDLE = f"""{_SQL_LONG}, breaks as (select *, coalesce(turn_no - lag(turn_no) over (partition by session_id
+    order by turn_no) > 600, true)::int as starts from turns),
+  spells as (select *, sum(starts) over (partition by session_id order by turn_no) as spell from breaks)"""
+
+
+@REGISTRY.add(
+    "stream_contexts_idle",
+    f"""with {_SQL_IDLE} select session_id, turn_no, coalesce(string_agg({_PART}, chr(10) || chr(10)) over (
+      partition by session_id, spell order by turn_no rows between 5 preceding and 1 preceding), '') as context
+    from spells""",
+)
+def stream_contexts_idle(spark, sf_dir):
+    """Sessions are forgotten after ten minutes without a turn."""
+    return _streamed_contexts(spark, _timed_turns(spark, sf_dir), idle="10 minutes", watermark="1 minute")
+
+
 @REGISTRY.add(
     "recent_queries",
     f"""with {_SQL_TURNS}, {_sql_back(3)} select session_id, string_agg(query, '|' order by turn_no)

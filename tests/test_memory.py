@@ -100,11 +100,12 @@ def test_stream_equals_batch(spark):
     source = scratch_path(spark, "turns")
     ordered = sorted(rows, key=lambda t: t[1])
     for lo in range(0, len(ordered), 150):  # one file, one micro-batch each
-        frame(spark, ordered[lo : lo + 150]).coalesce(1).write.mode("append").parquet(source)
+        part = frame(spark, ordered[lo : lo + 150]).withColumn("ts", F.timestamp_seconds("turn_no"))
+        part.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema)
     stream = stream.option("maxFilesPerTrigger", 1).parquet(source)
     query = (
-        stream_contexts(stream, max_chars=1500).writeStream.format("memory").queryName("ctx")
+        stream_contexts(stream, max_chars=1500, idle="30 days").writeStream.format("memory").queryName("ctx")
         .option("checkpointLocation", scratch_path(spark, "marks"))
         .trigger(availableNow=True).start()
     )
