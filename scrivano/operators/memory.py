@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivano.functions.text import preview
+from scrivano.operators.calllog import ascii_json
+from scrivano.operators.sweep import running_total
 
 # Retained turns, turns in a context, recent queries and listed characters.
 MAX_HISTORY = 10
@@ -20,28 +22,41 @@ RECENT_QUERIES = 3
 LISTED_PREVIEW = 60
 
 SLICE_TURNS = 10_000
+BEFORE_ALL = -(1 << 62)
 
 
 def turns_from_messages(
     messages: DataFrame, session: str = "conv_id", position: str = "turn"
 ) -> DataFrame:
-    """Pair each user message with the assistant message right after it.
+    """Pair each user message with the assistant message that comes next in its session.
 
-    Positions are consecutive, so the pair is an equi-join on (session, position + 1): both sides
-    are unique on their key and no session is collected.
+    Positions may have gaps but do not repeat within a session. One running total over the keys alone
+    gives every message its place in the order of all messages, so the pair is an equi-join on
+    neighbouring places and no session is collected; the texts are joined to the pairs. Messages without
+    a session form one session.
     """
-    asked = messages.filter(F.col("role") == "user").select(
-        F.col(session).cast("string").alias("session_id"),
-        F.col(position).cast("long").alias("turn_no"),
-        F.col("text").alias("query"),
-        (F.col(position).cast("long") + 1).alias("_next"),
-    )
-    answered = messages.filter(F.col("role") == "assistant").select(
-        F.col(session).cast("string").alias("session_id"),
-        F.col(position).cast("long").alias("_next"),
-        F.col("text").alias("response"),
+    keys = messages.select(F.col(session).cast("string").alias("session_id"), F.col(position).cast("long").alias("turn_no"), "role")
+    placed = running_total(keys.withColumn("_one", F.lit(1).cast("long")), ["session_id", "turn_no"], "_one", "_place")
+
+    def of(role: str, place: Column, *names: str) -> DataFrame:
+        return placed.filter(F.col("role") == role).select(place.alias("_place"), *[F.col(c).alias(f"{role}_{c}") for c in names])
+
+    next_to = of("user", F.col("_place") + 1, "session_id", "turn_no").join(
+        of("assistant", F.col("_place"), "session_id", "turn_no"), "_place"
     )
-    return asked.join(answered, ["session_id", "_next"]).drop("_next")
+    pairs = next_to.filter(F.col("user_session_id").eqNullSafe(F.col("assistant_session_id"))).drop("_place", "assistant_session_id")
+
+    def texts(role: str, name: str) -> DataFrame:
+        return messages.filter(F.col("role") == role).select(
+            F.col(session).cast("string").alias("_session"), F.col(position).cast("long").alias("_turn"), F.col("text").alias(name)
+        )
+
+    def at(turn: str) -> Column:
+        return F.col("user_session_id").eqNullSafe(F.col("_session")) & F.col(turn).eqNullSafe(F.col("_turn"))
+
+    asked = pairs.join(texts("user", "query"), at("user_turn_no")).drop("_session", "_turn")
+    both = asked.join(texts("assistant", "response"), at("assistant_turn_no"))
+    return both.select(F.col("user_session_id").alias("session_id"), F.col("user_turn_no").alias("turn_no"), "query", "response")
 
 
 def last_turns(turns: DataFrame, n: int = MAX_HISTORY) -> DataFrame:
@@ -51,10 +66,10 @@ def last_turns(turns: DataFrame, n: int = MAX_HISTORY) -> DataFrame:
 
 
 def metadata_json(metadata: Column) -> Column:
-    """Turn metadata as JSON indented by two; a missing query type is left out."""
+    """Turn metadata as JSON indented by two, ASCII only; a missing query type is left out."""
 
     def quoted(value):
-        return F.regexp_extract(F.to_json(F.array(value)), r"(?s)\A\[(.*)\]\z", 1)
+        return ascii_json(F.regexp_extract(F.to_json(F.array(value)), r"(?s)\A\[(.*)\]\z", 1))
 
     paths = metadata["standards"]
     listed = F.concat(
@@ -126,19 +141,19 @@ def context_before_turn(
 
     A session is cut into slices of consecutive turn numbers. The last turns of each slice are
     handed on to the slice after it, so the window runs per slice and a session of any length is
-    spread over many tasks.
+    spread over many tasks. Turns without a session form one; turns without a number come before all others.
     """
     n = min(context_turns, max_history)
     number = F.col("turn_no")
-    # One exchange by slice serves the tails and the final window alike; the filter that the join
-    # below would infer is stated up front, so that both branches keep the same plan up to there.
+    # One exchange by slice serves the tails and the final window alike. A missing session is a value of
+    # its own inside a struct, so that it joins like any other.
+    slice_no = F.floor((number - F.pmod(number, F.lit(slice_turns))) / slice_turns)
     parts = turns.select(
-        "session_id",
+        F.struct("session_id").alias("session_id"),
         "turn_no",
-        F.floor((number - F.pmod(number, F.lit(slice_turns))) / slice_turns).alias("slice"),
+        F.coalesce(slice_no, F.lit(BEFORE_ALL)).alias("slice"),
         turn_part(include_metadata).alias("part"),
     )
-    parts = parts.filter(F.col("session_id").isNotNull() & F.col("slice").isNotNull())
     parts = parts.repartition("session_id", "slice")
     newest = Window.partitionBy("session_id", "slice").orderBy(F.col("turn_no").desc())
     tails = (
@@ -169,7 +184,7 @@ def context_before_turn(
     return (
         both.withColumn("context", _join_parts(F.collect_list("part").over(before), max_chars))
         .filter(~F.col("carried"))
-        .select("session_id", "turn_no", "context")
+        .select("session_id.session_id", "turn_no", "context")
     )
 
 

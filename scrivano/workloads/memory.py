@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scrivano.operators import memory as mem
 from scrivano.operators import prompts
+from scrivano.plans import jobs
 from scrivano.session import scratch_path
 from scrivano.sources import readers, writers
 from scrivano.streaming.memory import stream_contexts
@@ -368,9 +369,8 @@ def turn_metadata(spark, sf_dir):
 
 
 def _responses(spark, sf_dir):
-    """The documents stand in for the responses of an external model; two of three requests have one."""
-    answered = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 3 != 1)
-    return answered.select(
+    """The documents stand in for the responses of an external model."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("query_id"),
         "text",
         F.lit("m1").alias("model"),
@@ -384,28 +384,39 @@ def _responses(spark, sf_dir):
         count(*) as n, string_agg(label || '//' || doc_id || '#' || place || '#' || case when
           doc_id % 3 <> 0 then doc_id::varchar else 'N/A' end, ' ' order by place) as found
         from near group by query_id)
-    select q.query_id, q.query as question, d.text as answer, 'm1' as model,
+    select q.query_id, q.query as question, d.text as answer, case when d.doc_id is not null then 'm1' end as model,
       coalesce(n, 0) as standards_found, coalesce(found, '') as found
-    from queries q join documents d on d.doc_id = q.query_id and d.doc_id % 3 <> 1
+    from queries q left join documents d on d.doc_id = q.query_id
     left join hits h on h.query_id = q.query_id""",
 )
 def answer_records(spark, sf_dir):
-    """Records written as JSON texts and read back."""
+    """Records written as JSON lines and read back."""
     records = prompts.assemble_records(
         search._queries(spark, sf_dir), _label_hits(spark, sf_dir), _responses(spark, sf_dir)
     )
-    texts = prompts.as_json(records)
-    parsed = F.from_json("json", records.drop("query_id").schema).alias("r")
+    return _read_answers(_written_json(spark, records))
+
+
+def _written_json(spark, records):
+    """The records after a round through the JSON sink; a request's number travels in its record."""
+    path = scratch_path(spark, "records")
+    numbered = records.withColumn("number", F.col("query_id"))
+    writers.write_json_records(prompts.as_json(numbered), path)
+    schema = numbered.drop("query_id").schema
+    return spark.read.schema(schema).json(path).withColumnRenamed("number", "query_id")
+
+
+def _read_answers(back):
     found = F.transform(
-        "r.relevant_standards",
+        "relevant_standards",
         lambda h: F.concat_ws("#", h["section_path"], h["rank"].cast("string"), h["section_number"]),
     )
-    return texts.select("query_id", parsed).select(
+    return back.select(
         "query_id",
-        "r.question",
-        F.col("r.answer.answer").alias("answer"),
-        F.col("r.summary.llm_model").alias("model"),
-        F.col("r.summary.standards_found").cast("long").alias("standards_found"),
+        "question",
+        F.col("answer.answer").alias("answer"),
+        F.col("summary.llm_model").alias("model"),
+        F.col("summary.standards_found").cast("long").alias("standards_found"),
         F.array_join(found, " ").alias("found"),
     )
 
@@ -420,3 +431,91 @@ def contract_turns(spark, sf_dir):
     return docs.select(
         F.col("doc_id").alias("query_id"), mem.contract_label(F.col("text")).alias("query")
     )
+
+
+# Contracts: every document is one, answered by the next document; the last one has no answer.
+_SQL_FOUND = """hits as (select query_id, count(*) as n, string_agg(label || '//' || doc_id, ' ' order by place) as found
+    from near group by query_id)"""
+
+
+@REGISTRY.add(
+    "contract_records",
+    f"""with {search._SQL_LABEL_HITS}, {_SQL_FOUND}
+    select d.doc_id as query_id, len(d.text) as contract_length, a.text as analysis,
+      case when a.doc_id is not null then 'm1' end as model, coalesce(n, 0) as standards_found,
+      coalesce(found, '') as found
+    from documents d left join documents a on a.doc_id = d.doc_id + 1
+    left join hits h on h.query_id = d.doc_id""",
+)
+def contract_records(spark, sf_dir):
+    """The contract form of the records, through the JSON sink."""
+    records, _ = _finished_contracts(spark, sf_dir)
+    back = _written_json(spark, records)
+    paths = F.transform("relevant_standards", lambda h: h["section_path"])
+    return back.select(
+        "query_id",
+        F.col("contract_length").cast("long").alias("contract_length"),
+        F.col("analysis.analysis").alias("analysis"),
+        F.col("summary.llm_model").alias("model"),
+        F.col("summary.standards_found").cast("long").alias("standards_found"),
+        F.array_join(paths, " ").alias("found"),
+    )
+
+
+def _finished_contracts(spark, sf_dir):
+    contracts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    responses = _responses(spark, sf_dir).withColumn("query_id", F.col("query_id") - 1)
+    return jobs.finish_requests(contracts, _label_hits(spark, sf_dir), responses, "contract")
+
+
+@REGISTRY.add(
+    "contract_answers",
+    f"""with {search._SQL_LABEL_HITS}, {_SQL_FOUND}
+    select d.doc_id as query_id, 'Analyze contract (' || len(d.text) || ' chars)' as query, a.text as response,
+      coalesce(n, 0) as standards_found, coalesce(found, '') as standards
+    from documents d left join documents a on a.doc_id = d.doc_id + 1
+    left join hits h on h.query_id = d.doc_id""",
+)
+def contract_answers(spark, sf_dir):
+    """The turns that analysed contracts leave in the memory."""
+    _, turns = _finished_contracts(spark, sf_dir)
+    return turns.select(
+        "query_id", "query", "response",
+        F.col("metadata.standards_found").cast("long").alias("standards_found"),
+        F.array_join("metadata.standards", " ").alias("standards"),
+    )
+
+
+# Every message with an odd conversation is without a session, and turn numbers leap.
+_SQL_LOOSE = f"""turns as (select case when conv_id % 2 = 0 then 's' || (conv_id % 7) end as session_id,
+    conv_id * 1000 + turn * 7 as turn_no, role as query, text as response from conversations)"""
+
+
+@REGISTRY.add("context_without_session", _sql_before(_SQL_LOOSE))
+def context_without_session(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(
+        F.expr("case when conv_id % 2 = 0 then 's' || (conv_id % 7) end").alias("session_id"),
+        (F.col("conv_id") * 1000 + F.col("turn") * 7).alias("turn_no"),
+        F.col("role").alias("query"),
+        F.col("text").alias("response"),
+    )
+    return mem.context_before_turn(turns, slice_turns=9_000)
+
+
+@REGISTRY.add(
+    "pair_leaping_turns",
+    """with ordered as (select case when conv_id % 3 <> 0 then conv_id::varchar end as session_id,
+      conv_id * 1000 + turn * turn * 5 as turn_no, role, text as query, lead(text) over w as response,
+      lead(role) over w as next_role from conversations
+      window w as (partition by case when conv_id % 3 <> 0 then conv_id end order by conv_id * 1000 + turn * turn * 5))
+    select session_id, turn_no, query, response from ordered where role = 'user' and next_role = 'assistant'""",
+)
+def pair_leaping_turns(spark, sf_dir):
+    """Turns of messages whose positions have gaps; a third of the conversations has no session."""
+    messages = table(spark, sf_dir, "conversations").select(
+        F.expr("case when conv_id % 3 <> 0 then conv_id end").alias("conv_id"),
+        (F.col("conv_id") * 1000 + F.col("turn") * F.col("turn") * 5).alias("turn"),
+        "role",
+        "text",
+    )
+    return mem.turns_from_messages(messages)

@@ -171,13 +171,15 @@ def test_prompts_and_records(spark):
                                       "query_id long, text string, model string, provider string, tokens_used int")
     records, new_turns = jobs.finish_requests(requests, hits, responses, "contract")
     parsed = {r.query_id: json.loads(r.json) for r in prompts.as_json(records).collect()}
-    assert sorted(parsed) == [1, 3]
+    assert sorted(parsed) == [1, 2, 3]
+    assert parsed[2]["analysis"] is None and parsed[2]["summary"]["llm_model"] is None and parsed[2]["contract_length"] == 5
     assert parsed[1]["contract_length"] == 4000 and parsed[1]["analysis"]["analysis"] == "yes"
     assert [h["rank"] for h in parsed[1]["relevant_standards"]] == [1, 2, 3, 4, 5, 6, 7]
     assert parsed[1]["summary"] == {"standards_found": 7, "llm_provider": "p", "llm_model": "m", "session_id": "s1"}
     assert parsed[3]["relevant_standards"] == []
     turn = {r.query_id: r for r in new_turns.collect()}
     assert turn[1].query == "Analyze contract (4000 chars)" and turn[1].metadata.standards_found == 7
+    assert turn[2].response is None and turn[2].metadata.standards_found == 1
     assert turn[3].metadata.standards == [] and turn[1].metadata.query_type is None
     records, new_turns = jobs.finish_requests(requests, hits, responses)
     assert records.filter("query_id = 1").first().answer.answer == "yes"
@@ -192,3 +194,26 @@ def test_listing(spark):
     assert len(listed) == 10 and [r.number for r in listed] == list(range(10, 0, -1))
     assert listed[0].label == f"Question #10 - {('preview 12 ' + 'z' * 80)[:60]}... (12 standards)"
     assert listed[1].label.endswith("... (11 standards, 111 chars)")
+
+
+def test_pairs_follow_the_order_across_gaps(spark):
+    rows = [("a", 1, "user", "q1"), ("a", 5, "assistant", "r1"), ("a", 9, "user", "lost"), ("a", 12, "user", "q2"),
+            ("a", 40, "assistant", "r2"), ("a", 41, "assistant", "extra"), ("b", 2, "user", "last"), ("c", 1, "assistant", "first"),
+            (None, 3, "user", "q3"), (None, 8, "assistant", "r3"), ("d", 1, "system", "x"), ("d", 2, "user", "q4"), ("d", 9, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(4)
+    got = {(r.session_id, r.turn_no): (r.query, r.response) for r in mem.turns_from_messages(df).collect()}
+    assert got == {("a", 1): ("q1", "r1"), ("a", 12): ("q2", "r2"), (None, 3): ("q3", "r3"), ("d", 2): ("q4", None)}
+
+
+def test_contexts_of_turns_without_session_or_number(spark):
+    rows = [(None, i, f"q{i}", f"r{i}", None) for i in (1, 30, 61)] + [("s", 5, "x", "y", None), ("s", None, "first", "f", None)]
+    got = {(r.session_id, r.turn_no): r.context for r in mem.context_before_turn(frame(spark, rows), slice_turns=10).collect()}
+    assert got[None, 61] == "User: q1\n\nAssistant: r1\n\nUser: q30\n\nAssistant: r30" and got[None, 1] == ""
+    assert got["s", 5] == "User: first\n\nAssistant: f" and got["s", None] == "" and len(got) == 5
+
+
+def test_metadata_is_ascii(spark):
+    meta = {"standards_found": 1, "standards": ["é//1", "a\"b"], "query_type": "ß😀"}
+    df = frame(spark, [("s", 1, "q", "r", meta)])
+    got = df.select(mem.metadata_json(F.col("metadata"))).first()[0]
+    assert got == json.dumps(meta, indent=2)
