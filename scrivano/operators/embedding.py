@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +22,7 @@ INSTRUCTION = "Represent this sentence for searching relevant passages:"
 
 DEFAULT_DIMENSION = 768
 
-# A factory is called once per task; the encoder it returns turns a batch of texts into a matrix.
+# A factory is called once per Python worker; the encoder it returns turns a batch of texts into a matrix.
 Encoder = Callable[[Sequence[str]], np.ndarray]
 EncoderFactory = Callable[[], Encoder]
 
@@ -57,33 +57,25 @@ def encode_with(
     normalize: bool = True,
     batch_size: int = 64,
 ) -> DataFrame:
-    """Encode ``text`` with a pluggable encoder, loaded once per task and fed ``batch_size`` texts."""
-    schema = T.StructType(
-        [f for f in df.schema.fields if f.name != out]
-        + [T.StructField(out, T.ArrayType(T.FloatType()))]
-    )
-    keep = [f.name for f in schema.fields[:-1]]
+    """Encode ``text`` with a pluggable encoder, loaded once per Python worker and fed ``batch_size`` texts.
+
+    The encoding is a column like any other: what does not select it does not encode.
+    """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load():
         encoder = factory()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, batch_size):
-                part = batch.slice(lo, batch_size)
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                matrix = np.asarray(encoder(texts), dtype=np.float64)
-                if normalize:
-                    length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-                    matrix = np.divide(matrix, length, out=matrix, where=length > 0)
-                flat = pa.array(matrix.astype(np.float32).ravel())
-                offsets = pa.array(
-                    np.arange(0, flat.__len__() + 1, matrix.shape[1], dtype=np.int32)
-                )
-                vectors = pa.ListArray.from_arrays(offsets, flat)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(name) for name in keep] + [vectors], names=keep + [out]
-                )
-
-    return df.select(*keep).mapInArrow(encode, schema)
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            matrix = np.asarray(encoder([t or "" for t in texts.tolist()]), dtype=np.float64)
+            if normalize:
+                length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                matrix = np.divide(matrix, length, out=matrix.copy(), where=length > 0)
+            return matrix.astype(np.float32)
+
+        return predict
+
+    encode = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return df.withColumn(out, encode(F.coalesce(F.col(text), F.lit(""))))
 
 
 def embed(

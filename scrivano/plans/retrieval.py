@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivano.functions import routing
@@ -19,6 +19,7 @@ from scrivano.operators import knn as nn
 from scrivano.operators.embedding import DEFAULT_MODEL, embed, section_id
 from scrivano.operators.rerank import boost_definitions, cut
 from scrivano.session import cut_lineage
+from scrivano.sources import vector_files
 
 # Default number of results and the over-fetch factor.
 DEFAULT_RESULTS = 5
@@ -83,9 +84,14 @@ def retrieve(
     n_results: int = DEFAULT_RESULTS,
     boost: bool = False,
     store: nn.ExactStore | None = None,
+    unique: bool = False,
+    max_hits: int = nn.MAX_BROADCAST_HITS,
 ) -> DataFrame:
     """Routed retrieval: hits per query, boosted after the cut where the route asks for it.
 
+    More than ``max_hits`` winners are not broadcast; ``unique`` states that the collection holds each
+    index once, as one written by ``writers.write_bucketed`` does.
+
     ``queries``: ``query_id, query`` and, unless ``embedder`` adds it, ``embedding``. With
     ``router=None`` the arguments ``n_results`` and ``boost`` apply to all queries.
     """
@@ -100,11 +106,22 @@ def retrieve(
     asked = _encoded(asked, embedder)
     nearest = (store or nn.ExactStore(collection)).query(asked, "_k")
     bound = nn.hit_rows(asked, "_k")
-    joined = nn.fetch_hits(nearest, collection, *METADATA, max_hits=bound)
+    joined = nn.fetch_hits(nearest, collection, *METADATA, max_hits=bound if bound <= max_hits else None, unique=unique)
     hits = project_hits(joined).join(asked.select("query_id", "_boost"), "query_id")
     return boost_definitions(hits, F.col("_boost")).drop("_boost")
 
 
+class FileStore(nn.ExactStore):
+    """The store's contract over a ``vector_files`` collection; its count reads the list only."""
+
+    def __init__(self, spark: SparkSession, path: str, metric: str = "sqeuclidean", **options):
+        super().__init__(vector_files.open_vectors(spark, path), metric, **options)
+        self.path = path
+
+    def count(self) -> int:
+        return vector_files.count_vectors(self.path)
+
+
 def over_fetch(n: Column, expansion: bool) -> Column:
     return n * OVER_FETCH if expansion else n
 

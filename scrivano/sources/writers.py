@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivano.operators.embedding import DEFAULT_MODEL, manifest
+from scrivano.session import cut_lineage
 
 QUOTED = {
     "header": True,
@@ -53,11 +54,12 @@ def write_embeddings(
 ) -> None:
     """Vectors, the sections with their index, and the one-row manifest.
 
-    ``embedded`` is encoded once: the vectors are written first, and the other two outputs are
-    derived from columns that need no encoding or from the written vectors.
+    ``embedded`` is computed once: it is kept in the shared checkpoint folder, and all outputs are
+    derived from there, whatever encoded it.
     """
-    embedded.select("embedding_index", "embedding").write.mode("overwrite").parquet(vectors_path)
-    embedded.drop("embedding").write.mode("overwrite").parquet(sections_path)
+    kept = cut_lineage(embedded)
+    kept.select("embedding_index", "embedding").write.mode("overwrite").parquet(vectors_path)
+    kept.drop("embedding").write.mode("overwrite").parquet(sections_path)
     written = embedded.sparkSession.read.parquet(vectors_path)
     row = manifest(written, model).withColumn(
         "processing_time", F.lit(processing_time).cast("double")

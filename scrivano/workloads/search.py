@@ -9,6 +9,8 @@ from scrivano.operators import embedding as emb
 from scrivano.operators import knn as nn
 from scrivano.operators.rerank import boost_definitions
 from scrivano.plans import retrieval
+from scrivano.session import scratch_path
+from scrivano.sources import readers, vector_files, writers
 from scrivano.workloads import Registry, table
 
 REGISTRY = Registry()
@@ -505,6 +507,101 @@ def retrieve_routed(spark, sf_dir):
     )
 
 
+# Routing off: all queries get the same number of hits and no boost. An own router: by the query's number.
+def _sql_own(boost, n):
+    own = _SQL_RETRIEVE.replace("case when boost then", f"case when {boost} then")
+    return own.replace("where place <= n_results", f"where place <= {n}")
+
+
+@REGISTRY.add(
+    "retrieve_unrouted",
+    f"with {_sql_own('false', '6')} select {_HIT_COLUMNS} from hits",
+)
+def retrieve_unrouted(spark, sf_dir):
+    queries, collection = _queries(spark, sf_dir), _collection(spark, sf_dir)
+    return _hits(retrieval.retrieve(queries, collection, _embedder, router=None, n_results=6))
+
+
+@REGISTRY.add(
+    "retrieve_own_router",
+    f"with {_sql_own('p.query_id % 2 = 0', '1 + p.query_id % 4')} select {_HIT_COLUMNS} from hits",
+)
+def retrieve_own_router(spark, sf_dir):
+    def by_number(queries):
+        plan = F.struct(
+            (F.col("query_id") % 4 + 1).cast("int").alias("n_results"), (F.col("query_id") % 2 == 0).alias("boost_definitions")
+        )
+        return queries.withColumn("strategy", plan)
+
+    queries, collection = _queries(spark, sf_dir), _collection(spark, sf_dir)
+    return _hits(retrieval.retrieve(queries, collection, _embedder, router=by_number))
+
+
+@REGISTRY.add("retrieve_bucketed", f"with {_SQL_RETRIEVE} select {_HIT_COLUMNS} from hits")
+def retrieve_bucketed(spark, sf_dir):
+    """Routed retrieval over a collection that is bucketed by its unique index, without broadcast winners."""
+    path = scratch_path(spark, "bucketed")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    collection = writers.write_bucketed(_collection(spark, sf_dir), name, path, 8)
+    hits = retrieval.retrieve(_queries(spark, sf_dir), collection, _embedder, unique=True, max_hits=0)
+    return _hits(hits)
+
+
+# Letters, vowels and spaces of a text, as an encoder would return them.
+_COUNTED = ("[^ ]", "[aeiou]", " ")
+
+
+def _counting_encoder():
+    import re
+
+    patterns = [re.compile(p) for p in _COUNTED]
+    return lambda texts: [[len(p.findall(t)) for p in patterns] + [1] for t in texts]
+
+
+@REGISTRY.add(
+    "pluggable_encoder",
+    f"""with counted as (select doc_id, [{', '.join(f"len(regexp_extract_all(text, '{p}'))::double" for p in _COUNTED)}, 1.0::double] as v
+      from documents), lengths as (select *, sqrt(list_inner_product(v, v)) as n from counted)
+    select doc_id, generate_subscripts(v, 1) as place, round((unnest(v) / n)::float::double, 5) as value from lengths""",
+)
+def pluggable_encoder(spark, sf_dir):
+    """Documents encoded by an own model, written with their manifest and joined back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("embedding_index"), F.col("text").alias("content"))
+    encoded = emb.embed(docs, "content", "own-model", _counting_encoder)
+    vectors_at, sections_at, about = (scratch_path(spark, x) for x in ("own-vectors", "own-sections", "own-about"))
+    writers.write_embeddings(encoded, vectors_at, sections_at, about, "own-model")
+    back = readers.read_embedded_sections(spark, sections_at, vectors_at)
+    return back.select(F.col("embedding_index").alias("doc_id"), F.posexplode("embedding").alias("p", "x")).select(
+        "doc_id", (F.col("p") + 1).cast("long").alias("place"), F.round(F.col("x").cast("double"), 5).alias("value")
+    )
+
+
+def _file_store(spark, sf_dir):
+    collection, queries = _vectors(spark, sf_dir)
+    path = scratch_path(spark, "vector-files")
+    vector_files.write_vectors(collection.select("embedding_index", "embedding"), path)
+    return retrieval.FileStore(spark, path), queries
+
+
+@REGISTRY.add("file_store_search", _sql_knn(5))
+def file_store_search(spark, sf_dir):
+    """The same search over the second kind of collection."""
+    store, queries = _file_store(spark, sf_dir)
+    return _rounded(store.query(queries, 5))
+
+
+@REGISTRY.add(
+    "store_counts",
+    """select 'parquet' as store, count(*) as vectors from embeddings union all
+      select 'files', count(*) from embeddings""",
+)
+def store_counts(spark, sf_dir):
+    collection, _ = _vectors(spark, sf_dir)
+    files, _ = _file_store(spark, sf_dir)
+    counts = [("parquet", nn.ExactStore(collection).count()), ("files", files.count())]
+    return spark.createDataFrame(counts, "store string, vectors long")
+
+
 def _sql_search(n, expansion=True, name="hits", mapped="true"):
     fetch = f"2 * {n}" if expansion else str(n)
     wants = _any("lower(query)", routing.INTENT_PHRASES) if expansion else "false"

@@ -1,6 +1,7 @@
 """Routing, variants, re-ranking, composed retrieval and evaluation on hand-made rows."""
 
 import math
+import os
 import random
 
 import pytest
@@ -8,10 +9,10 @@ from pyspark.sql import functions as F
 
 from scrivano.functions import routing, scoring
 from scrivano.operators import evaluation as ev
-from scrivano.operators import knn
+from scrivano.operators import embedding, knn
 from scrivano.operators.rerank import boost_definitions
 from scrivano.plans import jobs, retrieval
-from scrivano.sources import readers
+from scrivano.sources import readers, vector_files, writers
 
 
 def frame(spark, texts):
@@ -179,9 +180,82 @@ def test_router_and_store_plug_in(spark):
     exact = retrieval.retrieve(queries, collection, router=two_results)
     near = retrieval.retrieve(
         queries, collection, router=two_results,
-        store=knn.ApproximateStore(collection, n_cells=5, n_probe=4))
+        store=knn.ApproximateStore(collection, bits=2, flips=2))
     for hits in (exact, near):
         got = {}
         for r in hits.orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
         assert got == {i: [f"section_{i * 7}", f"section_{i * 7 + 1}"] for i in range(4)}
+
+
+def test_bucketed_collection_is_read_in_place(spark, tmp_path):
+    rows = [(f"section_{i}", i, [1.0, float(i)], "d" * 60, "s", "p", 60, 1) for i in range(200)]
+    collection = spark.createDataFrame(
+        rows, "id string, embedding_index long, embedding array<float>, document string, "
+        "section_number string, section_path string, content_length int, line_number int")
+    table = writers.write_bucketed(collection, "bucketed_test", str(tmp_path / "b"), 4)
+    hits = spark.createDataFrame([(i, i * 3, 0.5, 1) for i in range(50)], "query_id long, embedding_index long, distance double, rank int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = knn.fetch_hits(hits, table, "document", "section_path", unique=True)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joined.count() == 50
+    # The winners alone are exchanged, not the texts.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    twice = collection.unionByName(collection.limit(1))
+    with pytest.raises(ValueError, match="not unique"):
+        writers.write_bucketed(twice, "bucketed_twice", str(tmp_path / "c"), 2)
+    spark.sql("drop table bucketed_test")
+    spark.sql("drop table bucketed_twice")
+
+
+def test_file_store_commits_whole_collections(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    with pytest.raises(FileNotFoundError, match="build it first"):
+        retrieval.FileStore(spark, path)
+    frame = spark.range(300, numPartitions=5).select(
+        F.col("id").alias("embedding_index"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    vector_files.write_vectors(frame.limit(0), path)
+    assert retrieval.FileStore(spark, path).count() == 0
+    vector_files.write_vectors(frame, path)
+    store = retrieval.FileStore(spark, path)
+    assert store.count() == 300 == store.collection.count() and store.collection.rdd.getNumPartitions() == 5
+    (tmp_path / "vectors" / "stray.arrow").write_bytes(b"of an attempt that failed")
+    queries = spark.createDataFrame([(1, [7.2, 1.0])], "query_id long, embedding array<float>")
+    assert [r.embedding_index for r in store.query(queries, 3).orderBy("rank").collect()] == [7, 8, 6]
+    vector_files.write_vectors(frame.filter("embedding_index < 10"), path, append=True)
+    assert retrieval.FileStore(spark, path).count() == 310
+    vector_files.write_vectors(frame.filter("embedding_index < 10"), path)
+    assert retrieval.FileStore(spark, path).count() == 10
+
+    @F.udf("long")
+    def fails(x):
+        raise RuntimeError("no")
+
+    with pytest.raises(Exception, match="no"):
+        vector_files.write_vectors(frame.withColumn("embedding_index", fails("embedding_index")), path)
+    assert retrieval.FileStore(spark, path).count() == 10
+
+
+def test_every_row_is_encoded_once(spark, tmp_path):
+    # An encoder outlives a task, so it counts in files: a byte per text, a byte per load.
+    encoded, loaded = str(tmp_path / "encoded"), str(tmp_path / "loaded")
+
+    def mark(path, times):
+        with open(path, "ab", buffering=0) as file:
+            file.write(b"x" * times)
+
+    def factory():
+        mark(loaded, 1)
+
+        def encode(texts):
+            mark(encoded, len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return encode
+
+    docs = spark.range(500, numPartitions=8).select(F.col("id").alias("embedding_index"), F.col("id").cast("string").alias("content"))
+    frame = embedding.embed(docs, "content", "own", factory)
+    writers.write_embeddings(frame, str(tmp_path / "v"), str(tmp_path / "s"), str(tmp_path / "m"), "own")
+    assert os.path.getsize(encoded) == 500 and os.path.getsize(loaded) <= 4  # workers
+    assert readers.read_embedded_sections(spark, str(tmp_path / "s"), str(tmp_path / "v")).count() == 500
