@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from scrivano import schemas
 from scrivano.functions.text import is_blank
 from scrivano.operators.embedding import DEFAULT_MODEL, check_alignment
+from scrivano.sources import quoted_csv
 
 # The built-in evaluation cases (query, expected section paths, category).
 DEFAULT_CASES = [
@@ -68,6 +69,23 @@ def read_contracts(spark: SparkSession, *paths: str) -> DataFrame:
     ).filter(~is_blank(F.col("query")))
 
 
+# A packed corpus: records of name and text; both marks are escaped in texts by the first.
+RECORD, FIELD, ESCAPE = "\x1e", "\x1f", "\x1d"
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, name, text`` of the documents that ``writers.write_packed`` packed, many to a file.
+
+    Files are split between tasks at the record mark, so neither few large nor many small files matter.
+    """
+    records = spark.read.option("lineSep", RECORD).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    fields = F.split("value", FIELD, 2)
+    text = fields[1]
+    for code, mark in (("2", FIELD), ("1", RECORD), ("0", ESCAPE)):
+        text = F.replace(text, F.lit(ESCAPE + code), F.lit(mark))
+    return records.select("path", fields[0].alias("name"), text.alias("text"))
+
+
 def join_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Pages to documents in page order; a page without text counts as empty, blank line between."""
     page = F.struct(F.col("page_no"), F.coalesce("text", F.lit("")).alias("text"))
@@ -85,7 +103,7 @@ def drop_empty(documents: DataFrame, text: str = "text", blank: bool = False) ->
 
 
 def read_sections_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Section CSV with the required columns checked on the header."""
+    """Section CSV with the required columns checked on the header; a large file is read by many tasks."""
     header = spark.read.options(**{**CSV_OPTIONS, "multiLine": False}).csv(path).columns
     missing = [c for c in schemas.REQUIRED_SECTION_COLUMNS if c not in header]
     if missing:
@@ -93,11 +111,8 @@ def read_sections_csv(spark: SparkSession, path: str) -> DataFrame:
     known = {f.name: f for f in schemas.SECTION_CSV.fields}
     fields = [known.get(c, T.StructField(c, T.StringType())) for c in header]
     # An empty cell stays an empty text, and words such as NA or null stay text.
-    return (
-        spark.read.schema(T.StructType(fields))
-        .options(**CSV_OPTIONS, nullValue="\x00", emptyValue="")
-        .csv(path)
-    )
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
+    return quoted_csv.read_csv(spark, path, T.StructType(fields), {**options, "nullValue": "\x00", "emptyValue": ""})
 
 
 def read_embedded_sections(spark: SparkSession, sections: str, vectors: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scrivano.operators.embedding import DEFAULT_MODEL, manifest
 from scrivano.session import cut_lineage
+from scrivano.sources.readers import ESCAPE, FIELD, RECORD
 
 QUOTED = {
     "header": True,
@@ -23,6 +24,15 @@ def write_cleaned(documents: DataFrame, path: str, doc: str = "doc_id", text: st
     documents.select(doc, text).write.mode("overwrite").parquet(path)
 
 
+def write_packed(documents: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """Documents packed many to a file, for ``readers.read_packed``; a null text is an empty one."""
+    packed = F.coalesce(F.col(text), F.lit(""))
+    for code, mark in (("0", ESCAPE), ("1", RECORD), ("2", FIELD)):
+        packed = F.replace(packed, F.lit(mark), F.lit(ESCAPE + code))
+    record = F.concat(F.col(name).cast("string"), F.lit(FIELD), packed)
+    documents.select(record.alias("value")).write.mode("overwrite").option("lineSep", RECORD).text(path)
+
+
 def document_manifest(documents: DataFrame) -> DataFrame:
     """``filename, stem, path, pages`` from documents with ``path`` and ``pages``."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)

@@ -29,10 +29,18 @@ def corpus_files(spark, sf_dir):
     )
 
 
+@REGISTRY.add("packed_corpus", "select doc_id, text from documents")
+def packed_corpus(spark, sf_dir):
+    """The corpus in a few large files, split between tasks by records."""
+    folder = scratch_path(spark, "packed")
+    writers.write_packed(table(spark, sf_dir, "documents"), folder, name="doc_id")
+    corpus = readers.read_packed(spark, folder)
+    return corpus.select(F.col("name").cast("long").alias("doc_id"), "text")
+
+
 @REGISTRY.add(
     "contract_files",
-    r"select turn, count(*) as contracts, sum(len(text) + 1)::bigint as chars from conversations "
-    r"where regexp_matches(text, '\S') group by turn",
+    r"select turn, conv_id, text || chr(10) as query from conversations where regexp_matches(text, '\S')",
 )
 def contract_files(spark, sf_dir):
     """Contracts read by path; every message is a file."""
@@ -42,12 +50,33 @@ def contract_files(spark, sf_dir):
     )
     messages.write.partitionBy("turn", "conv_id").text(folder)
     contracts = readers.read_contracts(spark, folder)
-    turn = F.regexp_extract("path", r"/turn=(\d+)/", 1).cast("long")
-    return contracts.groupBy(turn.alias("turn")).agg(
-        F.count(F.lit(1)).alias("contracts"), F.sum(F.length("query").cast("long")).alias("chars")
+    return contracts.select(
+        F.regexp_extract("path", r"/turn=(\d+)/", 1).cast("long").alias("turn"),
+        F.regexp_extract("path", r"/conv_id=(\d+)/", 1).cast("long").alias("conv_id"),
+        "query",
     )
 
 
+@REGISTRY.add(
+    "sections_csv_split",
+    """select 'n' || doc_id as section_number, lang || '//' || doc_id as section_path,
+      replace(text, ' ', ' "' || chr(10)) as content, doc_id as line_number from documents""",
+)
+def sections_csv_split(spark, sf_dir):
+    """One file whose cells are full of quotes and line breaks, read in many byte ranges."""
+    sections = table(spark, sf_dir, "documents").select(
+        F.expr("'n' || doc_id").alias("section_number"),
+        F.expr("lang || '//' || doc_id").alias("section_path"),
+        F.replace(F.col("text"), F.lit(" "), F.lit(' "\n')).alias("content"),
+        F.length("text").alias("content_length"),
+        F.col("doc_id").cast("int").alias("line_number"),
+    )
+    plain, csv = scratch_path(spark, "sections"), scratch_path(spark, "sections-csv")
+    writers.write_sections(sections.coalesce(1), plain, csv)
+    back = readers.read_sections_csv(spark, csv)
+    return back.drop("content_length").withColumn("line_number", F.col("line_number").cast("long"))
+
+
 _CONTENT = "'say \"' || text || '\", NA' || chr(10) || ' null '"
 
 

@@ -1,6 +1,8 @@
 """Readers and writers: round trips, required columns, defaults, clear errors, and encoders."""
 
+import csv
 import json
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 
 from scrivano.operators import embedding as emb
 from scrivano.plans import jobs
-from scrivano.sources import readers, writers
+from scrivano.session import cut_lineage
+from scrivano.sources import quoted_csv, readers, writers
 from scrivano.streaming.calllog import stream_first_calls
 
 
@@ -147,3 +150,56 @@ def test_stream_deduplication_is_streaming(spark, tmp_path):
              .option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start())
     query.awaitTermination()
     assert spark.table("first").count() == 1
+
+
+def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        text = "".join(rng.choices(["word ", '"', "\n", ",", "é", "\r", '""\n"', " "], k=rng.randrange(30)))
+        if i in (50, 51):
+            text = "\n" * 900 + "x"  # longer than a range
+        rows.append((f"n{i}", f"p{i}", text, len(text), i))
+    path = tmp_path / "sections.csv"
+    with open(path, "w", newline="") as file:
+        out = csv.writer(file, quoting=csv.QUOTE_ALL, lineterminator="\n")
+        out.writerow(["section_number", "section_path", "content", "content_length", "line_number"])
+        out.writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    records = quoted_csv.read_records(spark, str(path))
+    starts = records.select("start").distinct().count()
+    got = {tuple(r) for r in readers.read_sections_csv(spark, str(path)).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert starts > 10
+    assert got == set(rows)
+
+
+def test_packed_corpus_keeps_every_character(spark, tmp_path):
+    texts = ["plain", "", None, "a\x1eb\x1fc\x1dd", "\x1d0\x1d1\x1d2", "line\nbreak\r\n", "é" * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "name long, text string").repartition(2)
+    writers.write_packed(df, str(tmp_path / "packed"))
+    got = {int(r.name): r.text for r in readers.read_packed(spark, str(tmp_path / "packed")).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_documents_that_share_an_id_are_numbered_by_order(spark):
+    rows = [(i % 3, i, i, f"c{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, line_number int, content_length int, content string").repartition(4)
+    numbered = emb.number_sections(cut_lineage(emb.with_slot(df)))
+    want = {c: i for i, (_, _, _, c) in enumerate(sorted(rows))}
+    assert {r.content: r.embedding_index for r in numbered.collect()} == want
+
+
+def test_numbering_moves_counts_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Shari'ah Standard No. ({i})\n2//1 A{i}\n2//2 B\ntext") for i in range(40)], "doc_id long, text string")
+    writers.write_sections(emb.with_slot(jobs.build_sections(docs.repartition(3))), str(tmp_path / "s"))
+    sections = spark.read.parquet(str(tmp_path / "s"))
+    numbered = emb.number_sections(sections)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    ranked = sorted((r.doc_id, r.line_number, r.embedding_index) for r in numbered.collect())
+    assert [r[2] for r in ranked] == list(range(80))
+    starts = emb.document_starts(sections).orderBy("doc_id").collect()
+    assert [r.start for r in starts] == [2 * i for i in range(40)]
