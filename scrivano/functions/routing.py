@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,13 +29,22 @@ QUESTION_WORDS = ("what", "why", "how", "when", "where", "which", "who")
 INTENT_PHRASES = ("what is", "what are", "define", "definition", "explain")
 EXPANSION_PHRASES = INTENT_PHRASES + ("meaning of",)
 
-# Query type -> (n_results, boost_definitions, use_query_expansion, rerank).
+
+
+class Strategy(NamedTuple):
+    n_results: int
+    boost_definitions: bool
+    use_query_expansion: bool
+    rerank: bool
+
+
+# The strategy of each query type.
 STRATEGIES = {
-    "definition": (3, True, True, False),
-    "rules": (7, False, True, False),
-    "prohibition": (5, False, True, False),
-    "complex": (10, False, True, True),
-    "simple": (3, False, False, False),
+    "definition": Strategy(n_results=3, boost_definitions=True, use_query_expansion=True, rerank=False),
+    "rules": Strategy(n_results=7, boost_definitions=False, use_query_expansion=True, rerank=False),
+    "prohibition": Strategy(n_results=5, boost_definitions=False, use_query_expansion=True, rerank=False),
+    "complex": Strategy(n_results=10, boost_definitions=False, use_query_expansion=True, rerank=True),
+    "simple": Strategy(n_results=3, boost_definitions=False, use_query_expansion=False, rerank=False),
 }
 COMPARISON_COMPLEXITY = 0.8
 COMPLEX_ABOVE = 0.6
@@ -87,19 +98,19 @@ def query_type(keywords: Column, score: Column) -> Column:
 def strategy(qtype: Column, score: Column) -> Column:
     """Strategy struct for a type; complex queries fetch more and ask for re-ranking."""
 
-    def pick(position: int) -> Column:
-        out = F.lit(STRATEGIES["simple"][position])
+    def pick(field: str) -> Column:
+        out = F.lit(getattr(STRATEGIES["simple"], field))
         for name, values in STRATEGIES.items():
-            out = F.when(qtype == name, F.lit(values[position])).otherwise(out)
+            out = F.when(qtype == name, F.lit(getattr(values, field))).otherwise(out)
         return out
 
     wide = score > WIDEN_ABOVE
-    n_results = F.when(wide, F.least(pick(0) + WIDEN_BY, F.lit(MAX_RESULTS))).otherwise(pick(0))
+    n_results = F.when(wide, F.least(pick("n_results") + WIDEN_BY, F.lit(MAX_RESULTS))).otherwise(pick("n_results"))
     return F.struct(
-        pick(2).alias("use_query_expansion"),
+        pick("use_query_expansion").alias("use_query_expansion"),
         n_results.cast("int").alias("n_results"),
-        pick(1).alias("boost_definitions"),
-        (wide | pick(3)).alias("rerank"),
+        pick("boost_definitions").alias("boost_definitions"),
+        (wide | pick("rerank")).alias("rerank"),
     )
 
 

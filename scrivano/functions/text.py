@@ -48,7 +48,8 @@ def lines_of(col: Column) -> Column:
 def collapse_doubled_letters(col: Column) -> Column:
     """Collapse each equal alphanumeric pair when the text shows the doubled-extraction fault."""
     pairs = F.regexp_count(col, F.lit(r"([A-Za-z0-9])\1"))
-    alnum = F.regexp_count(col, F.lit("[A-Za-z0-9]"))
+    # Whole runs are taken out, which needs a match per word instead of one per character.
+    alnum = F.length(col) - F.length(F.regexp_replace(col, "[A-Za-z0-9]+", ""))
     doubled = (alnum > MIN_ALNUM) & (pairs / alnum > DOUBLED_RATIO)
     return F.when(doubled, F.regexp_replace(col, r"([\p{L}\p{N}])\1", "$1")).otherwise(col)
 
@@ -69,17 +70,18 @@ def with_collapsed_marks(df: DataFrame, text: str = "text") -> DataFrame:
         gate = F.when(F.contains(whole, F.lit(pair)), F.lit(pair)).otherwise(F.lit(""))
         fixed = F.replace(fixed, gate, F.lit(pair[0]))
     word = r"[\p{L}\p{N}_]"
-    dash_gate = F.when(
-        F.regexp_like(whole, F.lit(f"{word}--{word}")), F.lit(f"({word})--({word})")
-    ).otherwise(F.lit("(?!)"))
-    return df.withColumn(text, F.regexp_replace(fixed, dash_gate, F.lit("$1-$2")))
+    open_gate = F.contains(whole, F.lit("--")) & F.regexp_like(whole, F.lit(f"{word}--{word}"))
+    # A closed gate runs no pattern over the text.
+    return df.withColumn(
+        text, F.when(open_gate, F.regexp_replace(fixed, f"({word})--({word})", "$1-$2")).otherwise(fixed)
+    )
 
 
 def basic_clean(col: Column) -> Column:
     """Newline normalisation, page-number removal and strip."""
     out = F.replace(col, F.lit("\r"), F.lit("\n"))
     out = F.regexp_replace(out, r"\n{2,}", "\n\n")
-    out = F.regexp_replace(out, rf"(?iuU)Page{SPACE}*\d+{SPACE}*of{SPACE}*\d+", "")
+    out = F.regexp_replace(out, rf"(?U)[Pp][Aa][Gg][Ee]{SPACE}*\d+{SPACE}*[Oo][Ff]{SPACE}*\d+", "")
     out = F.regexp_replace(out, rf"(?mdU)^{SPACE}*\d+{SPACE}*$", "")
     return strip(out)
 
