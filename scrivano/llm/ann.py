@@ -10,8 +10,8 @@ Hamming radius. Codes inside the radius are ranked again by inner product in dou
 The radius is learned on the sample, as the distance within which ``REACH`` of true neighbours lie; a
 query that finds fewer than k in a block widens its radius there until it has them.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part. Equal scores go to the smaller id; repeated ids count as rows of their own, and a query's own
+Rows without a ``vec_id``, and vectors that are null, zero, of another length than most, or hold null or
+non-finite components take no part. Equal scores go to the smaller id; repeated ids count as rows of their own, and a query's own
 id is no candidate. Without valid vectors the result is empty.
 """
 

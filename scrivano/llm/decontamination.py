@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.llm.scratch import Scratch, hinted
+from scrivano.llm.scratch import Scratch, hinted, unused
 from scrivano.llm.sums import matrix_sum
-from scrivano.llm.words import MARKS, text_chunks, word_bounds, word_hashes
+from scrivano.llm.words import MARKS, give_back, text_chunks, word_bounds, word_hashes
 
 FEATURES = 1 << 14
 PASSAGE = 40
@@ -267,12 +267,13 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for rows in _item_blocks(benchmark):
-        # The word space and one block of items.
-        shared = context.broadcast((space, Items(rows, space.astype(np.float32))))
+        # The word space and one block of items, as plain values: tasks build what they search with.
+        shared = context.broadcast((space, [(r["item_id"], r["text"]) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            space, items = shared.value
+            space, asked = shared.value
             space = space.astype(np.float32)
+            items = Items(asked, space)
             for batch in batches:
                 found = matches(batch.column("text"), space, items) if items.names else []
                 at = [i for i, known in enumerate(found) for _ in known]
@@ -282,6 +283,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                      pa.array([share for known in found for share in known.values()], pa.float64())],
                     names=["doc_id", "text_hash", "item_id", "share"],
                 )
+            give_back()
 
         item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -294,7 +296,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns. An id and its text are clean or not."""
-    found = _found(docs, benchmark).select(F.col("doc_id").alias("_leaked"), F.col("text_hash").alias("_hash")).distinct()
+    name, code = unused(docs.columns, "leaked", "leaked_hash")
+    found = _found(docs, benchmark).select(F.col("doc_id").alias(name), F.col("text_hash").alias(code)).distinct()
     found = hinted(scratch.keep(found, "leaked"))
-    leaked = F.col("doc_id").eqNullSafe(F.col("_leaked")) & (F.xxhash64("text") == F.col("_hash"))
+    leaked = F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(code))
     return docs.join(found, leaked, "left_anti")

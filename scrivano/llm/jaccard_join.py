@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivano.llm.components import components
-from scrivano.llm.scratch import Scratch, hinted
-from scrivano.llm.words import mix, text_chunks, word_bounds, word_hashes
+from scrivano.llm.scratch import Scratch, hinted, unused
+from scrivano.llm.words import mix, text_chunks, tidy, word_bounds, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -117,7 +117,7 @@ def _survey(texts: DataFrame) -> DataFrame:
 
     columns = ["doc_id", "text_hash", "n", "name", "often"]
     return texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, text_hash long, n long, name long, often long"
+        tidy(run), "doc_id long, text_hash long, n long, name long, often long"
     )
 
 
@@ -149,7 +149,7 @@ def _prefixes(texts: DataFrame, often: np.ndarray) -> DataFrame:
                     names=["shingle", "name", "least"],
                 )
 
-    return texts.mapInArrow(run, "shingle long, name long, least int")
+    return texts.mapInArrow(tidy(run), "shingle long, name long, least int")
 
 
 def _class_sets(texts: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _class_sets(texts: DataFrame) -> DataFrame:
                     held = pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), held], names=["name", "shingles"])
 
-    return texts.mapInArrow(run, "name long, shingles array<long>")
+    return texts.mapInArrow(tidy(run), "name long, shingles array<long>")
 
 
 def join_region(region: pd.DataFrame, pivot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,7 +357,7 @@ def link_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     tasks = pairs.unionByName(centers).join(known.select("name", "copies", "regions", "shingles"), "name")
     found = scratch.keep(
         tasks.repartition("pivot", "one", "two").sortWithinPartitions("pivot", "one", "two")
-        .mapInPandas(_join_regions, "name long, root long, links long"),
+        .mapInPandas(tidy(_join_regions), "name long, root long, links long"),
         "links",
     )
     roots = components(found.filter("name <> root").select(F.col("name").alias("u"), F.col("root").alias("v")), scratch)
@@ -397,16 +397,17 @@ def one_per_component(docs: DataFrame, scratch: Scratch) -> DataFrame:
     best = named.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     placed = named.join(best, "component").select("doc_id", "text_hash", (order == F.col("best")).alias("stays"))
     fates = scratch.keep(placed.groupBy("doc_id", "text_hash", "stays").agg(F.count(F.lit(1)).alias("n")), "fates")
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    own, other, code = unused(docs.columns, "own_hash", "other_id", "other_hash")
+    hashed = docs.withColumn(own, F.xxhash64("text"))
 
     def same(frame: DataFrame) -> tuple:
-        ids = scratch.keep(frame.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "ids")
-        return hinted(ids), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+        ids = scratch.keep(frame.select(F.col("doc_id").alias(other), F.col("text_hash").alias(code)), "ids")
+        return hinted(ids), F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(code))
 
     kept = hashed.join(*same(fates.filter("not stays")), "left_anti")
     repeated = fates.filter("stays and n > 1")
     if not repeated.isEmpty():
         again, condition = same(repeated)
-        copies = kept.join(again, condition, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        copies = kept.join(again, condition, "left_semi").dropDuplicates(["doc_id", own])
         kept = kept.join(again, condition, "left_anti").unionByName(copies)
-    return kept.drop("_text_hash")
+    return kept.drop(own)

@@ -20,8 +20,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivano.llm.scratch import unused
 from scrivano.llm.sums import matrix_sum
-from scrivano.llm.words import mix, text_chunks, word_bounds, word_hashes
+from scrivano.llm.words import give_back, mix, text_chunks, word_bounds, word_hashes
 
 BUCKETS = 1 << 15
 WIDTH = 32
@@ -167,10 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, max_labels: in
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_quality"), pa.array([v.tobytes() for v in x], pa.binary())], names=["y", "x"]
             )
+        give_back()
 
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_label_id"))
-    # Bounded by max_labels, times repeated rows of one id.
-    found = joined.select("_quality", "text").mapInArrow(run, "y double, x binary").limit(4 * max_labels).collect()
+    # An id may have several texts; those of the first hashes are taken, so reruns agree and the bound holds.
+    drawn = joined.select("_quality", "text").orderBy(F.xxhash64("text", "_label_id"), "_quality").limit(4 * max_labels)
+    found = drawn.mapInArrow(run, "y double, x binary").collect()
     if not found:
         return None
     found.sort()
@@ -179,7 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, max_labels: in
 
 
 def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, carry: bool = False) -> DataFrame:
-    """Score of every document in ``score``; ``carry`` keeps all columns, else ``doc_id`` alone."""
+    """Score of every document in ``score``, the last column; ``carry`` keeps all columns, else ``doc_id`` alone.
+
+    Where a carried column has that name, the score's ends in underscores.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs.select("text")))  # of fixed size
     network = train(docs, labels, shared, max_labels)
     names = docs.columns if carry else ["doc_id"]
@@ -196,8 +202,9 @@ def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, carr
                 [*batch.columns[: len(names)], pa.array(scores, pa.float64())],
                 names=[f"c{i}" for i in range(len(names))] + ["score"],
             )
+        give_back()
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     scored = taken.mapInArrow(run, f"{kinds}, score double")
-    clash = "score" if "score" not in names else "_score"
+    clash = unused(names, "score")[0]
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("score").alias(clash))

@@ -42,6 +42,17 @@ class Scratch:
         where.getFileSystem(conf).delete(where, True)
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each changed where ``names`` holds it in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivano.llm.words import give_back
+
 BLOCK_ROWS = 1024
 
 
@@ -25,6 +27,7 @@ def matrix_sum(frame: DataFrame, rows: int, columns: int, add: Callable[[np.ndar
         for batch in batches:
             add(total, batch)
             seen = True
+        give_back()
         if seen:
             parts = [total[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS].astype(np.float64) for b in range(blocks)]
             for b, part in enumerate(parts):

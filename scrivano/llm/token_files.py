@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivano.llm.scratch import Scratch
+from scrivano.llm.words import give_back
 
 MAGIC = b"CMR1"
 END_ID = 2
@@ -39,7 +40,7 @@ SEGMENT = 1 << 20
 ROWS = (4369, 1 << 14, 1 << 14)
 NODES = (0, 1, 17, 273)
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 300_000
+CACHE = 150_000
 MARKS = ".,;:!?*#$%&()[]{}+=-/@"
 _K = [np.uint32(k) for k in (40_503, 60_013, 977, 0x9E3779B1, 0x85EBCA77, 0x1F123BB5, 0xC2B2AE35)]
 _FIRST, _SECOND = np.uint32(18), np.uint32((1 << 14) - 1)
@@ -290,7 +291,8 @@ class WordEncoder:
             cut = {}
             for word in new:
                 stem = word.rstrip(MARKS)
-                if len(stem) < len(word) and stem.isalpha():
+                # Only where lower case leaves one letter for each, so that no mark of a letter comes between.
+                if len(stem) < len(word) and stem.isalpha() and len(stem.lower()) == len(stem):
                     cut[word] = (stem, word[len(stem) :])
             plain = [w for w in new if w not in cut]
             plain += {x for pair in cut.values() for x in pair}.difference(kept, plain)
@@ -343,6 +345,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
                         size, number = 0, number + 1
         if names:
             yield finish()
+        encoder.kept.clear()
+        give_back()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = (
@@ -367,6 +371,7 @@ def read_ids(spark, path: str) -> DataFrame:
                      pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), ids.astype(np.int32))],
                     names=["part", "segment", "place", "doc_id", "n_tokens", "ids"],
                 )
+        give_back()
 
     table = spark.read.schema("part int, segment int, data binary").parquet(path)
     return table.mapInArrow(

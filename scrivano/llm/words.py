@@ -6,6 +6,9 @@ polynomials modulo 2**64 over random byte values, taken from prefix sums, then m
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,6 +35,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power[0], _power[1]
 
 
+def give_back() -> None:
+    """Return what a task no longer needs to the system, as Python workers outlive their tasks."""
+    _power[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries offer it
+        pass
+
+
+def tidy(run):
+    """The task function ``run``, giving back at its end."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x7FB5D329728EA185)

@@ -145,7 +145,11 @@ def test_substring_removal_equals_brute_force(spark, docs, group):
 def test_mixing_meets_targets(spark, docs):
     rows = mixing.mix(docs, Scratch(spark)).collect()
     assert len(rows) == len(ROWS)
-    assert sum({(r.source_size, r.target) for r in rows} and [r.taken for r in rows]) > 0
+    taken = Counter()
+    for r, row in zip(sorted(rows, key=lambda r: str(r.doc_id)), range(len(rows))):
+        taken[r.source_size, r.target] += r.taken
+    for (size, target), words in taken.items():  # within the words of one more copy of the largest document
+        assert abs(words - target) <= max((r.size for r in rows if (r.source_size, r.target) == (size, target)), default=0)
     assert all(r.taken <= 2 * r.size and r.target <= 2 * r.source_size for r in rows)
     again = mixing.mix(docs.repartition(2), Scratch(spark)).collect()
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
@@ -211,6 +215,54 @@ def test_words_with_marks_and_scripts_encode_like_whole_texts():
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [w.ids for w in whole]
 
 
+def test_letters_that_grow_in_lower_case_encode_like_whole_texts():
+    rnd = random.Random(3)
+    encoder = token_files.WordEncoder(token_files.tokenizer_path())
+    letters = "abcİIıßÉÀÇŞĞÖÜΑΣςЖЁקあ가ﬁ"
+    texts = ["DENİZCİ. x", "REHBERİ: TEKİ, iki", "İ", "İ.", "aİ-"]
+    for _ in range(3000):
+        words = ["".join(rnd.choices(letters, k=rnd.randint(1, 5))) + "".join(rnd.choices(".,;:!?-/'\u0307", k=rnd.randint(0, 2))) for _ in range(3)]
+        texts.append(" ".join(words))
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, ids, whole in zip(texts, encoder.encode(texts), want):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.ids, text
+
+
+def test_columns_with_clashing_names_stay(spark):
+    item = prose(30)
+    names = ["_row", "_doc", "_removed", "_id", "_hash", "_text_hash", "_leaked", "score", "_score", "n_lines", "n_removed",
+             "row_number", "leaked", "LEAKED_HASH", "own_hash", "other_id", "removed_lines", "other_row"]
+    texts = [prose(30), prose(30), "a line\na line", prose(40) + " " + item, None]
+    rows = [(i % 3, t, "en", "s", 1, *range(i, i + len(names))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{n}` long" for n in names))
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    kept = decontamination.clean_documents(docs, benchmark, Scratch(spark))
+    assert kept.columns == docs.columns and sorted(r["_row"] for r in kept.collect()) == [0, 1, 2, 4]
+    one = jaccard_join.one_per_component(docs, Scratch(spark))
+    assert one.columns == docs.columns and one.count() == 5 and one.filter("_text_hash is null").count() == 0
+    lines = line_dedup.dedup_lines(docs, Scratch(spark))
+    assert lines.columns == [*docs.columns, "n_lines_", "n_removed_"]
+    assert {r["_row"]: r["n_removed_"] for r in lines.collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
+    scored = quality.score(docs, labels, carry=True)
+    assert scored.columns == [*docs.columns, "score_"] and scored.filter("score_ between 0 and 1").count() == 5
+
+
+def test_tasks_of_decontamination_need_no_copy_of_the_package(spark):
+    """What is broadcast holds plain values only."""
+    sent = []
+    context = type(spark.sparkContext)
+    held = context.broadcast
+    try:
+        context.broadcast = lambda self, value: sent.append(value) or held(self, value)
+        docs = spark.createDataFrame([(1, prose(60))], "doc_id long, text string")
+        decontamination.contaminated(docs, spark.createDataFrame([(0, prose(20))], "item_id long, text string")).collect()
+    finally:
+        context.broadcast = held
+    (space, items), = sent
+    assert isinstance(space, np.ndarray) and [type(x) for x in items[0]] == [int, str]
+
+
 def test_benchmark_items_are_found_and_others_are_not(spark, docs):
     items = [prose(30), prose(20) + ". " + prose(6)]
     leaked = prose(70).split(" ") + items[0].upper().split(" ") + prose(40).split(" ")
