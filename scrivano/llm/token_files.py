@@ -379,19 +379,24 @@ def read_ids(spark, path: str) -> DataFrame:
     )
 
 
-def with_digest(rows: DataFrame) -> DataFrame:
-    """``ids_crc32`` of every document in place of its ids."""
+def read_digests(spark, path: str) -> DataFrame:
+    """As :func:`read_ids`, with ``ids_crc32``, the checksum of a document's ids as read, in their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("ids")
-            ids, edge = column.values.to_numpy(), column.offsets.to_numpy()
-            sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edge, edge[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(sums, pa.int64())], names=[*batch.schema.names[:5], "ids_crc32"]
-            )
+            for part, segment, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                names, lengths, ids = unpack(data)
+                raw, edge = memoryview(ids.astype("<u4").tobytes()), np.append(0, np.cumsum(lengths) * 4).tolist()
+                sums = [zlib.crc32(raw[a:b]) for a, b in zip(edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(names), pa.int32()), pa.array([segment] * len(names), pa.int32()),
+                     pa.array(np.arange(len(names)), pa.int32()), pa.array(names, pa.int64()), pa.array(lengths), pa.array(sums, pa.int64())],
+                    names=["part", "segment", "place", "doc_id", "n_tokens", "ids_crc32"],
+                )
+        give_back()
 
-    return rows.mapInArrow(run, "part int, segment int, place int, doc_id long, n_tokens long, ids_crc32 long")
+    table = spark.read.schema("part int, segment int, data binary").parquet(path)
+    return table.mapInArrow(run, "part int, segment int, place int, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def document_digests(docs: DataFrame, scratch: Scratch, path: str) -> DataFrame:
@@ -401,7 +406,7 @@ def document_digests(docs: DataFrame, scratch: Scratch, path: str) -> DataFrame:
     than one of them whole.
     """
     write_ids(docs, path)
-    rows = scratch.keep(with_digest(read_ids(docs.sparkSession, path)), "token-digest")
+    rows = scratch.keep(read_digests(docs.sparkSession, path), "token-digest")
     before = (Window.unboundedPreceding, -1)
     segments = rows.groupBy("part", "segment").agg(F.sum("n_tokens").alias("_n"))
     parts = segments.groupBy("part").agg(F.sum("_n").alias("_n")).select(
