@@ -166,14 +166,17 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, max_labels: in
         for batch in batches:
             x = features(batch.column("text"), vectors.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_quality"), pa.array([v.tobytes() for v in x], pa.binary())], names=["y", "x"]
+                [batch.column("_quality"), batch.column("_place"), pa.array([v.tobytes() for v in x], pa.binary())],
+                names=["y", "place", "x"],
             )
         give_back()
 
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_label_id"))
+    placed = joined.select("_quality", F.xxhash64("text", "_label_id").alias("_place"), "text")
     # An id may have several texts; those of the first hashes are taken, so reruns agree and the bound holds.
-    drawn = joined.select("_quality", "text").orderBy(F.xxhash64("text", "_label_id"), "_quality").limit(4 * max_labels)
-    found = drawn.mapInArrow(run, "y double, x binary").collect()
+    # Only pooled features come together, not texts.
+    pooled = placed.mapInArrow(run, "y double, place long, x binary")
+    found = pooled.orderBy("place", "y").limit(4 * max_labels).collect()
     if not found:
         return None
     found.sort()
