@@ -34,6 +34,8 @@ PASSAGE = 40
 RANK = 48
 DROPPED = 12
 SPARE = 4
+HOT = 256
+PASSAGE_BLOCK = 512
 SCALES = (8, 16, 32, 64, 128, 256)
 COSINE = 0.6
 SHARE = 0.8
@@ -84,30 +86,57 @@ def _sketch(seed: int, width: int) -> np.ndarray:
 
 
 def _gram_times_sketch(texts: DataFrame, weights: np.ndarray, seed: int, width: int) -> np.ndarray:
-    """A'A times a random sketch, for the matrix A of unit-length passages. Tasks draw the sketch anew."""
+    """A'A times a random sketch, for the matrix A of unit-length passages. Tasks draw the sketch anew.
+
+    Passages are rows of ``PASSAGE`` words, short ones filled up with a feature of weight nought. Their
+    images go back to the ``HOT`` most frequent features by a product with counts, to the others word by word.
+    """
     made: list[np.ndarray] = []
+    hot = np.argsort(weights, kind="stable")[:HOT]
+    column = np.full(FEATURES + 1, HOT)
+    column[hot] = np.arange(HOT)
+    squared = np.append(weights, np.float32(0)) ** 2
+    spot = np.arange(PASSAGE)
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
         if not made:
-            made.append((_sketch(seed, width) * weights[:, None]).astype(np.float32))
+            made.append(np.zeros((FEATURES + 1, width), np.float32))
+            made[0][:FEATURES] = _sketch(seed, width) * weights[:, None]
         weighted = made[0]
-        for _, data, offsets in text_chunks(folded(batch.column(0)), 1 << 19):
+        for _, data, offsets in text_chunks(folded(batch.column(0)), 1 << 18):
             hashes, first = chunk_words(data, offsets)
             if not len(hashes):
                 continue
-            words, heads = features_of(hashes), _passage_heads(first)
-            sizes = np.diff(np.append(heads, len(words)))
-            squares = np.add.reduceat(weights[words] ** 2, heads)
-            rows = np.add.reduceat(weighted[words], heads, axis=0) / squares[:, None]
-            order = np.argsort(words, kind="stable")
-            ordered = words[order]
-            cuts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            passage = np.repeat(np.arange(len(heads)), sizes)
-            total[ordered[cuts]] += np.add.reduceat(rows[passage[order]], cuts, axis=0)
+            every, sizes = features_of(hashes), np.diff(np.append(_passage_heads(first), len(hashes)))
+            heads = np.cumsum(sizes) - sizes
+            for lo in range(0, len(heads), PASSAGE_BLOCK):
+                size = sizes[lo : lo + PASSAGE_BLOCK, None]
+                words = every[np.minimum(heads[lo : lo + PASSAGE_BLOCK, None] + spot, len(every) - 1)].astype(np.intp)
+                words[spot >= size] = FEATURES
+                images = weighted.take(words, axis=0).sum(axis=1) / squared.take(words).sum(axis=1)[:, None]
+                columns = column.take(words)
+                cells = columns + np.arange(len(words))[:, None] * (HOT + 1)
+                counts = np.bincount(cells.ravel(), minlength=len(words) * (HOT + 1)).reshape(-1, HOT + 1)
+                total[hot] += counts[:, :HOT].T.astype(np.float32) @ images
+                row, at = np.nonzero((columns == HOT) & (words < FEATURES))
+                _add_rows(total, words[row, at], images, row)
 
     return matrix_sum(texts, FEATURES, width, add) * weights[:, None]
 
 
+def _add_rows(total: np.ndarray, target: np.ndarray, rows: np.ndarray, source: np.ndarray) -> None:
+    """``total[target] += rows[source]`` for repeated targets: one round per repetition, few of them long."""
+    order = np.argsort(target.astype(np.uint16), kind="stable")
+    target, source = target[order], source[order]
+    begin = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.intp)
+    often = np.diff(np.append(begin, len(target)))
+    begin = begin[np.argsort(-often, kind="stable")]
+    left = np.cumsum(np.bincount(often)[::-1])[::-1]  # targets with at least so many sources
+    for repeat in range(len(left) - 1):
+        now = begin[: left[repeat + 1]] + repeat
+        total[target[now]] += rows[source[now]]
+
+
 def latent_space(texts: DataFrame, weights: np.ndarray, seed: int = 17) -> np.ndarray:
     """Right singular vectors (features, RANK), after the dropped ones."""
     width = RANK + DROPPED + SPARE
@@ -171,10 +200,11 @@ class Items:
 
     def enough(self, item: np.ndarray, region: np.ndarray) -> np.ndarray:
         """Do the regions (rows of vocabulary numbers) hold as many of the items' words as a match needs?"""
-        held = np.sort(self.place[item[:, None], region], axis=1)
-        once = np.ones(held.shape, bool)
-        once[:, 1:] = held[:, 1:] != held[:, :-1]
-        return (self.often[item[:, None], held] * once).sum(axis=1) >= ANSWER_SHARE * self.sizes[item] - 1e-6
+        held = self.place.ravel().take(region + (item * self.place.shape[1])[:, None])
+        held.sort(axis=1)
+        often = self.often.ravel().take(held + (item * self.often.shape[1])[:, None])
+        often[:, 1:][held[:, 1:] == held[:, :-1]] = 0
+        return often.sum(axis=1) >= ANSWER_SHARE * self.sizes[item] - 1e-6
 
     def common(self, item: int, region: list[int]) -> int:
         """Length of the longest common subsequence, bit-parallel."""
@@ -190,38 +220,57 @@ class Items:
 def matches(column: pa.Array, space: np.ndarray, items: Items) -> list[dict]:
     """Per text: benchmark item -> share of its words found in order."""
     out: list[dict] = [{} for _ in range(len(column))]
-    for at, data, offsets in text_chunks(folded(column), 1 << 19):
+    for at, data, offsets in text_chunks(folded(column), 1 << 17):
         hashes, first = chunk_words(data, offsets)
         if not len(hashes):
             continue
-        sums = np.zeros((len(hashes) + 1, space.shape[1]), np.float32)
-        np.cumsum(space[features_of(hashes)], axis=0, out=sums[1:])
+        sums = _running_sums(space, features_of(hashes))
         counts, numbers = np.diff(first), items.known(hashes)
-        for scale, chosen in items.by_scale.items():
-            stride, margin = max(2, scale // 3), int(items.sizes[chosen].max()) // 2 + 2
+        shapes = {s: (s, max(2, s // 3), int(items.sizes[chosen].max()) // 2 + 2) for s, chosen in items.by_scale.items()}
+        # Documents lie so far apart here that a window with its margins sees words of its own one only.
+        gap = max((scale + margin for scale, _, margin in shapes.values()), default=0)
+        apart = np.full(len(numbers) + gap * (len(counts) + 1), len(items.vocabulary), np.intp)
+        apart[np.arange(len(numbers)) + np.repeat(np.arange(1, len(counts) + 1) * gap, counts)] = numbers
+        for scale, stride, margin in shapes.values():
+            chosen = items.by_scale[scale]
             pieces = np.where(counts > 0, -(-np.maximum(counts - scale, 0) // stride) + 1, 0)
             doc = np.repeat(np.arange(len(counts)), pieces)
             begin = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stride
             end = np.minimum(begin + scale, first[doc + 1])
+            regions = np.lib.stride_tricks.sliding_window_view(apart, scale + 2 * margin)
             for lo in range(0, len(doc), 1 << 15):
                 part = slice(lo, lo + (1 << 15))
                 window = sums[end[part]] - sums[begin[part]]
-                window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-                near = window @ items.vectors[chosen].T >= COSINE
-                at_window, which = near.nonzero()
+                least = COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
+                near = window @ items.vectors[chosen].T >= least[:, None]
+                at_window, which = np.divmod(np.flatnonzero(near), len(chosen))
                 for cut in range(0, len(which), 1 << 14):
                     w, i = at_window[cut : cut + (1 << 14)] + lo, chosen[which[cut : cut + (1 << 14)]]
-                    spot = begin[w, None] - margin + np.arange(scale + 2 * margin)
-                    outside = (spot < first[doc[w], None]) | (spot >= first[doc[w] + 1, None])
-                    region = numbers[np.clip(spot, 0, len(numbers) - 1)]
-                    region[outside] = len(items.vocabulary)
-                    passed = items.enough(i, region)
+                    passed = items.enough(i, regions[begin[w] + (doc[w] + 1) * gap - margin])
                     for w, i in zip(w[passed].tolist(), i[passed].tolist()):
                         _check(out[at + doc[w]], items, i, hashes, max(begin[w] - margin, first[doc[w]]),
                                min(begin[w] + scale + margin, first[doc[w] + 1]))
     return out
 
 
+def _running_sums(space: np.ndarray, words: np.ndarray, step: int = 16, block: int = 256) -> np.ndarray:
+    """Sums of the words' rows before every word, and before the end: within steps of rows, then over steps."""
+    steps = len(words) // step + 1
+    sums = np.empty((steps * step, space.shape[1]), np.float32)
+    sums[0] = sums[len(words) + 1 :] = 0
+    space.take(words, axis=0, out=sums[1 : len(words) + 1], mode="clip")
+    parts, before = sums.reshape(steps, step, -1), 0
+    for lo in range(0, steps, block):
+        some = parts[lo : lo + block]
+        for i in range(1, step):
+            some[:, i] += some[:, i - 1]
+        ends = np.cumsum(some[:, -1], axis=0) + before
+        some[1:] += ends[:-1, None]
+        some[0] += before
+        before = ends[-1]
+    return sums
+
+
 def _check(known: dict, items: Items, i: int, hashes: np.ndarray, begin: int, end: int) -> None:
     """Record the item where the words from ``begin`` to ``end`` hold it."""
     name = items.names[i]
