@@ -5,13 +5,15 @@ A byte goes when a string of ``LENGTH`` bytes that covers it starts anywhere els
 1. Anchors. Among the grams inside each such string the one with the least hash is its anchor, so
    equal strings have equal anchors. Consecutive strings share anchors; grams that anchor once only
    hold nothing repeated.
-2. Contexts. What an anchor's strings cover in a document is its context. Equal contexts are counted
-   before they move; those found twice are repeated throughout.
+2. Contexts. What an anchor's strings cover in a document is its context, named by a 128-bit hash.
+   Contexts move as places, without their bytes. Those found twice are repeated throughout.
 3. Suffix arrays. Different contexts of one anchor, less the parts whose short grams stand nowhere
-   else, are sorted by their suffixes, by grouping on Lyndon prefixes (see ``suffix_array``). A start whose suffix shares ``LENGTH`` bytes with a neighbour in
-   that order is repeated.
-4. An anchor with more than ``GROUP`` contexts is dealt out by its strings: their 128-bit hashes are
-   counted, combined before the shuffle. No anchor is left out and none meets in one task.
+   else, are sorted by their suffixes, by grouping on Lyndon prefixes, many anchors at once (see
+   ``suffix_array``). A start whose suffix shares ``LENGTH`` bytes with a neighbour in that order is
+   repeated. Only these contexts are cut from their texts.
+4. An anchor with more than ``GROUP`` contexts is split: by how far before the anchor a string starts,
+   in steps of ``STEPS``, and by the bytes that all strings of such a step share. Equal strings stay
+   together. Step 3 follows for the parts; at a step of one byte a part is one string, and names decide.
 
 Anchors are found by 64-bit hashes, which only decides what is compared. Null texts are empty; shorter
 texts hold nothing. Repeated rows are different documents with equal text, so all of it goes if it has
@@ -20,8 +22,7 @@ texts hold nothing. Repeated rows are different documents with equal text, so al
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,15 @@ from pyspark.sql import functions as F
 
 from scrivano.llm.scratch import Scratch
 from scrivano.llm.suffix_array import repeated_starts
-from scrivano.llm.words import _VALUES, _powers, mix, text_chunks
+from scrivano.llm.words import _VALUES, _powers, give_back, mix, text_chunks
 
 LENGTH = 200
 GRAM = 32
 SHORT = 64
 GROUP = 3_000  # contexts, about a megabyte of text
+STEPS = (16, 1)  # bytes before the anchor, for the parts of larger groups and the parts of these
+SORTED_BYTES = 1 << 20
+BATCH_BYTES = 1 << 23
 PLACES = 1 << 24  # places are known modulo this
 
 
@@ -69,38 +73,107 @@ def anchors(data: np.ndarray, length: int, places: int = PLACES) -> tuple[np.nda
     return grams[place], place, cut, last
 
 
-def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+_OTHERS = mix(_VALUES)
+
+
+class Hashes:
+    """128-bit hashes of any strings of one run of bytes."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        power, self.inverse = _powers(len(data) + 1)
+        self.sums = np.zeros((2, len(data) + 1), np.uint64)
+        for sums, values in zip(self.sums, (_VALUES, _OTHERS)):
+            np.cumsum(values[data] * power[: len(data)], out=sums[1:])
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        sized = (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return [mix((sums[last] - sums[first]) * self.inverse[first] + sized).view(np.int64) for sums in self.sums]
+
+
+CONTEXT = "anchor long, one long, two long, uid long, first int, last int, place int"
+
+
+def _context_rows(texts: DataFrame, length: int, named: bool) -> DataFrame:
+    """The contexts of every text; without names and places, the anchors alone."""
+    names = [c.split()[0] for c in CONTEXT.split(", ")] if named else ["anchor"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids, parts = batch.column("uid").to_numpy(), []
             for at, data, offsets in text_chunks(batch.column("text")):
+                hashes = Hashes(data) if named else None
                 for i in np.flatnonzero(np.diff(offsets) >= length):
-                    hashes, _, first, last = anchors(data[offsets[i] : offsets[i + 1]], length)
-                    parts.append((hashes.view(np.int64), np.full(len(first), uids[at + i]), first, last))
+                    anchor, place, first, last = anchors(data[offsets[i] : offsets[i + 1]], length)
+                    part = [anchor.view(np.int64)]
+                    if named:
+                        part += hashes.of(first + offsets[i], last + length + offsets[i])
+                        part += [np.full(len(first), uids[at + i]), *(x.astype(np.int32) for x in (first, last, place))]
+                    parts.append(part)
             if parts:
-                columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "uid", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=names)
+        give_back()
+
+    return texts.mapInArrow(run, CONTEXT if named else "anchor long")
+
 
-    return texts.mapInArrow(run, "anchor long, uid long, first long, last long")
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``text`` and ``spots``, the rows of the text as structures."""
+    spots = rows.groupBy("uid").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "uid"])).alias("spots"))
+    return texts.select("uid", "text").join(spots, "uid").select("uid", "text", "spots")
 
 
-def _contexts(joined: DataFrame, length: int) -> DataFrame:
+def _per_text(one: Callable[[int, bytes, dict[str, np.ndarray]], list[pa.Array]], names: list[str]):
+    """Task function: ``one`` makes the columns ``names`` of a text and its spots; they leave in batches of some size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], []]
-            for uid, text, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = text.encode()
-                for spot in spots:
-                    held = data[spot["first"] : spot["last"] + length]
-                    digest = hashlib.blake2b(held, digest_size=16).digest()
-                    for column, x in zip(out, (spot["anchor"], uid, spot["first"], digest, held)):
-                        column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "uid", "first", "name", "context"]
-            )
-
-    return joined.mapInArrow(run, "anchor long, uid long, first long, name binary, context binary")
+            spots, parts, size = batch.column("spots"), [], 0
+            flat, offsets = spots.flatten(), np.append(0, np.cumsum(spots.value_lengths().to_numpy()))
+            columns = {f.name: flat.field(i).to_numpy() for i, f in enumerate(flat.type)}
+            for row, (uid, text) in enumerate(zip(batch.column("uid").to_pylist(), batch.column("text"))):
+                mine = {k: v[offsets[row] : offsets[row + 1]] for k, v in columns.items()}
+                parts.append(one(uid, text.as_py().encode(), mine))
+                size += sum(x.nbytes for x in parts[-1])
+                if size >= BATCH_BYTES or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts)], names=names)
+                    parts, size = [], 0
+        give_back()
+
+    return run
+
+
+def _cut(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """``anchor``, ``n``, ``uid``, ``first`` and the bytes of the contexts."""
+
+    def one(uid: int, data: bytes, spot: dict[str, np.ndarray]) -> list[pa.Array]:
+        held = [data[a : b + length] for a, b in zip(spot["first"].tolist(), spot["last"].tolist())]
+        columns = (spot["anchor"], spot["n"], np.full(len(held), uid), spot["first"])
+        return [*map(pa.array, columns), pa.array(held, pa.binary())]
+
+    run = _per_text(one, ["anchor", "n", "uid", "first", "context"])
+    joined = _with_texts(rows.select("uid", "anchor", "n", "first", "last"), texts)
+    return joined.mapInArrow(run, "anchor long, n long, uid long, first int, context binary")
+
+
+def _split(rows: DataFrame, texts: DataFrame, length: int, step: int) -> DataFrame:
+    """The contexts' parts, under anchors of their own; ``n`` is the context's."""
+
+    def one(uid: int, data: bytes, spot: dict[str, np.ndarray]) -> list[pa.Array]:
+        hashes, place = Hashes(np.frombuffer(data, np.uint8)), spot["place"].astype(np.int64)
+        least, most = (place - spot["last"]) // step, (place - spot["first"]) // step
+        which = np.repeat(np.arange(len(place)), most - least + 1)
+        before = np.arange(len(which)) - (np.cumsum(most - least + 1) - 1 - most)[which]
+        low = place[which] - before * step - step + 1  # the first start of the step, perhaps outside the context
+        first, last = np.maximum(spot["first"][which], low), np.minimum(spot["last"][which], low + step - 1)
+        shared = hashes.of(low + step - 1, low + length)[0].view(np.uint64)
+        anchor = mix(shared ^ mix(spot["anchor"][which].view(np.uint64) + before.astype(np.uint64)))
+        spots = (x.astype(np.int32) for x in (first, last, place[which]))
+        columns = (anchor.view(np.int64), *hashes.of(first, last + length), np.full(len(which), uid), *spots, spot["n"][which])
+        return [pa.array(x) for x in columns]
+
+    run = _per_text(one, [c.split()[0] for c in CONTEXT.split(", ")] + ["n"])
+    joined = _with_texts(rows.select("uid", "anchor", "n", "first", "last", "place"), texts)
+    return joined.mapInArrow(run, CONTEXT + ", n long")
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -131,67 +204,67 @@ def _shared_pieces(texts: list[bytes], counts: np.ndarray, length: int) -> list[
 
 
 def _sorted_groups(groups: DataFrame, length: int) -> DataFrame:
-    """(anchor, name, from, upto): runs of repeated starts of the contexts that were found once."""
-
-    def finish(frame: pd.DataFrame) -> list:
-        texts, names, counts = frame["context"].tolist(), frame["name"].tolist(), frame["n"].to_numpy()
-        pieces = _shared_pieces(texts, counts, length)
-        if not pieces:
-            return []
-        often: dict[bytes, int] = {}
-        for i, _, piece in pieces:
-            often[piece] = often.get(piece, 0) + int(counts[i])
-        flags = dict(zip(often, repeated_starts(list(often), length)))
-        found = []
-        for i, at, piece in pieces:
-            if counts[i] == 1:
-                same = flags[piece] | (often[piece] > 1)
-                found += [(frame["anchor"].iat[0], names[i], at + x, at + y) for x, y in _runs(same)]
-        return found
+    """(uid, a, b): runs covered by repeated strings in the contexts that were found once."""
+
+    def finish(frames: list[pd.DataFrame]) -> list:
+        pieces = [_shared_pieces(f["context"].tolist(), f["n"].to_numpy(), length) for f in frames]
+        often: list[dict[bytes, int]] = []
+        for frame, found in zip(frames, pieces):
+            often.append({})
+            for (i, _, piece), n in zip(found, frame["n"].to_numpy()[[i for i, _, _ in found]].tolist()):
+                often[-1][piece] = often[-1].get(piece, 0) + n
+        out = []
+        for frame, found, counts, flags in zip(frames, pieces, often, repeated_starts([list(x) for x in often], length)):
+            again, n = dict(zip(counts, flags)), frame["n"].tolist()
+            uid, first = frame["uid"].tolist(), frame["first"].tolist()
+            for i, at, piece in found:
+                if n[i] == 1:
+                    same = again[piece] | (counts[piece] > 1)
+                    out += [(uid[i], first[i] + at + x, first[i] + at + y + length - 1) for x, y in _runs(same)]
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, names = None, ["anchor", "name", "from", "upto"]
+        held, ready, size, names = None, [], 0, ["uid", "a", "b"]
         for frame in batches:
             if held is not None:
                 frame = pd.concat([held, frame], ignore_index=True)
             whole = frame["anchor"].to_numpy()
-            open_from = int((whole == whole[-1]).argmax())
-            held, out = frame.iloc[open_from:], []
-            for _, part in frame.iloc[:open_from].groupby("anchor", sort=False):
-                out += finish(part)
-            if out:
-                yield pd.DataFrame(out, columns=names)
+            cuts = np.append(np.flatnonzero(np.append(True, whole[1:] != whole[:-1])), len(whole))
+            held = frame.iloc[cuts[-2] :]
+            sizes = np.append(0, frame["context"].str.len().cumsum())
+            for x, y in zip(cuts[:-2].tolist(), cuts[1:-1].tolist()):
+                ready.append(frame.iloc[x:y])
+                size += sizes[y] - sizes[x]
+                if size >= SORTED_BYTES:
+                    yield pd.DataFrame(finish(ready), columns=names)
+                    ready, size = [], 0
         if held is not None:
-            out = finish(held)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    return groups.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(
-        run, "anchor long, name binary, `from` long, upto long"
-    )
-
-
-def _dealt_groups(groups: DataFrame, length: int) -> DataFrame:
-    """The same runs, one start each, for anchors of very many contexts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for at in range(0, len(frame), 200):
-                parts = []
-                for anchor, name, n, held in frame.iloc[at : at + 200].itertuples(index=False):
-                    data = np.frombuffer(held, np.uint8)
-                    one, two = gram_hashes(data, length), gram_hashes(data, length, mix(_VALUES))
-                    starts = np.arange(len(one))
-                    parts.append(pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "anchor": anchor, "name": [name] * len(one), "n": n, "from": starts}))
-                yield pd.concat(parts, ignore_index=True)
-
-    strings = groups.select("anchor", "name", "n", "context").mapInPandas(
-        run, "one long, two long, anchor long, name binary, n long, `from` long"
-    )
-    often = strings.groupBy("one", "two").agg(F.sum("n").alias("_all")).filter("_all > 1")
-    return strings.filter("n = 1").join(often, ["one", "two"]).select(
-        "anchor", "name", "from", (F.col("from") + 1).alias("upto")
-    )
+            yield pd.DataFrame(finish([*ready, held]), columns=names)
+        give_back()
+
+    return groups.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "uid long, a long, b long")
+
+
+def _level(rows: DataFrame, texts: DataFrame, scratch: Scratch, length: int, group: int, steps: tuple[int, ...]) -> list[DataFrame]:
+    """The spans (uid, a, b) that repeated strings cover in the written contexts ``rows``, each found ``n`` times."""
+    name = ["anchor", "one", "two"]
+    some = (F.first(c).alias(c) for c in ("uid", "first", "last", "place"))  # any one of them: their bytes are equal
+    distinct = scratch.keep(rows.groupBy(*name).agg(F.sum("n").alias("n"), *some), "distinct")
+    twice = distinct.filter("n > 1").select(*name)
+    spans = [rows.filter("n = 1").join(twice, name, "left_semi").select(
+        "uid", F.col("first").cast("long").alias("a"), (F.col("last") + F.lit(length)).cast("long").alias("b")
+    )]
+    if not group:
+        return spans
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_g"), F.min("n").alias("_least"))
+    sizes = scratch.keep(sizes.filter("_g > 1 and _least = 1").select("anchor", "_g"), "sizes")
+    members = distinct.join(sizes, "anchor")
+    spans.append(_sorted_groups(_cut(members.filter(F.col("_g") <= group), texts, length), length))
+    large = sizes.filter(F.col("_g") > group)
+    if steps and not large.isEmpty():
+        parts = scratch.keep(_split(members.filter(F.col("_g") > group), texts, length, steps[0]), "parts")
+        spans += _level(parts, texts, scratch, length, group if steps[1:] else 0, steps[1:])
+    return spans
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -199,27 +272,17 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, grou
     texts = scratch.keep(
         docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")), "texts"
     )
-    rows = _anchor_rows(texts.select("uid", "text"), length)
-    twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
-    spots = rows.join(twice, "anchor").groupBy("uid").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("spots"))
-    joined = texts.select("uid", "text").join(spots, "uid").select("uid", "text", "spots")
-    contexts = scratch.keep(_contexts(joined, length), "contexts")
-    distinct = contexts.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n"), F.first("context").alias("context"))
-    distinct = scratch.keep(distinct, "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_g"), F.min("n").alias("_least"))
-    open_groups = distinct.join(sizes.filter("_g > 1 and _least = 1"), "anchor")
-    some = _sorted_groups(open_groups.filter(F.col("_g") <= group).select("anchor", "name", "n", "context"), length)
-    many = _dealt_groups(open_groups.filter(F.col("_g") > group), length)
-    whole = distinct.filter("n > 1").select(
-        "anchor", "name", F.lit(0).cast("long").alias("from"), (F.length("context") - length + 1).cast("long").alias("upto")
-    )
-    runs = whole.unionByName(some).unionByName(many)
-    spans = (
-        contexts.select("anchor", "name", "uid", "first").join(runs, ["anchor", "name"])
-        .select("uid", (F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("upto") + length - 1).alias("b"))
-    )
-    gone = scratch.keep(spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone")), "gone")
-    scratch.drop(contexts, distinct)
+    cut_from = texts.select("uid", "text")
+    twice = _context_rows(cut_from, length, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    twice = twice.filter("_n > 1").select("anchor")
+    rows = _context_rows(cut_from, length, True).join(twice, "anchor", "left_semi").withColumn("n", F.lit(1).cast("long"))
+    rows = scratch.keep(rows, "contexts")
+    spans = _level(rows, texts, scratch, length, group, STEPS)
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
+    gone = scratch.keep(every.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone")), "gone")
+    scratch.drop(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

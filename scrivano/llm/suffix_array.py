@@ -1,4 +1,8 @@
-"""Suffix arrays by grouping suffixes on their Lyndon prefixes, and repeats found with them."""
+"""Suffix arrays by grouping suffixes on their Lyndon prefixes, and repeats found with them.
+
+``suffix_array`` sorts one text in lists. ``suffix_arrays`` sorts many texts at once: each step takes the
+next group of every text, in NumPy. Both construct the same groups in the same order.
+"""
 
 from __future__ import annotations
 
@@ -77,36 +81,136 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def common_lengths(text: list[int], order: list[int]) -> list[int]:
-    """Length of the longest prefix that each suffix, by position, shares with any other."""
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one after another, and the range each belongs to."""
+    sizes = last - first
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + (first - np.cumsum(sizes) + sizes)[owner], owner
+
+
+def _edges(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+
+
+def suffix_arrays(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For texts that fill ``text`` from 1 on, longest first: their suffixes in order, in each text's own range.
+
+    A text's last symbol is its only smallest one; place 0 stands for none. Groups are ranges of ``order``,
+    named by their starts; what moves out of a group goes to its upper end, most pointed to uppermost.
+    """
     n = len(text)
-    rank = [0] * n
-    for r, s in enumerate(order):
-        rank[s] = r
-    best, h = [0] * n, 0
-    for s in range(n):
-        if rank[s]:
-            o = order[rank[s] - 1]
-            while s + h < n and o + h < n and text[s + h] == text[o + h]:
-                h += 1
-            if h > best[s]:
-                best[s] = h
-            if h > best[o]:
-                best[o] = h
-            h = max(h - 1, 0)
-        else:
-            h = 0
-    return best
-
-
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """Per text: is the string of ``length`` at each start also at another start of any text?"""
-    joined: list[int] = []
-    begins = []
-    for text in texts:
-        begins.append(len(joined))
-        joined.extend(b + 2 for b in text)
-        joined.append(1)
-    joined.append(0)
-    best = np.array(common_lengths(joined, suffix_array(joined)))
-    return [best[b : b + max(len(t) - length + 1, 0)] >= length for b, t in zip(begins, texts)]
+    owner = np.repeat(np.arange(len(begin)), end - begin)
+    key = owner * (int(text.max()) + 1) + text[1:]
+    order = np.append(0, np.argsort(key, kind="stable") + 1)
+    key = np.sort(key)
+    group, size, at = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    starts = _edges(key) + 1
+    size[starts] = np.diff(np.append(starts, n))
+    group[order[1:]] = np.repeat(starts, size[starts])
+    at[order] = np.arange(n)
+    previous, moves = np.zeros(n, np.int64), np.zeros(n, bool)
+    now, now_begin = end.copy(), begin
+    while len(now):
+        low = group[order[now - 1]]
+        spots, which = _ranges(low, now)
+        members, least = order[spots], low[which]
+        lower = members - 1
+        previous[members] = lower
+        todo = np.flatnonzero(group[lower] >= least)
+        while len(todo):  # pointers of this group's members jump along with those of done groups
+            lower[todo] = previous[lower[todo]]
+            previous[members[todo]] = lower[todo]
+            todo = todo[group[lower[todo]] >= least[todo]]
+        found = np.sort(lower[lower >= now_begin[which]])
+        if len(found):
+            cut = _edges(found)
+            count, found = np.diff(np.append(cut, len(found))), found[cut]
+            rank = np.lexsort((count, group[found]))
+            found, count = found[rank], count[rank]
+            old = group[found]
+            cut = _edges(old)
+            moving = np.diff(np.append(cut, len(old)))
+            upper = old[cut] + size[old[cut]] - moving
+            target = np.arange(len(old)) + np.repeat(upper - cut, moving)
+            moves[found] = True
+            holes = np.sort(at[found[at[found] < np.repeat(upper, moving)]])
+            taken = target[~moves[order[target]]]
+            moves[found] = False
+            stay = order[taken]
+            order[holes], at[stay] = stay, holes
+            order[target], at[found] = found, target
+            size[old[cut]] -= moving
+            cut = np.flatnonzero(np.append(True, (old[1:] != old[:-1]) | (count[1:] != count[:-1])))
+            sizes = np.diff(np.append(cut, len(old)))
+            size[target[cut]] = sizes
+            group[found] = np.repeat(target[cut], sizes)
+        left = low > now_begin
+        now, now_begin = low[left], now_begin[left]
+
+    cursor, placed = np.arange(n), np.zeros(n, bool)
+    placed[0] = placed[end - 1] = True
+    order[begin] = end - 1
+    cursor[begin] += 1
+    lengths = end - begin
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # texts longer than the step
+    for i in range(int(lengths[0])):
+        suffix = order[begin[: active[i]] + i] - 1
+        suffix = suffix[~placed[suffix]]
+        while len(suffix):
+            placed[suffix] = True
+            spot = group[suffix]
+            order[cursor[spot]] = suffix
+            cursor[spot] += 1
+            suffix = previous[suffix]
+            suffix = suffix[~placed[suffix]]
+    return order
+
+
+FEW = 40  # so many times the longest text's symbols have to be in a batch to be worth the steps
+BATCH = 1 << 20
+
+
+def repeated_starts(groups: list[list[bytes]], length: int) -> list[list[np.ndarray]]:
+    """Per group and text: is the string of ``length`` at each start also at another start of the group?"""
+    joined = []
+    for texts in groups:
+        parts = [x for t in texts for x in (np.frombuffer(t, np.uint8).astype(np.int64) + 2, [1])]
+        joined.append(np.concatenate([*parts, [0]]).astype(np.int64))
+    longest = sorted(range(len(groups)), key=lambda g: -len(joined[g]))
+    out: list[list[np.ndarray]] = [[] for _ in groups]
+    total, at = np.append(0, np.cumsum([len(joined[g]) for g in longest])), 0
+    while at < len(longest):
+        upto = max(at + 1, int(np.searchsorted(total, total[at] + BATCH, "right")) - 1)
+        if total[upto] - total[at] < FEW * len(joined[longest[at]]):
+            upto = at + 1
+        some = longest[at:upto]
+        text = np.concatenate([[0], *(joined[g] for g in some)])
+        end = np.cumsum([len(joined[g]) for g in some]) + 1
+        begin = end - [len(joined[g]) for g in some]
+        order = np.append(0, np.array(suffix_array(text[1:].tolist())) + 1) if len(some) == 1 else suffix_arrays(text, begin, end)
+        again = _repeated(text, order, length)
+        for g, b in zip(some, begin.tolist()):
+            for t in groups[g]:
+                out[g].append(again[b : b + max(len(t) - length + 1, 0)])
+                b += len(t) + 1
+        at = upto
+    return out
+
+
+def _repeated(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Does a start share ``length`` symbols, none of them a separator, with a neighbour in its text's order?"""
+    again = np.zeros(len(text), bool)
+    if len(text) < length:
+        return again
+    ends = np.append(0, np.cumsum(text < 2))
+    whole = np.zeros(len(text), bool)
+    whole[: len(text) - length + 1] = ends[length:] == ends[:-length]
+    left, right = order[:-1], order[1:]
+    both = whole[left] & whole[right] & (text[left] == text[right])
+    left, right = left[both], right[both]
+    strings = np.lib.stride_tricks.sliding_window_view(text.astype(np.uint16), length)
+    for lo in range(0, len(left), 1 << 13):
+        a, b = left[lo : lo + (1 << 13)], right[lo : lo + (1 << 13)]
+        same = (strings[a] == strings[b]).all(axis=1)
+        again[a[same]] = again[b[same]] = True
+    return again

@@ -124,7 +124,26 @@ def test_suffix_array_orders_all_suffixes():
         assert order == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-@pytest.mark.parametrize("group", [3000, 1])
+def test_suffix_arrays_of_many_texts_equal_those_of_each():
+    for _ in range(60):
+        texts = [[random.randint(1, random.choice([1, 2, 9])) for _ in range(random.randint(0, 80))] + [0] for _ in range(random.randint(1, 6))]
+        texts.sort(key=len, reverse=True)
+        end = np.cumsum([len(t) for t in texts]) + 1
+        begin = end - [len(t) for t in texts]
+        order = suffix_array.suffix_arrays(np.concatenate([[0], *texts]), begin, end)
+        assert [(order[b:e] - b).tolist() for b, e in zip(begin, end)] == [suffix_array.suffix_array(t) for t in texts]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 60])
+def test_repeated_starts_equal_counts_of_strings(few, monkeypatch):
+    monkeypatch.setattr(suffix_array, "FEW", few)
+    groups = [[bytes(random.choices(b"ab", k=random.randint(0, 60))) for _ in range(random.randint(1, 4))] for _ in range(30)]
+    for texts, found in zip(groups, suffix_array.repeated_starts(groups, 7)):
+        seen = Counter(t[i : i + 7] for t in texts for i in range(len(t) - 6))
+        assert [f.tolist() for f in found] == [[seen[t[i : i + 7]] > 1 for i in range(len(t) - 6)] for t in texts]
+
+
+@pytest.mark.parametrize("group", [3000, 3, 1])
 def test_substring_removal_equals_brute_force(spark, docs, group):
     length = 200
     data = [(r[1] or "").encode() for r in ROWS]
