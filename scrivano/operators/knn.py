@@ -8,8 +8,8 @@ Three plans share one contract, ``(query_id, embedding_index, distance, rank)``:
     One pass over two columns, no shuffle of the collection; only the winners are shuffled.
 ``tiles``
     For query tables beyond that bound. Queries are dealt to tiles and the collection to splits, both
-    of bounded size; a task compares one tile with one split and keeps *k* rows per query, and the
-    partial results of a query are merged in two levels. The result is exact.
+    of bounded size, and blocks of them move together; a task compares a block's tiles with its splits and
+    keeps *k* rows per query, and the partial results of a query are merged in two levels. The result is exact.
 ``hashed``
     Locality-sensitive hashing: fixed hyperplanes give every vector one bucket per table, a query
     probes its own bucket and those a few bits away, and vectors are compared bucket by bucket, in
@@ -47,18 +47,25 @@ HOT_SALTS = 64
 MAX_HOT_BYTES = 64 << 20
 SCAN_TASKS_PER_CORE = 4
 MIN_SCAN_TASKS = 4_096
-_CELLS_PER_MATRIX = 4_000_000
+SIDE_BLOCKS = 8
+BLOCK_BYTES = 32 << 20
+PROBE_BYTES = 4 << 20
+_CELLS_PER_MATRIX = 2_000_000
+_CELLS_PER_PAIRS = 1_000_000
 _FRESH_PAIRS = 100_000
+_MOST_SINGLE = 1e15
 MERGE_SPLITS = 64
 
 HIT_SCHEMA = "query_id long, embedding_index long, distance double, k int"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Arrow ``list<float>`` column as a float64 matrix."""
+    """Arrow list column as a matrix of its own floats; other numbers become doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if flat.dtype not in (np.float32, np.float64):
+        flat = flat.astype(np.float64)
     if len(column) == 0:
         return flat.reshape(0, 0)
     if flat.size % len(column) or column.null_count:
@@ -67,7 +74,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _pair_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distance of row i of ``x`` to row i of ``q``."""
+    """Distance of row i of ``x`` to row i of ``q``, in double precision, rounded as it is reported."""
+    x, q = x.astype(np.float64), q.astype(np.float64)
     if metric == "sqeuclidean":
         d = ((x - q) ** 2).sum(axis=1)
     else:
@@ -78,15 +86,21 @@ def _pair_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return d.astype(np.float32).astype(np.float64)
 
 
-def _cross_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of every row of ``x`` to every row of ``q``, up to rounding."""
-    products = x @ q.T
-    if metric == "sqeuclidean":
-        return (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2.0 * products
+def _factors(x: np.ndarray, metric: str, asks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose products order by distance, and their lengths.
+
+    A vector's row times a query's row is the cosine or inner product, and for ``sqeuclidean`` the inner
+    product less half the vector's squared length.
+    """
+    x = x.astype(np.float64)
+    lengths = np.sqrt((x * x).sum(axis=1))
     if metric == "cosine":
-        lengths = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
-        return 1.0 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
-    return 1.0 - products
+        x = np.divide(x, lengths[:, None], out=np.zeros_like(x), where=lengths[:, None] > 0)
+        lengths = np.minimum(lengths, 1.0)
+    if metric == "sqeuclidean":
+        last = np.ones(len(x)) if asks else -0.5 * lengths * lengths
+        x = np.column_stack([x, last])
+    return x, lengths
 
 
 def _surplus_free(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
@@ -121,21 +135,44 @@ class _Best:
         self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
         self.fresh: list[tuple[np.ndarray, ...]] = []
         self.n_fresh = 0
+        factors, self.lengths = _factors(queries, metric, True)
+        self.longest = float(np.fmax.reduce(self.lengths, initial=0.0))
+        single = self.longest < _MOST_SINGLE
+        self.factors = factors.astype(np.float32).T if single else factors.T
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         step = max(1, _CELLS_PER_MATRIX // max(1, len(self.queries)))
         for lo in range(0, len(ids), step):
             self._add(ids[lo : lo + step], x[lo : lo + step])
 
-    def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        cross = _cross_distance(x, self.queries, self.metric)
-        if len(ids) > self.kmax:
-            head = np.partition(cross, self.kmax - 1, axis=0)[self.kmax - 1]
-            self.bound = np.minimum(self.bound, head)
-        # The cross form rounds differently from the pairwise form; keep a margin and re-score.
+    def _add(self, ids: np.ndarray, x: np.ndarray, single: bool = True) -> None:
+        """Products in single precision choose the pairs, with room for their error; distances are scored in double."""
+        rows, lengths = _factors(x, self.metric, False)
+        longest = float(np.fmax.reduce(lengths[np.isfinite(lengths)], initial=0.0))
+        factors = self.factors
+        if single and longest < _MOST_SINGLE and factors.dtype == np.float32:
+            rows, unit = rows.astype(np.float32), 2.0**-24
+        else:
+            single, unit = False, 2.0**-53
+            if factors.dtype == np.float32:
+                factors = _factors(self.queries, self.metric, True)[0].T
+        products = rows @ factors
+        offset, scale = (self.lengths**2, 2.0) if self.metric == "sqeuclidean" else (1.0, 1.0)
+        # A product of n terms is off by at most n units of the sum of its terms' sizes, the inputs' rounding included.
+        error = (rows.shape[1] + 8) * unit * (longest * self.lengths + 0.5 * longest * longest) + 1e-36
+        if len(ids) > self.kmax and not np.isfinite(self.bound).all():
+            head = np.partition(-products, self.kmax - 1, axis=0)[self.kmax - 1].astype(np.float64)
+            self.bound = np.fmin(self.bound, offset + scale * (head + error))
+        # What is reported is rounded to single precision: a pair that ties after rounding stays in.
         margin = 1e-6 * np.maximum(1.0, np.abs(self.bound))
-        row, col = np.nonzero(cross <= self.bound + margin)
-        pairs = max(1_024, _CELLS_PER_MATRIX // x.shape[1])
+        least = (offset - self.bound - margin) / scale - error
+        if single:
+            least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        row, col = np.nonzero(products >= least)
+        if single and len(row) > max(_FRESH_PAIRS, products.size // 8) and np.isfinite(self.bound).all():
+            return self._add(ids, x, False)  # lengths differ so much that the room for errors admits too many
+        del products
+        pairs = max(1_024, _CELLS_PER_PAIRS // x.shape[1])
         for lo in range(0, len(row), pairs):
             r, c = row[lo : lo + pairs], col[lo : lo + pairs]
             self.fresh.append((c, ids[r], _pair_distance(x[r], self.queries[c], self.metric)))
@@ -245,13 +282,18 @@ def _scan(vectors: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, limits, matrix = shared.value
-        best = _Best(matrix, limits, metric)
+        tile = max(1, TILE_BYTES // (8 * max(1, matrix.shape[1]) + 24))
+        starts = range(0, len(query_ids), tile)
+        tiles = [_Best(matrix[lo : lo + tile], limits[lo : lo + tile], metric) for lo in starts]
+        most = max((best.kmax for best in tiles), default=0)
         for batch in batches:
-            if batch.num_rows and len(query_ids):
-                batch = _surplus_free(batch, best.kmax)
-                index = batch.column("embedding_index").to_numpy(zero_copy_only=False)
-                best.add(index, _matrix(batch.column("embedding")))
-        yield best.batch(query_ids)
+            if batch.num_rows and tiles:
+                batch = _surplus_free(batch, most)
+                index, x = batch.column("embedding_index").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding"))
+                for best in tiles:
+                    best.add(index, x)
+        for lo, best in zip(starts, tiles):
+            yield best.batch(query_ids[lo : lo + tile])
 
     # Every task emits up to k rows per query. Fewer, longer tasks (still several per core) keep
     # these partial results small beside the collection; coalescing moves no rows.
@@ -271,17 +313,27 @@ def _without_surplus(vectors: DataFrame, most: int) -> DataFrame:
     return vectors.mapInArrow(thin, vectors.schema)
 
 
-def _meet(vectors: DataFrame, probes: DataFrame, metric: str, tile_rows: int, split_rows: int) -> tuple[DataFrame, int]:
-    """Best k per query and split of every bucket; also the largest number of splits of a bucket.
+def _meet(
+    vectors: DataFrame, probes: DataFrame, metric: str, tile_rows: int, split_rows: int, block_rows: int,
+    side: int = 1, counted: tuple[DataFrame, DataFrame] | None = None,
+) -> tuple[DataFrame, int]:
+    """Best k per query and block of every bucket; also the largest number of a bucket's blocks of vectors.
 
     ``vectors``: ``bucket, embedding_index, embedding``; ``probes``: ``bucket, query_id, embedding, k``.
-    Both sides of a bucket are counted first and dealt by hash, so a group holds about ``tile_rows``
-    queries and ``split_rows`` vectors whatever the bucket's size.
+    Both sides of a bucket are counted first (on ``counted``, where that is cheaper) and dealt by hash. What
+    is compared at once is a tile with a split. What moves together is a block of whole tiles and one of whole
+    splits, ``side`` blocks or more a bucket and about ``block_rows`` rows each: a row is copied once per block
+    of the other side, however small the tiles are.
     """
     count = F.count(F.lit(1))
+
+    def blocks(part: int):
+        return F.least(F.ceil(count / part), F.greatest(F.lit(side), F.ceil(count / block_rows)))
+
+    held_vectors, held_probes = counted or (vectors, probes)
     sizes = (
-        vectors.groupBy("bucket").agg(F.ceil(count / split_rows).alias("splits"))
-        .join(probes.groupBy("bucket").agg(F.ceil(count / tile_rows).alias("tiles")), "bucket")
+        held_vectors.groupBy("bucket").agg(blocks(split_rows).alias("splits"))
+        .join(held_probes.groupBy("bucket").agg(blocks(tile_rows).alias("tiles")), "bucket")
     )
     # At most TABLES * 2**MAX_BITS buckets, three numbers each.
     held = sizes.collect()
@@ -299,32 +351,46 @@ def _meet(vectors: DataFrame, probes: DataFrame, metric: str, tile_rows: int, sp
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").combine_chunks()
+        asks, at = table.column("asks").combine_chunks(), table.column("split")[0].as_py()
         queries, rows = table.filter(asks), table.filter(pc.invert(asks))
-        best = _Best(_matrix(queries.column("embedding")), queries.column("k").to_numpy(), metric)
-        if queries.num_rows and rows.num_rows:
-            best.add(rows.column("id").to_numpy(), _matrix(rows.column("embedding")))
-        hits = pa.Table.from_batches([best.batch(queries.column("id").to_numpy())])
-        return hits.append_column("split", pa.array([table.column("split")[0].as_py()] * hits.num_rows, pa.int64()))
+        del table
+        ids, x = rows.column("id").to_numpy(), _matrix(rows.column("embedding"))
+        asked, ks, wanted = queries.column("id").to_numpy(), queries.column("k").to_numpy(), _matrix(queries.column("embedding"))
+        found = []
+        for lo in range(0, max(1, len(asked)), tile_rows):
+            best = _Best(wanted[lo : lo + tile_rows], ks[lo : lo + tile_rows], metric)
+            for row in range(0, len(ids) if len(asked) else 0, split_rows):
+                best.add(ids[row : row + split_rows], x[row : row + split_rows])
+            found.append(best.batch(asked[lo : lo + tile_rows]))
+        hits = pa.Table.from_batches(found)
+        return hits.append_column("split", pa.array(np.full(hits.num_rows, at, np.int64)))
 
     met = left.unionByName(right).groupBy("bucket", "tile", "split")
     return met.applyInArrow(compare, HIT_SCHEMA + ", split long"), max([r.splits for r in held], default=0)
 
 
-def _tile_rows(wanted: DataFrame, tile_bytes: int) -> int:
-    """Queries per tile, from the largest vector."""
-    width = wanted.agg(F.max(F.size("embedding"))).first()[0] or 1
-    return max(1, tile_bytes // (8 * width + 24))
+def _width(wanted: DataFrame) -> int:
+    """Components of the largest query vector."""
+    return wanted.agg(F.max(F.size("embedding"))).first()[0] or 1
+
+
+def _rows(size: int, width: int) -> int:
+    """Vectors that fit ``size`` bytes as doubles."""
+    return max(1, size // (8 * width + 24))
 
 
 def partial_hits(
     vectors: DataFrame, wanted: DataFrame, metric: str = "sqeuclidean", tile_bytes: int = TILE_BYTES, split_rows: int = SPLIT_ROWS
 ) -> tuple[DataFrame, int]:
-    """Best k of every (query, split), before the merge, and the number of splits."""
-    most = wanted.agg(F.max("k")).first()[0] or 1
+    """Best k of every query and block of splits, before the merge, and the number of these blocks."""
+    most, width = wanted.agg(F.max("k")).first()[0] or 1, _width(wanted)
     whole = F.lit(0).alias("bucket")
     thin = _without_surplus(vectors, most)
-    return _meet(thin.select(whole, "*"), wanted.select(whole, "*"), metric, _tile_rows(wanted, tile_bytes), split_rows)
+    # Counting the vectors before the surplus leaves reads no vector.
+    return _meet(
+        thin.select(whole, "*"), wanted.select(whole, "*"), metric, _rows(tile_bytes, width), split_rows,
+        _rows(2 * BLOCK_BYTES, width), SIDE_BLOCKS, (vectors.select(whole), wanted.select(whole)),
+    )
 
 
 def _tiles(vectors: DataFrame, wanted: DataFrame, metric: str, tile_bytes: int = TILE_BYTES, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -351,12 +417,17 @@ def _buckets(frame: DataFrame, tables: int, bits: int, flips: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("embedding"))
+            x = _matrix(batch.column("embedding")).astype(np.float64)
             above = (x @ hyperplanes(x.shape[1], tables * bits) > 0).reshape(len(x), tables, bits)
             code = (above << np.arange(bits)).sum(axis=2)
             code = (code[:, :, None] ^ np.array(masks)[None, None, :]) + (np.arange(tables) << bits)[None, :, None]
-            row = pa.array(np.repeat(np.arange(len(x)), tables * len(masks)))
-            yield pa.RecordBatch.from_arrays([pa.array(code.ravel().astype(np.int32)), *(c.take(row) for c in batch.columns)], names=["bucket", *names])
+            # The copies leave in batches of bounded size, however many buckets a vector has.
+            step = max(1, PROBE_BYTES // (8 * x.shape[1] * tables * len(masks)))
+            for lo in range(0, len(x), step):
+                some = code[lo : lo + step]
+                row = pa.array(np.repeat(np.arange(lo, lo + len(some)), tables * len(masks)))
+                copies = [c.take(row) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(some.ravel().astype(np.int32)), *copies], names=["bucket", *names])
 
     return frame.mapInArrow(deal, T.StructType([T.StructField("bucket", T.IntegerType()), *frame.schema.fields]))
 
@@ -372,9 +443,11 @@ def _hashed(
     """
     if not 0 < bits <= MAX_BITS or not 0 <= flips <= bits or tables < 1:
         raise ValueError(f"need at least one table, 1 to {MAX_BITS} bits and no more flips than bits")
-    most = wanted.agg(F.max("k")).first()[0] or 1
+    most, width = wanted.agg(F.max("k")).first()[0] or 1, _width(wanted)
     dealt = _buckets(_without_surplus(vectors, most), tables, bits, 0)
-    found, splits = _meet(dealt, _buckets(wanted, tables, bits, flips), metric, _tile_rows(wanted, tile_bytes), split_rows)
+    found, splits = _meet(
+        dealt, _buckets(wanted, tables, bits, flips), metric, _rows(tile_bytes, width), split_rows, _rows(2 * BLOCK_BYTES, width)
+    )
     # A vector found in several tables is one hit.
     once = found.groupBy("query_id", "embedding_index").agg(
         F.min("distance").alias("distance"), F.max("k").alias("k"), F.min("split").alias("split")

@@ -220,3 +220,32 @@ def test_scan_plan_has_no_join_and_reads_two_columns(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan and "document" not in plan
     assert plan.count("Exchange") == 1
+
+
+def test_small_tiles_move_in_few_blocks(spark):
+    """However small tiles and splits are, a vector is copied once per block of queries only."""
+    x, q = data(400, 60, copies=0)
+    collection, queries = frames(spark, x, q, np.full(60, 3))
+    partial, splits = nn.partial_hits(collection, nn._with_k(queries, "k"), tile_bytes=1, split_rows=3)
+    assert splits == nn.SIDE_BLOCKS
+    counts = [r["count"] for r in partial.groupBy("query_id", "split").count().collect()]
+    assert len(counts) == 60 * splits and set(counts) == {3}
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+@pytest.mark.parametrize("plan", ["scan", "tiles"])
+def test_single_precision_products_lose_no_neighbour(spark, metric, plan):
+    """Vectors far from the origin and close to each other, some much longer: products alone cannot order them."""
+    rng = np.random.default_rng(9)
+    x = (1000 + rng.integers(0, 64, size=(300, 8)) / 64).astype(np.float32)
+    x[::50] *= 1e6
+    x[7], x[60:63] = 0, x[59]
+    q = x[np.arange(0, 300, 7)]
+    collection, queries = frames(spark, x, q, np.full(len(q), 6))
+    got = nn.knn(collection, queries, 6, metric, plan=plan)
+    rows = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        rows.setdefault(r.query_id, []).append((r.distance, r.embedding_index))
+    for i, v in enumerate(q):
+        d = nn._pair_distance(x, np.repeat(v[None, :], len(x), axis=0), metric)
+        assert rows[i] == sorted((float(e), 3 * j) for j, e in enumerate(d))[:6]
