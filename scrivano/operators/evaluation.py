@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivano.functions.scoring import is_relevant
+from scrivano.session import cut_lineage
 
 DEFAULT_KS = (1, 3, 5)
 
@@ -103,8 +104,11 @@ def summary(means: DataFrame, ks: Sequence[int] = DEFAULT_KS) -> DataFrame:
 def run(
     cases: DataFrame, hits: DataFrame, ks: Sequence[int] = DEFAULT_KS
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-case rows, and one row with the number of cases, the k list, the means and the report."""
-    per_case = evaluate(cases, hits, ks)
+    """Per-case rows, and one row with the number of cases, the k list, the means and the report.
+
+    Both come from one search: the per-case rows are kept in the shared checkpoint folder.
+    """
+    per_case = cut_lineage(evaluate(cases, hits, ks))
     report = (
         mean_metrics(per_case, ks)
         .withColumn("k_values", F.array(*[F.lit(k) for k in ks]))

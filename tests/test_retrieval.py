@@ -259,3 +259,18 @@ def test_every_row_is_encoded_once(spark, tmp_path):
     writers.write_embeddings(frame, str(tmp_path / "v"), str(tmp_path / "s"), str(tmp_path / "m"), "own")
     assert os.path.getsize(encoded) == 500 and os.path.getsize(loaded) <= 4  # workers
     assert readers.read_embedded_sections(spark, str(tmp_path / "s"), str(tmp_path / "v")).count() == 500
+
+
+def test_a_run_searches_once_for_cases_and_report(spark):
+    searched = spark.sparkContext.accumulator(0)
+
+    def search(batches):
+        for batch in batches:
+            searched.add(batch.num_rows)
+            yield batch
+
+    cases = spark.createDataFrame([(i, "q", ["a//1"], "c") for i in range(6)], "case_id long, query string, expected_sections array<string>, category string")
+    hits = spark.createDataFrame([(i, 1, f"a//{i % 3}") for i in range(6)], "query_id long, rank int, section_path string")
+    per_case, report = ev.run(cases, hits.mapInArrow(search, hits.schema))
+    assert per_case.filter("mrr = 1").count() == 2 and report.first().total_queries == 6
+    assert searched.value == 6
