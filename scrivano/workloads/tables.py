@@ -63,7 +63,7 @@ def contract_files(spark, sf_dir):
       replace(text, ' ', ' "' || chr(10)) as content, doc_id as line_number from documents""",
 )
 def sections_csv_split(spark, sf_dir):
-    """One file whose cells are full of quotes and line breaks, read in many byte ranges."""
+    """Files whose cells are full of quotes and line breaks, one per writing task, read in many byte ranges."""
     sections = table(spark, sf_dir, "documents").select(
         F.expr("'n' || doc_id").alias("section_number"),
         F.expr("lang || '//' || doc_id").alias("section_path"),
@@ -72,7 +72,7 @@ def sections_csv_split(spark, sf_dir):
         F.col("doc_id").cast("int").alias("line_number"),
     )
     plain, csv = scratch_path(spark, "sections"), scratch_path(spark, "sections-csv")
-    writers.write_sections(sections.coalesce(1), plain, csv)
+    writers.write_sections(sections, plain, csv)
     back = readers.read_sections_csv(spark, csv)
     return back.drop("content_length").withColumn("line_number", F.col("line_number").cast("long"))
 

@@ -203,3 +203,17 @@ def test_numbering_moves_counts_only(spark, tmp_path):
     assert [r[2] for r in ranked] == list(range(80))
     starts = emb.document_starts(sections).orderBy("doc_id").collect()
     assert [r.start for r in starts] == [2 * i for i in range(40)]
+
+
+def test_split_csv_is_written_by_every_task(spark, tmp_path, monkeypatch):
+    from scrivano.workloads import tables
+
+    rows = [(i, f"text {i} of many words", "en", "s", 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setitem(tables.__dict__, "table", lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet").repartition(5))
+    written, write = [], tables.writers.write_sections
+    monkeypatch.setattr(tables.writers, "write_sections", lambda frame, *to: (written.append(frame), write(frame, *to)))
+    back = tables.sections_csv_split(spark, str(tmp_path)).collect()
+    assert written[0].rdd.getNumPartitions() == 5
+    assert sorted(r.content for r in back) == sorted(t.replace(" ", ' "\n') for _, t, *_ in rows)
