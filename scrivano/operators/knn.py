@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,7 @@ BITS = 6
 FLIPS = 1
 MAX_BITS = 16
 MAX_BROADCAST_HITS = 500_000
+MAX_BROADCAST_FOUND = 2_000_000
 HOT_HITS = 10_000
 HOT_SALTS = 64
 MAX_HOT_BYTES = 64 << 20
@@ -478,7 +479,8 @@ def first_rows(collection: DataFrame, *columns: str) -> DataFrame:
 
 
 def fetch_hits(
-    hits: DataFrame, collection: DataFrame, *columns: str, max_hits: int | None = None, unique: bool = False
+    hits: DataFrame, collection: DataFrame, *columns: str, max_hits: int | None = None, unique: bool = False,
+    derive: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Join text and metadata to the winners only, after the cut; unmatched indices drop out.
 
@@ -487,16 +489,26 @@ def fetch_hits(
     ``writers.write_bucketed``) is read in place again, without an exchange of its texts. Winners of an
     index that very many queries found are joined apart, with a broadcast of those few rows while they
     are small, so no task holds all of them. Where an index is not ``unique`` its least row by
-    ``columns`` counts.
+    ``columns`` counts, and of the collection only rows that some winner has are shuffled, while the winners'
+    distinct indices fit a broadcast. ``derive`` gives columns to take from a row in place of ``columns``,
+    before it is copied to its hits.
     """
     texts = collection.select("embedding_index", *columns)
+
+    def rows_of(texts: DataFrame) -> DataFrame:
+        texts = texts if unique else first_rows(texts, *columns)
+        return texts.select("embedding_index", *[c.alias(n) for n, c in derive.items()]) if derive else texts
+
     if max_hits is not None and max_hits <= MAX_BROADCAST_HITS:
         found = texts.join(F.broadcast(hits.select("embedding_index").distinct()), "embedding_index", "left_semi")
-        return (found if unique else first_rows(found, *columns)).join(F.broadcast(hits), "embedding_index")
+        return rows_of(found).join(F.broadcast(hits), "embedding_index")
     hits = cut_lineage(hits)
-    texts = texts if unique else first_rows(texts, *columns)
-    counted = hits.groupBy("embedding_index").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_HITS)
-    hot = cut_lineage(counted.select("embedding_index"))
+    counted = cut_lineage(hits.groupBy("embedding_index").agg(F.count(F.lit(1)).alias("n")))
+    if not unique and counted.count() <= MAX_BROADCAST_FOUND:
+        texts = texts.join(F.broadcast(counted.select("embedding_index")), "embedding_index", "left_semi")
+    texts = rows_of(texts)
+    columns = [c for c in texts.columns if c != "embedding_index"]
+    hot = cut_lineage(counted.filter(F.col("n") > HOT_HITS).select("embedding_index"))
     rows = cut_lineage(texts.join(hot, "embedding_index", "left_semi"))
     width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64))
     if not (size := rows.agg(F.sum(width)).first()[0]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivano.functions.scoring import CONFUSABLE_TERMS, definition_score
+from scrivano.functions.scoring import CONFUSABLE_TERMS, definition_score, marked_score
 
 
 def rerank(hits: DataFrame, score: Column, content: str = "content") -> DataFrame:
@@ -24,14 +24,19 @@ def boost_definitions(
     when: Column | None = None,
     content: str = "content",
     topic_penalties: bool = False,
+    marks: str | None = None,
 ) -> DataFrame:
     """Prefer defining sections, for the queries where ``when`` holds (default: all).
 
     ``topic_penalties`` adds the penalty for sections on a confusable term. Queries with and
-    without the boost share one plan: without it the score is the distance.
+    without the boost share one plan: without it the score is the distance. Hits that carry the
+    ``marks`` of their contents (``definition_marks``) need no content.
     """
     penalties = CONFUSABLE_TERMS if topic_penalties else ()
-    score = definition_score(F.col("distance"), F.col(content), penalties)
+    if marks:
+        score = marked_score(F.col("distance"), F.col(marks), penalties)
+    else:
+        score = definition_score(F.col("distance"), F.col(content), penalties)
     if when is not None:
         score = F.when(when, score).otherwise(F.col("distance"))
     return rerank(hits, score, content)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrivano.functions import routing, vectors
+from scrivano.functions.scoring import CONFUSABLE_TERMS, definition_marks
 from scrivano.operators import embedding as emb
 from scrivano.operators import knn as nn
 from scrivano.operators.rerank import boost_definitions
@@ -676,13 +677,18 @@ def search_flat_index(spark, sf_dir):
     )
 
 
-def _label_hits(spark, sf_dir):
-    """Hits of every vector among all vectors, with the document of the same number as text."""
+def _label_hits(spark, sf_dir, derive=None):
+    """Hits of every vector among all vectors, with the document of the same number as text, or what is derived from it."""
     collection, queries = _vectors(spark, sf_dir)
-    nearest = nn.knn(collection, queries, 8)
+    # Labels join while rows are small: texts move once less.
+    nearest = nn.knn(collection, queries, 8).join(queries.select("query_id", "label"), "query_id")
     texts = _sections(spark, sf_dir).select("embedding_index", "content")
-    hits = nn.fetch_hits(nearest, texts, "content", max_hits=nn.hit_rows(queries, 8))
-    return hits.join(queries.select("query_id", "label"), "query_id")
+    return nn.fetch_hits(nearest, texts, "content", max_hits=nn.hit_rows(queries, 8), derive=derive)
+
+
+def _marked_hits(spark, sf_dir):
+    """These hits with the marks that decide the boost; the texts stay where they are."""
+    return _label_hits(spark, sf_dir, {"marks": definition_marks(F.col("content"), CONFUSABLE_TERMS)})
 
 
 _SQL_LABEL_HITS = f"""{_SQL_SECTIONS}, pairs as (select b.vec_id as query_id, a.vec_id as doc_id,
@@ -701,12 +707,12 @@ def _sql_boost(score):
 
 @REGISTRY.add("boost_definitions", _sql_boost(_sql_score(False)))
 def boost_all_definitions(spark, sf_dir):
-    return _rounded(boost_definitions(_label_hits(spark, sf_dir)))
+    return _rounded(boost_definitions(_marked_hits(spark, sf_dir), marks="marks"))
 
 
 @REGISTRY.add("boost_with_topic_penalty", _sql_boost(_sql_score(True)))
 def boost_with_topic_penalty(spark, sf_dir):
-    return _rounded(boost_definitions(_label_hits(spark, sf_dir), topic_penalties=True))
+    return _rounded(boost_definitions(_marked_hits(spark, sf_dir), topic_penalties=True, marks="marks"))
 
 
 @REGISTRY.add(
@@ -714,4 +720,4 @@ def boost_with_topic_penalty(spark, sf_dir):
     _sql_boost(f"case when label % 2 = 0 then {_sql_score(False)} else distance end"),
 )
 def boost_conditionally(spark, sf_dir):
-    return _rounded(boost_definitions(_label_hits(spark, sf_dir), F.col("label") % 2 == 0))
+    return _rounded(boost_definitions(_marked_hits(spark, sf_dir), F.col("label") % 2 == 0, marks="marks"))

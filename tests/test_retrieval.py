@@ -274,3 +274,18 @@ def test_a_run_searches_once_for_cases_and_report(spark):
     per_case, report = ev.run(cases, hits.mapInArrow(search, hits.schema))
     assert per_case.filter("mrr = 1").count() == 2 and report.first().total_queries == 6
     assert searched.value == 6
+
+
+@pytest.mark.parametrize("limit", [None, 100])
+def test_marks_rank_like_texts_and_move_in_their_place(spark, limit):
+    texts = ["A definition is", "mudarabah means", "plain", None, "mudarabah or murabahah refers to", "definition"]
+    table = spark.createDataFrame(list(enumerate(texts)) + [(0, "b"), (9, "never found")], "embedding_index long, content string")
+    rows = [(q, i, 0.1 * ((i * 5 + q) % 4), r + 1) for q in range(3) for r, i in enumerate([(q + s) % 6 for s in range(6)])]
+    hits = spark.createDataFrame(rows, "query_id long, embedding_index long, distance double, rank int")
+    plain = boost_definitions(knn.fetch_hits(hits, table, "content", max_hits=limit), topic_penalties=True)
+    marks = {"marks": scoring.definition_marks(F.col("content"), scoring.CONFUSABLE_TERMS)}
+    carried = knn.fetch_hits(hits, table, "content", max_hits=limit, derive=marks)
+    assert "content" not in carried.columns
+    marked = boost_definitions(carried, topic_penalties=True, marks="marks")
+    names = ["query_id", "rank", "embedding_index", "distance"]
+    assert sorted(map(tuple, marked.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
