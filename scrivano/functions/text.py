@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 BREAK = rf"\r\n|[{BREAKS}]"
-ONE_LINE = rf"(?=[\s\S])[^{BREAKS}]*+(?:\r\n|[{BREAKS}]|\z)"
+# The same boundaries, in the form that is quickest to count.
+COUNTED_BREAK = r"\R|[\x1c-\x1e]"
 
 # The characters that Unicode and the separators above count as white space.
 WHITE = (
@@ -101,8 +102,11 @@ def collapse_blank_lines(col: Column) -> Column:
 
 
 def line_count(col: Column) -> Column:
-    """Number of lines under the same boundaries as :func:`lines_of`."""
-    return F.regexp_count(col, F.lit(ONE_LINE))
+    """Number of lines under the same boundaries as :func:`lines_of`: the breaks, and a last line without one."""
+    closed = F.lit(False)
+    for mark in "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":
+        closed = closed | F.endswith(col, F.lit(mark))
+    return F.regexp_count(col, F.lit(COUNTED_BREAK)) + ((F.octet_length(col) > 0) & ~closed).cast("int")
 
 
 def size_change(before: Column, after: Column) -> dict[str, Column]:

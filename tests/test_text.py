@@ -44,6 +44,14 @@ def test_lines_and_strip_follow_unicode(spark):
         assert (r.s, r.l, r.n) == (r.text.strip(), r.text.splitlines(), len(r.text.splitlines()))
 
 
+def test_lines_are_counted_without_copies_of_them(spark):
+    texts = [None, "", "\r", "\n\r", "a\r\n\r\n", "a\r\r\nb", "\x1c", "a\x1e\u2029b\x85", "é\u2028", "\x1f", "a\tb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("text", tx.line_count(F.col("text")).alias("n"))
+    assert [r.n for r in df.collect()] == [None if x is None else len(x.splitlines()) for x in texts]
+    # No pattern that runs over the text of a line: only boundaries are matched.
+    assert "[^" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_doubled_letters(spark):
     both(spark, LETTERS, tx.with_collapsed_letters)
 
