@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from scrivano import schemas
 from scrivano.functions.text import is_blank
 from scrivano.operators.embedding import DEFAULT_MODEL, check_alignment
-from scrivano.sources import quoted_csv
+from scrivano.sources import quoted_csv, text_files
 
 # The built-in evaluation cases (query, expected section paths, category).
 DEFAULT_CASES = [
@@ -49,13 +51,13 @@ def _json_or(
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.txt`` below ``folder`` that is not itself an output: ``path, filename, stem, text``."""
-    raw = (
-        spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    ).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("filename"),
-        F.col("value").alias("text"),
-    )
+    if text_files.holds(folder):
+        raw = text_files.open_texts(spark, folder).filter(F.endswith("filename", F.lit(".txt")))
+    else:
+        raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"), "value"
+        )
+    raw = raw.select("path", "filename", F.col("value").alias("text"))
     return raw.filter(~F.contains("filename", F.lit("cleaned"))).withColumn(
         "stem", F.regexp_replace("filename", r"\.[^.]*$", "")
     )
@@ -63,10 +65,13 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_contracts(spark: SparkSession, *paths: str) -> DataFrame:
     """Contract texts, one row per file; blank files are dropped."""
-    raw = spark.read.text(list(paths), wholetext=True)
-    return raw.select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("query")
-    ).filter(~is_blank(F.col("query")))
+    ours = [p for p in paths if text_files.holds(p)]
+    frames = [text_files.open_texts(spark, p).select("path", "value") for p in ours]
+    if others := [p for p in paths if p not in ours]:
+        raw = spark.read.text(others, wholetext=True)
+        frames.append(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+    contracts = reduce(DataFrame.unionByName, frames)
+    return contracts.withColumnRenamed("value", "query").filter(~is_blank(F.col("query")))
 
 
 # A packed corpus: records of name and text; both marks are escaped in texts by the first.

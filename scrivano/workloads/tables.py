@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scrivano.operators import embedding as emb
 from scrivano.operators import evaluation as ev
 from scrivano.session import scratch_path
-from scrivano.sources import readers, writers
+from scrivano.sources import readers, text_files, writers
 from scrivano.workloads import Registry, evaluation, search, table
 
 REGISTRY = Registry()
@@ -20,10 +20,10 @@ REGISTRY = Registry()
 def corpus_files(spark, sf_dir):
     """One text file per document, scanned as whole texts."""
     folder = scratch_path(spark, "corpus")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
-    docs.write.partitionBy("doc_id").text(folder)
+    name = F.concat(F.lit("doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
+    text_files.write_texts(table(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").alias("value")), folder)
     corpus = readers.read_corpus(spark, folder)
-    number = F.regexp_extract("path", r"/doc_id=(\d+)/", 1)
+    number = F.nullif(F.regexp_extract("path", r"/doc_id=(-?\d*)\.txt$", 1), F.lit(""))
     return corpus.select(
         number.cast("long").alias("doc_id"), "text", number.alias("folder")
     )
@@ -45,14 +45,15 @@ def packed_corpus(spark, sf_dir):
 def contract_files(spark, sf_dir):
     """Contracts read by path; every message is a file."""
     folder = scratch_path(spark, "contracts")
-    messages = table(spark, sf_dir, "conversations").select(
-        "turn", "conv_id", F.col("text").alias("value")
-    )
-    messages.write.partitionBy("turn", "conv_id").text(folder)
+    turn, conv = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("turn", "conv_id"))
+    name = F.concat(F.lit("turn="), turn, F.lit(",conv_id="), conv, F.lit(".txt"))
+    text_files.write_texts(table(spark, sf_dir, "conversations").select(name.alias("name"), F.col("text").alias("value")), folder)
     contracts = readers.read_contracts(spark, folder)
     return contracts.select(
-        F.regexp_extract("path", r"/turn=(\d+)/", 1).cast("long").alias("turn"),
-        F.regexp_extract("path", r"/conv_id=(\d+)/", 1).cast("long").alias("conv_id"),
+        *[
+            F.nullif(F.regexp_extract("path", rf"[/,]{c}=(-?\d*)[,.][^/]*$", 1), F.lit("")).cast("long").alias(c)
+            for c in ("turn", "conv_id")
+        ],
         "query",
     )
 

@@ -3,6 +3,7 @@
 import csv
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from scrivano.operators import embedding as emb
 from scrivano.plans import jobs
 from scrivano.session import cut_lineage
-from scrivano.sources import quoted_csv, readers, writers
+from scrivano.sources import quoted_csv, readers, text_files, writers
 from scrivano.streaming.calllog import stream_first_calls
+from scrivano.workloads import tables
 
 
 def test_corpus_and_contracts(spark, tmp_path):
@@ -27,6 +29,49 @@ def test_corpus_and_contracts(spark, tmp_path):
     assert [r.query for r in readers.read_contracts(spark, *paths).collect()] == ["line 1\nline 2"]
 
 
+def test_text_files_are_written_in_folders_and_read_without_listing_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_files, "FOLDER_FILES", 4)
+    path = f"file://{tmp_path}/texts"
+    rows = [(f"t{i % 7}.txt", None if i == 3 else f"text {i}\r\né") for i in range(20)] + [("x-cleaned.txt", "out"), ("y.md", "out")]
+    df = spark.createDataFrame(rows, "name string, value string").coalesce(1)
+    text_files.write_texts(df, path)
+    back = readers.read_corpus(spark, path)
+    assert sorted((r.filename, r.text) for r in back.collect()) == sorted((n, (v or "") + "\n") for n, v in rows[:20])
+    assert readers.read_contracts(spark, path).count() == 21  # the null text is a blank file
+    # The driver knows folders of files, and a folder of a failed attempt is in no list.
+    parts = text_files.TextReader(path).partitions()
+    assert sum(p.files for p in parts) == 22 and len(parts) < 22
+    (stray := tmp_path / "texts" / "texts-failed" / "0").mkdir(parents=True)
+    (stray / "t0.txt").write_text("stray")
+    assert back.count() == 20
+    # A lost file raises.
+    next((tmp_path / "texts" / parts[0].name).glob("*.txt")).unlink()
+    with pytest.raises(Exception, match="files instead of"):
+        back.count()
+
+
+def test_no_text_file_outside_its_folder(spark, tmp_path):
+    for name in ("../a.txt", "", None):
+        with pytest.raises(Exception, match="no file can be named"):
+            text_files.write_texts(spark.createDataFrame([(name, "x")], "name string, value string"), str(tmp_path / "t"))
+    assert not text_files.holds(str(tmp_path / "t")) and not text_files.holds("viewfs://store/in")
+    text_files.write_texts(spark.createDataFrame([], "name string, value string"), str(tmp_path / "t"))
+    assert readers.read_corpus(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_file_queries_start_no_process_for_a_file(spark, tmp_path):
+    """A thousand documents and messages a second at least; equal numbers leave no row out."""
+    docs = spark.range(20_000).selectExpr("if(id < 2, 0, id) as doc_id", "'text ' || id as text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.selectExpr("doc_id % 50 as turn", "doc_id as conv_id", "text").write.parquet(str(tmp_path / "conversations.parquet"))
+    for query in (tables.corpus_files, tables.contract_files):
+        started = time.time()
+        back = query(spark, str(tmp_path))
+        column = "text" if "text" in back.columns else "query"
+        assert back.select(column).distinct().count() == 20_000
+        assert time.time() - started < 40
+
+
 def test_pages(spark):
     pages = spark.createDataFrame(
         [(1, 2, "b"), (1, 1, "a"), (1, 3, None), (2, 1, None)], "doc_id long, page_no int, text string")
