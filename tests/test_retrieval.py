@@ -3,15 +3,17 @@
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scrivano.functions import routing, scoring
 from scrivano.operators import evaluation as ev
-from scrivano.operators import embedding, knn
+from scrivano.operators import embedding, knn, prompts
 from scrivano.operators.rerank import boost_definitions
 from scrivano.plans import jobs, retrieval
+from scrivano.session import cut_lineage
 from scrivano.sources import readers, vector_files, writers
 
 
@@ -289,3 +291,33 @@ def test_marks_rank_like_texts_and_move_in_their_place(spark, limit):
     marked = boost_definitions(carried, topic_penalties=True, marks="marks")
     names = ["query_id", "rank", "embedding_index", "distance"]
     assert sorted(map(tuple, marked.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
+
+
+def test_prompts_in_blocks_equal_prompts_of_hits_and_move_texts_packed(spark):
+    words = ["salam", "ijarah", "riba", "definition", "mudarabah", "is", "means", "gold"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 400))) for _ in range(40)] + [None, "", "é x"]
+    rows = [(i, f"{i}//1" if i % 3 else None, t) for i, t in enumerate(texts)] + [(7, "7//2", "again")]
+    sections = spark.createDataFrame(rows, "embedding_index long, section_path string, document string")
+    sections = sections.withColumn("section_number", F.lit("1")).withColumn("content_length", F.lit(1))
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(4)] for i in range(len(texts))}
+    vector = F.udf(lambda i: vectors[i], "array<float>")
+    collection = sections.withColumn("embedding", vector("embedding_index"))
+    asked = [(i, f"what is {rng.choice(words)} {i}" if i % 2 else f"{i}", str(i % 3)) for i in range(60)] + [(60, " ", "1")]
+    requests = spark.createDataFrame(asked, "query_id long, query string, session_id string")
+    turns = spark.createDataFrame([("1", 1, "q", "r"), ("2", 1, "q2", None)], "session_id string, turn_no long, query string, response string")
+    embed = lambda q: q.withColumn("embedding", vector(F.col("query_id") % 40))
+    _, want = jobs.prepare_prompts(requests, collection, turns, "contract", embed)
+    have = jobs.request_prompts(requests, collection, turns, "contract", embed)
+    assert sorted(map(tuple, have.collect())) == sorted(map(tuple, want.collect())) and have.count() == 60
+    # Many blocks, and no winner broadcast.
+    query, nearest, _ = retrieval.routed_nearest(requests.select("query_id", "query"), collection, embed)
+    boosted = cut_lineage(nearest.join(query.select("query_id", "_boost"), "query_id"))
+    some = requests.select("query_id", "query")
+    many = prompts.build_prompts_in_blocks(some, boosted, collection, block_requests=4)
+    plain = prompts.build_prompts(some, retrieval.retrieve(some, collection, embed))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, plain.collect()))
+    # Packed texts move to their block, and nothing moves after that.
+    plan = have._jdf.queryExecution().executedPlan().toString()
+    assert "packed" in plan and "hashpartitioning(block" in plan
+    assert not re.search(r"hashpartitioning\(block#\d+, query_id", plan)
