@@ -25,12 +25,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.llm.scratch import Scratch
+from scrivano.llm.scratch import Scratch, hinted
 from scrivano.llm.suffix_array import repeated_starts
 from scrivano.llm.words import _VALUES, _powers, give_back, mix, text_chunks
 
@@ -39,7 +38,7 @@ GRAM = 32
 SHORT = 64
 GROUP = 3_000  # contexts, about a megabyte of text
 STEPS = (16, 1)  # bytes before the anchor, for the parts of larger groups and the parts of these
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 1 << 21
 BATCH_BYTES = 1 << 23
 PLACES = 1 << 24  # places are known modulo this
 
@@ -117,9 +116,10 @@ def _context_rows(texts: DataFrame, length: int, named: bool) -> DataFrame:
 
 
 def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``text`` and ``spots``, the rows of the text as structures."""
+    """``text`` and ``spots``, the rows of the text as structures; texts without rows do not move."""
+    held = hinted(rows.select("uid").distinct())
     spots = rows.groupBy("uid").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "uid"])).alias("spots"))
-    return texts.select("uid", "text").join(spots, "uid").select("uid", "text", "spots")
+    return texts.select("uid", "text").join(held, "uid", "left_semi").join(spots, "uid").select("uid", "text", "spots")
 
 
 def _per_text(one: Callable[[int, bytes, dict[str, np.ndarray]], list[pa.Array]], names: list[str]):
@@ -176,73 +176,87 @@ def _split(rows: DataFrame, texts: DataFrame, length: int, step: int) -> DataFra
     return joined.mapInArrow(run, CONTEXT + ", n long")
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags."""
+    edge = np.flatnonzero(np.diff(flags.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return edge[::2], edge[1::2]
 
 
-def _shared_pieces(texts: list[bytes], counts: np.ndarray, length: int) -> list[tuple[int, int, bytes]]:
-    """(text, place, bytes) of the runs whose every short gram also stands elsewhere; the rest cannot repeat."""
+def _shared_pieces(
+    data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, group: np.ndarray, counts: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first byte, end in ``data``) of the runs whose every short gram also stands elsewhere in the
+    group; the rest cannot repeat."""
     size = min(SHORT, length)
-    sizes = np.array([len(t) for t in texts])
-    grams = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), size)
-    begins = np.cumsum(sizes) - sizes
-    inside = np.zeros(sizes.sum() + 1, np.int64)  # grams do not run from one text into the next
+    inside = np.zeros(len(data) + 1, np.int64)  # grams do not run from one text into the next
     np.add.at(inside, begins, 1)
     np.add.at(inside, begins + np.maximum(sizes - size + 1, 0), -1)
-    inside = np.cumsum(inside)[: len(grams)] > 0
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(grams)]
-    _, which = np.unique(grams[inside], return_inverse=True)
-    shared = np.zeros(len(grams), bool)
-    shared[inside] = np.bincount(which, counts[owner[inside]])[which] > 1
-    out = []
-    for i, (begin, n) in enumerate(zip(begins.tolist(), sizes.tolist())):
-        for x, y in _runs(shared[begin : begin + n - size + 1]):
-            if y - x >= length - size + 1:
-                out.append((i, x, texts[i][x : y + size - 1]))
-    return out
+    spots = np.flatnonzero(np.cumsum(inside[: max(len(data) - size + 1, 0)]))
+    if not len(spots):
+        return (np.zeros(0, np.int64),) * 3
+    owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes - size + 1, 0))
+    names = gram_hashes(data, size)[spots] ^ mix(group.astype(np.uint64) + np.uint64(1))[owner]
+    order = np.argsort(names)
+    names = names[order]
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+    often = np.add.reduceat(counts[owner[order]], first) > 1
+    shared = np.zeros(len(data), bool)
+    shared[spots[order[np.repeat(often, np.diff(np.append(first, len(names))))]]] = True
+    # A run ends with its text, as the last starts of a text hold no gram.
+    starts, ends = _runs(shared)
+    wide = ends - starts >= length - size + 1
+    starts, ends = starts[wide], ends[wide] + size - 1
+    return np.searchsorted(begins, starts, "right") - 1, starts, ends
 
 
 def _sorted_groups(groups: DataFrame, length: int) -> DataFrame:
     """(uid, a, b): runs covered by repeated strings in the contexts that were found once."""
 
-    def finish(frames: list[pd.DataFrame]) -> list:
-        pieces = [_shared_pieces(f["context"].tolist(), f["n"].to_numpy(), length) for f in frames]
-        often: list[dict[bytes, int]] = []
-        for frame, found in zip(frames, pieces):
-            often.append({})
-            for (i, _, piece), n in zip(found, frame["n"].to_numpy()[[i for i, _, _ in found]].tolist()):
-                often[-1][piece] = often[-1].get(piece, 0) + n
-        out = []
-        for frame, found, counts, flags in zip(frames, pieces, often, repeated_starts([list(x) for x in often], length)):
-            again, n = dict(zip(counts, flags)), frame["n"].tolist()
-            uid, first = frame["uid"].tolist(), frame["first"].tolist()
-            for i, at, piece in found:
-                if n[i] == 1:
-                    same = again[piece] | (counts[piece] > 1)
-                    out += [(uid[i], first[i] + at + x, first[i] + at + y + length - 1) for x, y in _runs(same)]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, ready, size, names = None, [], 0, ["uid", "a", "b"]
-        for frame in batches:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
-            whole = frame["anchor"].to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, whole[1:] != whole[:-1])), len(whole))
-            held = frame.iloc[cuts[-2] :]
-            sizes = np.append(0, frame["context"].str.len().cumsum())
-            for x, y in zip(cuts[:-2].tolist(), cuts[1:-1].tolist()):
-                ready.append(frame.iloc[x:y])
-                size += sizes[y] - sizes[x]
-                if size >= SORTED_BYTES:
-                    yield pd.DataFrame(finish(ready), columns=names)
-                    ready, size = [], 0
-        if held is not None:
-            yield pd.DataFrame(finish([*ready, held]), columns=names)
+    def finish(rows: pa.Table) -> pa.RecordBatch:
+        anchor, counts, uid, first = (rows.column(c).to_numpy() for c in ("anchor", "n", "uid", "first"))
+        context = pa.concat_arrays(rows.column("context").cast(pa.large_binary()).chunks)
+        offsets = np.frombuffer(context.buffers()[1], np.int64)[context.offset : context.offset + len(context) + 1]
+        data = np.frombuffer(context.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        begins = offsets[:-1] - offsets[0]
+        group = np.cumsum(np.append(0, anchor[1:] != anchor[:-1]))
+        found = _shared_pieces(data, begins, np.diff(offsets), group, counts, length)
+        often: dict[int, dict[bytes, int]] = {}
+        pieces = []
+        for i, x, y in zip(*(c.tolist() for c in found)):
+            mine, piece = often.setdefault(int(group[i]), {}), data[x:y].tobytes()
+            mine[piece] = mine.get(piece, 0) + int(counts[i])
+            if counts[i] == 1:
+                pieces.append((i, x - int(begins[i]), mine, piece))
+        flags = repeated_starts([list(x) for x in often.values()], length)
+        again = {id(x): dict(zip(x, f)) for x, f in zip(often.values(), flags)}
+        out = [np.zeros((3, 0), np.int64)]
+        for i, at, mine, piece in pieces:
+            same = again[id(mine)][piece]
+            x, y = _runs(same) if mine[piece] == 1 else (np.zeros(1, np.int64), np.array([len(same)]))
+            at += int(first[i])
+            out.append(np.stack([np.full(len(x), uid[i]), at + x, at + y + length - 1]))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["uid", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SORTED_BYTES:
+                rows = pa.Table.from_batches(held)
+                anchor = rows.column("anchor").to_numpy()
+                whole = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on
+                if whole:
+                    yield finish(rows.slice(0, whole))
+                held = rows.slice(whole).combine_chunks().to_batches()
+                size = sum(b.nbytes for b in held)
+        if held:
+            yield finish(pa.Table.from_batches(held))
         give_back()
 
-    return groups.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "uid long, a long, b long")
+    return groups.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "uid long, a long, b long")
 
 
 def _level(rows: DataFrame, texts: DataFrame, scratch: Scratch, length: int, group: int, steps: tuple[int, ...]) -> list[DataFrame]:
@@ -251,19 +265,24 @@ def _level(rows: DataFrame, texts: DataFrame, scratch: Scratch, length: int, gro
     some = (F.first(c).alias(c) for c in ("uid", "first", "last", "place"))  # any one of them: their bytes are equal
     distinct = scratch.keep(rows.groupBy(*name).agg(F.sum("n").alias("n"), *some), "distinct")
     twice = distinct.filter("n > 1").select(*name)
-    spans = [rows.filter("n = 1").join(twice, name, "left_semi").select(
+    spans = [scratch.keep(rows.filter("n = 1").join(twice, name, "left_semi").select(
         "uid", F.col("first").cast("long").alias("a"), (F.col("last") + F.lit(length)).cast("long").alias("b")
-    )]
+    ), "spans")]
     if not group:
+        scratch.drop(distinct)
         return spans
     sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_g"), F.min("n").alias("_least"))
     sizes = scratch.keep(sizes.filter("_g > 1 and _least = 1").select("anchor", "_g"), "sizes")
-    members = distinct.join(sizes, "anchor")
-    spans.append(_sorted_groups(_cut(members.filter(F.col("_g") <= group), texts, length), length))
-    large = sizes.filter(F.col("_g") > group)
+    members = scratch.keep(distinct.join(sizes, "anchor"), "members")
+    scratch.drop(distinct, sizes)
+    # Written one by one, so that what a step shuffled is gone before the next one.
+    spans.append(scratch.keep(_sorted_groups(_cut(members.filter(F.col("_g") <= group), texts, length), length), "spans"))
+    large = members.filter(F.col("_g") > group)
     if steps and not large.isEmpty():
-        parts = scratch.keep(_split(members.filter(F.col("_g") > group), texts, length, steps[0]), "parts")
+        parts = scratch.keep(_split(large, texts, length, steps[0]), "parts")
         spans += _level(parts, texts, scratch, length, group if steps[1:] else 0, steps[1:])
+        scratch.drop(parts)
+    scratch.drop(members)
     return spans
 
 

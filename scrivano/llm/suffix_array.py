@@ -166,7 +166,8 @@ def suffix_arrays(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return order
 
 
-FEW = 40  # so many times the longest text's symbols have to be in a batch to be worth the steps
+FEW = 1  # so many times the longest text's symbols have to be in a batch to be worth the steps
+ALONE = 1 << 14  # symbols up to which a text that is alone is sorted in lists
 BATCH = 1 << 20
 
 
@@ -187,7 +188,8 @@ def repeated_starts(groups: list[list[bytes]], length: int) -> list[list[np.ndar
         text = np.concatenate([[0], *(joined[g] for g in some)])
         end = np.cumsum([len(joined[g]) for g in some]) + 1
         begin = end - [len(joined[g]) for g in some]
-        order = np.append(0, np.array(suffix_array(text[1:].tolist())) + 1) if len(some) == 1 else suffix_arrays(text, begin, end)
+        alone = len(some) == 1 and len(text) <= ALONE
+        order = np.append(0, np.array(suffix_array(text[1:].tolist())) + 1) if alone else suffix_arrays(text, begin, end)
         again = _repeated(text, order, length)
         for g, b in zip(some, begin.tolist()):
             for t in groups[g]:

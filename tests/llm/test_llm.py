@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,47 @@ def test_repeated_starts_equal_counts_of_strings(few, monkeypatch):
         assert [f.tolist() for f in found] == [[seen[t[i : i + 7]] > 1 for i in range(len(t) - 6)] for t in texts]
 
 
+def test_a_large_group_alone_is_not_sorted_in_lists(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 100, 30_000).astype(np.uint8)
+    text[20_000:20_500] = text[300:800]
+    held = suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda t: held(t) if len(t) < 20_000 else pytest.fail("lists"))
+    (found,), = suffix_array.repeated_starts([[text.tobytes()]], 200)
+    seen = Counter(text[i : i + 200].tobytes() for i in range(len(text) - 199))
+    assert found.tolist() == [seen[text[i : i + 200].tobytes()] > 1 for i in range(len(text) - 199)] and found.sum() >= 602
+
+
+@pytest.mark.parametrize("limit", [1, 1000, 1 << 30])
+def test_groups_are_sorted_whole_wherever_batches_end(limit, monkeypatch):
+    class Groups:
+        repartition = sortWithinPartitions = lambda self, *names: self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(6)
+    base = [bytes(rng.choices(b"abcd", k=90)) for _ in range(3)]
+    rows = []
+    for anchor in range(12):
+        for _ in range(rng.randint(1, 6)):
+            context = rng.choice(base)[rng.randint(0, 30) :] + bytes(rng.choices(b"abcd", k=9)) + rng.choice(base)[: rng.randint(0, 90)]
+            rows.append((anchor, rng.choice([1, 1, 2]), len(rows), rng.randint(0, 50), context))
+    monkeypatch.setattr(substring_dedup, "SORTED_BYTES", limit)
+    monkeypatch.setattr(substring_dedup, "give_back", lambda: None)
+    table = pa.table(dict(zip(("anchor", "n", "uid", "first", "context"), zip(*rows))))
+    found = pa.Table.from_batches(list(substring_dedup._sorted_groups(Groups(), 40)(table.to_batches(max_chunksize=4)))).to_pylist()
+    expected = Counter()
+    for anchor in range(12):
+        seen = Counter()
+        for _, n, _, _, text in (r for r in rows if r[0] == anchor):
+            seen.update({k: n * c for k, c in Counter(text[i : i + 40] for i in range(len(text) - 39)).items()})
+        for _, n, uid, first, text in (r for r in rows if r[0] == anchor and r[1] == 1):
+            gone = {first + i + k for i in range(len(text) - 39) if seen[text[i : i + 40]] > 1 for k in range(40)}
+            expected.update({(uid, at): 1 for at in gone})
+    assert set(expected) == {(r["uid"], at) for r in found for at in range(r["a"], r["b"])} and len(expected) > 300
+
+
 @pytest.mark.parametrize("group", [3000, 3, 1])
 def test_substring_removal_equals_brute_force(spark, docs, group):
     length = 200
