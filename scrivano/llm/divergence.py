@@ -18,8 +18,6 @@ kept terms prices every pair at 0. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +26,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivano.llm.scratch import Scratch
+from scrivano.llm.words import give_back, text_chunks, word_bounds
 
 UNIT = 1_000_000_000
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SEGMENT = 8192
 SOURCES = 64
-HELD_TERMS = 200_000
-_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+HELD_TERMS = 800_000
+HELD_GROUPS = 100_000
+SENT_TERMS = 50_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BETWEEN = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LONG_SAFE = (2**63 - 1) // UNIT - 1
 
 ORACLE = r"""
@@ -70,34 +73,86 @@ select * from (select lang, source, 'term' as part, item, value,
 """
 
 
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of the texts in order, each distinct one held once, and the text each is of."""
+    starts, ends, first = word_bounds(data, offsets, _BETWEEN)
+    letters = np.delete(data, np.flatnonzero(_BETWEEN[data])) if len(starts) else data[:0]
+    at = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(_LOWER[letters]))
+    return terms.dictionary_encode(), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins among sorted ones."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.intp)
+
+
+def _summed(group: np.ndarray, terms: pa.DictionaryArray, n: np.ndarray, docs: np.ndarray) -> pa.Table:
+    """``group, term, n, docs`` with the rows of a group and term added up."""
+    width = max(len(terms.dictionary), 1)
+    keys = group * width + terms.indices.to_numpy()
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = _runs(keys)
+    group, code = np.divmod(keys[begin], width)
+    sums = [np.add.reduceat(x[order], begin) if len(begin) else x[:0] for x in (n, docs)]
+    columns = [pa.array(group), terms.dictionary.take(pa.array(code)), *map(pa.array, sums)]
+    return pa.table(columns, names=["group", "term", "n", "docs"])
+
+
+def _chunk_counts(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> pa.Table:
+    """:func:`_summed` for the texts; ``groups`` numbers the group of each."""
+    terms, text = _terms(data, offsets)
+    width = max(len(terms.dictionary), 1)
+    cells = np.sort(text * width + terms.indices.to_numpy())
+    begin = _runs(cells)
+    text, code = np.divmod(cells[begin], width)
+    met = pa.DictionaryArray.from_arrays(pa.array(code), terms.dictionary)
+    return _summed(groups[text], met, np.diff(np.append(begin, len(cells))), np.ones(len(begin), np.int64))
+
+
+def _combined(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables)
+    group, n, docs = (whole.column(c).to_numpy() for c in ("group", "n", "docs"))
+    return _summed(group, whole.column("term").combine_chunks().dictionary_encode(), n, docs)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of a task; sent whenever many terms are held."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    size = 0
+    known: dict[tuple[str, str], int] = {}
+    held: list[pa.Table] = []
+    whole = size = 0
 
     def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
+        names = [pa.array([name[i] for name in known], pa.string()) for i in (0, 1)]
+        table = _combined(held)
+        for part in table.to_batches(max_chunksize=SENT_TERMS):
+            lang, source = (each.take(part.column("group")) for each in names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                 pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n[t] for t in terms], pa.int64()),
-                 pa.array([docs[t] for t in terms], pa.int64())],
+                [lang, source, part.column("term").cast(pa.string(), safe=False), part.column("n"), part.column("docs")],
                 names=["lang", "source", "term", "n", "docs"],
             )
 
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            one = Counter(_TERM.findall(text.encode("utf-8", "surrogatepass").lower()))
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            size -= len(n)
-            n.update(one)
-            docs.update(one.keys())
-            size += len(n)
-            if size > HELD_TERMS:
-                yield from sent()
-                held.clear()
-                size = 0
-    yield from sent()
+        rows = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+        groups = np.array([known.setdefault(row, len(known)) for row in rows], np.int64)
+        for at, data, offsets in text_chunks(batch.column("text")):
+            held.append(_chunk_counts(data, offsets, groups[at : at + len(offsets) - 1]))
+            size += held[-1].num_rows
+            # Tables are combined when they have doubled, so each row is seen a few times at most.
+            if size > max(2 * whole, HELD_TERMS // 4):
+                held[:] = [_combined(held)]
+                whole = size = held[0].num_rows
+                if size > HELD_TERMS:
+                    yield from sent()
+                    held.clear()
+                    whole = size = 0
+        if not held and len(known) > HELD_GROUPS:
+            known.clear()
+    if held:
+        yield from sent()
+    held.clear()
+    give_back()
 
 
 def term_counts(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:

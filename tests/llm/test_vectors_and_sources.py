@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scrivano.llm import divergence, embedding_dedup, hard_negatives
@@ -231,3 +232,21 @@ def test_zone_bounds_hold_and_skip_blocks():
         assert (least[:, b] <= scores.min(1)).all() and (scores.max(1) <= most[:, b]).all()
     own = [np.sort(anchors[i] @ rows[i].T)[-5] for i in range(5)]
     assert (most >= np.array(own)[:, None]).mean() < 0.3
+
+
+def test_divergence_sends_each_term_of_a_task_once():
+    random.seed(4)
+    words = ["".join(random.choices("abcDEFé", k=12)) for _ in range(300_000)]
+    texts = [" ".join(words[i::30]) + ", 12 Ab\tAB" for i in range(30)] * 2 + ["", "7 @[`{", "Z"]
+    langs, sources = ["x", "y"] * 31 + ["x"], ["", "s", "t"] * 21
+    columns = [pa.array(c, pa.string()) for c in (langs, sources, texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "text"])
+    rows = pa.Table.from_batches(divergence._counted(iter([batch.slice(0, 20), batch.slice(20)]))).to_pylist()
+    n, docs = Counter(), Counter()
+    for lang, source, text in zip(langs, sources, texts):
+        terms = re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x7f" else c for c in text))
+        n.update((lang, source, t) for t in terms)
+        docs.update((lang, source, t) for t in set(terms))
+    key = [(r["lang"], r["source"], r["term"]) for r in rows]
+    assert len(set(key)) == len(key)
+    assert {k: (r["n"], r["docs"]) for k, r in zip(key, rows)} == {k: (n[k], docs[k]) for k in n}
