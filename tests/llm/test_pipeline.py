@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from scrivano.llm import token_files
+from scrivano.llm import jaccard_join, token_files
 
 random.seed(12)
 WORDS = ["".join(random.choices("abcdefghijklm", k=random.randint(3, 7))) for _ in range(600)]
@@ -127,3 +128,32 @@ def test_an_empty_corpus_runs_through(spark, folder, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_bound_what_a_task_holds_of_texts(spark, folder):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 90, 1, 1).selectExpr("repeat('word ', 50000 + int(id)) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(limit)
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        found = [r["size"] for r in texts.mapInArrow(sizes, "size long").collect()]
+        assert max(found) < 6_000_000 and sum(found) > 20_000_000
+    spark.conf.set(limit, "1m")
+    corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert spark.conf.get(limit) == "1m"  # a limit the session names stays
+    spark.conf.unset(limit)
+
+
+def test_often_found_shingles_are_counted_over_batches(spark):
+    rows = spark.range(0, 500, 1, 1).selectExpr("id as doc_id", "concat('a b c d e ', id) as text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        often = jaccard_join._survey(rows).filter("often is not null").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    assert [r["n"] for r in often] == [500]
