@@ -457,6 +457,45 @@ def test_lines_of_ordinary_length_are_linked_by_edits_alone(spark):
     assert [(u, v) for u, v in pairs if root.get(u, u) != root.get(v, v)] == []
 
 
+def test_lines_with_a_run_at_other_places_are_not_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    passage = " ".join(word() for _ in range(12))
+    rest = [" ".join(word() for _ in range(30)) for _ in range(40)]
+    texts = [f"{passage} {r}" if i % 2 else f"{r} {passage}" for i, r in enumerate(rest)]
+    texts += [f"{word()} {word()} {texts[0]}", f"{texts[1]} {word()}"]  # two near copies, shifted
+    compared, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *more: compared.extend(pairs.collect()) or similar(pairs, *more))
+    lines = line_dedup._lines(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+    names = {r.norm: r.name for r in lines.select("name", "norm").collect()}
+    at_start = {names[t] for t in texts if t.startswith(passage)}
+    root = {r.node: r.root for r in line_dedup.linked_lines(lines, Scratch(spark)).collect()}
+    assert [p for p in compared if (p.u in at_start) != (p.v in at_start)] == []
+    assert len(root) == 2
+    for one, other in ((texts[0], texts[-2]), (texts[1], texts[-1])):
+        assert root.get(names[one], names[one]) == root.get(names[other], names[other])
+
+
+def test_pairs_of_lines_are_decided_as_by_their_whole_distance(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
+    rows = [("", "a"), ("a b", "a b"), ("abcd", "abcde"), ("abcd", "abce")]
+    for n in (3, 8, 30, 120, 700):  # changed letters, words put in and left out, at rates around the similarity
+        for rate in (0.02, 0.1, 0.17, 0.2, 0.23, 0.3, 1):
+            for _ in range(4):
+                words = [word() for _ in range(n)]
+                other = [w for w in words if rng.random() > rate / 4]
+                other = [w if rng.random() > rate / 4 else f"{w} {word()}" for w in other]
+                text = "".join(c if rng.random() > rate / 2 else rng.choice("abcdeé") for c in " ".join(other))
+                ahead = " ".join(word() for _ in range(rng.choice((0, 0, n // 8))))
+                rows.append((" ".join(words), " ".join((ahead + " " + text).split())))
+    pairs = spark.createDataFrame(rows, "l string, r string").repartition(8)
+    longest = F.greatest(F.length("l"), F.length("r"))
+    whole = F.levenshtein("l", "r") <= F.floor(longest * (1 - line_dedup.SIMILARITY) + 1e-9)
+    out = pairs.select(whole.alias("want"), line_dedup._alike(F.col("l"), F.col("r")).alias("got")).collect()
+    assert [r for r in out if r.got != r.want] == [] and 20 < sum(r.want for r in out) < len(out) - 20
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(20, 16))
