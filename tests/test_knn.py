@@ -102,6 +102,32 @@ def test_many_splits_merge_in_two_levels(spark, monkeypatch):
     assert collected(nn.knn(collection, queries, "k", plan="tiles", split_rows=20)) == brute(x, q, ks)
 
 
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_rounds_equal_brute_force(spark, metric):
+    x, q = data(seed=9)
+    ks = np.arange(len(q)) % 9 + 1
+    collection, queries = frames(spark, x, q, ks)
+    got = collected(nn.knn(collection, queries, "k", metric, plan="rounds", max_query_bytes=2000))
+    assert got == brute(x, q, ks, metric)
+    for some, asked in ((collection.limit(0), queries), (collection, queries.limit(0))):
+        assert nn.knn(some, asked, 3, plan="rounds").count() == 0
+
+
+def test_tables_of_many_blocks_are_searched_without_copies(spark, monkeypatch):
+    monkeypatch.setattr(nn, "SPLIT_ROWS", 20)
+    monkeypatch.setattr(nn, "TILE_BYTES", 700)
+    rounds, search = [], nn._rounds
+    monkeypatch.setattr(nn, "_rounds", lambda *all: rounds.append(1) or search(*all))
+    x, q = data(seed=10)
+    ks = np.full(len(q), 4)
+    collection, queries = frames(spark, x, q, ks)
+    assert nn._copies(collection, nn._with_k(queries, 4)) == 8
+    assert collected(nn.knn(collection, queries, 4, max_query_bytes=2000)) == brute(x, q, ks) and rounds == [1]
+    # One side is small: tiles move few copies.
+    got = collected(nn.knn(collection.filter("embedding_index < 45"), queries, 4, max_query_bytes=2000))
+    assert got == brute(x[:15], q, ks) and rounds == [1]
+
+
 def test_large_query_tables_leave_the_broadcast_plan(spark):
     x, q = data(120, 30, seed=2)
     ks = np.full(len(q), 4)

@@ -321,3 +321,27 @@ def test_prompts_in_blocks_equal_prompts_of_hits_and_move_texts_packed(spark):
     plan = have._jdf.queryExecution().executedPlan().toString()
     assert "packed" in plan and "hashpartitioning(block" in plan
     assert not re.search(r"hashpartitioning\(block#\d+, query_id", plan)
+
+
+def test_long_texts_move_to_few_blocks_of_prompts(spark, monkeypatch):
+    texts = [(i, "1", f"{i}//1", "short text" if i < 60 else f"long text {i} " * 50) for i in range(64)]
+    collection = spark.createDataFrame(texts, "embedding_index long, section_number string, section_path string, document string")
+    requests = spark.createDataFrame([(i, f"asked {i}") for i in range(60)], "query_id long, query string")
+    hits = [(i, at, float(rank), rank, False) for i in range(60) for rank, at in ((1, (i * 7) % 60), (2, 60 + i % 4))]
+    nearest = cut_lineage(spark.createDataFrame(hits, "query_id long, embedding_index long, distance double, rank int, _boost boolean"))
+    moved, fetch = [], prompts.fetch_hits
+    monkeypatch.setattr(prompts, "fetch_hits", lambda asks, *more, **options: moved.extend(asks.collect()) or fetch(asks, *more, **options))
+    out = prompts.build_prompts_in_blocks(requests, nearest, collection, block_requests=15).collect()
+    assert len(out) == 60 and all(f"long text {60 + r.query_id % 4} " in r.prompt and "short text" in r.prompt for r in out)
+    copies = [r.embedding_index for r in moved if r.embedding_index >= 60]
+    assert len(moved) > 60 and 4 <= len(copies) <= 7  # four long texts, one more for every end of a block
+
+
+def test_only_texts_of_repeated_indices_move_to_be_told_apart(spark):
+    rows = [(i, f"text {i}") for i in range(20)] + [(3, "a text"), (5, None)]
+    collection = spark.createDataFrame(rows, "embedding_index long, document string")
+    hits = spark.createDataFrame([(i, i % 25) for i in range(40)], "query_id long, embedding_index long")
+    out = knn.fetch_hits(hits, collection, "document")
+    want = {(i, i % 25, {3: "a text", 5: None}.get(i % 25, f"text {i % 25}")) for i in range(40) if i % 25 < 20}
+    assert {(r.query_id, r.embedding_index, r.document) for r in out.collect()} == want and out.count() == len(want)
+    assert "LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString()
