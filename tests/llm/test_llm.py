@@ -480,6 +480,7 @@ def test_pairs_of_lines_are_decided_as_by_their_whole_distance(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
     rows = [("", "a"), ("a b", "a b"), ("abcd", "abcde"), ("abcd", "abce")]
+    rows += [(f"{a} " * 700, f"{b} " * 680 + c) for a, b, c in (("abc", "dde", "abc"), ("abc", "abd", "e"), ("aé", "aa", "b"))]
     for n in (3, 8, 30, 120, 700):  # changed letters, words put in and left out, at rates around the similarity
         for rate in (0.02, 0.1, 0.17, 0.2, 0.23, 0.3, 1):
             for _ in range(4):
@@ -492,8 +493,9 @@ def test_pairs_of_lines_are_decided_as_by_their_whole_distance(spark):
     pairs = spark.createDataFrame(rows, "l string, r string").repartition(8)
     longest = F.greatest(F.length("l"), F.length("r"))
     whole = F.levenshtein("l", "r") <= F.floor(longest * (1 - line_dedup.SIMILARITY) + 1e-9)
-    out = pairs.select(whole.alias("want"), line_dedup._alike(F.col("l"), F.col("r")).alias("got")).collect()
-    assert [r for r in out if r.got != r.want] == [] and 20 < sum(r.want for r in out) < len(out) - 20
+    ways = [line_dedup._alike(F.col("l"), F.col("r"), likely).alias(f"got{likely:d}") for likely in (False, True)]
+    out = pairs.select(whole.alias("want"), *ways).collect()
+    assert [r for r in out if r.got0 != r.want or r.got1 != r.want] == [] and 20 < sum(r.want for r in out) < len(out) - 20
 
 
 def test_neighbours_match_brute_force(spark):
